@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from colsense.constants import ADJUST_UP_TO, MISSING
 from colsense.functions.numeric import decimal_text
 from colsense.operators.align import align, with_gaps, with_pairs
+from colsense.operators.annotate import vocabulary_array
 
 SLICES = ("idx", "data_type", "sparsity", "num_columns")
 ALL = "all"
@@ -36,16 +37,18 @@ def scored_pairs(evaluated: DataFrame, mode: str = "padded", cap: int = ADJUST_U
             .where(F.col("true_type").isNotNull()))
 
 
-def both_modes(evaluated: DataFrame, cap: int = ADJUST_UP_TO) -> DataFrame:
+def both_modes(evaluated: DataFrame, cap: int = ADJUST_UP_TO, keep: list[str] | None = None) -> DataFrame:
     """Scored pairs of both modes from a single pass over ``evaluated``."""
     staged = with_pairs(with_pairs(with_gaps(evaluated, cap=cap), gaps=None, out="pp"), gaps="gaps", out="pa")
     modes = F.array(F.struct(F.lit("padded").alias("mode"), F.col("pp").alias("pairs")),
                     F.struct(F.lit("adjusted").alias("mode"), F.col("pa").alias("pairs")))
-    return (staged.select("table_id", F.size("true_types").alias("num_columns"),
+    k = list(keep or [])
+    return (staged.select("table_id", *k, F.size("true_types").alias("num_columns"),
                           F.rint(F.col("sparsity") * 10).cast("int").alias("sparsity_tenths"),
                           F.inline(modes))
-                  .select("mode", "table_id", F.explode("pairs").alias("pair"), "sparsity_tenths", "num_columns")
-                  .select("mode", "table_id", "pair.idx", "pair.true_type", "pair.pred_type",
+                  .select("mode", "table_id", *k, F.explode("pairs").alias("pair"), "sparsity_tenths",
+                          "num_columns")
+                  .select("mode", "table_id", *k, "pair.idx", "pair.true_type", "pair.pred_type",
                           "pair.data_type", "sparsity_tenths", "num_columns")
                   .where(F.col("true_type").isNotNull()))
 
@@ -65,18 +68,18 @@ def _slice_entries() -> Column:
     return F.filter(F.array(*typed), lambda e: e.isNotNull())
 
 
-def label_counts(pairs: DataFrame, slices: bool = True) -> DataFrame:
-    """``(mode, slice, slice_value, label, support, predicted, tp)`` over every label seen."""
+def label_counts(pairs: DataFrame, slices: bool = True, group_cols: list[str] | None = None) -> DataFrame:
+    """``(mode, *group_cols, slice, slice_value, label, support, predicted, tp)`` over every label seen."""
+    g = list(group_cols or [])
     t, p = F.col("true_type"), F.col("pred_type")
     hit = (t == p).cast("int")
     sides = F.array(
         F.struct(t.alias("label"), F.lit(1).alias("s"), F.lit(0).alias("q"), hit.alias("tp")),
         F.struct(p.alias("label"), F.lit(0).alias("s"), F.lit(1).alias("q"), F.lit(0).alias("tp")))
-    keyed = pairs.select("mode", F.explode(_slice_entries() if slices else
-                                           F.array(F.struct(F.lit(ALL).alias("slice"),
-                                                            F.lit("").alias("slice_value")))).alias("k"),
-                         F.inline(sides))
-    return (keyed.groupBy("mode", F.col("k.slice").alias("slice"), F.col("k.slice_value").alias("slice_value"),
+    entries = _slice_entries() if slices else F.array(
+        F.struct(F.lit(ALL).alias("slice"), F.lit("").alias("slice_value")))
+    keyed = pairs.select("mode", *g, F.explode(entries).alias("k"), F.inline(sides))
+    return (keyed.groupBy("mode", *g, F.col("k.slice").alias("slice"), F.col("k.slice_value").alias("slice_value"),
                           "label")
                  .agg(F.sum("s").cast("bigint").alias("support"),
                       F.sum("q").cast("bigint").alias("predicted"),
@@ -90,40 +93,36 @@ def _metrics(tp: Column, pred: Column, sup: Column) -> list[Column]:
             F.coalesce(F.try_divide(2.0 * tp, pred + sup), zero).alias("f1")]
 
 
-def _round6(df: DataFrame) -> DataFrame:
-    return df.select("mode", "slice", "slice_value", "label",
-                     *[F.round(F.col(c), 6).alias(c) for c in ("precision", "recall", "f1")],
-                     F.col("support").cast("bigint").alias("support"))
-
-
-def per_label_rows(counts: DataFrame, vocabulary: DataFrame, full_listing: bool) -> DataFrame:
+def per_label_rows(counts: DataFrame, vocabulary: DataFrame, group_cols: list[str] | None = None) -> DataFrame:
     """Per-label report rows restricted to the vocabulary.
 
-    ``full_listing`` lists every vocabulary label (zeros included) for the
-    overall slice of each mode found in ``counts``; slice rows stay sparse.
+    The overall slice of every ``(mode, *group_cols)`` lists the whole
+    vocabulary (zeros included): the vocabulary enters as one sorted array
+    (a scalar subquery over a set bounded by the label space) exploded per
+    key, so no join against a constant key is planned.  Slice rows stay sparse.
     """
+    g = list(group_cols or [])
     vocab = vocabulary.select(F.col("column_type").alias("label")).distinct()
-    in_vocab = counts.join(vocab, "label", "left_semi")
-    if full_listing:
-        modes = counts.select("mode").distinct()
-        overall = in_vocab.where(F.col("slice") == ALL)
-        listing = (vocab.select("label", F.explode(F.array(F.lit("padded"), F.lit("adjusted"))).alias("mode"))
-                        .join(modes, "mode", "left_semi")
-                        .join(overall, ["mode", "label"], "left")
-                        .select("mode", F.lit(ALL).alias("slice"), F.lit("").alias("slice_value"), "label",
-                                F.coalesce("support", F.lit(0)).alias("support"),
-                                F.coalesce("predicted", F.lit(0)).alias("predicted"),
-                                F.coalesce("tp", F.lit(0)).alias("tp")))
-        rest = in_vocab.where(F.col("slice") != ALL)
-        in_vocab = listing.unionByName(rest)
-    return in_vocab.select("mode", "slice", "slice_value", "label", "support", "predicted", "tp",
-                           *_metrics(F.col("tp"), F.col("predicted"), F.col("support")))
-
-
-def average_rows(counts: DataFrame, label_rows: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    in_vocab = counts.join(F.broadcast(vocab), "label", "left_semi")
+    labels = vocabulary_array(vocabulary)
+    overall = in_vocab.where(F.col("slice") == ALL).drop("slice", "slice_value")
+    listing = (counts.select("mode", *g).distinct()
+                     .select("mode", *g, F.explode(labels).alias("label"))
+                     .join(overall, ["mode", *g, "label"], "left")
+                     .select("mode", *g, F.lit(ALL).alias("slice"), F.lit("").alias("slice_value"), "label",
+                             F.coalesce("support", F.lit(0)).alias("support"),
+                             F.coalesce("predicted", F.lit(0)).alias("predicted"),
+                             F.coalesce("tp", F.lit(0)).alias("tp")))
+    rows = listing.unionByName(in_vocab.where(F.col("slice") != ALL))
+    return rows.select("mode", *g, "slice", "slice_value", "label", "support", "predicted", "tp",
+                       *_metrics(F.col("tp"), F.col("predicted"), F.col("support")))
+
+
+def average_rows(counts: DataFrame, label_rows: DataFrame, vocabulary: DataFrame,
+                 group_cols: list[str] | None = None) -> DataFrame:
     """macro / weighted / micro averages over the vocabulary and accuracy over all pairs."""
-    n_labels = vocabulary.select(F.count_distinct("column_type")).scalar()
-    keys = ["mode", "slice", "slice_value"]
+    n_labels = F.size(vocabulary_array(vocabulary))
+    keys = ["mode", *(group_cols or []), "slice", "slice_value"]
     sums = label_rows.groupBy(*keys).agg(
         F.sum("precision").alias("sp"), F.sum("recall").alias("sr"), F.sum("f1").alias("sf"),
         F.sum(F.col("precision") * F.col("support")).alias("wp"),
@@ -153,18 +152,23 @@ def average_rows(counts: DataFrame, label_rows: DataFrame, vocabulary: DataFrame
     return j.select(*keys, F.inline(F.array(*rows)))
 
 
-def classification_report(pairs: DataFrame, vocabulary: DataFrame, slices: bool = True) -> DataFrame:
-    """``(mode, slice, slice_value, label, precision, recall, f1, support)``.
+def classification_report(pairs: DataFrame, vocabulary: DataFrame, slices: bool = True,
+                          group_cols: list[str] | None = None) -> DataFrame:
+    """``(mode, *group_cols, slice, slice_value, label, precision, recall, f1, support)``.
 
     The overall slice (``slice = 'all'``) lists the whole vocabulary plus the
     averages; per-slice rows list the labels seen in the slice and the
     averages, which still divide by the vocabulary size.
     """
-    counts = label_counts(pairs, slices)
-    labels = per_label_rows(counts, vocabulary, full_listing=True)
-    avgs = average_rows(counts, labels, vocabulary)
-    return _round6(labels.select("mode", "slice", "slice_value", "label", "precision", "recall", "f1", "support")
-                   .unionByName(avgs))
+    g = list(group_cols or [])
+    counts = label_counts(pairs, slices, g)
+    labels = per_label_rows(counts, vocabulary, g)
+    avgs = average_rows(counts, labels, vocabulary, g)
+    out = labels.select("mode", *g, "slice", "slice_value", "label", "precision", "recall", "f1", "support") \
+                .unionByName(avgs)
+    return out.select("mode", *g, "slice", "slice_value", "label",
+                      *[F.round(F.col(c), 6).alias(c) for c in ("precision", "recall", "f1")],
+                      F.col("support").cast("bigint").alias("support"))
 
 
 def not_a_column_type(pairs: DataFrame, vocabulary: DataFrame) -> DataFrame:

@@ -229,3 +229,492 @@ def q_deviation_histogram(spark, sf):
 def q_accuracy_counter(spark, sf):
     e = ev.fixture_evaluated(spark, sf)
     return report.accuracy_counter(e, "padded").unionByName(report.accuracy_counter(e, "adjusted"))
+
+
+# =====================================================================================
+# schema shaping, joins, vocabularies, sets
+# =====================================================================================
+
+from colsense.operators import annotate, gather, linearize, requests as rq, sample  # noqa: E402
+from colsense.functions.text import json_list  # noqa: E402
+
+SEED = 964183484
+
+
+@query("drop_index_column")
+def q_drop_index_column(spark, sf):
+    rows = fx.table_rows(spark, sf)
+    out = annotate.drop_index_column(rows, F.col("table_id") % 3 == 0)
+    return out.select("table_id", "row_idx", F.size("cells").alias("n_cells"), F.get("cells", 0).alias("first_cell"))
+
+
+@query("anonymize_headers")
+def q_anonymize_headers(spark, sf):
+    return annotate.anonymize_headers(fx.columns(spark, sf)).select("table_id", "col_idx", "header")
+
+
+@query("drop_unannotated_tables")
+def q_drop_unannotated_tables(spark, sf):
+    return annotate.drop_unannotated_tables(fx.columns(spark, sf)).select("table_id", "col_idx", "column_type")
+
+
+@query("drop_unspecified_columns")
+def q_drop_unspecified_columns(spark, sf):
+    out = annotate.drop_unspecified_columns(fx.table_rows(spark, sf), fx.instances(spark, sf))
+    return out.select("table_id", "row_idx", _joined(F.col("cells")).alias("cells"),
+                      _joined(F.col("labels")).alias("labels"))
+
+
+@query("stringify_unspecified")
+def q_stringify_unspecified(spark, sf):
+    inst = fx.instances(spark, sf)
+    return inst.select("table_id", _joined(annotate.stringify_unspecified(F.col("true_types"))).alias("labels"))
+
+
+@query("strip_header_flag")
+def q_strip_header_flag(spark, sf):
+    exps = ev.experiment_report(spark, sf).select("exp_name").distinct()
+    return annotate.strip_header_flag(exps)
+
+
+@query("annotate_columns")
+def q_annotate_columns(spark, sf):
+    cols = fx.columns(spark, sf).select("table_id", "col_idx", "header")
+    name = F.concat(F.col("table_id").cast("string"), F.lit("_dbpedia"))
+    return annotate.annotate_columns(cols, fx.ground_truth(spark, sf), name)
+
+
+@query("annotation_conflicts")
+def q_annotation_conflicts(spark, sf):
+    return annotate.annotation_conflicts(fx.ground_truth(spark, sf))
+
+
+def _files(spark, sf):
+    return fx.read(spark, sf, "pages").select("page_id", F.col("url").alias("file_name"))
+
+
+@query("metadata_substring_match")
+def q_metadata_substring_match(spark, sf):
+    files = _files(spark, sf)
+    matches = annotate.metadata_substring_match(files.select("page_id", "file_name"), fx.file_keys(spark))
+    counts = matches.groupBy("page_id").agg(F.count(F.lit(1)).alias("n_matches"),
+                                            F.min("file_key").alias("file_key"))
+    return (files.join(counts, "page_id", "left")
+                 .select("page_id", F.coalesce("n_matches", F.lit(0)).alias("n_matches"),
+                         F.when(F.col("n_matches") == 1, F.col("file_key")).alias("file_key"),
+                         F.when(F.col("n_matches") == 1, F.lit("ok")).when(F.col("n_matches").isNull(), F.lit("no match"))
+                          .otherwise(F.lit("ambiguous")).alias("status")))
+
+
+def metadata_entries(spark, sf) -> DataFrame:
+    from colsense.sources import corpus
+    return corpus.scan_nested_metadata(fx.metadata_document(spark, sf))
+
+
+@query("scan_nested_metadata")
+def q_scan_nested_metadata(spark, sf):
+    return metadata_entries(spark, sf)
+
+
+@query("header_type_lookup")
+def q_header_type_lookup(spark, sf):
+    unique = q_metadata_substring_match(spark, sf).where(F.col("status") == "ok").select("page_id", "file_key")
+    n_pages = fx.read(spark, sf, "pages").select(F.count(F.lit(1))).scalar()
+    cols = fx.columns(spark, sf).select("table_id", "col_idx", "header") \
+        .withColumn("page_id", F.col("table_id") % n_pages)
+    keyed = cols.join(unique, "page_id")
+    out = annotate.header_type_lookup(metadata_entries(spark, sf), keyed)
+    return out.select("table_id", "col_idx", "file_key", "column_type", "kind")
+
+
+@query("type_to_datatype_lookup")
+def q_type_to_datatype_lookup(spark, sf):
+    return annotate.type_to_datatype_lookup(metadata_entries(spark, sf))
+
+
+def requests_with_doc(spark, sf) -> DataFrame:
+    r = fx.requests(spark, sf)
+    return r.withColumn("request_json", rq.request_json(r)).withColumn("request_hash",
+                                                                        rq.request_hash(F.col("request_json")))
+
+
+@query("request_hash")
+def q_request_hash(spark, sf):
+    return requests_with_doc(spark, sf).select("request_id", "request_hash")
+
+
+@query("cached_response_lookup")
+def q_cached_response_lookup(spark, sf):
+    r = requests_with_doc(spark, sf)
+    out = annotate.cached_response_lookup(r.select("request_id", "request_hash", "request_json"),
+                                          fx.cache_entries(r))
+    return out.select("request_id", "cached", F.get_json_object("cached_response", "$.usage.total_tokens")
+                      .cast("bigint").alias("cached_tokens"))
+
+
+@query("pending_requests")
+def q_pending_requests(spark, sf):
+    r = requests_with_doc(spark, sf)
+    return annotate.pending_requests(r.select("request_id", "request_hash", "request_json"),
+                                     fx.cache_entries(r)).select("request_id")
+
+
+@query("pair_request_response")
+def q_pair_request_response(spark, sf):
+    reqs = fx.tables(spark, sf).select(F.col("table_id").alias("request_id"))
+    resp = fx.responses(spark, sf).where(F.get_json_object("body", "$.choices").isNotNull())
+    return annotate.pair_request_response(reqs, resp)
+
+
+@query("match_tables_by_content")
+def q_match_tables_by_content(spark, sf):
+    rows = fx.table_rows(spark, sf)
+    targets, sources = fx.table_copies(rows)
+    ctypes = profile.column_data_type(rows)
+
+    t = annotate.table_fingerprints(targets.withColumnRenamed("copy_id", "table_id"), ctypes) \
+        .withColumnRenamed("table_id", "target_id")
+    src_fp = []
+    for prefix in ("a/", "b/"):
+        part = sources.where(F.col("path").startswith(prefix))
+        fp = annotate.table_fingerprints(part.withColumnRenamed("copy_id", "table_id"), ctypes)
+        src_fp.append(fp.join(part.select(F.col("copy_id").alias("table_id"), "path").distinct(), "table_id"))
+    srcs = src_fp[0].unionByName(src_fp[1]).withColumnRenamed("table_id", "source_id") \
+                    .withColumnRenamed("path", "source_path")
+    return annotate.match_tables_by_content(t, srcs)
+
+
+def _indexed(spark, sf):
+    ann = annotate.drop_unannotated_tables(fx.columns(spark, sf)).select("table_id").distinct()
+    return sample.shuffle_limit_reindex(ann, 803270735, None)
+
+
+@query("sample_examples")
+def q_sample_examples(spark, sf):
+    return sample.sample_examples(_indexed(spark, sf), 1, 613907351)
+
+
+@query("self_excluding_example_pairs")
+def q_self_excluding_example_pairs(spark, sf):
+    return sample.sample_examples(_indexed(spark, sf), 3, 613907351)
+
+
+@query("discover_experiments")
+def q_discover_experiments(spark, sf):
+    return gather.discover_experiments(ev.experiment_report(spark, sf))
+
+
+@query("label_vocabulary")
+def q_label_vocabulary(spark, sf):
+    return annotate.label_vocabulary(fx.columns(spark, sf))
+
+
+@query("vocabulary_by_data_type")
+def q_vocabulary_by_data_type(spark, sf):
+    v = annotate.vocabulary_by_data_type(fx.columns(spark, sf))
+    return v.select("data_type", _joined(F.col("labels")).alias("labels"))
+
+
+@query("vocabulary_union")
+def q_vocabulary_union(spark, sf):
+    return annotate.vocabulary_union(metadata_entries(spark, sf), fx.columns(spark, sf))
+
+
+@query("vocabulary_difference")
+def q_vocabulary_difference(spark, sf):
+    inst = fx.instances(spark, sf)
+    vocab = annotate.vocabulary_array(fx.vocabulary(spark))
+    return inst.select("table_id", _joined(annotate.vocabulary_difference(vocab, F.col("true_types")))
+                       .alias("remaining"))
+
+
+@query("corpus_concat")
+def q_corpus_concat(spark, sf):
+    t = fx.tables(spark, sf).select("table_id", *fx.experiment_columns(F.col("table_id")))
+    parts = [(d, t.where(F.col("dataset") == d).select(
+        F.concat(F.lit(d + "/"), F.col("table_id").cast("string"), F.lit(".csv")).alias("path")))
+        for d in fx.DATASETS]
+    return annotate.corpus_concat(*parts)
+
+
+# =====================================================================================
+# sampling and ordering
+# =====================================================================================
+
+@query("shuffle_limit_reindex")
+def q_shuffle_limit_reindex(spark, sf):
+    ann = annotate.drop_unannotated_tables(fx.columns(spark, sf)).select("table_id").distinct()
+    return sample.shuffle_limit_reindex(ann, 803270735, 500)
+
+
+@query("aligned_shuffle")
+def q_aligned_shuffle(spark, sf):
+    out = sample.aligned_shuffle(fx.instances(spark, sf), 803270735, "table_id", ["true_types", "data_types"])
+    return out.select("table_id", _joined(F.col("true_types")).alias("true_types"),
+                      _joined(F.col("data_types")).alias("data_types"))
+
+
+@query("sample_rows")
+def q_sample_rows(spark, sf):
+    return sample.sample_rows(fx.table_rows(spark, sf), 3, SEED).select("table_id", "row_idx", "sample_rank")
+
+
+@query("sample_rows_aligned")
+def q_sample_rows_aligned(spark, sf):
+    rows = fx.table_rows(spark, sf)
+    ids = sample.sample_rows(rows, 3, SEED)
+    (cells,) = sample.sample_rows_aligned(ids, fx.sparse_cells(rows))
+    return cells
+
+
+@query("sample_columns")
+def q_sample_columns(spark, sf):
+    out = sample.sample_columns(fx.instances(spark, sf), 5, 859962185, lists=("true_types", "data_types"))
+    return out.select("table_id", F.array_join(F.col("kept_cols").cast("array<string>"), ",").alias("kept_cols"),
+                      _joined(F.col("true_types")).alias("true_types"))
+
+
+def _instance_labels_with_examples(spark, sf):
+    ex = sample.sample_examples(_indexed(spark, sf), 1, 613907351)
+    inst = fx.instances(spark, sf).select("table_id", "true_types")
+    ex_labels = ex.join(inst.select(F.col("table_id").alias("example_id"),
+                                    F.col("true_types").alias("ex_types")), "example_id")
+    return (inst.join(ex_labels.select("table_id", "ex_types"), "table_id", "left")
+                .select("table_id", F.concat(F.col("true_types"), F.coalesce("ex_types", F.array().cast(
+                    "array<string>"))).alias("labels")))
+
+
+@query("candidate_vocabulary")
+def q_candidate_vocabulary(spark, sf):
+    vocab = annotate.vocabulary_array(fx.vocabulary(spark))
+    out = sample.candidate_vocabulary(_instance_labels_with_examples(spark, sf), vocab, 10, 859962185)
+    return out.select("table_id", _joined(F.col("candidates")).alias("candidates"))
+
+
+def _usage(spark, sf):
+    return rq.usage_and_cost(fx.requests(spark, sf), fx.models(spark))
+
+
+@query("largest_requests_first")
+def q_largest_requests_first(spark, sf):
+    return rq.largest_requests_first(_usage(spark, sf)).select("request_id", "max_total_usage", "exec_order")
+
+
+@query("cache_retention")
+def q_cache_retention(spark, sf):
+    cache = fx.cache_entries(requests_with_doc(spark, sf))
+    return rq.cache_retention(cache).select("entry_id", "age_rank", "evict")
+
+
+@query("rolling_request_budget")
+def q_rolling_request_budget(spark, sf):
+    return rq.rolling_request_budget(fx.request_log_models(spark, sf), fx.models(spark)).drop("started_at", "model")
+
+
+@query("f1_ranking")
+def q_f1_ranking(spark, sf):
+    return gather.f1_ranking(ev.experiment_report(spark, sf))
+
+
+@query("metric_series")
+def q_metric_series(spark, sf):
+    return gather.metric_series(ev.experiment_report(spark, sf), "idx")
+
+
+# =====================================================================================
+# linearization, templates, requests
+# =====================================================================================
+
+def _sampled(spark, sf):
+    return sample.sample_rows(fx.table_rows(spark, sf), 3, SEED)
+
+
+@query("linearize_csv")
+def q_linearize_csv(spark, sf):
+    return linearize.linearize_csv(_sampled(spark, sf), fx.table_names(spark, sf))
+
+
+@query("linearize_key_value")
+def q_linearize_key_value(spark, sf):
+    return linearize.linearize_key_value(_sampled(spark, sf), fx.table_names(spark, sf))
+
+
+@query("linearize_markdown")
+def q_linearize_markdown(spark, sf):
+    return linearize.linearize_markdown(_sampled(spark, sf), fx.table_names(spark, sf))
+
+
+@query("replace_na")
+def q_replace_na(spark, sf):
+    rows = fx.table_rows(spark, sf)
+    return rows.select("table_id", "row_idx", _joined(linearize.replace_na(F.col("cells"), "-")).alias("cells"))
+
+
+@query("fill_table_template")
+def q_fill_table_template(spark, sf):
+    text = linearize.linearize_csv(_sampled(spark, sf), fx.table_names(spark, sf))
+    names = fx.table_names(spark, sf).select("table_id", "table_name")
+    j = text.join(names, "table_id")
+    return j.select("table_id", linearize.fill_table_template(linearize.DEFAULT_TABLE_TEMPLATE, F.col("table_name"),
+                                                               F.col("table_text")).alias("text"))
+
+
+@query("linearize_list")
+def q_linearize_list(spark, sf):
+    inst = fx.instances(spark, sf)
+    labels = annotate.stringify_unspecified(F.col("true_types"))
+    return inst.select("table_id", linearize.linearize_list_json(labels).alias("json_list"),
+                       linearize.linearize_list_csv(labels).alias("csv_list"))
+
+
+@query("delinearize_list_csv")
+def q_delinearize_list_csv(spark, sf):
+    lists = q_linearize_list(spark, sf)
+    items = parse.delinearize_list_csv(F.regexp_replace("csv_list", ",", ", "), ",", True)
+    return lists.select("table_id", _joined(items).alias("items"), F.size(items).alias("n_items"))
+
+
+def prompts(spark, sf) -> DataFrame:
+    """Per table: linearized table, example messages, vocabulary list -> chat request."""
+    names = fx.table_names(spark, sf)
+    rows = fx.table_rows(spark, sf)
+    inst = fx.instances(spark, sf)
+    table_text = linearize.linearize_csv(sample.sample_rows(rows, 3, SEED), names).join(
+        names.select("table_id", "table_name"), "table_id").select(
+        "table_id", linearize.fill_table_template(linearize.DEFAULT_TABLE_TEMPLATE, F.col("table_name"),
+                                                  F.col("table_text")).alias("table_text"))
+    # examples: labelled columns only, then the same sampling and linearization
+    ex_rows = annotate.drop_unspecified_columns(rows, inst)
+    ex_heads = (names.join(inst.select("table_id", "true_types"), "table_id")
+                     .select("table_id", "table_name",
+                             F.filter("headers", lambda h, i: F.get(F.col("true_types"), i).isNotNull())
+                              .alias("headers"),
+                             F.filter("true_types", lambda x: x.isNotNull()).alias("labels")))
+    ex_text = linearize.linearize_csv(sample.sample_rows(ex_rows, 3, SEED), ex_heads).join(
+        ex_heads, "table_id").select(
+        F.col("table_id").alias("example_id"),
+        linearize.fill_table_template(linearize.DEFAULT_TABLE_TEMPLATE, F.col("table_name"),
+                                      F.col("table_text")).alias("ex_table"),
+        json_list(F.col("labels")).alias("ex_types"))
+    pairs = sample.sample_examples(_indexed(spark, sf), 1, 613907351).join(ex_text, "example_id")
+    examples = pairs.groupBy("table_id").agg(F.flatten(F.transform(
+        F.array_sort(F.collect_list(F.struct("j", "ex_table", "ex_types"))),
+        lambda e: linearize.example_messages(e["ex_table"], e["ex_types"]))).alias("examples"))
+    vocab = json_list(F.col("__vocab"))
+    truth = json_list(annotate.stringify_unspecified(F.col("true_types")))
+    j = (table_text.join(inst.select("table_id", "true_types"), "table_id")
+                   .join(examples, "table_id", "left")
+                   .withColumn("__vocab", annotate.vocabulary_array(fx.vocabulary(spark))))
+    return j.select(
+        F.col("table_id").alias("request_id"),
+        F.lit("gpt-3.5-turbo-1106").alias("model"),
+        (rq.token_count_of(truth) + 100).alias("max_tokens"),
+        F.lit(0.0).alias("temperature"),
+        F.lit(None).cast("bigint").alias("seed"), F.lit(None).cast("bigint").alias("n"),
+        F.lit(None).cast("bigint").alias("best_of"),
+        linearize.prompt_messages(vocab, F.coalesce("examples", F.array().cast(
+            "array<struct<role:string,content:string>>")), F.col("table_text")).alias("messages"))
+
+
+@query("fill_chat_template")
+def q_fill_chat_template(spark, sf):
+    p = prompts(spark, sf)
+    return p.select("request_id", F.posexplode("messages").alias("pos", "m")).select(
+        "request_id", "pos", "m.role", "m.content")
+
+
+@query("unfilled_variables")
+def q_unfilled_variables(spark, sf):
+    p = prompts(spark, sf)
+    return p.select("request_id", F.array_join(linearize.unfilled_variables(F.col("messages")), ",")
+                    .alias("unfilled")).where(F.col("unfilled") != "")
+
+
+@query("assemble_requests")
+def q_assemble_requests(spark, sf):
+    p = prompts(spark, sf)
+    return p.select("request_id", rq.request_json(p).alias("request_json"))
+
+
+@query("max_tokens_for_truth")
+def q_max_tokens_for_truth(spark, sf):
+    return prompts(spark, sf).select("request_id", "max_tokens")
+
+
+@query("estimate_tokens")
+def q_estimate_tokens(spark, sf):
+    r = fx.requests(spark, sf)
+    return r.select("request_id", rq.estimate_tokens(F.col("messages")).alias("input_tokens"))
+
+
+@query("estimate_max_output")
+def q_estimate_max_output(spark, sf):
+    return _usage(spark, sf).select("request_id", "input_tokens", "max_output")
+
+
+@query("estimate_usage_cost")
+def q_estimate_usage_cost(spark, sf):
+    return _usage(spark, sf).select("request_id", "input_usage", "output_usage", "max_total_usage",
+                                    F.round("max_cost", 6).alias("max_cost"))
+
+
+@query("request_checks")
+def q_request_checks(spark, sf):
+    return rq.request_checks(_usage(spark, sf)).select(
+        "request_id", F.array_join("violations", ",").alias("violations"))
+
+
+@query("actual_usage_cost")
+def q_actual_usage_cost(spark, sf):
+    out = rq.actual_usage_cost(fx.responses(spark, sf), fx.models(spark))
+    return out.select("request_id", "usage", F.round("cost", 6).alias("cost"))
+
+
+@query("request_usage_totals")
+def q_request_usage_totals(spark, sf):
+    r = requests_with_doc(spark, sf)
+    looked = annotate.cached_response_lookup(r.select("request_id", "request_hash", "request_json"),
+                                             fx.cache_entries(r))
+    pending = _usage(spark, sf).join(looked.where(~F.col("cached")).select("request_id"), "request_id")
+    n_cached = looked.select(F.count_if("cached")).scalar()
+    executed = rq.actual_usage_cost(fx.responses(spark, sf), fx.models(spark))
+    out = rq.request_usage_totals(pending, executed, n_cached, force=1e-9)
+    return out.select(F.round("max_cost_pending", 6).alias("max_cost_pending"), "n_pending",
+                      F.round("actual_cost", 6).alias("actual_cost"), "n_failed", "actual_usage", "n_cached",
+                      "needs_confirmation")
+
+
+@query("densify_sparse_cells")
+def q_densify_sparse_cells(spark, sf):
+    from colsense.sources import corpus
+    return corpus.densify_sparse_cells(fx.sparse_cells(fx.table_rows(spark, sf)))
+
+
+# =====================================================================================
+# gather
+# =====================================================================================
+
+@query("round_score")
+def q_round_score(spark, sf):
+    w = gather.weighted_f1(ev.experiment_report(spark, sf))
+    return w.select("dataset", "exp_name", gather.round_score(F.col("wf1")).alias("wf1"))
+
+
+@query("main_results_pivot")
+def q_main_results_pivot(spark, sf):
+    return gather.main_results_pivot(ev.experiment_report(spark, sf), fx.DATASETS)
+
+
+@query("data_type_pivot")
+def q_data_type_pivot(spark, sf):
+    return gather.data_type_pivot(ev.experiment_report(spark, sf), fx.DATASETS)
+
+
+@query("f1_by_num_columns")
+def q_f1_by_num_columns(spark, sf):
+    return gather.metric_series(ev.experiment_report(spark, sf), "num_columns")
+
+
+@query("f1_by_sparsity")
+def q_f1_by_sparsity(spark, sf):
+    return gather.metric_series(ev.experiment_report(spark, sf), "sparsity")

@@ -33,7 +33,14 @@ def fixture_evaluated(spark: SparkSession, sf_dir: str) -> DataFrame:
     inst = fx.instances(spark, sf_dir)
     preds = parse.parse_predictions(fx.responses(spark, sf_dir))
     sp = profile.table_sparsity(fx.table_rows(spark, sf_dir))
-    return evaluated_tables(inst, preds, sp)
+    return evaluated_tables(inst, preds, sp).select("*", *fx.experiment_columns(F.col("table_id")))
+
+
+def experiment_report(spark: SparkSession, sf_dir: str, cap: int = ADJUST_UP_TO) -> DataFrame:
+    """Reports of every (dataset, experiment), all slices, both modes."""
+    keys = ["dataset", "exp_name"]
+    pairs = report.both_modes(fixture_evaluated(spark, sf_dir), cap, keep=keys)
+    return report.classification_report(pairs, fx.vocabulary(spark), slices=True, group_cols=keys)
 
 
 def fixture_pairs(spark: SparkSession, sf_dir: str, cap: int = ADJUST_UP_TO) -> DataFrame:

@@ -198,6 +198,15 @@ def request_log(spark: SparkSession, sf_dir: str) -> DataFrame:
         (e % 500).alias("tokens"))
 
 
+def request_log_models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log with real model names (by user) so per-model limits apply."""
+    ev = read(spark, sf_dir, "events")
+    return request_log(spark, sf_dir).join(
+        ev.select(F.col("event_id").alias("request_id"),
+                  F.when(F.col("user_id") % 2 == 0, F.lit(MODELS[0][0])).otherwise(F.lit(MODELS[1][0]))
+                   .alias("m")), "request_id").drop("model").withColumnRenamed("m", "model")
+
+
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(file_name)`` per page url."""
     return read(spark, sf_dir, "pages").select(F.col("url").alias("file_name"))
@@ -205,3 +214,108 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def file_keys(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(k,) for k in FILE_KEYS], "file_key string")
+
+
+# --- experiments, names, headers ----------------------------------------------------------
+
+DATASETS = ["corpus_0", "corpus_1", "corpus_2"]
+
+
+def experiment_columns(o: Column) -> list[Column]:
+    """``dataset`` and ``exp_name`` assigned to each table (3 corpora x 4 experiments)."""
+    model = F.when(o % 2 == 0, F.lit(MODELS[0][0])).otherwise(F.lit(MODELS[1][0]))
+    flag = F.when(o % 4 < 2, F.lit("-with-headers")).otherwise(F.lit("-without-headers"))
+    return [F.concat(F.lit("corpus_"), (o % 3).cast("string")).alias("dataset"),
+            F.concat(model, flag).alias("exp_name")]
+
+
+def table_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(table_id, table_name, headers)``; every 17th table has an empty name."""
+    t = tables(spark, sf_dir)
+    o = F.col("table_id")
+    return t.select("table_id",
+                    F.when(o % 17 == 0, F.lit("")).otherwise(F.concat(F.lit("orders_"), o.cast("string")))
+                     .alias("table_name"),
+                    F.transform(F.sequence(F.lit(0), F.col("n_cols") - 1),
+                                lambda k: F.concat(F.lit("c"), k.cast("string"))).alias("headers"))
+
+
+# --- request cache -------------------------------------------------------------------------
+
+def cache_entries(requests_with_doc: DataFrame) -> DataFrame:
+    """``(entry_id, cached_at, request_hash, request_json, response_json)``.
+
+    Entries for every third request; a later duplicate for every sixth; an
+    earlier entry holding a different request under the same hash for every
+    ninth (so that lookup must miss).
+    """
+    c = F.col("request_id")
+    base_ts = F.timestamp_add("MINUTE", c, F.lit("2024-01-01 00:00:00").cast("timestamp"))
+    resp = F.concat(F.lit('{"choices": [{"message": {"content": "cached"}, "finish_reason": "stop"}], '
+                          '"usage": {"total_tokens": '), c.cast("string"), F.lit("}}"))
+    r = requests_with_doc.where(c % 3 == 0)
+    main = r.select((c * 10).alias("entry_id"), base_ts.alias("cached_at"), "request_hash",
+                    F.col("request_json"), resp.alias("response_json"))
+    dup = r.where(c % 6 == 0).select((c * 10 + 1).alias("entry_id"),
+                                     F.timestamp_add("HOUR", F.lit(1), base_ts).alias("cached_at"),
+                                     "request_hash", "request_json", resp.alias("response_json"))
+    other = r.where(c % 9 == 0).select((c * 10 + 2).alias("entry_id"),
+                                       F.timestamp_add("HOUR", F.lit(-1), base_ts).alias("cached_at"),
+                                       "request_hash", F.concat("request_json", F.lit(" ")).alias("request_json"),
+                                       resp.alias("response_json"))
+    return main.unionByName(dup).unionByName(other)
+
+
+# --- metadata document ---------------------------------------------------------------------
+
+def metadata_document(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One JSON document ``key -> {textual_cols: {header: type}, numerical_cols: {...}}``
+    built from the labelled columns; plus a malformed scalar entry and a header
+    listed under both kinds for one key."""
+    cols = columns(spark, sf_dir).where(F.col("column_type").isNotNull()) \
+        .select("header", "column_type", "data_type").distinct()
+    kinds = (cols.select("header", "column_type",
+                         F.when(F.col("data_type") == "numerical", F.lit("numerical_cols"))
+                          .otherwise(F.lit("textual_cols")).alias("kind")))
+    extra = spark.createDataFrame([("/fr/", "numerical_cols", "c1", "quantity")],
+                                  "file_key string, kind string, header string, column_type string")
+    entries = (kinds.select(F.explode(F.array(*[F.lit(k) for k in FILE_KEYS])).alias("file_key"),
+                            "kind", "header", "column_type")
+                    .unionByName(extra))
+    inner = entries.groupBy("file_key", "kind").agg(
+        F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct("header", "column_type")))))
+        .alias("m"))
+    per_key = inner.groupBy("file_key").agg(F.array_join(F.array_sort(F.collect_list(
+        F.concat(F.lit('"'), F.col("kind"), F.lit('": '), F.col("m")))), ", ").alias("v"))
+    docs = per_key.select(F.concat(F.lit('"'), F.col("file_key"), F.lit('": {'), F.col("v"), F.lit("}"))
+                          .alias("e"))
+    return (docs.agg(F.array_sort(F.collect_list("e")).alias("es"))
+                .select(F.concat(F.lit("{"), F.array_join("es", ", "), F.lit(', "malformed": 42}'))
+                         .alias("document")))
+
+
+# --- copies for content matching and sparse cells ------------------------------------------
+
+def table_copies(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(targets, sources) in row-array form with ``copy_id`` and ``path``.
+
+    Targets: even tables, one cell changed in every 14th; sources: all tables
+    under ``a/``, and every 10th once more under ``b/`` (the first path wins).
+    """
+    o = F.col("table_id")
+    changed = F.when((o % 14 == 0) & (F.col("row_idx") == 0),
+                     F.concat(F.array(F.lit("changed")), F.slice("cells", 2, 1 << 30))).otherwise(F.col("cells"))
+    targets = rows.where(o % 2 == 0).select(o.alias("copy_id"), "row_idx", changed.alias("cells"),
+                                            F.lit(None).cast("string").alias("path"))
+    src_a = rows.select(o.alias("copy_id"), "row_idx", "cells",
+                        F.concat(F.lit("a/"), o.cast("string"), F.lit(".csv")).alias("path"))
+    src_b = rows.where(o % 10 == 0).select(o.alias("copy_id"), "row_idx", "cells",
+                                           F.concat(F.lit("b/"), o.cast("string"), F.lit(".csv")).alias("path"))
+    return targets, src_a.unionByName(src_b)
+
+
+def sparse_cells(rows: DataFrame) -> DataFrame:
+    """``(table_id, col_idx, row_idx, text)`` for present cells only."""
+    return (rows.select("table_id", "row_idx", F.posexplode("cells").alias("col_idx", "text"))
+                .where(F.col("text").isNotNull())
+                .select("table_id", F.col("col_idx").cast("int"), "row_idx", "text"))
