@@ -170,9 +170,9 @@ def table_fingerprints(rows: DataFrame, col_types: DataFrame) -> DataFrame:
     are different).
     """
     def cell(x):
-        return F.when(x.isNull(), F.lit("\u0000")).otherwise(F.concat(F.length(x).cast("string"), F.lit(":"), x))
-    row_h = F.sha2(F.concat_ws("\u0001", F.col("row_idx").cast("string"),
-                               F.array_join(F.transform("cells", cell), "\u0002")), 256)
+        return F.when(x.isNull(), F.lit("∅")).otherwise(F.concat(F.length(x).cast("string"), F.lit(":"), x))
+    row_h = F.sha2(F.concat_ws("|", F.col("row_idx").cast("string"),
+                               F.array_join(F.transform("cells", cell), ";")), 256)
     part = F.conv(F.substring(row_h, 1, 15), 16, 10).cast("decimal(38,0)")
     per_table = rows.groupBy("table_id").agg(
         F.count(F.lit(1)).alias("n_rows"), F.max(F.size("cells")).alias("n_cols"),

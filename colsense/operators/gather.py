@@ -51,7 +51,7 @@ def data_type_pivot(report: DataFrame, datasets: list[str]) -> DataFrame:
 def metric_series(report: DataFrame, slice_: str) -> DataFrame:
     """Weighted F1 per numeric slice value as an x-sorted series: ``pos`` is the
     rank of ``x`` inside each (dataset, experiment) series (small groups)."""
-    w = weighted_f1(report, slice_).select("dataset", "exp_name", F.col("slice_value").cast("double").alias("x"),
+    w = weighted_f1(report, slice_).select("dataset", "exp_name", F.col("slice_value").try_cast("double").alias("x"),
                                           "wf1")
     return w.withColumn("pos", F.row_number().over(Window.partitionBy("dataset", "exp_name").orderBy("x")))
 

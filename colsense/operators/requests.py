@@ -157,7 +157,7 @@ def rolling_request_budget(log: DataFrame, models: DataFrame, window_s: float =
         F.timestamp_add("MICROSECOND", F.lit(int(window_s * 1_000_000)), F.col("finished_at")).alias("t"),
         F.lit(-1).alias("dn"), (-F.col("tokens")).alias("dt"))
     allev = ev.unionByName(ends)
-    order = [F.col("t"), F.col("kind"), F.col("request_id")]
+    order = [F.unix_micros(F.col("t").cast("timestamp")), F.col("kind"), F.col("request_id")]
     counted = running_sum(allev, order, F.col("dn").cast("bigint"), "n_relevant")
     counted = running_sum(counted, order, F.col("dt").cast("bigint"), "tokens_relevant")
     starts = counted.where(F.col("kind") == 1)

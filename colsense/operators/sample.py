@@ -4,8 +4,8 @@ Random orders are ``md5(seed || key)`` orders, reproducible in any engine.
 Nothing ranks a whole corpus in one task:
 
 * ``dense_index`` gives a contiguous 0..n-1 index in a global order by
-  range-partitioning, numbering inside each partition and adding the
-  partition offsets (a table with one row per partition);
+  numbering inside deterministic range buckets (quantile boundaries of the
+  leading key) and adding the bucket offsets (one row per bucket);
 * ``top_k_per_group`` first keeps the top k of salted sub-groups, then of
   the (at most k x salts) survivors per group, so a hot group never sorts in
   one task;
@@ -28,38 +28,53 @@ def hash_key(seed: int | str, *parts: Column | str) -> Column:
     return F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint")
 
 
-def dense_index(df: DataFrame, order: list[Column], out: str = "ix", partitions: int | None = None) -> DataFrame:
-    """Add ``out`` = 0-based position of each row in ``order`` (a total order)."""
-    n = partitions or df.sparkSession.sparkContext.defaultParallelism
-    keyed = df.withColumn("__k", F.struct(*order))
-    ranged = keyed.repartitionByRange(n, "__k").withColumn("__p", F.spark_partition_id())
-    local = ranged.withColumn("__r", F.row_number().over(Window.partitionBy("__p").orderBy("__k")) - 1)
-    sizes = local.groupBy("__p").agg(F.count(F.lit(1)).alias("__c"))
-    offsets = sizes.withColumn(
-        "__off", F.coalesce(F.sum("__c").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)),
-                            F.lit(0)))
-    # one row per partition: a proven small side
-    return (local.join(F.broadcast(offsets.select("__p", "__off")), "__p")
+def _bucket_of(df: DataFrame, lead: Column, buckets: int | None) -> Column:
+    """A deterministic range bucket of a numeric leading order key.
+
+    Boundaries are approximate quantiles (``buckets - 1`` numbers fetched
+    once); ``bucket(x) = #{b : x > b}`` is monotone in ``x``, so every row of a
+    bucket precedes every row of a later bucket in the full order.
+    """
+    n = buckets or max(4 * df.sparkSession.sparkContext.defaultParallelism, 2)
+    probs = [i / n for i in range(1, n)]
+    bounds = df.select(F.percentile_approx(lead.cast("double"), probs, 10_000)).first()[0] or []
+    bounds = sorted(set(b for b in bounds if b is not None))
+    if not bounds:
+        return F.lit(0)
+    x = lead.cast("double")
+    return sum((F.when(x > F.lit(b), 1).otherwise(0) for b in bounds), F.lit(0))
+
+
+def _offsets(sizes: DataFrame) -> DataFrame:
+    # one row per bucket (a bounded, proven-small table); a global window over it is cheap
+    return sizes.withColumn(
+        "__off", F.coalesce(F.sum("__c").over(Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)),
+                            F.lit(0))).select("__b", "__off")
+
+
+def dense_index(df: DataFrame, order: list[Column], out: str = "ix", buckets: int | None = None) -> DataFrame:
+    """Add ``out`` = 0-based position of each row in ``order`` (a total order
+    whose first key is numeric): rank inside range buckets plus bucket offsets."""
+    keyed = df.withColumn("__b", _bucket_of(df, order[0], buckets)).withColumn("__k", F.struct(*order))
+    local = keyed.withColumn("__r", F.row_number().over(Window.partitionBy("__b").orderBy("__k")) - 1)
+    sizes = keyed.groupBy("__b").agg(F.count(F.lit(1)).alias("__c"))
+    return (local.join(F.broadcast(_offsets(sizes)), "__b")
                  .withColumn(out, (F.col("__off") + F.col("__r")).cast("bigint"))
-                 .drop("__k", "__p", "__r", "__off"))
+                 .drop("__k", "__b", "__r", "__off"))
 
 
 def running_sum(df: DataFrame, order: list[Column], value: Column, out: str,
-                inclusive: bool = False, partitions: int | None = None) -> DataFrame:
+                inclusive: bool = False, buckets: int | None = None) -> DataFrame:
     """Add ``out`` = sum of ``value`` over all rows before (or up to) each row in ``order``."""
-    n = partitions or df.sparkSession.sparkContext.defaultParallelism
-    keyed = df.withColumn("__k", F.struct(*order)).withColumn("__v", value)
-    ranged = keyed.repartitionByRange(n, "__k").withColumn("__p", F.spark_partition_id())
-    frame = Window.partitionBy("__p").orderBy("__k").rowsBetween(
+    keyed = (df.withColumn("__b", _bucket_of(df, order[0], buckets))
+               .withColumn("__k", F.struct(*order)).withColumn("__v", value))
+    frame = Window.partitionBy("__b").orderBy("__k").rowsBetween(
         Window.unboundedPreceding, 0 if inclusive else -1)
-    local = ranged.withColumn("__r", F.coalesce(F.sum("__v").over(frame), F.lit(0)))
-    sizes = local.groupBy("__p").agg(F.sum("__v").alias("__c"))
-    offsets = sizes.withColumn(
-        "__off", F.coalesce(F.sum("__c").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)),
-                            F.lit(0)))
-    return (local.join(F.broadcast(offsets.select("__p", "__off")), "__p")
+    local = keyed.withColumn("__r", F.coalesce(F.sum("__v").over(frame), F.lit(0)))
+    sizes = keyed.groupBy("__b").agg(F.sum("__v").alias("__c"))
+    return (local.join(F.broadcast(_offsets(sizes)), "__b")
                  .withColumn(out, F.col("__off") + F.col("__r"))
-                 .drop("__k", "__v", "__p", "__r", "__off"))
+                 .drop("__k", "__v", "__b", "__r", "__off"))
 
 
 def top_k_per_group(df: DataFrame, group: list[str], order: list[Column], k: int,
