@@ -14,9 +14,15 @@ from colsense.constants import TOKEN_PATTERN
 _NON_PRINTABLE = r"[^\x20-\x7e]"
 
 
+# FIXED VALUES: the characters ``str.strip()`` removes (``str.isspace()``), in code-point order
+PY_WHITESPACE = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
+                 "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+                 "\u2028\u2029\u202f\u205f\u3000")
+
+
 def strip_ws(c: Column) -> Column:
-    """Remove leading and trailing (Unicode) whitespace, like ``str.strip()``."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    """Remove leading and trailing whitespace exactly like ``str.strip()``."""
+    return F.btrim(c, F.lit(PY_WHITESPACE))
 
 
 def csv_field(c: Column, sep: str = ",", na: str = "") -> Column:

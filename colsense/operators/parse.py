@@ -9,6 +9,10 @@ from colsense.constants import DELINEARIZATION_FAILED, FAILED_API_REQUEST
 from colsense.functions.text import strict_json_array, strip_ws, with_strict_json_array
 
 
+# only the fields evaluation reads; one parse of the body instead of one per path
+_RESPONSE_SCHEMA = "choices array<struct<message: struct<content: string>, finish_reason: string>>"
+
+
 def is_failed(body: Column) -> Column:
     """A response without ``choices`` is a failed request."""
     return F.get_json_object(body, "$.choices").isNull()
@@ -43,10 +47,11 @@ def parse_predictions(responses: DataFrame, key: str = "request_id", body: str =
     ``parsed`` is null when the request failed or the text could not be read;
     ``pred_types`` then falls back to the empty list.
     """
-    b = F.col(body)
+    doc = F.from_json(F.col(body), _RESPONSE_SCHEMA)
+    first = F.get(doc["choices"], 0)
     staged = responses.select(
-        F.col(key), is_failed(b).alias("failed"), finish_reason(b).alias("finish_reason"),
-        extract_response_text(b).alias("text"))
+        F.col(key), doc["choices"].isNull().alias("failed"), first["finish_reason"].alias("finish_reason"),
+        first["message"]["content"].alias("text"))
     if mode == "json_list":
         staged = with_strict_json_array(staged, "text", "parsed", strip)
     else:

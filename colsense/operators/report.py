@@ -16,6 +16,7 @@ from colsense.constants import ADJUST_UP_TO, MISSING
 from colsense.functions.numeric import decimal_text
 from colsense.operators.align import align, with_gaps, with_pairs
 from colsense.operators.annotate import vocabulary_array
+from colsense.session import cut_lineage
 
 SLICES = ("idx", "data_type", "sparsity", "num_columns")
 ALL = "all"
@@ -161,7 +162,10 @@ def classification_report(pairs: DataFrame, vocabulary: DataFrame, slices: bool
     averages, which still divide by the vocabulary size.
     """
     g = list(group_cols or [])
-    counts = label_counts(pairs, slices, g)
+    # the counts are tiny (labels x slice values); materialising them once in the
+    # shared checkpoint folder keeps the three report branches from re-running
+    # parsing and alignment, and cuts the lineage for executor-loss recovery
+    counts = cut_lineage(label_counts(pairs, slices, g))
     labels = per_label_rows(counts, vocabulary, g)
     avgs = average_rows(counts, labels, vocabulary, g)
     out = labels.select("mode", *g, "slice", "slice_value", "label", "precision", "recall", "f1", "support") \

@@ -718,3 +718,108 @@ def q_f1_by_num_columns(spark, sf):
 @query("f1_by_sparsity")
 def q_f1_by_sparsity(spark, sf):
     return gather.metric_series(ev.experiment_report(spark, sf), "sparsity")
+
+
+# =====================================================================================
+# file sources and sinks (rows-only checks): a derived corpus is written to the
+# shared checkpoint folder and read back through the scanners
+# =====================================================================================
+
+from colsense.sources import corpus as src, sinks  # noqa: E402
+
+
+def _monthly_lineitem(spark, sf):
+    li = fx.read(spark, sf, "lineitem")
+    return li.select(F.date_format("l_shipdate", "yyyy-MM").alias("month"),
+                     F.col("l_orderkey").alias("orderkey"), F.col("l_partkey").alias("partkey"),
+                     F.col("l_quantity").alias("quantity"), F.col("l_returnflag").alias("returnflag"),
+                     F.date_format("l_shipdate", "yyyy-MM-dd").alias("shipdate"))
+
+
+@query("scan_csv_corpus")
+def q_scan_csv_corpus(spark, sf):
+    """One CSV table per ship month; per-file shape and sparsity from the scan."""
+    path = sinks.scratch_path(spark, "csv-corpus")
+    (_monthly_lineitem(spark, sf).repartition("month").write.mode("overwrite")
+        .partitionBy("month").option("header", True).csv(path))
+    rows = src.scan_csv_corpus(spark, path, "*.csv")
+    return rows.groupBy("path").agg(
+        F.count_if(F.col("row_idx") >= 0).alias("n_rows"), F.max(F.size("headers")).alias("n_cols"),
+        F.bool_or("parse_error").alias("parse_error"),
+        F.sum(F.size(F.filter("cells", lambda x: x.isNull()))).alias("n_null"))
+
+
+@query("scan_jsonl_gz_corpus")
+def q_scan_jsonl_gz_corpus(spark, sf):
+    path = sinks.scratch_path(spark, "jsonl-corpus")
+    (_monthly_lineitem(spark, sf).repartition("month").write.mode("overwrite").partitionBy("month")
+        .option("compression", "gzip").json(path))
+    rows = src.scan_jsonl_gz_corpus(spark, path, "orderkey bigint, partkey bigint, quantity double, "
+                                                 "returnflag string, shipdate string, missing string")
+    return rows.groupBy("path").agg(F.count(F.lit(1)).alias("n_rows"),
+                                    F.count("missing").alias("n_missing_key"))
+
+
+@query("scan_sparse_cell_json")
+def q_scan_sparse_cell_json(spark, sf):
+    """Positional records per table (headers at 5, cells per column at 6,
+    annotations at 7), written as JSON lines and read back to long cells."""
+    rows = fx.table_rows(spark, sf)
+    cells = fx.sparse_cells(rows)
+    per_col = (cells.groupBy("table_id", "col_idx").agg(F.array_join(F.sort_array(F.collect_list(F.struct(
+        "row_idx", F.concat(F.lit("[["), F.col("row_idx").cast("string"), F.lit(", "),
+                            F.col("col_idx").cast("string"), F.lit("], [\"\", "), json_list(F.array("text")).substr(
+                                F.lit(2), F.length(json_list(F.array("text"))) - 2), F.lit("]]")).alias("j")))
+    ).getField("j"), ", ").alias("cj")))
+    names = fx.table_names(spark, sf)
+    inst = fx.instances(spark, sf)
+    recs = (per_col.groupBy("table_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(
+                "col_idx", "cj"))), lambda e: F.concat(F.lit("["), e["cj"], F.lit("]"))), ", ").alias("cells"))
+            .join(names, "table_id").join(inst, "table_id")
+            .select(F.concat(F.lit('["'), F.col("table_id").cast("string"), F.lit('", "", "", "", "", '),
+                             json_list(F.col("headers")), F.lit(", ["), F.col("cells"), F.lit("], ["),
+                             F.array_join(F.transform("true_types", lambda t: json_list(F.array(
+                                 F.coalesce(t, F.lit("unspecified"))))), ", "), F.lit("]]")).alias("value")))
+    path = sinks.scratch_path(spark, "sparse-cells")
+    recs.write.mode("overwrite").text(path)
+    return src.scan_sparse_cell_json(spark, path)
+
+
+@query("scan_label_tables")
+def q_scan_label_tables(spark, sf):
+    path = sinks.scratch_path(spark, "labels")
+    fx.ground_truth(spark, sf).write.mode("overwrite").option("header", True).csv(path)
+    return src.scan_label_tables(spark, path)
+
+
+@query("scan_json_text")
+def q_scan_json_text(spark, sf):
+    """Per-table label documents, one small JSON file per corpus partition."""
+    inst = fx.instances(spark, sf).select(
+        F.concat(F.lit('{"table_id": '), F.col("table_id").cast("string"), F.lit(', "column_types": '),
+                 json_list(annotate.stringify_unspecified(F.col("true_types"))), F.lit("}")).alias("value"))
+    path = sinks.scratch_path(spark, "json-docs")
+    inst.write.mode("overwrite").text(path)
+    docs = spark.read.text(path).select(F.from_json("value", "table_id bigint, column_types array<string>")
+                                        .alias("doc"))
+    return docs.select("doc.table_id", F.size("doc.column_types").alias("n_types"))
+
+
+@query("sink_results")
+def q_sink_results(spark, sf):
+    path = sinks.scratch_path(spark, "results")
+    sinks.sink_results(ev.experiment_report(spark, sf), path, ["dataset", "exp_name"])
+    back = spark.read.parquet(path)
+    return back.groupBy("dataset", "exp_name").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
+@query("overwrite_stage_output")
+def q_overwrite_stage_output(spark, sf):
+    """Write every experiment, then rewrite one dataset's partitions only."""
+    path = sinks.scratch_path(spark, "stage")
+    rep = ev.experiment_report(spark, sf).where(F.col("slice") == "all")
+    sinks.sink_results(rep, path, ["dataset", "exp_name"])
+    redo = rep.where((F.col("dataset") == "corpus_0") & (F.col("mode") == "adjusted"))
+    sinks.overwrite_stage_output(redo, path, ["dataset", "exp_name"])
+    back = spark.read.parquet(path)
+    return back.groupBy("dataset", "mode").agg(F.count(F.lit(1)).alias("n_rows"))
