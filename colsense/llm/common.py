@@ -31,6 +31,28 @@ def stage(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Bits of a membership filter: 2 MB, whatever the input.
+FILTER_BITS = 24
+
+
+def key_filter(keys: DataFrame, col: str) -> np.ndarray:
+    """Bitmap of the low bits of a long column; of fixed size, made by a
+    map-side combined aggregation.  It lets a scan skip most rows that a later
+    exact join would drop; with very many keys it merely skips less."""
+    at = F.expr(f"{col} & {(1 << FILTER_BITS) - 1}")
+    words = (keys.select((at / 64).cast("int").alias("w"), F.expr(f"shiftleft(1L, cast({col} & 63 as int))").alias("v"))
+             .groupBy("w").agg(F.bit_or("v").alias("v")))
+    out = np.zeros(1 << (FILTER_BITS - 6), np.int64)
+    for b in words.toArrow().to_batches():
+        out[b.column(0).to_numpy()] = b.column(1).to_numpy()
+    return out
+
+
+def in_filter(bits: np.ndarray, key: int) -> bool:
+    at = key & ((1 << FILTER_BITS) - 1)
+    return bool(int(bits[at >> 6]) >> (at & 63) & 1)
+
+
 def crc_mod(id_col: str, m: int):
     """crc32 of the id as text, modulo m (a null id counts as empty text)."""
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % m

@@ -31,13 +31,12 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage, table, texts_of
+from .common import in_filter, key_filter, stage, table, texts_of
 
 LEADING = 3
 MIN_DOCS = 3
@@ -45,9 +44,6 @@ FIXED_SHARE = 0.7
 COPY_SHARE = 0.5
 MIN_TOKENS = 3
 VARIABLE = b"<*>"
-#: Bits of the filter of leaves that recur (2 MB, whatever the input).
-FILTER_BITS = 24
-
 _digits = re.compile(rb"[^\s]*[0-9][^\s]*")
 
 
@@ -88,20 +84,8 @@ def _line_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                           "line": pa.array(line, pa.int64()), "words": pa.array(words, pa.int32())})
 
 
-def _leaf_filter(leaves: DataFrame) -> np.ndarray:
-    """Bitmap of the leaves' low bits, or-ed in two steps; its size is fixed."""
-    bits = leaves.select(F.expr(f"leaf & {(1 << FILTER_BITS) - 1}").alias("bit"))
-    words = (bits.select((F.col("bit") / 64).cast("int").alias("w"), F.expr("shiftleft(1L, cast(bit % 64 as int))").alias("v"))
-             .groupBy("w").agg(F.bit_or("v").alias("v")))
-    out = np.zeros(1 << (FILTER_BITS - 6), np.int64)
-    for b in words.toArrow().to_batches():
-        out[b.column(0).to_numpy()] = b.column(1).to_numpy()
-    return out
-
-
 def _token_rows(known):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mask = (1 << FILTER_BITS) - 1
         bits = known.value
         for b in batches:
             found: dict[tuple[int, int], list] = {}
@@ -109,8 +93,7 @@ def _token_rows(known):
                 seen = set()
                 for _, tokens in line_tokens(t):
                     leaf = leaf_of(tokens)
-                    bit = leaf & mask
-                    if int(bits[bit >> 6]) >> (bit & 63) & 1:
+                    if in_filter(bits, leaf):
                         key = leaf, _i64(xxhash.xxh3_64_intdigest(b" ".join(tokens)))
                         if key not in seen:
                             seen.add(key)
@@ -130,7 +113,7 @@ def recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     src = _keyed(docs, id_col, text_col).select("_ld_row", F.col(text_col).cast("string").alias("text"))
     lines = stage(src.mapInArrow(_line_rows, "row long, no int, leaf long, line long, words int"))
     leaves = stage(lines.select("leaf", "row").distinct().groupBy("leaf").agg(F.count("*").alias("docs")).where(F.col("docs") >= min_docs).select("leaf"))
-    known = spark.sparkContext.broadcast(_leaf_filter(leaves))
+    known = spark.sparkContext.broadcast(key_filter(leaves, "leaf"))
     kinds = (src.select("text").mapInArrow(_token_rows(known), "leaf long, line long, n long, tokens array<long>")
              .groupBy("leaf", "line").agg(F.sum("n").alias("n"), F.first("tokens").alias("tokens"))
              .join(leaves, "leaf", "left_semi"))

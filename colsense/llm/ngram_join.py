@@ -13,8 +13,8 @@ between different sets is lost, and no group's pairs are all written out:
    bitmap: one parity bit per hashed shingle, so the number of bits in which two
    bitmaps differ never exceeds the sets' symmetric difference, which bounds
    their overlap from above.
-3. Star step: in each prefix group every set is paired with the group's smallest
-   set id.  Pairs that pass the size and bitmap bounds are verified exactly, and
+3. Star step: in each prefix group every set is paired with the group's pivot, the
+   set with most shared prefix shingles.  Pairs that pass the size and bitmap bounds are verified exactly, and
    their links are contracted to components.
 4. Tile step: groups in which sets other than the pivot still belong to several
    components are cut into tiles of at most TILE sets; pairs of tiles are
@@ -42,8 +42,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import (BLANKS, U64, column_words, connected_components, distinct, map_groups, shingles, stage, table,
-                     text_hashes)
+from .common import (BLANKS, U64, column_words, connected_components, distinct, in_filter, key_filter, map_groups, shingles,
+                     stage, table, text_hashes)
 
 SHINGLE = 5
 NUM, DEN = 80, 100
@@ -164,13 +164,15 @@ def _verify(docs: DataFrame, pairs: DataFrame, num: int, den: int) -> DataFrame:
     hubs = cut.select("hub", "chunk").distinct()
     wanted = cut.select("hub", "chunk", "sid").unionByName(hubs.withColumn("sid", F.col("hub")))
 
+    known = docs.sparkSession.sparkContext.broadcast(key_filter(wanted, "sid"))
+
     def texts(batches):
         seen: set[int] = set()
         for b in batches:
             sid, at = [], []
             for row, w in enumerate(column_words(b, 0, BLANKS)):
                 s = shingle_set(w)
-                if len(s) and (i := set_id(s)) not in seen:
+                if len(s) and (i := set_id(s)) not in seen and in_filter(known.value, i):
                     seen.add(i)
                     sid.append(i)
                     at.append(row)
@@ -178,7 +180,7 @@ def _verify(docs: DataFrame, pairs: DataFrame, num: int, den: int) -> DataFrame:
                                              names=["sid", "text"])
 
     source = docs.select(F.col("text")).mapInArrow(texts, "sid long, text binary")
-    rows = source.join(wanted, "sid").select("hub", "chunk", "sid", "text")
+    rows = source.join(wanted.hint("merge"), "sid").select("hub", "chunk", "sid", "text")
 
     def links(g):
         hub = int(g["hub"][0])
@@ -239,9 +241,13 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     sets = stage(src.select("text").mapInArrow(_prefixes(load, num, den), "sid long, n int, bitmap binary, prefix array<long>"))
 
     posted = sets.select(F.explode("prefix").alias("key"), "sid", "n")
-    groups = (posted.groupBy("key").agg(F.min("sid").alias("hub"), F.max("sid").alias("last"))
-              .where("hub < last").select("key", "hub"))
-    members = stage(posted.join(groups, "key").select("key", "hub", "sid", "n").distinct())
+    shared = posted.groupBy("key").agg(F.min("sid").alias("lo"), F.max("sid").alias("hi")).where("lo < hi").select("key")
+    members = stage(posted.join(shared, "key").distinct())
+    # a group's pivot is its set with most shared prefix shingles: the original of edited copies, whose own edits fill their prefixes
+    degree = members.groupBy("sid").agg(F.count("*").alias("degree"))
+    ranked = members.join(degree, "sid")
+    hubs = ranked.groupBy("key").agg(F.max(F.struct("degree", "sid"))["sid"].alias("hub"))
+    members = stage(members.join(hubs, "key"))
     sig = sets.groupBy("sid").agg(F.first("n").alias("n"), F.first("bitmap").alias("bitmap"))
     sig = stage(sig.join(members.select("sid").distinct(), "sid", "left_semi"))
 
