@@ -182,14 +182,14 @@ def texts_of(batch: pa.RecordBatch, i: int) -> list[bytes | None]:
 
 
 def map_groups(df: DataFrame, keys: list[str], fn: Callable, schema: str, parts: int | None = None,
-               order: list[str] | None = None) -> DataFrame:
+               together: bool = False) -> DataFrame:
     """Rows dealt by keys and sorted; fn gets the columns of one group after
     another as a dict of numpy arrays and yields dicts of columns.  Cheaper than
     applyInPandas when there are very many small groups.  The caller bounds the
-    size of a group."""
+    size of a group.  together: fn gets all whole groups of a batch at once."""
     spark = df.sparkSession
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = df.repartition(parts, *keys).sortWithinPartitions(*keys, *(order or []))
+    dealt = df.repartition(parts, *keys).sortWithinPartitions(*keys)
     names = df.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -208,8 +208,12 @@ def map_groups(df: DataFrame, keys: list[str], fn: Callable, schema: str, parts:
             at = np.append(np.flatnonzero(change), t.num_rows)
             end = len(at) - 1 if last else len(at) - 2
             arrays = {n: c.to_numpy(zero_copy_only=False) for n, c in cols.items()}
-            for i in range(end):
-                yield {n: a[at[i] : at[i + 1]] for n, a in arrays.items()}
+            if together:
+                if end:
+                    yield {n: a[: at[end]] for n, a in arrays.items()}
+            else:
+                for i in range(end):
+                    yield {n: a[at[i] : at[i + 1]] for n, a in arrays.items()}
             held[:] = [] if last else [t.slice(at[end])]
 
         def emit(found):
