@@ -122,8 +122,8 @@ def fit(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabell
     return {"mean": mean, "dev": dev, "w": w, "prior": prior}
 
 
-def score(docs: DataFrame, model: dict, keep: list[str]) -> DataFrame:
-    """keep columns, score and predicted; docs has them and `text`."""
+def score(docs: DataFrame, model: dict, keep: list[str], names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
+    """keep columns, score and predicted (under these names); docs has them and `text`."""
     known = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -135,11 +135,11 @@ def score(docs: DataFrame, model: dict, keep: list[str]) -> DataFrame:
             else:
                 s = np.full(b.num_rows, 0.5)
             yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(s), pa.array((s >= 0.5).astype(np.int32))],
-                                             names=[*keep, "score", "predicted"])
+                                             names=[*keep, *names])
 
-    src = docs.select(*keep, F.col("text").cast("string").alias("text"))
+    src = docs.select(*keep, F.col("text").cast("string").alias("_q_text"))
     types = {f.name: f.dataType.simpleString() for f in src.schema}
-    return src.mapInArrow(run, ", ".join([*(f"`{k}` {types[k]}" for k in keep), "score double, predicted int"]))
+    return src.mapInArrow(run, ", ".join([*(f"`{k}` {types[k]}" for k in keep), f"`{names[0]}` double, `{names[1]}` int"]))
 
 
 def trained_on(docs: DataFrame, labels: DataFrame) -> dict:

@@ -14,6 +14,13 @@ from colsense.llm.decontam import contamination, judged
 from colsense.llm.linededup import drop_recurring_lines
 from colsense.llm.ngram_join import jaccard_components
 from colsense.llm.packing import pack_documents
+from colsense.llm.quality import score, trained_on
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier scores 0.5 or more."""
+    model = trained_on(docs, table(spark, sf_dir, "labels"))
+    return score(docs, model, docs.columns, ("_q_score", "_q_good")).where("_q_good = 1").select(*docs.columns)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,10 +30,12 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the one that names it."""
-    keep = (jaccard_components(docs).where("doc_id <=> component_id").select("doc_id").distinct()
-            .withColumnRenamed("doc_id", "_keep"))
-    return docs.join(keep, F.col("doc_id").eqNullSafe(F.col("_keep")), "left_semi")
+    """One document of each group of near copies: the one that names it; of rows
+    that repeat it word by word, one."""
+    key = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias("_key")
+    keep = jaccard_components(docs).where("doc_id <=> component_id").select(key("doc_id")).distinct()
+    return (docs.select("*", key("doc_id"), F.xxhash64("text").alias("_text")).join(keep, "_key", "left_semi")
+            .dropDuplicates(["_key", "_text"]).select(*docs.columns))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,6 +49,7 @@ def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 STAGES = [
+    ("quality_classifier", quality_classifier),
     ("line_dedup", line_dedup),
     ("ngram_jaccard_join", ngram_jaccard),
     ("benchmark_decontamination", decontaminate),
