@@ -19,8 +19,9 @@ hash, the node seen more often winning a slot: a table of fixed size, which is
 broadcast.  A decision reads its deepest known node.
 
 The base score needs the training count of every word of a text.  Texts are
-staged in chunks of about CHUNK_BYTES; each chunk's distinct words are joined
-with their counts over all training texts and meet the chunk's texts in one task.
+staged in chunks of about CHUNK_BYTES; each chunk's distinct words get their
+counts over all chunks, and the words that other chunks have too (a word of one
+chunk only needs no telling) meet the chunk's texts in one task.
 
 Cases: a null, empty or blank text is the end alone; repeated rows are scored
 (and learned from) as often as they stand there; a null id counts as the empty
@@ -148,7 +149,18 @@ def _mixed(levels, weights, start_s, start_a, first_depth: int):
 
 def _slot(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     h = mix(ids + U64(0x51ED27))
-    return (h % U64(SLOTS)).astype(np.int64), (h >> U64(33)).astype(np.int32)
+    return (h % U64(SLOTS)).astype(np.int64), (h >> U64(40)).astype(np.int32)
+
+
+def _packed(n: np.ndarray, check: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """One number a node, so that the largest of a slot is the node seen most:
+    24 bits of its count, 24 of its check, 15 of its probability."""
+    at = np.clip(np.rint(q * 32768), 1, 32767).astype(np.int64)
+    return (np.minimum(n, (1 << 24) - 1).astype(np.int64) << 39) | (check.astype(np.int64) << 15) | at
+
+
+def _unpacked(best: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return ((best >> 15) & ((1 << 24) - 1)).astype(np.int32), ((best & 32767) / 32768).astype(np.float32)
 
 
 def train(docs: DataFrame) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -210,21 +222,20 @@ def train(docs: DataFrame) -> list[tuple[np.ndarray, np.ndarray]]:
         at = np.searchsorted(ids, levels[0][0] & _low(8 * BASE))
         for depth, ids_, q, n, _, _ in _mixed(levels, weights, s[at], a[at], BASE):
             slot, check = _slot(ids_)
-            yield {"depth": np.full(len(ids_), depth, np.int32), "slot": slot, "check": check, "q": q, "n": n}
+            yield {"slot": slot + depth * SLOTS, "best": _packed(n, check, q)}
 
-    kept = (map_groups(dealt, ["root"], down, "depth int, slot long, check int, q double, n double", together=True)
-            .groupBy("depth", "slot").agg(F.max(F.struct("n", "check", "q")).alias("b"))
-            .select("depth", F.col("slot").cast("int").alias("slot"), "b.check", F.col("b.q").cast("float").alias("q")))
+    kept = map_groups(dealt, ["root"], down, "slot long, best long", together=True).groupBy("slot").agg(F.max("best").alias("best"))
     model = [(np.full(SLOTS, -1, np.int32), np.zeros(SLOTS, np.float32)) for _ in range(DEPTH + 1)]
     for depth, ids_, q, n, _, _ in found:
         slot, check = _slot(ids_)
         order = np.argsort(n, kind="stable")
         model[depth][0][slot[order]], model[depth][1][slot[order]] = check[order], q[order]
     for b in kept.toArrow().to_batches():
-        depth, slot, check, q = (b.column(i).to_numpy() for i in range(4))
+        slot, best = b.column(0).to_numpy(), b.column(1).to_numpy()
+        check, q = _unpacked(best)
         for d in range(BASE, DEPTH + 1):
-            at = depth == d
-            model[d][0][slot[at]], model[d][1][slot[at]] = check[at], q[at]
+            at = slot // SLOTS == d
+            model[d][0][slot[at] % SLOTS], model[d][1][slot[at] % SLOTS] = check[at], q[at]
     return model
 
 
@@ -270,19 +281,46 @@ def _chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array((part << 24) + chunk, pa.int64()), *b.columns], names=["chunk", *b.schema.names])
 
 
+def _counts_of(learned: list[np.ndarray], other: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct words of some texts and their numbers in the learned ones."""
+    u, n = np.unique(np.concatenate([np.empty(0, U64), *learned]), return_counts=True)
+    new = np.setdiff1d(distinct(np.concatenate([np.empty(0, U64), *other])), u, assume_unique=True)
+    return np.concatenate([u, new]), np.concatenate([n, np.zeros(len(new), np.int64)])
+
+
 def _chunk_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(chunk, word, times in training texts), one row per word of a chunk and batch."""
+    """(chunk, word, times in training texts), a row per word of a chunk; a
+    task reads whole chunks one after another, but for those at its ends."""
+    now, learned, other = None, [], []
+
+    def rows():
+        u, n = _counts_of(learned, other)
+        for a in range(0, len(u), 50_000):
+            k = len(u[a : a + 50_000])
+            yield pa.RecordBatch.from_pydict({"chunk": np.full(k, now, np.int64), "word": u[a : a + 50_000].view(np.int64), "n": n[a : a + 50_000]})
+
     for b in batches:
-        words: dict[int, list] = {}
         for c, held, w in zip(b.column(0).to_pylist(), b.column(3).to_pylist(), column_words(b, 2, BLANKS)):
-            words.setdefault(c, [[], []])[bool(held)].append(w)
-        for c, (learned, other) in words.items():
-            learned = np.concatenate([np.empty(0, U64), *learned])
-            u, n = np.unique(learned, return_counts=True)
-            new = np.setdiff1d(distinct(np.concatenate([np.empty(0, U64), *other])), u, assume_unique=True)
-            k = len(u) + len(new)
-            yield pa.RecordBatch.from_pydict({"chunk": np.full(k, c, np.int64), "word": np.concatenate([u, new]).view(np.int64),
-                                              "n": np.concatenate([n, np.zeros(len(new), np.int64)])})
+            if c != now:
+                if now is not None:
+                    yield from rows()
+                now, learned, other = c, [], []
+            (other if held else learned).append(w.copy())
+    if now is not None:
+        yield from rows()
+
+
+def _shared_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Words that stand in one row only have the count their chunk finds itself;
+    the others go on.  Last row, chunk -1: distinct words and words learned."""
+    kinds = total = 0
+    for b in batches:
+        chunk, word, c, k, r = (b.column(i).to_numpy() for i in range(5))
+        kinds += int(((r == 1) & (c > 0)).sum())
+        total += int(c[r == 1].sum())
+        at = k > 1
+        yield pa.RecordBatch.from_pydict({"chunk": chunk[at], "word": word[at], "c": c[at]})
+    yield pa.RecordBatch.from_pydict({"chunk": np.array([-1]), "word": np.array([kinds]), "c": np.array([total])})
 
 
 def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -292,23 +330,39 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                       (crc_mod(id_col, HELD_OUT_MOD) == HELD_OUT).alias("held_out"))
     texts = stage(src.mapInArrow(_chunked, "chunk long, doc_id long, text string, held_out boolean"))
     model = spark.sparkContext.broadcast(train(texts.where("not held_out")))
-    words = texts.mapInArrow(_chunk_words, "chunk long, word long, n long").groupBy("chunk", "word").agg(F.sum("n").alias("n"))
     by_word = Window.partitionBy("word")
-    counted = stage(words.select("chunk", "word", F.sum("n").over(by_word).alias("c"), (F.min("chunk").over(by_word) == F.col("chunk")).alias("first")))
+    words = (texts.mapInArrow(_chunk_words, "chunk long, word long, n long")
+             .select("chunk", "word", F.sum("n").over(by_word).alias("c"), F.count("*").over(by_word).alias("k"),
+                     F.row_number().over(by_word.orderBy("chunk", "n")).alias("r")))
+    counted = stage(words.mapInArrow(_shared_words, "chunk long, word long, c long"))
     ends = texts.where("not held_out").count()
-    kinds = counted.where("first and c > 0").agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
-    n_train, kinds_v = kinds.n + ends, kinds.v + (ends > 0)
+    sums = counted.where("chunk = -1").agg(F.sum("word").alias("v"), F.sum("c").alias("n")).first()
+    n_train, kinds_v = (sums.n or 0) + ends, (sums.v or 0) + (ends > 0)
     schema = ("doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, "
               "n_bytes long")
 
+    names = [x.split()[0] for x in schema.split(", ")]
+
+    def chunk_counts(raw, held, shared, c):
+        """Sorted words of the chunk and their training counts."""
+        data = np.frombuffer(b"".join(t or b"" for t in raw), np.uint8)
+        h, at = hash_words(data, np.cumsum([0, *(len(t or b"") for t in raw)]), BLANKS)
+        other = np.repeat(held.astype(bool), np.diff(at))
+        u, n = _counts_of([h[~other]], [h[other]])
+        order = np.argsort(u)
+        u, n = u[order], n[order]
+        n[np.searchsorted(u, shared)] = c
+        return u, n
+
     def score(left, right):
         import pandas as pd
-        order = np.argsort(right["word"].to_numpy().view(U64))
-        keys, c = right["word"].to_numpy().view(U64)[order], right["c"].to_numpy()[order]
+        if not len(left):
+            return pd.DataFrame({k: [] for k in names})
+        raw = [t.encode() if isinstance(t, str) else None for t in left["text"]]
+        keys, c = chunk_counts(raw, left["held_out"].to_numpy(), right["word"].to_numpy().view(U64), right["c"].to_numpy())
         low = math.log10(n_train + kinds_v + 1)
         end = math.log10(ends + 1) - low
         rows = []
-        raw = [t.encode() if isinstance(t, str) else None for t in left["text"]]
         a = 0
         while a < len(raw):
             b, size = a, 0
@@ -332,7 +386,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         out["doc_id"] = out["doc_id"].astype("Int64")
         return out
 
-    out = texts.groupBy("chunk").cogroup(counted.select("chunk", "word", "c").groupBy("chunk")).applyInPandas(score, schema)
+    out = texts.groupBy("chunk").cogroup(counted.where("chunk >= 0").groupBy("chunk")).applyInPandas(score, schema)
     return out.withColumn("bits_per_byte", -F.col("score") / math.log10(2) / F.col("n_bytes"))
 
 
