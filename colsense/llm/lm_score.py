@@ -36,17 +36,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BLANKS, U64, column_words, crc_mod, distinct, hash_words, map_groups, mix, stage, table, texts_of
+from .common import BLANKS, U64, crc_mod, distinct, hash_words, map_groups, mix, stage, table, texts_of
 
 DEPTH = 5  # a gram and a text's number share 64 bits
 BASE = 3
-SLOTS = 1 << 21
-CHUNK_BYTES = 12 << 20
+SLOTS = [min(1 << 21, 1 << (8 * d + 8)) for d in range(DEPTH + 1)]
+CHUNK_BYTES = 24 << 20
 SLICE_BYTES = 3 << 20
 MERGE_GRAMS = 4 << 20
 HELD_OUT_MOD, HELD_OUT = 7, 2
@@ -147,24 +147,21 @@ def _mixed(levels, weights, start_s, start_a, first_depth: int):
         s, a = s + a * weights[i] * p, a * (1 - weights[i])
 
 
-def _slot(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _slot(ids: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Place in a depth's slots, and 16 bits that tell nodes of one slot apart."""
     h = mix(ids + U64(0x51ED27))
-    return (h % U64(SLOTS)).astype(np.int64), (h >> U64(40)).astype(np.int32)
+    return (h % U64(SLOTS[depth])).astype(np.int64), ((h >> U64(47)) & U64(0xFFFF)).astype(np.int64)
 
 
 def _packed(n: np.ndarray, check: np.ndarray, q: np.ndarray) -> np.ndarray:
     """One number a node, so that the largest of a slot is the node seen most:
-    24 bits of its count, 24 of its check, 15 of its probability."""
-    at = np.clip(np.rint(q * 32768), 1, 32767).astype(np.int64)
-    return (np.minimum(n, (1 << 24) - 1).astype(np.int64) << 39) | (check.astype(np.int64) << 15) | at
+    its count, 16 bits of check and 16 of its probability (never 0)."""
+    at = np.clip(np.rint(q * 65536), 1, 65535).astype(np.int64)
+    return (np.minimum(n, (1 << 30) - 1).astype(np.int64) << 32) | (check << 16) | at
 
 
-def _unpacked(best: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return ((best >> 15) & ((1 << 24) - 1)).astype(np.int32), ((best & 32767) / 32768).astype(np.float32)
-
-
-def train(docs: DataFrame) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Per depth the slots' checks and probabilities; docs has (text)."""
+def train(texts: DataFrame) -> list[np.ndarray]:
+    """Per depth the slots: check and probability of the node in each."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size, sums = [], 0, (np.empty(0, U64), np.empty(0, np.int64))
 
@@ -172,24 +169,18 @@ def train(docs: DataFrame) -> list[tuple[np.ndarray, np.ndarray]]:
             u, c = np.unique(np.concatenate(held), return_counts=True) if held else sums
             return _sum_by(np.concatenate([sums[0], u]), np.concatenate([sums[1], c])) if held else sums
 
-        for b in batches:
-            part, n = [], 0
-            for t in texts_of(b, 0):
-                part.append(coded(t))
-                n += len(part[-1])
-                if n >= SLICE_BYTES:
-                    held.append(grams(part))
-                    size, part, n = size + n, [], 0
-                    if size >= MERGE_GRAMS:
-                        sums, held, size = merged(), [], 0
+        for s in opened(batches):
+            part = [coded(t) for t, out in zip(s.texts(), s.held) if not out]
             if part:
                 held.append(grams(part))
-                size += n
+                size += len(held[-1])
+            if size >= MERGE_GRAMS:
+                sums, held, size = merged(), [], 0
         u, c = merged()
         for i in range(0, len(u), 100_000):
             yield pa.RecordBatch.from_pydict({"gram": u[i : i + 100_000].view(np.int64), "n": c[i : i + 100_000]})
 
-    counted = stage(docs.select("text").mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")))
+    counted = stage(texts.mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")))
     mask = ((1 << (8 * BASE)) - 1) << 8
     # the last BASE context bytes: all grams below one node of depth BASE
     dealt = counted.select(F.expr(f"gram & {mask}").alias("root"), "gram", "n")
@@ -214,28 +205,28 @@ def train(docs: DataFrame) -> list[tuple[np.ndarray, np.ndarray]]:
             below = np.searchsorted(levels[d - 1][0], levels[d][0] & _low(8 * d)), log
     found = list(_mixed(levels, weights, np.zeros(len(levels[0][0])), np.ones(len(levels[0][0])), 0))
     last = found[-1]
-    above = docs.sparkSession.sparkContext.broadcast((last[1], last[4], last[5]))
+    above = texts.sparkSession.sparkContext.broadcast((last[1], last[4], last[5]))
 
     def down(g):
         levels, _, weights = _subtrees(g["gram"].astype(np.int64).view(U64), g["n"].astype(np.float64))
         ids, s, a = above.value
         at = np.searchsorted(ids, levels[0][0] & _low(8 * BASE))
         for depth, ids_, q, n, _, _ in _mixed(levels, weights, s[at], a[at], BASE):
-            slot, check = _slot(ids_)
-            yield {"slot": slot + depth * SLOTS, "best": _packed(n, check, q)}
+            slot, check = _slot(ids_, depth)
+            yield {"slot": (slot << 4) | depth, "best": _packed(n, check, q)}
 
     kept = map_groups(dealt, ["root"], down, "slot long, best long", together=True).groupBy("slot").agg(F.max("best").alias("best"))
-    model = [(np.full(SLOTS, -1, np.int32), np.zeros(SLOTS, np.float32)) for _ in range(DEPTH + 1)]
+    model = [np.zeros(k, np.uint32) for k in SLOTS]
     for depth, ids_, q, n, _, _ in found:
-        slot, check = _slot(ids_)
-        order = np.argsort(n, kind="stable")
-        model[depth][0][slot[order]], model[depth][1][slot[order]] = check[order], q[order]
+        slot, check = _slot(ids_, depth)
+        best = _packed(n, check, q)
+        order = np.argsort(best)
+        model[depth][slot[order]] = best[order] & 0xFFFFFFFF
     for b in kept.toArrow().to_batches():
         slot, best = b.column(0).to_numpy(), b.column(1).to_numpy()
-        check, q = _unpacked(best)
         for d in range(BASE, DEPTH + 1):
-            at = slot // SLOTS == d
-            model[d][0][slot[at] % SLOTS], model[d][1][slot[at] % SLOTS] = check[at], q[at]
+            at = (slot & 15) == d
+            model[d][slot[at] >> 4] = best[at] & 0xFFFFFFFF
     return model
 
 
@@ -246,9 +237,10 @@ def gram_logs(g: np.ndarray, model) -> np.ndarray:
         p = np.full(len(g), 0.5)
         left = np.arange(len(g))
         for d in range(DEPTH, -1, -1):
-            slot, check = _slot(ids[left] & _low(8 * d + 8))
-            known = model[d][0][slot] == check
-            p[left[known]] = model[d][1][slot[known]]
+            slot, check = _slot(ids[left] & _low(8 * d + 8), d)
+            v = model[d][slot]
+            known = (v >> 16 == check) & (v > 0)
+            p[left[known]] = (v[known] & 0xFFFF) / 65536
             left = left[~known]
             if not len(left):
                 break
@@ -257,7 +249,7 @@ def gram_logs(g: np.ndarray, model) -> np.ndarray:
     return total
 
 
-def text_scores(texts: list[bytes | None], model) -> np.ndarray:
+def text_scores(texts: list[bytes], model) -> np.ndarray:
     """log10 probability of each text, fewer than 2^16 at a time: a gram and the
     number of its text are sorted as one number."""
     codes = [coded(t) for t in texts]
@@ -271,14 +263,58 @@ def text_scores(texts: list[bytes | None], model) -> np.ndarray:
     return np.bincount((both[at] & U64(0xFFFF)).astype(np.int64), logs * times, minlength=len(codes))
 
 
-def _chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Numbers chunks of about CHUNK_BYTES of text within a task."""
-    part, at, size = TaskContext.get().partitionId(), 0, 0
+class Slice:
+    """Some documents whose texts are packed as one compressed blob."""
+
+    def __init__(self, chunk: int, ids: list, held: list, ends: list, blob: bytes):
+        self.chunk, self.ids, self.held = chunk, ids, np.array(held, bool)
+        self.offsets = np.array([0, *ends], np.int64)
+        self.raw = zstandard.ZstdDecompressor().decompress(blob, max_output_size=int(self.offsets[-1]) + 1) if self.offsets[-1] else b""
+
+    def texts(self) -> list[bytes]:
+        return [self.raw[a:b] for a, b in zip(self.offsets[:-1].tolist(), self.offsets[1:].tolist())]
+
+    def words(self) -> tuple[np.ndarray, np.ndarray]:
+        return hash_words(np.frombuffer(self.raw, np.uint8), self.offsets, BLANKS)
+
+
+SLICES = "chunk long, ids array<long>, held array<boolean>, ends array<long>, blob binary"
+
+
+def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[Slice]:
     for b in batches:
-        length = pc.binary_length(b.column(1)).fill_null(0).to_numpy()
-        chunk = at + (size + np.cumsum(length)) // CHUNK_BYTES
-        at, size = int(chunk[-1]) if len(chunk) else at, int((size + length.sum()) % CHUNK_BYTES)
-        yield pa.RecordBatch.from_arrays([pa.array((part << 24) + chunk, pa.int64()), *b.columns], names=["chunk", *b.schema.names])
+        for i in range(b.num_rows):
+            yield Slice(*(b.column(j)[i].as_py() for j in range(5)))
+
+
+def _sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Documents as slices of SLICE_BYTES (or one longer text, or 2^16 - 1
+    texts); chunks of CHUNK_BYTES are numbered within a task."""
+    part, at, size = TaskContext.get().partitionId() << 24, 0, 0
+    pack = zstandard.ZstdCompressor(level=3).compress
+
+    def row(ids, held, texts):
+        ends = np.cumsum([len(t) for t in texts]).tolist()
+        return pa.RecordBatch.from_arrays([pa.array([part + at], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([held], pa.list_(pa.bool_())),
+                                           pa.array([ends], pa.list_(pa.int64())), pa.array([pack(b"".join(texts))], pa.binary())],
+                                          names=["chunk", "ids", "held", "ends", "blob"])
+
+    ids, held, texts, n = [], [], [], 0
+    for b in batches:
+        for i, t, out in zip(b.column(0).to_pylist(), texts_of(b, 1), b.column(2).to_pylist()):
+            t = t or b""
+            if ids and (n + len(t) > SLICE_BYTES or len(ids) == (1 << 16) - 1):
+                yield row(ids, held, texts)
+                size += n
+                if size >= CHUNK_BYTES:
+                    at, size = at + 1, 0
+                ids, held, texts, n = [], [], [], 0
+            ids.append(i)
+            held.append(out)
+            texts.append(t)
+            n += len(t)
+    if ids:
+        yield row(ids, held, texts)
 
 
 def _counts_of(learned: list[np.ndarray], other: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -299,13 +335,15 @@ def _chunk_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             k = len(u[a : a + 50_000])
             yield pa.RecordBatch.from_pydict({"chunk": np.full(k, now, np.int64), "word": u[a : a + 50_000].view(np.int64), "n": n[a : a + 50_000]})
 
-    for b in batches:
-        for c, held, w in zip(b.column(0).to_pylist(), b.column(3).to_pylist(), column_words(b, 2, BLANKS)):
-            if c != now:
-                if now is not None:
-                    yield from rows()
-                now, learned, other = c, [], []
-            (other if held else learned).append(w.copy())
+    for s in opened(batches):
+        if s.chunk != now:
+            if now is not None:
+                yield from rows()
+            now, learned, other = s.chunk, [], []
+        h, at = s.words()
+        out = np.repeat(s.held, np.diff(at))
+        learned.append(h[~out])
+        other.append(h[out])
     if now is not None:
         yield from rows()
 
@@ -328,65 +366,45 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spark = docs.sparkSession
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"),
                       (crc_mod(id_col, HELD_OUT_MOD) == HELD_OUT).alias("held_out"))
-    texts = stage(src.mapInArrow(_chunked, "chunk long, doc_id long, text string, held_out boolean"))
-    model = spark.sparkContext.broadcast(train(texts.where("not held_out")))
+    texts = stage(src.mapInArrow(_sliced, SLICES))
+    model = spark.sparkContext.broadcast([zstandard.compress(m.tobytes(), 1) for m in train(texts)])
     by_word = Window.partitionBy("word")
     words = (texts.mapInArrow(_chunk_words, "chunk long, word long, n long")
              .select("chunk", "word", F.sum("n").over(by_word).alias("c"), F.count("*").over(by_word).alias("k"),
                      F.row_number().over(by_word.orderBy("chunk", "n")).alias("r")))
     counted = stage(words.mapInArrow(_shared_words, "chunk long, word long, c long"))
-    ends = texts.where("not held_out").count()
+    ends = texts.select(F.explode("held").alias("out")).where("not out").count()
     sums = counted.where("chunk = -1").agg(F.sum("word").alias("v"), F.sum("c").alias("n")).first()
-    n_train, kinds_v = (sums.n or 0) + ends, (sums.v or 0) + (ends > 0)
+    n_train, kinds = (sums.n or 0) + ends, (sums.v or 0) + (ends > 0)
+    low = math.log10(n_train + kinds + 1)
     schema = ("doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, "
               "n_bytes long")
+    types = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64()]
 
-    names = [x.split()[0] for x in schema.split(", ")]
-
-    def chunk_counts(raw, held, shared, c):
-        """Sorted words of the chunk and their training counts."""
-        data = np.frombuffer(b"".join(t or b"" for t in raw), np.uint8)
-        h, at = hash_words(data, np.cumsum([0, *(len(t or b"") for t in raw)]), BLANKS)
-        other = np.repeat(held.astype(bool), np.diff(at))
-        u, n = _counts_of([h[~other]], [h[other]])
+    def score(left: pa.Table, right: pa.Table) -> pa.Table:
+        slices = list(opened(left.to_batches()))
+        found = [s.words() for s in slices]
+        outs = [np.repeat(s.held, np.diff(at)) for s, (_, at) in zip(slices, found)]
+        u, n = _counts_of([h[~o] for (h, _), o in zip(found, outs)], [h[o] for (h, _), o in zip(found, outs)])
         order = np.argsort(u)
         u, n = u[order], n[order]
-        n[np.searchsorted(u, shared)] = c
-        return u, n
-
-    def score(left, right):
-        import pandas as pd
-        if not len(left):
-            return pd.DataFrame({k: [] for k in names})
-        raw = [t.encode() if isinstance(t, str) else None for t in left["text"]]
-        keys, c = chunk_counts(raw, left["held_out"].to_numpy(), right["word"].to_numpy().view(U64), right["c"].to_numpy())
-        low = math.log10(n_train + kinds_v + 1)
-        end = math.log10(ends + 1) - low
-        rows = []
-        a = 0
-        while a < len(raw):
-            b, size = a, 0
-            while b < len(raw) and b - a < 1 << 16 and (size < SLICE_BYTES or b == a):
-                size += len(raw[b] or b"") + DEPTH
-                b += 1
-            some = raw[a:b]
-            data = np.frombuffer(b"".join(t or b"" for t in some), np.uint8)
-            h, at = hash_words(data, np.cumsum([0, *(len(t or b"") for t in some)]), BLANKS)
-            times = c[np.searchsorted(keys, h)] if len(h) else np.empty(0, np.int64)
+        n[np.searchsorted(u, right.column("word").to_numpy().view(U64))] = right.column("c").to_numpy()
+        known = model.value
+        slots = [np.frombuffer(zstandard.decompress(m, 4 * k), np.uint32) for m, k in zip(known, SLOTS)] if slices else []
+        tables = []
+        for s, (h, at) in zip(slices, found):
+            times = n[np.searchsorted(u, h)] if len(h) else np.empty(0, np.int64)
             logs = np.concatenate([[0.0], np.cumsum(np.log10(times + 1.0) - low)])
             seen = np.concatenate([[0], np.cumsum(times > 0)])
-            n = np.diff(at)
-            rows.append(pd.DataFrame({
-                "doc_id": left["doc_id"].iloc[a:b].to_numpy(), "held_out": left["held_out"].iloc[a:b].to_numpy(), "n_tokens": n + 1,
-                "n_known": seen[at[1:]] - seen[at[:-1]] + (ends > 0), "train_tokens": n_train,
-                "base_score": logs[at[1:]] - logs[at[:-1]] + end, "score": text_scores(some, model.value),
-                "n_bytes": [len(coded(t)) for t in some]}))
-            a = b
-        out = pd.concat(rows)
-        out["doc_id"] = out["doc_id"].astype("Int64")
-        return out
-
-    out = texts.groupBy("chunk").cogroup(counted.where("chunk >= 0").groupBy("chunk")).applyInPandas(score, schema)
+            raw = s.texts()
+            k = len(raw)
+            cols = [s.ids, s.held, np.diff(at) + 1, seen[at[1:]] - seen[at[:-1]] + (ends > 0), np.full(k, n_train),
+                    logs[at[1:]] - logs[at[:-1]] + math.log10(ends + 1) - low, text_scores(raw, slots), [len(coded(t)) for t in raw]]
+            tables.append(pa.table([pa.array(c, t) for c, t in zip(cols, types)], names=names))
+        return pa.concat_tables(tables) if tables else pa.table([pa.array([], t) for t in types], names=names)
+
+    names = [x.split()[0] for x in schema.split(", ")]
+    out = texts.groupBy("chunk").cogroup(counted.where("chunk >= 0").groupBy("chunk")).applyInArrow(score, schema)
     return out.withColumn("bits_per_byte", -F.col("score") / math.log10(2) / F.col("n_bytes"))
 
 
