@@ -31,8 +31,8 @@ def stage(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-#: Bits of a membership filter: 2 MB, whatever the input.
-FILTER_BITS = 24
+#: Bits of a membership filter: 8 MB, whatever the input.
+FILTER_BITS = 26
 
 
 def key_filter(keys: DataFrame, col: str) -> np.ndarray:

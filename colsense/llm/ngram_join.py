@@ -42,7 +42,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import (BLANKS, U64, column_words, connected_components, distinct, in_filter, key_filter, map_groups, shingles,
+from .common import (BLANKS, FILTER_BITS, U64, column_words, connected_components, distinct, in_filter, key_filter, map_groups, shingles,
                      stage, table, text_hashes)
 
 SHINGLE = 5
@@ -147,6 +147,23 @@ def _prefixes(counters, num: int, den: int):
     return run
 
 
+def _shared_keys(known):
+    """Prefix shingles that pass the filter of shared ones, with their number
+    in the set."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits, mask = known.value, (1 << FILTER_BITS) - 1
+        for b in batches:
+            ends = b.column(2).offsets.to_numpy()
+            keys = b.column(2).values.to_numpy()[ends[0] : ends[-1]]
+            at = keys & mask
+            ok = (bits[at >> 6] >> (at & 63)) & 1 == 1
+            row = np.repeat(np.arange(b.num_rows), np.diff(ends))[ok]
+            degree = np.bincount(row, minlength=b.num_rows)
+            yield pa.RecordBatch.from_arrays([pa.array(keys[ok]), pa.array(b.column(0).to_numpy()[row]), pa.array(b.column(1).to_numpy()[row]),
+                                              pa.array(degree[row].astype(np.int32))], names=["key", "sid", "n", "degree"])
+    return run
+
+
 def _bits(col: np.ndarray) -> np.ndarray:
     return np.frombuffer(b"".join(col), np.uint64).reshape(len(col), -1)
 
@@ -240,14 +257,15 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     load = spark.sparkContext.broadcast(_counters(sized))
     sets = stage(src.select("text").mapInArrow(_prefixes(load, num, den), "sid long, n int, bitmap binary, prefix array<long>"))
 
-    posted = sets.select(F.explode("prefix").alias("key"), "sid", "n")
+    posted = sets.select(F.explode("prefix").alias("key"), "sid")
     shared = posted.groupBy("key").agg(F.min("sid").alias("lo"), F.max("sid").alias("hi")).where("lo < hi").select("key")
-    members = stage(posted.join(shared, "key").distinct())
+    known = spark.sparkContext.broadcast(key_filter(shared, "key"))
     # a group's pivot is its set with most shared prefix shingles: the original of edited copies, whose own edits fill their prefixes
-    degree = members.groupBy("sid").agg(F.count("*").alias("degree"))
-    ranked = members.join(degree, "sid")
-    hubs = ranked.groupBy("key").agg(F.max(F.struct("degree", "sid"))["sid"].alias("hub"))
-    members = stage(members.join(hubs, "key"))
+    ranked = sets.select("sid", "n", "prefix").mapInArrow(_shared_keys(known), "key long, sid long, n int, degree int")
+    ranked = stage(ranked)
+    hubs = (ranked.groupBy("key").agg(F.max(F.struct("degree", "sid"))["sid"].alias("hub"), F.min("sid").alias("lo"), F.max("sid").alias("hi"))
+            .where("lo < hi").select("key", "hub"))
+    members = stage(ranked.select("key", "sid", "n").join(hubs, "key").distinct())
     sig = sets.groupBy("sid").agg(F.first("n").alias("n"), F.first("bitmap").alias("bitmap"))
     sig = stage(sig.join(members.select("sid").distinct(), "sid", "left_semi"))
 
