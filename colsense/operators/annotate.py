@@ -1,10 +1,9 @@
 """Label joins, lookups, schema shaping, vocabularies and set operations.
 
-Joins are equi joins on table/column keys (sort-merge at scale, broadcast
-only for sides whose size is bounded by the label vocabulary or a checked
-count).  The one theta join (substring match of metadata keys in file names)
-is a broadcast nested-loop join when the key table passes a size check, and
-otherwise an exact equi join on the file-name substrings of each key length.
+Joins are equi joins on table/column keys (sort-merge at scale, broadcast only
+for sides whose size is bounded by the label vocabulary).  The one theta join
+(substring match of metadata keys in file names) is an exact equi join on the
+file-name substrings of each key length.
 """
 
 from __future__ import annotations
@@ -14,8 +13,6 @@ from pyspark.sql import functions as F
 
 from colsense.constants import UNSPECIFIED, WITH_HEADERS, WITHOUT_HEADERS
 
-BROADCAST_KEYS_MAX = 10_000
-
 
 # --- schema shaping -------------------------------------------------------------------
 
@@ -83,22 +80,18 @@ def annotate_columns(columns: DataFrame, gt: DataFrame, table_name: Column) -> D
 
 def metadata_substring_match(files: DataFrame, keys: DataFrame, file_col: str = "file_name",
                              key_col: str = "file_key") -> DataFrame:
-    """Every (file, key) with ``key`` a substring of the file name.
-
-    Small key tables (checked count) go through a broadcast nested-loop join;
-    larger ones through an exact equi join on file-name substrings of every
-    distinct key length, so no cartesian product is ever planned.
+    """Every (file, key) with ``key`` a substring of the file name: an equi join
+    of the distinct keys on the file-name substrings of every distinct key
+    length (a scalar subquery), so no cartesian product is ever planned and
+    nothing runs when the query is defined.
     """
-    n_keys = keys.count()
-    if n_keys <= BROADCAST_KEYS_MAX:
-        return files.join(F.broadcast(keys), F.col(file_col).contains(F.col(key_col)), "inner") \
-                    .select(*files.columns, key_col)
-    lengths = [r[0] for r in keys.select(F.length(key_col)).distinct().collect()]  # bounded: distinct lengths
-    f = files.select(*files.columns, F.explode(F.array(*[F.lit(x) for x in lengths])).alias("__len"))
+    keys = keys.select(key_col).where(F.length(key_col) > 0).distinct()
+    lengths = F.coalesce(keys.select(F.collect_set(F.length(key_col))).scalar(), F.array().cast("array<int>"))
+    f = files.withColumn("__len", F.explode(lengths)).where(F.length(file_col) >= F.col("__len"))
     subs = f.select(*files.columns, F.explode(F.array_distinct(F.transform(
-        F.sequence(F.lit(1), F.greatest(F.length(file_col) - F.col("__len") + 1, F.lit(1))),
+        F.sequence(F.lit(1), F.length(file_col) - F.col("__len") + 1),
         lambda p: F.substring(F.col(file_col), p, F.col("__len"))))).alias(key_col))
-    return subs.join(keys.select(key_col).distinct(), key_col).select(*files.columns, key_col).distinct()
+    return subs.join(keys, key_col).select(*files.columns, key_col)
 
 
 def match_audit(files: DataFrame, matches: DataFrame, file_col: str = "file_name") -> DataFrame:
@@ -125,13 +118,13 @@ def header_type_lookup(metadata: DataFrame, columns: DataFrame) -> DataFrame:
 
 
 def type_to_datatype_lookup(metadata: DataFrame) -> DataFrame:
-    """Label -> data type (later key wins); the null label of a numerical column
-    maps to ``numerical``."""
-    kinds = metadata.select(
-        "column_type",
-        F.when(F.col("kind") == "numerical_cols", F.lit("numerical")).otherwise(F.lit("non-numerical")).alias("dt"),
-        "file_key")
-    return kinds.groupBy("column_type").agg(F.max_by("dt", "file_key").alias("data_type"))
+    """Label -> data type: numerical if any key lists it as numerical; the null
+    label always is."""
+    numerical = (F.col("kind") == "numerical_cols") | F.col("column_type").isNull()
+    listed = metadata.select("column_type", numerical.alias("n"))
+    null = metadata.sparkSession.range(1).select(F.lit(None).cast("string").alias("column_type"), F.lit(True).alias("n"))
+    return listed.unionByName(null).groupBy("column_type").agg(
+        F.when(F.coalesce(F.max("n"), F.lit(False)), "numerical").otherwise("non-numerical").alias("data_type"))
 
 
 def cached_response_lookup(requests: DataFrame, cache: DataFrame) -> DataFrame:

@@ -128,7 +128,8 @@ def request_usage_totals(pending: DataFrame, executed: DataFrame, n_cached: Colu
 
 def largest_requests_first(r: DataFrame) -> DataFrame:
     """Execution order: descending estimated maximum usage (ties by id)."""
-    return dense_index(r, [-F.col("max_total_usage"), F.col("request_id")], out="exec_order")
+    return dense_index(r, [-F.col("max_total_usage"), F.col("request_id")], out="exec_order",
+                       split_ties=True)
 
 
 def cache_retention(cache: DataFrame, keep: int = CACHE_SIZE) -> DataFrame:

@@ -18,6 +18,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 _SALTS = 16
+#: Range buckets of a global order; more only make buckets smaller.
+BUCKETS = 256
 
 
 def hash_key(seed: int | str, *parts: Column | str) -> Column:
@@ -28,21 +30,30 @@ def hash_key(seed: int | str, *parts: Column | str) -> Column:
     return F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint")
 
 
-def _bucket_of(df: DataFrame, lead: Column, buckets: int | None) -> Column:
-    """A deterministic range bucket of a numeric leading order key.
+def _bucketed(df: DataFrame, order: list[Column], buckets: int, split_ties: bool) -> DataFrame:
+    """Adds __b, a deterministic range bucket, monotone in the order.
 
-    Boundaries are approximate quantiles (``buckets - 1`` numbers fetched
-    once); ``bucket(x) = #{b : x > b}`` is monotone in ``x``, so every row of a
-    bucket precedes every row of a later bucket in the full order.
+    Boundaries are approximate quantiles of the numeric leading key, computed as
+    a scalar subquery (nothing runs when the query is defined) and compared as
+    one array, so plans don't grow with the number of buckets.  A value that is
+    a boundary more than once is a heavy one: it gets a bucket of its own, and
+    with ``split_ties`` that is cut by quantiles of the (numeric) second key.
     """
-    n = buckets or max(4 * df.sparkSession.sparkContext.defaultParallelism, 2)
-    probs = [i / n for i in range(1, n)]
-    bounds = df.select(F.percentile_approx(lead.cast("double"), probs, 10_000)).first()[0] or []
-    bounds = sorted(set(b for b in bounds if b is not None))
-    if not bounds:
-        return F.lit(0)
-    x = lead.cast("double")
-    return sum((F.when(x > F.lit(b), 1).otherwise(0) for b in bounds), F.lit(0))
+    def bounds(x: Column) -> Column:
+        probs = [i / buckets for i in range(1, buckets)]
+        found = df.select(F.percentile_approx(x, probs, max(10_000, 2 * buckets))).scalar()
+        return F.coalesce(found, F.array().cast("array<double>"))
+
+    x, y = order[0].cast("double"), (order[1].cast("double") if split_ties else F.lit(0.0))
+    df = df.withColumn("__x", x).withColumn("__y", y).withColumn("__cuts", bounds(x))
+    df = df.withColumn("__sub", bounds(y) if split_ties else F.array().cast("array<double>"))
+    below = F.size(F.filter("__cuts", lambda b: b < F.col("__x")))
+    equal = F.size(F.filter("__cuts", lambda b: b == F.col("__x")))
+    sub = F.when(equal >= 2, F.size(F.filter("__sub", lambda b: b < F.col("__y")))).otherwise(0)
+    # a null leading key sorts first
+    lead = F.when(F.col("__x").isNull(), -1).otherwise(2 * below + F.when(equal >= 1, 1).otherwise(0))
+    return (df.withColumn("__b", lead.cast("bigint") * (buckets + 1) + F.coalesce(sub, F.lit(0)))
+              .drop("__x", "__y", "__cuts", "__sub"))
 
 
 def _offsets(sizes: DataFrame) -> DataFrame:
@@ -52,10 +63,11 @@ def _offsets(sizes: DataFrame) -> DataFrame:
                             F.lit(0))).select("__b", "__off")
 
 
-def dense_index(df: DataFrame, order: list[Column], out: str = "ix", buckets: int | None = None) -> DataFrame:
+def dense_index(df: DataFrame, order: list[Column], out: str = "ix", buckets: int = BUCKETS,
+                split_ties: bool = False) -> DataFrame:
     """Add ``out`` = 0-based position of each row in ``order`` (a total order
     whose first key is numeric): rank inside range buckets plus bucket offsets."""
-    keyed = df.withColumn("__b", _bucket_of(df, order[0], buckets)).withColumn("__k", F.struct(*order))
+    keyed = _bucketed(df.withColumn("__k", F.struct(*order)), order, buckets, split_ties)
     local = keyed.withColumn("__r", F.row_number().over(Window.partitionBy("__b").orderBy("__k")) - 1)
     sizes = keyed.groupBy("__b").agg(F.count(F.lit(1)).alias("__c"))
     return (local.join(F.broadcast(_offsets(sizes)), "__b")
@@ -64,10 +76,9 @@ def dense_index(df: DataFrame, order: list[Column], out: str = "ix", buckets: in
 
 
 def running_sum(df: DataFrame, order: list[Column], value: Column, out: str,
-                inclusive: bool = False, buckets: int | None = None) -> DataFrame:
+                inclusive: bool = False, buckets: int = BUCKETS, split_ties: bool = False) -> DataFrame:
     """Add ``out`` = sum of ``value`` over all rows before (or up to) each row in ``order``."""
-    keyed = (df.withColumn("__b", _bucket_of(df, order[0], buckets))
-               .withColumn("__k", F.struct(*order)).withColumn("__v", value))
+    keyed = _bucketed(df.withColumn("__k", F.struct(*order)).withColumn("__v", value), order, buckets, split_ties)
     frame = Window.partitionBy("__b").orderBy("__k").rowsBetween(
         Window.unboundedPreceding, 0 if inclusive else -1)
     local = keyed.withColumn("__r", F.coalesce(F.sum("__v").over(frame), F.lit(0)))

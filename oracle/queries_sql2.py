@@ -260,9 +260,8 @@ LEFT JOIN (SELECT file_key, header,
                               "fx_columns", "fx_match", "fx_meta")
 
 SQL["type_to_datatype_lookup"] = W("""
-SELECT column_type, arg_max(CASE WHEN kind = 'numerical_cols' THEN 'numerical' ELSE 'non-numerical' END, file_key)
-         AS data_type
-FROM fx_meta GROUP BY column_type""", "fx_meta")
+SELECT column_type, CASE WHEN bool_or(kind = 'numerical_cols' OR column_type IS NULL) THEN 'numerical' ELSE 'non-numerical' END AS data_type
+FROM (SELECT column_type, kind FROM fx_meta UNION ALL SELECT NULL, NULL) GROUP BY column_type""", "fx_meta")
 
 SQL["request_hash"] = W("SELECT request_id, request_hash FROM fx_req_doc", "fx_req_doc")
 
