@@ -245,20 +245,22 @@ def map_groups(df: DataFrame, keys: list[str], fn: Callable, schema: str, parts:
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node that is not itself the smallest of its
     component; edges has (u, v).  Each round every node hooks to its smallest
-    neighbour, pointers are followed twice and the graph is contracted, so the
-    number of nodes at least halves; a hub's edges meet only in a map-side
+    neighbour, pointers are followed to their roots and the graph is contracted,
+    so the number of nodes at least halves; a hub's edges meet only in a map-side
     combined minimum or in joins that can be split."""
     cur = stage(edges.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b"))
                 .where("a < b").distinct())
     rounds: list[DataFrame] = []
     while not cur.isEmpty():
         both = cur.select(F.col("a").alias("n"), F.col("b").alias("m")).unionAll(cur.select("b", "a"))
-        p = both.groupBy("n").agg(F.min("m").alias("p")).where("p < n")
-        p = stage(p)
-        for _ in range(2):
-            up = p.select(F.col("n").alias("p"), F.col("p").alias("q"))
-            p = p.join(up, "p", "left").select("n", F.coalesce("q", "p").alias("p"))
-        p = stage(p)
+        p = stage(both.groupBy("n").agg(F.min("m").alias("p")).where("p < n"))
+        while True:  # follow pointers to their roots; each step squares the distance they reach
+            for _ in range(2):
+                up = p.select(F.col("n").alias("p"), F.col("p").alias("q"))
+                p = p.join(up, "p", "left").select("n", F.coalesce("q", "p").alias("p"))
+            p = stage(p)
+            if p.join(p.select(F.col("n").alias("p")), "p", "left_semi").isEmpty():
+                break
         rounds.append(p)
         pa_, pb = p.toDF("a", "pa"), p.toDF("b", "pb")
         nxt = (cur.join(pa_, "a", "left").join(pb, "b", "left")
@@ -270,6 +272,6 @@ def connected_components(edges: DataFrame) -> DataFrame:
     out = rounds[-1].toDF("node", "root")
     for p in reversed(rounds[:-1]):
         later = out.toDF("parent", "r")
-        out = (p.toDF("node", "parent").join(later, "parent", "left")
-               .select("node", F.coalesce("r", "parent").alias("root"))).unionAll(out)
-    return stage(out)
+        out = stage((p.toDF("node", "parent").join(later, "parent", "left")
+                     .select("node", F.coalesce("r", "parent").alias("root"))).unionAll(out))
+    return out
