@@ -10,9 +10,9 @@ between different sets is lost, and no group's pairs are all written out:
 2. A second scan emits each set's prefix: two sets with Jaccard >= t share one of
    their first n - ceil(t n) + 1 shingles in any common order; ordering by the
    counters keeps shared passages out of the prefixes.  Each set also gets a
-   bitmap: one parity bit per hashed shingle, so the number of bits in which two
-   bitmaps differ never exceeds the sets' symmetric difference, which bounds
-   their overlap from above.
+   bitmap with about one bit a shingle, the parity of the shingles hashed to it:
+   the number of bits in which two bitmaps differ never exceeds the sets'
+   symmetric difference, which bounds their overlap from above.
 3. Star step: in each prefix group every set is paired with the group's pivot, the
    set with most shared prefix shingles.  Pairs that pass the size and bitmap bounds are verified exactly, and
    their links are contracted to components.
@@ -39,6 +39,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -63,9 +64,12 @@ def set_id(s: np.ndarray) -> int:
     return int(np.int64(np.uint64(xxhash.xxh3_64_intdigest(s.tobytes(), seed=len(s))).view(np.int64)))
 
 
-def parity_bitmap(s: np.ndarray, bits: int = BITMAP_BITS) -> bytes:
-    counts = np.bincount(((s >> U64(40)) % U64(bits)).astype(np.int64), minlength=bits)
-    return np.packbits((counts & 1).astype(np.uint8)).tobytes()
+def parity_bitmap(s: np.ndarray) -> bytes:
+    """As many bits as shingles, rounded up to a power of two (BITMAP_BITS at
+    least); a longer bitmap folds to a shorter one's length by xor."""
+    bits = max(BITMAP_BITS, 1 << (len(s) - 1).bit_length())
+    counts = np.bincount(((s >> U64(24)) & U64(bits - 1)).astype(np.int64), minlength=bits)
+    return np.packbits((counts & 1).astype(np.uint8), bitorder="little").tobytes()
 
 
 def _prefix_size(n: int, num: int, den: int) -> int:
@@ -164,8 +168,35 @@ def _shared_keys(known):
     return run
 
 
-def _bits(col: np.ndarray) -> np.ndarray:
-    return np.frombuffer(b"".join(col), np.uint64).reshape(len(col), -1)
+def _folded(w: np.ndarray, words: int) -> np.ndarray:
+    while w.shape[-1] > words:
+        half = w.shape[-1] // 2
+        w = w[..., :half] ^ w[..., half:]
+    return w
+
+
+class Bitmaps:
+    """Bitmaps of several lengths, compared at the shorter length."""
+
+    def __init__(self, col):
+        self.words = np.array([len(x) // 8 for x in col], np.int64)
+        self.place = np.zeros(len(col), np.int64)
+        self.rows = {}
+        for k in np.unique(self.words):
+            at = np.flatnonzero(self.words == k)
+            self.place[at] = np.arange(len(at))
+            self.rows[int(k)] = np.frombuffer(b"".join(col[i] for i in at), np.uint64).reshape(len(at), -1)
+
+    def differing(self, mine: np.ndarray, other: "Bitmaps", theirs: np.ndarray) -> np.ndarray:
+        """Bits that differ between pairs (mine[i], theirs[i])."""
+        out = np.zeros(len(theirs), np.int64)
+        pair = self.words[mine] << 32 | other.words[theirs]
+        for k in np.unique(pair):
+            at = np.flatnonzero(pair == k)
+            a, b = int(k) >> 32, int(k) & 0xFFFFFFFF
+            x = _folded(self.rows[a][self.place[mine[at]]], min(a, b)) ^ _folded(other.rows[b][other.place[theirs[at]]], min(a, b))
+            out[at] = np.bitwise_count(x).sum(1, dtype=np.int64)
+        return out
 
 
 def _may_link(na, nb, differing, num: int, den: int):
@@ -185,6 +216,7 @@ def _verify(docs: DataFrame, pairs: DataFrame, num: int, den: int) -> DataFrame:
 
     def texts(batches):
         seen: set[int] = set()
+        pack = zstandard.ZstdCompressor(level=3).compress
         for b in batches:
             sid, at = [], []
             for row, w in enumerate(column_words(b, 0, BLANKS)):
@@ -193,7 +225,7 @@ def _verify(docs: DataFrame, pairs: DataFrame, num: int, den: int) -> DataFrame:
                     seen.add(i)
                     sid.append(i)
                     at.append(row)
-            yield pa.RecordBatch.from_arrays([pa.array(sid, pa.int64()), b.column(0).cast(pa.binary()).take(pa.array(at, pa.int64()))],
+            yield pa.RecordBatch.from_arrays([pa.array(sid, pa.int64()), pa.array([pack(b.column(0)[i].as_py().encode()) for i in at], pa.binary())],
                                              names=["sid", "text"])
 
     source = docs.select(F.col("text")).mapInArrow(texts, "sid long, text binary")
@@ -204,7 +236,7 @@ def _verify(docs: DataFrame, pairs: DataFrame, num: int, den: int) -> DataFrame:
         sets: dict[int, np.ndarray] = {}
         for i, t in zip(g["sid"].tolist(), g["text"]):
             if i not in sets:
-                sets[i] = shingle_set(text_hashes(t, BLANKS))
+                sets[i] = shingle_set(text_hashes(zstandard.decompress(t), BLANKS))
         h = sets.pop(hub, None)
         if h is None:
             return
@@ -231,15 +263,15 @@ def _across(num: int, den: int):
             return
         order = np.argsort(g["n"][b], kind="stable")
         b = b[order]
-        nb, cb, sb, bb = g["n"][b].astype(np.int64), g["comp"][b], g["sid"][b], _bits(g["bitmap"][b])
-        ba = _bits(g["bitmap"][a])
-        for i, x in enumerate(a):
+        nb, cb, sb = g["n"][b].astype(np.int64), g["comp"][b], g["sid"][b]
+        maps = Bitmaps(g["bitmap"])
+        for x in a:
             n = int(g["n"][x])
             lo, hi = np.searchsorted(nb, -(-num * n // den)), np.searchsorted(nb, den * n // num, side="right")
             ok = np.flatnonzero(cb[lo:hi] != g["comp"][x]) + lo
             if not len(ok):
                 continue
-            differing = np.bitwise_count(bb[ok] ^ ba[i]).sum(1, dtype=np.int64)
+            differing = maps.differing(np.full(len(ok), x), maps, b[ok])
             ok = ok[_may_link(n, nb[ok], differing, num, den)]
             other = sb[ok]
             if len(ok):
@@ -277,8 +309,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     def bounded(batches):
         for b in batches:
             hub, sid, n, hub_n = (b.column(i).to_numpy() for i in range(4))
-            x = _bits(b.column(4).to_pylist()) ^ _bits(b.column(5).to_pylist()) if len(hub) else np.zeros((0, 1), U64)
-            ok = _may_link(n.astype(np.int64), hub_n.astype(np.int64), np.bitwise_count(x).sum(1, dtype=np.int64), num, den)
+            rows = np.arange(len(hub))
+            differing = Bitmaps(b.column(4).to_pylist()).differing(rows, Bitmaps(b.column(5).to_pylist()), rows)
+            ok = _may_link(n.astype(np.int64), hub_n.astype(np.int64), differing, num, den)
             yield pa.RecordBatch.from_pydict({"hub": hub[ok], "sid": sid[ok]})
 
     pairs = stage(stars.select("hub", "sid", "n", "hub_n", "hub_bitmap", "bitmap").mapInArrow(bounded, "hub long, sid long"))
