@@ -18,7 +18,7 @@ from colsense.constants import UNSPECIFIED, WITH_HEADERS, WITHOUT_HEADERS
 
 def drop_index_column(rows: DataFrame, has_index: Column) -> DataFrame:
     """Drop the leading cell of every row where the corpus has an index column."""
-    return rows.withColumn("cells", F.when(has_index, F.slice("cells", 2, 1 << 30)).otherwise(F.col("cells")))
+    return rows.withColumn("cells", F.when(has_index, F.slice("cells", F.lit(2), F.size("cells"))).otherwise(F.col("cells")))
 
 
 def anonymize_headers(columns: DataFrame) -> DataFrame:
@@ -128,10 +128,11 @@ def type_to_datatype_lookup(metadata: DataFrame) -> DataFrame:
 
 
 def cached_response_lookup(requests: DataFrame, cache: DataFrame) -> DataFrame:
-    """Left join requests to the earliest cache entry of their hash; a hit needs
-    the cached request to equal the request."""
+    """Left join requests to the earliest cache entry of their hash (of equally
+    old ones the least by content); a hit needs the cached request to equal the
+    request."""
     first = cache.groupBy("request_hash").agg(
-        F.min_by(F.struct("request_json", "response_json", "cached_at"), "cached_at").alias("e"))
+        F.min(F.struct("cached_at", "request_json", "response_json")).alias("e"))
     j = requests.join(first, "request_hash", "left")
     hit = F.col("e").isNotNull() & (F.col("e.request_json") == F.col("request_json"))
     return j.select(*requests.columns, hit.alias("cached"),
@@ -158,23 +159,23 @@ def table_fingerprints(rows: DataFrame, col_types: DataFrame) -> DataFrame:
     """``(table_id, n_rows, n_cols, fp)``: a content hash that ignores names.
 
     Each row hashes its index and length-prefixed cells (null as a sentinel);
-    rows combine with an order-free sum, so large tables never gather in one
-    task; the column data types join the hash (tables of different dtypes
-    are different).
+    rows combine with order-free sums over the four 60-bit parts of the hash, so
+    large tables never gather in one task and 240 bits tell tables apart; the
+    column data types join the hash (tables of different dtypes are different).
     """
     def cell(x):
         return F.when(x.isNull(), F.lit("∅")).otherwise(F.concat(F.length(x).cast("string"), F.lit(":"), x))
     row_h = F.sha2(F.concat_ws("|", F.col("row_idx").cast("string"),
                                F.array_join(F.transform("cells", cell), ";")), 256)
-    part = F.conv(F.substring(row_h, 1, 15), 16, 10).cast("decimal(38,0)")
-    per_table = rows.groupBy("table_id").agg(
+    parts = [F.conv(F.substring(F.col("__r"), i, 15), 16, 10).cast("decimal(20,0)") for i in (1, 16, 31, 46)]
+    per_table = rows.withColumn("__r", row_h).groupBy("table_id").agg(
         F.count(F.lit(1)).alias("n_rows"), F.max(F.size("cells")).alias("n_cols"),
-        F.sum(part).alias("__h"))
+        *[F.sum(p).alias(f"__h{i}") for i, p in enumerate(parts)])
     types = col_types.groupBy("table_id").agg(
         F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("col_idx", "data_type"))),
                                         lambda s: s["data_type"]), ","), 256).alias("__t"))
     return per_table.join(types, "table_id").select(
-        "table_id", "n_rows", "n_cols", F.sha2(F.concat_ws("|", F.col("__h").cast("string"), "__t"), 256).alias("fp"))
+        "table_id", "n_rows", "n_cols", F.sha2(F.concat_ws("|", *[F.col(f"__h{i}").cast("string") for i in range(4)], "__t"), 256).alias("fp"))
 
 
 def match_tables_by_content(targets: DataFrame, sources: DataFrame) -> DataFrame:

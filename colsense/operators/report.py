@@ -16,10 +16,10 @@ from colsense.constants import ADJUST_UP_TO, MISSING
 from colsense.functions.numeric import decimal_text
 from colsense.operators.align import align, with_gaps, with_pairs
 from colsense.operators.annotate import vocabulary_array
-from colsense.session import cut_lineage
 
 SLICES = ("idx", "data_type", "sparsity", "num_columns")
 ALL = "all"
+MODES = ("padded", "adjusted")
 
 
 def scored_pairs(evaluated: DataFrame, mode: str = "padded", cap: int = ADJUST_UP_TO) -> DataFrame:
@@ -38,15 +38,21 @@ def scored_pairs(evaluated: DataFrame, mode: str = "padded", cap: int = ADJUST_U
             .where(F.col("true_type").isNotNull()))
 
 
-def both_modes(evaluated: DataFrame, cap: int = ADJUST_UP_TO, keep: list[str] | None = None) -> DataFrame:
-    """Scored pairs of both modes from a single pass over ``evaluated``."""
-    staged = with_pairs(with_pairs(with_gaps(evaluated, cap=cap), gaps=None, out="pp"), gaps="gaps", out="pa")
-    modes = F.array(F.struct(F.lit("padded").alias("mode"), F.col("pp").alias("pairs")),
-                    F.struct(F.lit("adjusted").alias("mode"), F.col("pa").alias("pairs")))
+def both_modes(evaluated: DataFrame, cap: int = ADJUST_UP_TO, keep: list[str] | None = None,
+               modes: tuple[str, ...] = MODES) -> DataFrame:
+    """Scored pairs of the wanted modes from a single pass over ``evaluated``;
+    the gap search runs only when the adjusted mode is wanted."""
+    staged, wanted = evaluated, []
+    if "padded" in modes:
+        staged = with_pairs(staged, gaps=None, out="pp")
+        wanted.append(F.struct(F.lit("padded").alias("mode"), F.col("pp").alias("pairs")))
+    if "adjusted" in modes:
+        staged = with_pairs(with_gaps(staged, cap=cap), gaps="gaps", out="pa")
+        wanted.append(F.struct(F.lit("adjusted").alias("mode"), F.col("pa").alias("pairs")))
     k = list(keep or [])
     return (staged.select("table_id", *k, F.size("true_types").alias("num_columns"),
                           F.rint(F.col("sparsity") * 10).cast("int").alias("sparsity_tenths"),
-                          F.inline(modes))
+                          F.inline(F.array(*wanted)))
                   .select("mode", "table_id", *k, F.explode("pairs").alias("pair"), "sparsity_tenths",
                           "num_columns")
                   .select("mode", "table_id", *k, "pair.idx", "pair.true_type", "pair.pred_type",
@@ -54,22 +60,26 @@ def both_modes(evaluated: DataFrame, cap: int = ADJUST_UP_TO, keep: list[str] |
                   .where(F.col("true_type").isNotNull()))
 
 
-def _slice_entries() -> Column:
+def _slice_entries(slices: tuple[str, ...]) -> Column:
     in_slices = F.col("true_type") != F.lit(MISSING)
-    entries = [F.struct(F.lit(ALL).alias("slice"), F.lit("").alias("slice_value"))]
     values = {
         "idx": F.col("idx").cast("string"),
         "data_type": F.col("data_type"),
         "sparsity": decimal_text(F.col("sparsity_tenths")),
         "num_columns": F.col("num_columns").cast("string"),
     }
-    for name in SLICES:
-        entries.append(F.when(in_slices, F.struct(F.lit(name).alias("slice"), values[name].alias("slice_value"))))
+    entries = []
+    for name in slices:
+        if name == ALL:
+            entries.append(F.struct(F.lit(ALL).alias("slice"), F.lit("").alias("slice_value")))
+        else:
+            entries.append(F.when(in_slices, F.struct(F.lit(name).alias("slice"), values[name].alias("slice_value"))))
     typed = [e.cast("struct<slice:string,slice_value:string>") for e in entries]
     return F.filter(F.array(*typed), lambda e: e.isNotNull())
 
 
-def label_counts(pairs: DataFrame, slices: bool = True, group_cols: list[str] | None = None) -> DataFrame:
+def label_counts(pairs: DataFrame, slices: tuple[str, ...] = (ALL, *SLICES),
+                 group_cols: list[str] | None = None) -> DataFrame:
     """``(mode, *group_cols, slice, slice_value, label, support, predicted, tp)`` over every label seen."""
     g = list(group_cols or [])
     t, p = F.col("true_type"), F.col("pred_type")
@@ -77,9 +87,7 @@ def label_counts(pairs: DataFrame, slices: bool = True, group_cols: list[str] |
     sides = F.array(
         F.struct(t.alias("label"), F.lit(1).alias("s"), F.lit(0).alias("q"), hit.alias("tp")),
         F.struct(p.alias("label"), F.lit(0).alias("s"), F.lit(1).alias("q"), F.lit(0).alias("tp")))
-    entries = _slice_entries() if slices else F.array(
-        F.struct(F.lit(ALL).alias("slice"), F.lit("").alias("slice_value")))
-    keyed = pairs.select("mode", *g, F.explode(entries).alias("k"), F.inline(sides))
+    keyed = pairs.select("mode", *g, F.explode(_slice_entries(tuple(slices))).alias("k"), F.inline(sides))
     return (keyed.groupBy("mode", *g, F.col("k.slice").alias("slice"), F.col("k.slice_value").alias("slice_value"),
                           "label")
                  .agg(F.sum("s").cast("bigint").alias("support"),
@@ -94,92 +102,61 @@ def _metrics(tp: Column, pred: Column, sup: Column) -> list[Column]:
             F.coalesce(F.try_divide(2.0 * tp, pred + sup), zero).alias("f1")]
 
 
-def per_label_rows(counts: DataFrame, vocabulary: DataFrame, group_cols: list[str] | None = None) -> DataFrame:
-    """Per-label report rows restricted to the vocabulary.
+_ROW = "array<struct<label:string,precision:double,recall:double,f1:double,support:bigint>>"
 
-    The overall slice of every ``(mode, *group_cols)`` lists the whole
-    vocabulary (zeros included): the vocabulary enters as one sorted array
-    (a scalar subquery over a set bounded by the label space) exploded per
-    key, so no join against a constant key is planned.  Slice rows stay sparse.
-    """
-    g = list(group_cols or [])
-    vocab = vocabulary.select(F.col("column_type").alias("label")).distinct()
-    in_vocab = counts.join(F.broadcast(vocab), "label", "left_semi")
-    labels = vocabulary_array(vocabulary)
-    overall = in_vocab.where(F.col("slice") == ALL).drop("slice", "slice_value")
-    listing = (counts.select("mode", *g).distinct()
-                     .select("mode", *g, F.explode(labels).alias("label"))
-                     .join(overall, ["mode", *g, "label"], "left")
-                     .select("mode", *g, F.lit(ALL).alias("slice"), F.lit("").alias("slice_value"), "label",
-                             F.coalesce("support", F.lit(0)).alias("support"),
-                             F.coalesce("predicted", F.lit(0)).alias("predicted"),
-                             F.coalesce("tp", F.lit(0)).alias("tp")))
-    rows = listing.unionByName(in_vocab.where(F.col("slice") != ALL))
-    return rows.select("mode", *g, "slice", "slice_value", "label", "support", "predicted", "tp",
-                       *_metrics(F.col("tp"), F.col("predicted"), F.col("support")))
-
-
-def average_rows(counts: DataFrame, label_rows: DataFrame, vocabulary: DataFrame,
-                 group_cols: list[str] | None = None) -> DataFrame:
-    """macro / weighted / micro averages over the vocabulary and accuracy over all pairs."""
-    n_labels = F.size(vocabulary_array(vocabulary))
-    keys = ["mode", *(group_cols or []), "slice", "slice_value"]
-    sums = label_rows.groupBy(*keys).agg(
-        F.sum("precision").alias("sp"), F.sum("recall").alias("sr"), F.sum("f1").alias("sf"),
-        F.sum(F.col("precision") * F.col("support")).alias("wp"),
-        F.sum(F.col("recall") * F.col("support")).alias("wr"),
-        F.sum(F.col("f1") * F.col("support")).alias("wf"),
-        F.sum("support").alias("sup"), F.sum("predicted").alias("pred"), F.sum("tp").alias("tp"))
-    everything = counts.groupBy(*keys).agg(F.sum("support").alias("n_pairs"), F.sum("tp").alias("n_correct"))
-    j = everything.join(sums, keys, "left").fillna(0, ["sp", "sr", "sf", "wp", "wr", "wf", "sup", "pred", "tp"])
-    zero = F.lit(0.0)
 
-    def wavg(c: str) -> Column:
-        return F.coalesce(F.try_divide(F.col(c), F.col("sup")), zero)
-
-    rows = [
-        F.struct(F.lit("macro avg").alias("label"), (F.col("sp") / n_labels).alias("precision"),
-                 (F.col("sr") / n_labels).alias("recall"), (F.col("sf") / n_labels).alias("f1"),
-                 F.col("sup").alias("support")),
-        F.struct(F.lit("weighted avg").alias("label"), wavg("wp").alias("precision"),
-                 wavg("wr").alias("recall"), wavg("wf").alias("f1"), F.col("sup").alias("support")),
-        F.struct(F.lit("micro avg").alias("label"), *_metrics(F.col("tp"), F.col("pred"), F.col("sup")),
-                 F.col("sup").alias("support")),
-        F.struct(F.lit("accuracy").alias("label"), F.lit(None).cast("double").alias("precision"),
-                 F.lit(None).cast("double").alias("recall"),
-                 F.coalesce(F.try_divide(F.col("n_correct").cast("double"), F.col("n_pairs")), zero).alias("f1"),
-                 F.col("n_pairs").alias("support")),
-    ]
-    return j.select(*keys, F.inline(F.array(*rows)))
-
-
-def classification_report(pairs: DataFrame, vocabulary: DataFrame, slices: bool = True,
+def classification_report(pairs: DataFrame, vocabulary: DataFrame, slices: tuple[str, ...] = (ALL, *SLICES),
                           group_cols: list[str] | None = None) -> DataFrame:
     """``(mode, *group_cols, slice, slice_value, label, precision, recall, f1, support)``.
 
-    The overall slice (``slice = 'all'``) lists the whole vocabulary plus the
-    averages; per-slice rows list the labels seen in the slice and the
-    averages, which still divide by the vocabulary size.
+    Every slice value lists the whole vocabulary (zeros included) and the
+    macro / weighted / micro averages over it, and the accuracy over all pairs.
+    One pass over the label counts: a slice value gathers its vocabulary labels
+    (bounded by the vocabulary; labels outside it are only summed) and emits
+    its rows from there, so nothing is joined back, re-read or checkpointed.
     """
-    g = list(group_cols or [])
-    # the counts are tiny (labels x slice values); materialising them once in the
-    # shared checkpoint folder keeps the three report branches from re-running
-    # parsing and alignment, and cuts the lineage for executor-loss recovery
-    counts = cut_lineage(label_counts(pairs, slices, g))
-    labels = per_label_rows(counts, vocabulary, g)
-    avgs = average_rows(counts, labels, vocabulary, g)
-    out = labels.select("mode", *g, "slice", "slice_value", "label", "precision", "recall", "f1", "support") \
-                .unionByName(avgs)
-    return out.select("mode", *g, "slice", "slice_value", "label",
-                      *[F.round(F.col(c), 6).alias(c) for c in ("precision", "recall", "f1")],
-                      F.col("support").cast("bigint").alias("support"))
+    keys = ["mode", *(group_cols or []), "slice", "slice_value"]
+    vocab = F.coalesce(vocabulary_array(vocabulary), F.array().cast("array<string>"))
+    counts = label_counts(pairs, slices, group_cols).withColumn("known", F.array_contains(vocab, F.col("label")))
+    counts = counts.select(*keys, "label", "support", "predicted", "tp", "known",
+                           *_metrics(F.col("tp"), F.col("predicted"), F.col("support")))
+    known = F.col("known")
+
+    def total(c) -> Column:
+        return F.coalesce(F.sum(F.when(known, c)), F.lit(0))
+
+    per_key = counts.groupBy(*keys).agg(
+        F.collect_list(F.when(known, F.struct("label", "precision", "recall", "f1", "support"))).alias("seen"),
+        *[total(F.col(c)).alias(f"s_{c}") for c in ("precision", "recall", "f1", "support", "predicted", "tp")],
+        *[total(F.col(c) * F.col("support")).alias(f"w_{c}") for c in ("precision", "recall", "f1")],
+        F.sum("support").alias("n_pairs"), F.sum("tp").alias("n_correct"))
+    zero, n_labels = F.lit(0.0), F.size(vocab)
+
+    def row(label: str, precision: Column, recall: Column, f1: Column, support: Column) -> Column:
+        return F.struct(F.lit(label).alias("label"), precision.alias("precision"), recall.alias("recall"),
+                        f1.alias("f1"), support.alias("support"))
+
+    metrics = ("precision", "recall", "f1")
+    averages = F.array(
+        row("macro avg", *[F.coalesce(F.try_divide(F.col(f"s_{c}"), n_labels), zero) for c in metrics], F.col("s_support")),
+        row("weighted avg", *[F.coalesce(F.try_divide(F.col(f"w_{c}"), F.col("s_support")), zero) for c in metrics],
+            F.col("s_support")),
+        row("micro avg", *_metrics(F.col("s_tp"), F.col("s_predicted"), F.col("s_support")), F.col("s_support")),
+        row("accuracy", F.lit(None).cast("double"), F.lit(None).cast("double"),
+            F.coalesce(F.try_divide(F.col("n_correct").cast("double"), F.col("n_pairs")), zero), F.col("n_pairs")))
+    per_key = per_key.withColumn("unseen", F.array_except(vocab, F.col("seen.label")))
+    unseen = F.transform("unseen",
+                         lambda v: F.struct(v.alias("label"), zero.alias("precision"), zero.alias("recall"),
+                                            zero.alias("f1"), F.lit(0).cast("bigint").alias("support")))
+    return per_key.select(*keys, F.inline(F.concat(F.col("seen").cast(_ROW), unseen.cast(_ROW), averages.cast(_ROW))))
 
 
 def not_a_column_type(pairs: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """``(pred_type, n)``: predictions outside the vocabulary (padded mode, truth not null)."""
+    """``(pred_type, n)``: predictions outside the vocabulary (padded mode, truth
+    not null); counted first, so a frequent label meets the join as one row."""
     vocab = vocabulary.select(F.col("column_type").alias("pred_type"))
-    return (pairs.where(F.col("mode") == "padded").join(vocab, "pred_type", "left_anti")
-                 .groupBy("pred_type").agg(F.count(F.lit(1)).alias("n")))
+    counts = pairs.where(F.col("mode") == "padded").groupBy("pred_type").agg(F.count(F.lit(1)).alias("n"))
+    return counts.join(vocab, "pred_type", "left_anti")
 
 
 def num_tables_with_column_at_idx(pairs: DataFrame) -> DataFrame:

@@ -128,8 +128,8 @@ def q_finish_reason_counts(spark, sf):
 
 # --- 2.4 / 2.7 evaluation -----------------------------------------------------------------
 
-def _pairs(spark, sf):
-    return ev.fixture_pairs(spark, sf)
+def _pairs(spark, sf, modes=report.MODES):
+    return ev.fixture_pairs(spark, sf, modes=modes)
 
 
 @query("pad_sequences")
@@ -173,12 +173,16 @@ def q_sparsity_bucket(spark, sf):
 
 @query("label_confusion_counts")
 def q_label_confusion_counts(spark, sf):
-    return report.label_counts(_pairs(spark, sf), slices=False).drop("slice", "slice_value")
+    return report.label_counts(_pairs(spark, sf), (report.ALL,)).drop("slice", "slice_value")
+
+
+def _padded(spark, sf, slice_: str) -> DataFrame:
+    """Padded-mode experiment reports of one slice."""
+    return ev.experiment_report(spark, sf, (slice_,), ("padded",))
 
 
 def _report(spark, sf, mode: str, slice_: str) -> DataFrame:
-    rep = report.classification_report(_pairs(spark, sf), fx.vocabulary(spark), slices=slice_ != "all")
-    return rep.where((F.col("mode") == mode) & (F.col("slice") == slice_))
+    return ev.rounded(report.classification_report(_pairs(spark, sf, (mode,)), fx.vocabulary(spark), (slice_,)))
 
 
 @query("classification_report")
@@ -188,9 +192,7 @@ def q_classification_report(spark, sf):
 
 @query("report_averages")
 def q_report_averages(spark, sf):
-    rep = report.classification_report(_pairs(spark, sf), fx.vocabulary(spark), slices=False)
-    return rep.where(F.col("label").isin("macro avg", "weighted avg", "micro avg", "accuracy")) \
-              .drop("slice", "slice_value")
+    return ev.weighted_f1(spark, sf).drop("slice", "slice_value")
 
 
 for _s in ("idx", "data_type", "sparsity", "num_columns"):
@@ -207,12 +209,12 @@ def q_adjusted_report(spark, sf):
 
 @query("not_a_column_type")
 def q_not_a_column_type(spark, sf):
-    return report.not_a_column_type(_pairs(spark, sf), fx.vocabulary(spark))
+    return report.not_a_column_type(_pairs(spark, sf, ("padded",)), fx.vocabulary(spark))
 
 
 @query("num_tables_with_column_at_idx")
 def q_num_tables_with_column_at_idx(spark, sf):
-    return report.num_tables_with_column_at_idx(_pairs(spark, sf))
+    return report.num_tables_with_column_at_idx(_pairs(spark, sf, ("padded",)))
 
 
 @query("column_count_deviation")
@@ -238,7 +240,7 @@ def q_accuracy_counter(spark, sf):
 from colsense.operators import annotate, gather, linearize, requests as rq, sample  # noqa: E402
 from colsense.functions.text import json_list  # noqa: E402
 
-SEED = 964183484
+SEED = 20260311
 
 
 @query("drop_index_column")
@@ -273,7 +275,7 @@ def q_stringify_unspecified(spark, sf):
 
 @query("strip_header_flag")
 def q_strip_header_flag(spark, sf):
-    exps = ev.experiment_report(spark, sf).select("exp_name").distinct()
+    exps = ev.fixture_evaluated(spark, sf).select("exp_name").distinct()
     return annotate.strip_header_flag(exps)
 
 
@@ -318,13 +320,16 @@ def q_scan_nested_metadata(spark, sf):
 
 @query("header_type_lookup")
 def q_header_type_lookup(spark, sf):
-    unique = q_metadata_substring_match(spark, sf).where(F.col("status") == "ok").select("page_id", "file_key")
+    """Every column with the status of its file's match; without a unique match
+    the key and type are null."""
+    pages = q_metadata_substring_match(spark, sf).select("page_id", "file_key", "status")
     n_pages = fx.read(spark, sf, "pages").select(F.count(F.lit(1))).scalar()
     cols = fx.columns(spark, sf).select("table_id", "col_idx", "header") \
         .withColumn("page_id", F.col("table_id") % n_pages)
-    keyed = cols.join(unique, "page_id")
+    keyed = cols.join(pages, "page_id", "left")
     out = annotate.header_type_lookup(metadata_entries(spark, sf), keyed)
-    return out.select("table_id", "col_idx", "file_key", "column_type", "kind")
+    return out.select("table_id", "col_idx", "file_key", "column_type", "kind",
+                      F.coalesce("status", F.lit("no match")).alias("status"))
 
 
 @query("type_to_datatype_lookup")
@@ -368,40 +373,36 @@ def q_pair_request_response(spark, sf):
 
 @query("match_tables_by_content")
 def q_match_tables_by_content(spark, sf):
-    rows = fx.table_rows(spark, sf)
-    targets, sources = fx.table_copies(rows)
-    ctypes = profile.column_data_type(rows)
-
-    t = annotate.table_fingerprints(targets.withColumnRenamed("copy_id", "table_id"), ctypes) \
-        .withColumnRenamed("table_id", "target_id")
-    src_fp = []
-    for prefix in ("a/", "b/"):
-        part = sources.where(F.col("path").startswith(prefix))
-        fp = annotate.table_fingerprints(part.withColumnRenamed("copy_id", "table_id"), ctypes)
-        src_fp.append(fp.join(part.select(F.col("copy_id").alias("table_id"), "path").distinct(), "table_id"))
-    srcs = src_fp[0].unionByName(src_fp[1]).withColumnRenamed("table_id", "source_id") \
-                    .withColumnRenamed("path", "source_path")
+    """One fingerprint pass over targets and sources; every copy has its own data types."""
+    targets, sources = fx.table_copies(fx.table_rows(spark, sf))
+    copies = targets.unionByName(sources).select(
+        F.struct("copy_id", F.coalesce("path", F.lit("")).alias("path")).alias("table_id"), "row_idx", "cells")
+    fp = annotate.table_fingerprints(copies, profile.column_data_type(copies))
+    shape = ("n_rows", "n_cols", "fp")
+    t = fp.where("table_id.path = ''").select(F.col("table_id.copy_id").alias("target_id"), *shape)
+    srcs = fp.where("table_id.path <> ''").select(F.col("table_id.copy_id").alias("source_id"),
+                                                  F.col("table_id.path").alias("source_path"), *shape)
     return annotate.match_tables_by_content(t, srcs)
 
 
 def _indexed(spark, sf):
     ann = annotate.drop_unannotated_tables(fx.columns(spark, sf)).select("table_id").distinct()
-    return sample.shuffle_limit_reindex(ann, 803270735, None)
+    return sample.shuffle_limit_reindex(ann, 20260312, None)
 
 
 @query("sample_examples")
 def q_sample_examples(spark, sf):
-    return sample.sample_examples(_indexed(spark, sf), 1, 613907351)
+    return sample.sample_examples(_indexed(spark, sf), 1, 20260313)
 
 
 @query("self_excluding_example_pairs")
 def q_self_excluding_example_pairs(spark, sf):
-    return sample.sample_examples(_indexed(spark, sf), 3, 613907351)
+    return sample.sample_examples(_indexed(spark, sf), 3, 20260313)
 
 
 @query("discover_experiments")
 def q_discover_experiments(spark, sf):
-    return gather.discover_experiments(ev.experiment_report(spark, sf))
+    return gather.discover_experiments(ev.fixture_evaluated(spark, sf))
 
 
 @query("label_vocabulary")
@@ -444,12 +445,12 @@ def q_corpus_concat(spark, sf):
 @query("shuffle_limit_reindex")
 def q_shuffle_limit_reindex(spark, sf):
     ann = annotate.drop_unannotated_tables(fx.columns(spark, sf)).select("table_id").distinct()
-    return sample.shuffle_limit_reindex(ann, 803270735, 500)
+    return sample.shuffle_limit_reindex(ann, 20260312, 500)
 
 
 @query("aligned_shuffle")
 def q_aligned_shuffle(spark, sf):
-    out = sample.aligned_shuffle(fx.instances(spark, sf), 803270735, "table_id", ["true_types", "data_types"])
+    out = sample.aligned_shuffle(fx.instances(spark, sf), 20260312, "table_id", ["true_types", "data_types"])
     return out.select("table_id", _joined(F.col("true_types")).alias("true_types"),
                       _joined(F.col("data_types")).alias("data_types"))
 
@@ -469,13 +470,13 @@ def q_sample_rows_aligned(spark, sf):
 
 @query("sample_columns")
 def q_sample_columns(spark, sf):
-    out = sample.sample_columns(fx.instances(spark, sf), 5, 859962185, lists=("true_types", "data_types"))
+    out = sample.sample_columns(fx.instances(spark, sf), 5, 20260314, lists=("true_types", "data_types"))
     return out.select("table_id", F.array_join(F.col("kept_cols").cast("array<string>"), ",").alias("kept_cols"),
                       _joined(F.col("true_types")).alias("true_types"))
 
 
 def _instance_labels_with_examples(spark, sf):
-    ex = sample.sample_examples(_indexed(spark, sf), 1, 613907351)
+    ex = sample.sample_examples(_indexed(spark, sf), 1, 20260313)
     inst = fx.instances(spark, sf).select("table_id", "true_types")
     ex_labels = ex.join(inst.select(F.col("table_id").alias("example_id"),
                                     F.col("true_types").alias("ex_types")), "example_id")
@@ -487,7 +488,7 @@ def _instance_labels_with_examples(spark, sf):
 @query("candidate_vocabulary")
 def q_candidate_vocabulary(spark, sf):
     vocab = annotate.vocabulary_array(fx.vocabulary(spark))
-    out = sample.candidate_vocabulary(_instance_labels_with_examples(spark, sf), vocab, 10, 859962185)
+    out = sample.candidate_vocabulary(_instance_labels_with_examples(spark, sf), vocab, 10, 20260314)
     return out.select("table_id", _joined(F.col("candidates")).alias("candidates"))
 
 
@@ -513,12 +514,12 @@ def q_rolling_request_budget(spark, sf):
 
 @query("f1_ranking")
 def q_f1_ranking(spark, sf):
-    return gather.f1_ranking(ev.experiment_report(spark, sf))
+    return gather.f1_ranking(_padded(spark, sf, "all")).withColumn("f1", F.round("f1", 6))
 
 
 @query("metric_series")
 def q_metric_series(spark, sf):
-    return gather.metric_series(ev.experiment_report(spark, sf), "idx")
+    return gather.metric_series(_padded(spark, sf, "idx"), "idx").withColumn("wf1", F.round("wf1", 6))
 
 
 # =====================================================================================
@@ -578,7 +579,7 @@ def prompts(spark, sf) -> DataFrame:
     """Per table: linearized table, example messages, vocabulary list -> chat request."""
     names = fx.table_names(spark, sf)
     rows = fx.table_rows(spark, sf)
-    inst = fx.instances(spark, sf)
+    inst = fx.instances(spark, sf).where(F.exists("true_types", lambda x: x.isNotNull()))
     table_text = linearize.linearize_csv(sample.sample_rows(rows, 3, SEED), names).join(
         names.select("table_id", "table_name"), "table_id").select(
         "table_id", linearize.fill_table_template(linearize.DEFAULT_TABLE_TEMPLATE, F.col("table_name"),
@@ -596,7 +597,7 @@ def prompts(spark, sf) -> DataFrame:
         linearize.fill_table_template(linearize.DEFAULT_TABLE_TEMPLATE, F.col("table_name"),
                                       F.col("table_text")).alias("ex_table"),
         json_list(F.col("labels")).alias("ex_types"))
-    pairs = sample.sample_examples(_indexed(spark, sf), 1, 613907351).join(ex_text, "example_id")
+    pairs = sample.sample_examples(_indexed(spark, sf), 1, 20260313).join(ex_text, "example_id")
     examples = pairs.groupBy("table_id").agg(F.flatten(F.transform(
         F.array_sort(F.collect_list(F.struct("j", "ex_table", "ex_types"))),
         lambda e: linearize.example_messages(e["ex_table"], e["ex_types"]))).alias("examples"))
@@ -696,28 +697,28 @@ def q_densify_sparse_cells(spark, sf):
 
 @query("round_score")
 def q_round_score(spark, sf):
-    w = gather.weighted_f1(ev.experiment_report(spark, sf))
+    w = gather.weighted_f1(_padded(spark, sf, "all"))
     return w.select("dataset", "exp_name", gather.round_score(F.col("wf1")).alias("wf1"))
 
 
 @query("main_results_pivot")
 def q_main_results_pivot(spark, sf):
-    return gather.main_results_pivot(ev.experiment_report(spark, sf), fx.DATASETS)
+    return gather.main_results_pivot(_padded(spark, sf, "all"), fx.DATASETS)
 
 
 @query("data_type_pivot")
 def q_data_type_pivot(spark, sf):
-    return gather.data_type_pivot(ev.experiment_report(spark, sf), fx.DATASETS)
+    return gather.data_type_pivot(_padded(spark, sf, "data_type"), fx.DATASETS)
 
 
 @query("f1_by_num_columns")
 def q_f1_by_num_columns(spark, sf):
-    return gather.metric_series(ev.experiment_report(spark, sf), "num_columns")
+    return gather.metric_series(_padded(spark, sf, "num_columns"), "num_columns").withColumn("wf1", F.round("wf1", 6))
 
 
 @query("f1_by_sparsity")
 def q_f1_by_sparsity(spark, sf):
-    return gather.metric_series(ev.experiment_report(spark, sf), "sparsity")
+    return gather.metric_series(_padded(spark, sf, "sparsity"), "sparsity").withColumn("wf1", F.round("wf1", 6))
 
 
 # =====================================================================================
@@ -817,7 +818,7 @@ def q_sink_results(spark, sf):
 def q_overwrite_stage_output(spark, sf):
     """Write every experiment, then rewrite one dataset's partitions only."""
     path = sinks.scratch_path(spark, "stage")
-    rep = ev.experiment_report(spark, sf).where(F.col("slice") == "all")
+    rep = ev.experiment_report(spark, sf, (report.ALL,))
     sinks.sink_results(rep, path, ["dataset", "exp_name"])
     redo = rep.where((F.col("dataset") == "corpus_0") & (F.col("mode") == "adjusted"))
     sinks.overwrite_stage_output(redo, path, ["dataset", "exp_name"])

@@ -30,24 +30,33 @@ def evaluated_tables(instances: DataFrame, predictions: DataFrame, sparsity: Dat
 
 
 def fixture_evaluated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    inst = fx.instances(spark, sf_dir)
+    """Tables without any label are not evaluated."""
+    inst = fx.instances(spark, sf_dir).where(F.exists("true_types", lambda x: x.isNotNull()))
     preds = parse.parse_predictions(fx.responses(spark, sf_dir))
     sp = profile.table_sparsity(fx.table_rows(spark, sf_dir))
     return evaluated_tables(inst, preds, sp).select("*", *fx.experiment_columns(F.col("table_id")))
 
 
-def experiment_report(spark: SparkSession, sf_dir: str, cap: int = ADJUST_UP_TO) -> DataFrame:
-    """Reports of every (dataset, experiment), all slices, both modes."""
+def experiment_report(spark: SparkSession, sf_dir: str, slices: tuple[str, ...] = (report.ALL, *report.SLICES),
+                      modes: tuple[str, ...] = report.MODES, cap: int = ADJUST_UP_TO) -> DataFrame:
+    """Reports of every (dataset, experiment) for the wanted slices and modes."""
     keys = ["dataset", "exp_name"]
-    pairs = report.both_modes(fixture_evaluated(spark, sf_dir), cap, keep=keys)
-    return report.classification_report(pairs, fx.vocabulary(spark), slices=True, group_cols=keys)
+    pairs = report.both_modes(fixture_evaluated(spark, sf_dir), cap, keep=keys, modes=modes)
+    return report.classification_report(pairs, fx.vocabulary(spark), slices, group_cols=keys)
 
 
-def fixture_pairs(spark: SparkSession, sf_dir: str, cap: int = ADJUST_UP_TO) -> DataFrame:
-    return report.both_modes(fixture_evaluated(spark, sf_dir), cap)
+def fixture_pairs(spark: SparkSession, sf_dir: str, cap: int = ADJUST_UP_TO,
+                  modes: tuple[str, ...] = report.MODES) -> DataFrame:
+    return report.both_modes(fixture_evaluated(spark, sf_dir), cap, modes=modes)
 
 
 def weighted_f1(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flagship: the overall report averages of both modes."""
-    rep = report.classification_report(fixture_pairs(spark, sf_dir), fx.vocabulary(spark), slices=False)
-    return rep.where(F.col("label").isin("macro avg", "weighted avg", "micro avg", "accuracy"))
+    rep = report.classification_report(fixture_pairs(spark, sf_dir), fx.vocabulary(spark), (report.ALL,))
+    rep = rep.where(F.col("label").isin("macro avg", "weighted avg", "micro avg", "accuracy"))
+    return rounded(rep)
+
+
+def rounded(rep: DataFrame, places: int = 6) -> DataFrame:
+    """Metrics rounded for display; operators keep full precision."""
+    return rep.withColumns({c: F.round(c, places) for c in ("precision", "recall", "f1")})

@@ -140,7 +140,7 @@ def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     pred = (F.when(v == 1, F.filter(truth, lambda x, i: i != drop_at))
              .when(v == 2, F.filter(truth, lambda x, i: (i != 0) & (i != 2)))
              .when(v == 3, F.concat(F.array(F.lit("quantity")), truth))
-             .when(v == 4, F.concat(F.array(truth[1], truth[0]), F.slice(truth, 3, 100000)))
+             .when(v == 4, F.concat(F.array(truth[1], truth[0]), F.slice(truth, F.lit(3), F.size(truth))))
              .when(v == 9, F.concat(F.slice(truth, 1, nc - 1), F.array(F.lit("not.a.type"))))
              .otherwise(truth))
     text = F.when(v == 9, _json_list(pred, " ")).otherwise(_json_list(pred))
@@ -304,7 +304,7 @@ def table_copies(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """
     o = F.col("table_id")
     changed = F.when((o % 14 == 0) & (F.col("row_idx") == 0),
-                     F.concat(F.array(F.lit("changed")), F.slice("cells", 2, 1 << 30))).otherwise(F.col("cells"))
+                     F.concat(F.array(F.lit("changed")), F.slice("cells", F.lit(2), F.size("cells")))).otherwise(F.col("cells"))
     targets = rows.where(o % 2 == 0).select(o.alias("copy_id"), "row_idx", changed.alias("cells"),
                                             F.lit(None).cast("string").alias("path"))
     src_a = rows.select(o.alias("copy_id"), "row_idx", "cells",

@@ -124,7 +124,8 @@ cte("fx_sparsity", ("fx_rows",), f"""
 cte("fx_evaluated", ("fx_instances", "fx_preds", "fx_sparsity"), """
   SELECT i.table_id, i.true_types, i.data_types, p.pred_types, s.sparsity
   FROM fx_instances i JOIN fx_preds p ON p.request_id = i.table_id
-  LEFT JOIN fx_sparsity s ON s.table_id = i.table_id""")
+  LEFT JOIN fx_sparsity s ON s.table_id = i.table_id
+  WHERE len(list_filter(i.true_types, lambda x: x IS NOT NULL)) > 0""")
 
 # alignment by brute force over every gap combination (the oracle for the linear-time search)
 cte("fx_dims", ("fx_evaluated",), """
@@ -210,13 +211,11 @@ cte("fx_label_rows", ("fx_label_counts", "fx_vocabulary"), """
          coalesce(tp / nullif(support, 0), 0.0) AS recall,
          coalesce(2.0 * tp / nullif(predicted + support, 0), 0.0) AS f1
   FROM (
-    SELECT m.mode, 'all' AS slice, '' AS slice_value, v.column_type AS label,
+    SELECT m.mode, m.slice, m.slice_value, v.column_type AS label,
            coalesce(c.support, 0) AS support, coalesce(c.predicted, 0) AS predicted, coalesce(c.tp, 0) AS tp
-    FROM fx_vocabulary v CROSS JOIN (SELECT DISTINCT mode FROM fx_label_counts) m
-    LEFT JOIN fx_label_counts c ON c.mode = m.mode AND c.slice = 'all' AND c.label = v.column_type
-    UNION ALL
-    SELECT mode, slice, slice_value, label, support, predicted, tp FROM fx_label_counts
-    WHERE slice <> 'all' AND label IN (SELECT column_type FROM fx_vocabulary))""")
+    FROM fx_vocabulary v CROSS JOIN (SELECT DISTINCT mode, slice, slice_value FROM fx_label_counts) m
+    LEFT JOIN fx_label_counts c ON c.mode = m.mode AND c.slice = m.slice
+      AND c.slice_value IS NOT DISTINCT FROM m.slice_value AND c.label = v.column_type)""")
 
 cte("fx_report", ("fx_label_rows", "fx_label_counts", "fx_vocabulary"), """
   SELECT mode, slice, slice_value, label, round(precision, 6) AS precision, round(recall, 6) AS recall,

@@ -5,10 +5,10 @@ from __future__ import annotations
 from oracle.fixtures_sql import CTES, NA_TOKENS, VOCAB, cte, with_fixtures as W
 from oracle.queries_sql import SQL, joined, numeric_ok
 
-SEED_ROWS = 964183484
-SEED_SHUFFLE = 803270735
-SEED_EXAMPLES = 613907351
-SEED_PREP = 859962185
+SEED_ROWS = 20260311
+SEED_SHUFFLE = 20260312
+SEED_EXAMPLES = 20260313
+SEED_PREP = 20260314
 TOKEN_RE = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]"
 
 
@@ -185,17 +185,16 @@ cte("fx_label_rows_g", ("fx_label_counts_g", "fx_vocabulary"), """
          coalesce(tp / nullif(support, 0), 0.0) AS recall,
          coalesce(2.0 * tp / nullif(predicted + support, 0), 0.0) AS f1
   FROM (
-    SELECT m.mode, m.dataset, m.exp_name, 'all' AS slice, '' AS slice_value, v.column_type AS label,
+    SELECT m.mode, m.dataset, m.exp_name, m.slice, m.slice_value, v.column_type AS label,
            coalesce(c.support, 0) AS support, coalesce(c.predicted, 0) AS predicted, coalesce(c.tp, 0) AS tp
-    FROM fx_vocabulary v CROSS JOIN (SELECT DISTINCT mode, dataset, exp_name FROM fx_label_counts_g) m
+    FROM fx_vocabulary v
+    CROSS JOIN (SELECT DISTINCT mode, dataset, exp_name, slice, slice_value FROM fx_label_counts_g) m
     LEFT JOIN fx_label_counts_g c ON c.mode = m.mode AND c.dataset = m.dataset AND c.exp_name = m.exp_name
-                                   AND c.slice = 'all' AND c.label = v.column_type
-    UNION ALL
-    SELECT mode, dataset, exp_name, slice, slice_value, label, support, predicted, tp FROM fx_label_counts_g
-    WHERE slice <> 'all' AND label IN (SELECT column_type FROM fx_vocabulary))""")
+      AND c.slice = m.slice AND c.slice_value IS NOT DISTINCT FROM m.slice_value AND c.label = v.column_type)""")
 cte("fx_report_g", ("fx_label_rows_g", "fx_label_counts_g", "fx_vocabulary"),
     CTES["fx_report"][1].replace("fx_label_rows", "fx_label_rows_g").replace("fx_label_counts", "fx_label_counts_g")
     .replace("SELECT mode, slice, slice_value, label, round", "SELECT mode, dataset, exp_name, slice, slice_value, label, round")
+    .replace("round(precision, 6) AS ", "").replace("round(recall, 6) AS ", "").replace("round(f1, 6) AS ", "")
     .replace("SELECT mode, slice, slice_value, label, precision", "SELECT mode, dataset, exp_name, slice, slice_value, label, precision")
     .replace("SELECT e.mode, e.slice", "SELECT e.mode, e.dataset, e.exp_name, e.slice")
     .replace("SELECT mode, slice, slice_value, sum(support)", "SELECT mode, dataset, exp_name, slice, slice_value, sum(support)")
@@ -250,9 +249,9 @@ SQL["metadata_substring_match"] = W("SELECT * FROM fx_match", "fx_match")
 SQL["scan_nested_metadata"] = W("SELECT * FROM fx_meta", "fx_meta")
 
 SQL["header_type_lookup"] = W("""
-SELECT c.table_id, c.col_idx, u.file_key, m.column_type, m.kind
+SELECT c.table_id, c.col_idx, u.file_key, m.column_type, m.kind, coalesce(u.status, 'no match') AS status
 FROM (SELECT table_id, col_idx, header, table_id % (SELECT count(*) FROM pages) AS page_id FROM fx_columns) c
-JOIN (SELECT page_id, file_key FROM fx_match WHERE status = 'ok') u USING (page_id)
+LEFT JOIN (SELECT page_id, file_key, status FROM fx_match) u USING (page_id)
 LEFT JOIN (SELECT file_key, header,
                   arg_max(column_type, CASE WHEN kind = 'numerical_cols' THEN 1 ELSE 0 END) AS column_type,
                   arg_max(kind, CASE WHEN kind = 'numerical_cols' THEN 1 ELSE 0 END) AS kind
@@ -279,14 +278,6 @@ FROM (SELECT table_id AS id FROM fx_tables) q
 FULL OUTER JOIN (SELECT request_id AS id FROM fx_responses WHERE json_extract(body, '$.choices') IS NOT NULL) s
   ON q.id = s.id""", "fx_tables", "fx_responses")
 
-cte("mt_ct", ("fx_rows",), f"""
-  SELECT table_id, sha256(array_to_string(list(data_type ORDER BY col_idx), ',')) AS t
-  FROM (SELECT table_id, k AS col_idx,
-               CASE WHEN bool_and(ok) THEN 'numerical' ELSE 'non-numerical' END AS data_type
-        FROM (SELECT table_id, unnest(range(len(cells))) AS k, unnest(cells) AS v FROM fx_rows)
-        CROSS JOIN LATERAL (SELECT {numeric_ok('v')} AS ok)
-        GROUP BY table_id, k)
-  GROUP BY table_id""")
 cte("mt_copies", ("fx_rows",), """
   SELECT 't' AS side, table_id, row_idx, CASE WHEN table_id % 14 = 0 AND row_idx = 0
                                              THEN list_concat(['changed'], cells[2:]) ELSE cells END AS cells,
@@ -295,13 +286,22 @@ cte("mt_copies", ("fx_rows",), """
   UNION ALL SELECT 's', table_id, row_idx, cells, 'a/' || CAST(table_id AS VARCHAR) || '.csv' FROM fx_rows
   UNION ALL SELECT 's', table_id, row_idx, cells, 'b/' || CAST(table_id AS VARCHAR) || '.csv' FROM fx_rows
             WHERE table_id % 10 = 0""")
+cte("mt_ct", ("mt_copies",), f"""
+  SELECT side, table_id, path, array_to_string(list(data_type ORDER BY col_idx), ',') AS t
+  FROM (SELECT side, table_id, path, k AS col_idx,
+               CASE WHEN bool_and(ok) THEN 'numerical' ELSE 'non-numerical' END AS data_type
+        FROM (SELECT side, table_id, path, unnest(range(len(cells))) AS k, unnest(cells) AS v FROM mt_copies)
+        CROSS JOIN LATERAL (SELECT {numeric_ok('v')} AS ok)
+        GROUP BY side, table_id, path, k)
+  GROUP BY side, table_id, path""")
 cte("mt_fp", ("mt_copies",), """
   SELECT side, table_id, path, count(*) AS n_rows, max(len(cells)) AS n_cols,
-         CAST(sum(('0x' || substr(sha256(CAST(row_idx AS VARCHAR) || '|' || array_to_string(list_transform(cells,
-             lambda x: CASE WHEN x IS NULL THEN '∅' ELSE CAST(length(x) AS VARCHAR) || ':' || x END), ';')), 1, 15))
-             ::BIGINT) AS VARCHAR) AS hs
+         list(cells ORDER BY row_idx) AS content
   FROM mt_copies GROUP BY side, table_id, path""")
-cte("mt_fp2", ("mt_fp", "mt_ct"), "SELECT mt_fp.*, sha256(hs || '|' || mt_ct.t) AS fp FROM mt_fp JOIN mt_ct USING (table_id)")
+cte("mt_fp2", ("mt_fp", "mt_ct"), """
+  SELECT f.side, f.table_id, f.path, f.n_rows, f.n_cols, sha256(CAST(f.content AS VARCHAR) || '|' || c.t) AS fp
+  FROM mt_fp f JOIN mt_ct c ON c.side = f.side AND c.table_id = f.table_id AND c.path IS NOT DISTINCT FROM f.path""")
+
 SQL["match_tables_by_content"] = W("""
 SELECT t.table_id AS target_id, arg_min(s.table_id, s.path) AS source_id, min(s.path) AS source_path
 FROM mt_fp2 t JOIN mt_fp2 s ON t.side = 't' AND s.side = 's' AND t.n_rows = s.n_rows AND t.n_cols = s.n_cols AND t.fp = s.fp
@@ -403,7 +403,7 @@ LEFT JOIN rb_log q ON (q.started_at < r.started_at OR (q.started_at = r.started_
 GROUP BY r.request_id""", "fx_models", "rb_log")
 
 SQL["f1_ranking"] = W("""
-SELECT dataset, exp_name, label, f1,
+SELECT dataset, exp_name, label, round(f1, 6) AS f1,
        row_number() OVER (PARTITION BY dataset, exp_name ORDER BY f1 DESC, label) AS rank
 FROM fx_report_g WHERE mode = 'padded' AND slice = 'all'
   AND label NOT IN ('macro avg', 'weighted avg', 'micro avg', 'accuracy')""", "fx_report_g")
@@ -411,7 +411,7 @@ FROM fx_report_g WHERE mode = 'padded' AND slice = 'all'
 
 def series(slice_: str) -> str:
     return W(f"""
-SELECT dataset, exp_name, CAST(slice_value AS DOUBLE) AS x, wf1,
+SELECT dataset, exp_name, CAST(slice_value AS DOUBLE) AS x, round(wf1, 6) AS wf1,
        row_number() OVER (PARTITION BY dataset, exp_name ORDER BY CAST(slice_value AS DOUBLE)) AS pos
 FROM fx_wf1 WHERE slice = '{slice_}'""", "fx_wf1")
 
@@ -507,7 +507,7 @@ FROM (SELECT table_id, list_transform(string_split(replace(array_to_string(
 
 SQL["max_tokens_for_truth"] = W(f"""
 SELECT table_id AS request_id, {tokens("'[' || array_to_string(list_transform(true_types, lambda x: '\"' || coalesce(x, 'unspecified') || '\"'), ', ') || ']'")} + 100 AS max_tokens
-FROM fx_instances""", "fx_instances")
+FROM fx_instances WHERE len(list_filter(true_types, lambda x: x IS NOT NULL)) > 0""", "fx_instances")
 
 # --- request accounting -----------------------------------------------------------------------
 
