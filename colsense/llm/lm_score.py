@@ -13,10 +13,15 @@ Grams are dealt by their last BASE context bytes, below which the tree falls
 apart into independent subtrees: one pass weighs the subtrees bottom-up and sums
 what the nodes above need, the driver finishes the depths above BASE (at most
 256^BASE * 255 nodes whatever the input), and a second pass carries the mixture
-down and turns each node into one number, its decision's probability of a one
-when no deeper node is known.  Those numbers are kept in SLOTS slots a depth, by
-hash, the node seen more often winning a slot: a table of fixed size, which is
-broadcast.  A decision reads its deepest known node.
+down to every node: its decision's probability of a one when no deeper node is
+known.  A decision reads its deepest known node, and all nodes of a gram deeper
+than BASE stand in its subtree, so that pass gives every distinct gram of the
+corpus, held-out ones too, its log probability; no node is left out.
+
+Those numbers are a table that grows with the input.  It is dealt into as many
+buckets as there are chunks of texts, by hash of the gram; a chunk asks each
+bucket for its distinct grams, as one compressed row, and gets their numbers (as
+32-bit floats) back the same way.
 
 The base score needs the training count of every word of a text.  Texts are
 staged in chunks of about CHUNK_BYTES; each chunk's distinct words get their
@@ -45,7 +50,7 @@ from .common import BLANKS, U64, crc_mod, distinct, hash_words, map_groups, mix,
 
 DEPTH = 5  # a gram and a text's number share 64 bits
 BASE = 3
-SLOTS = [min(1 << 21, 1 << (8 * d + 8)) for d in range(DEPTH + 1)]
+SLOTS = [1 << (8 * d + 8) for d in range(2)]  # depths whose nodes stand at their id, the others are sorted
 CHUNK_BYTES = 24 << 20
 SLICE_BYTES = 3 << 20
 MERGE_GRAMS = 4 << 20
@@ -147,35 +152,46 @@ def _mixed(levels, weights, start_s, start_a, first_depth: int):
         s, a = s + a * weights[i] * p, a * (1 - weights[i])
 
 
-def _slot(ids: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Place in a depth's slots, and 16 bits that tell nodes of one slot apart."""
-    h = mix(ids + U64(0x51ED27))
-    return (h % U64(SLOTS[depth])).astype(np.int64), ((h >> U64(47)) & U64(0xFFFF)).astype(np.int64)
+def _buckets(g: np.ndarray, buckets: int) -> np.ndarray:
+    return (mix(g + U64(0x51ED27)) % U64(buckets)).astype(np.int64)
+
+
+def _pack(a: np.ndarray) -> bytes:
+    """Numbers byte by byte (all first bytes, all second ones), compressed."""
+    return zstandard.compress(np.ascontiguousarray(a.view(np.uint8).reshape(len(a), a.itemsize).T).tobytes(), 3)
+
+
+def _unpack(blob: bytes, dtype) -> np.ndarray:
+    raw = np.frombuffer(zstandard.decompress(blob), np.uint8).reshape(np.dtype(dtype).itemsize, -1)
+    return np.ascontiguousarray(raw.T).view(dtype).ravel()
+
+
+def _pack_grams(g: np.ndarray) -> bytes:
+    return _pack(np.diff(g, prepend=U64(0)))
 
 
-def _packed(n: np.ndarray, check: np.ndarray, q: np.ndarray) -> np.ndarray:
-    """One number a node, so that the largest of a slot is the node seen most:
-    its count, 16 bits of check and 16 of its probability (never 0)."""
-    at = np.clip(np.rint(q * 65536), 1, 65535).astype(np.int64)
-    return (np.minimum(n, (1 << 30) - 1).astype(np.int64) << 32) | (check << 16) | at
+def _unpack_grams(blob: bytes) -> np.ndarray:
+    return np.cumsum(_unpack(blob, U64), dtype=U64)
 
 
-def train(texts: DataFrame) -> list[np.ndarray]:
-    """Per depth the slots: check and probability of the node in each."""
+def train(texts: DataFrame, buckets: int) -> DataFrame:
+    """(bucket, gram, log): the log10 probability of each distinct gram of all texts."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size, sums = [], 0, (np.empty(0, U64), np.empty(0, np.int64))
+        learned, other, size, sums = [], [], 0, (np.empty(0, U64), np.empty(0, np.int64))
 
         def merged():
-            u, c = np.unique(np.concatenate(held), return_counts=True) if held else sums
-            return _sum_by(np.concatenate([sums[0], u]), np.concatenate([sums[1], c])) if held else sums
+            u, c = _counts_of(learned, other)
+            return _sum_by(np.concatenate([sums[0], u]), np.concatenate([sums[1], c]))
 
         for s in opened(batches):
-            part = [coded(t) for t, out in zip(s.texts(), s.held) if not out]
-            if part:
-                held.append(grams(part))
-                size += len(held[-1])
+            raw = s.texts()
+            for held, to in ((False, learned), (True, other)):
+                part = [coded(t) for t, out in zip(raw, s.held) if out == held]
+                if part:
+                    to.append(grams(part))
+                    size += len(to[-1])
             if size >= MERGE_GRAMS:
-                sums, held, size = merged(), [], 0
+                sums, learned, other, size = merged(), [], [], 0
         u, c = merged()
         for i in range(0, len(u), 100_000):
             yield pa.RecordBatch.from_pydict({"gram": u[i : i + 100_000].view(np.int64), "n": c[i : i + 100_000]})
@@ -191,7 +207,7 @@ def train(texts: DataFrame) -> list[np.ndarray]:
         ids, n0, n1, logs = _sum_by(ids & _low(8 * BASE), n0, n1, logs[0])
         yield {"id": ids.view(np.int64), "n0": n0, "n1": n1, "below": logs}
 
-    top = (map_groups(dealt, ["root"], up, "id long, n0 double, n1 double, below double", together=True)
+    top = (map_groups(dealt.where("n > 0"), ["root"], up, "id long, n0 double, n1 double, below double", together=True)
            .groupBy("id").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.sum("below").alias("below")).toArrow())
     ids, n0, n1, kids = (top.column(i).to_numpy() for i in range(4))
     order = np.argsort(ids.view(U64))
@@ -205,42 +221,42 @@ def train(texts: DataFrame) -> list[np.ndarray]:
             below = np.searchsorted(levels[d - 1][0], levels[d][0] & _low(8 * d)), log
     found = list(_mixed(levels, weights, np.zeros(len(levels[0][0])), np.ones(len(levels[0][0])), 0))
     last = found[-1]
-    above = texts.sparkSession.sparkContext.broadcast((last[1], last[4], last[5]))
+    first = [np.zeros(k) for k in SLOTS]
+    for d, known in enumerate(first):
+        known[found[d][1].astype(np.int64)] = found[d][2]
+    above = texts.sparkSession.sparkContext.broadcast((first, [(f[1], f[2]) for f in found[len(SLOTS) :]], (last[1], last[4], last[5])))
 
     def down(g):
-        levels, _, weights = _subtrees(g["gram"].astype(np.int64).view(U64), g["n"].astype(np.float64))
-        ids, s, a = above.value
+        gram, n = g["gram"].astype(np.int64).view(U64), g["n"].astype(np.float64)
+        levels, _, weights = _subtrees(gram[n > 0], n[n > 0])
+        first, deeper, (ids, s, a) = above.value
         at = np.searchsorted(ids, levels[0][0] & _low(8 * BASE))
-        for depth, ids_, q, n, _, _ in _mixed(levels, weights, s[at], a[at], BASE):
-            slot, check = _slot(ids_, depth)
-            yield {"slot": (slot << 4) | depth, "best": _packed(n, check, q)}
-
-    kept = map_groups(dealt, ["root"], down, "slot long, best long", together=True).groupBy("slot").agg(F.max("best").alias("best"))
-    model = [np.zeros(k, np.uint32) for k in SLOTS]
-    for depth, ids_, q, n, _, _ in found:
-        slot, check = _slot(ids_, depth)
-        best = _packed(n, check, q)
-        order = np.argsort(best)
-        model[depth][slot[order]] = best[order] & 0xFFFFFFFF
-    for b in kept.toArrow().to_batches():
-        slot, best = b.column(0).to_numpy(), b.column(1).to_numpy()
-        for d in range(BASE, DEPTH + 1):
-            at = (slot & 15) == d
-            model[d][slot[at] >> 4] = best[at] & 0xFFFFFFFF
-    return model
-
-
-def gram_logs(g: np.ndarray, model) -> np.ndarray:
-    """log10 probability of each gram's last byte after its context."""
+        deeper = deeper + [(ids_, q) for _, ids_, q, _, _, _ in _mixed(levels, weights, s[at], a[at], BASE)]
+        yield {"bucket": _buckets(gram, buckets), "gram": gram.view(np.int64), "log": gram_logs(gram, first, deeper)}
+
+    return map_groups(dealt, ["root"], down, "bucket long, gram long, log double", together=True)
+
+
+def gram_logs(g: np.ndarray, model, deeper=()) -> np.ndarray:
+    """log10 probability of each gram's last byte after its context.  model: for
+    the first depths the probability at each node id, 0 for an unknown node;
+    deeper: the sorted ids and the probabilities of the depths that follow."""
     total = np.zeros(len(g))
     for ids, ones in _decisions(g):
         p = np.full(len(g), 0.5)
         left = np.arange(len(g))
-        for d in range(DEPTH, -1, -1):
-            slot, check = _slot(ids[left] & _low(8 * d + 8), d)
-            v = model[d][slot]
-            known = (v >> 16 == check) & (v > 0)
-            p[left[known]] = (v[known] & 0xFFFF) / 65536
+        for d in range(len(model) + len(deeper) - 1, -1, -1):
+            node = ids[left] & _low(8 * d + 8)
+            if d < len(model):
+                v = model[d][node.astype(np.int64)]
+                known = v > 0
+            else:
+                have, q = deeper[d - len(model)]
+                if not len(have):
+                    continue
+                at = np.minimum(np.searchsorted(have, node), len(have) - 1)
+                known, v = have[at] == node, q[at]
+            p[left[known]] = v[known]
             left = left[~known]
             if not len(left):
                 break
@@ -249,9 +265,50 @@ def gram_logs(g: np.ndarray, model) -> np.ndarray:
     return total
 
 
-def text_scores(texts: list[bytes], model) -> np.ndarray:
-    """log10 probability of each text, fewer than 2^16 at a time: a gram and the
-    number of its text are sorted as one number."""
+def _asked(buckets: int):
+    """(bucket, chunk, grams): the distinct grams of a chunk, a row per bucket;
+    a chunk that two tasks read asks twice."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+
+        def rows():
+            g = distinct(np.concatenate(held))
+            to = _buckets(g, buckets)
+            order = np.argsort(to, kind="stable")
+            g, to = g[order], to[order]
+            at = np.append(np.flatnonzero(np.append(True, to[1:] != to[:-1])), len(to))
+            yield pa.RecordBatch.from_pydict({"bucket": to[at[:-1]], "chunk": np.full(len(at) - 1, now, np.int64),
+                                              "grams": pa.array([_pack_grams(g[a:b]) for a, b in zip(at[:-1], at[1:])], pa.binary())})
+
+        for s in opened(batches):
+            if s.chunk != now:
+                if now is not None:
+                    yield from rows()
+                now, held = s.chunk, []
+            held.append(distinct(grams([coded(t) for t in s.texts()])))
+        if now is not None:
+            yield from rows()
+    return run
+
+
+REPLIES = "chunk long, word long, c long, blob binary"
+
+
+def _answer(left: pa.Table, right: pa.Table) -> pa.Table:
+    """The numbers of a bucket's grams to all that ask; c is the length of the grams in the blob."""
+    g = left.column("gram").to_numpy().view(U64)
+    order = np.argsort(g)
+    g, log = g[order], left.column("log").to_numpy()[order].astype(np.float32)
+    asked = right.column("grams").to_pylist()
+    blobs = [a + _pack(log[np.searchsorted(g, _unpack_grams(a))]) for a in asked]
+    return pa.table([right.column("chunk").cast(pa.int64()), pa.nulls(len(asked), pa.int64()), pa.array([len(a) for a in asked], pa.int64()),
+                     pa.array(blobs, pa.binary())], names=["chunk", "word", "c", "blob"])
+
+
+def text_scores(texts: list[bytes], known: np.ndarray, known_logs: np.ndarray) -> np.ndarray:
+    """log10 probability of each text from those of its grams (known, sorted),
+    fewer than 2^16 at a time: a gram and the number of its text are sorted as
+    one number."""
     codes = [coded(t) for t in texts]
     who = np.repeat(np.arange(len(codes), dtype=U64), [len(c) for c in codes])
     both = np.sort((grams(codes) << U64(16)) | who)
@@ -259,7 +316,7 @@ def text_scores(texts: list[bytes], model) -> np.ndarray:
     times = np.diff(np.append(at, len(both)))
     g = both[at] >> U64(16)
     new = np.append(True, g[1:] != g[:-1])
-    logs = gram_logs(g[new], model)[np.cumsum(new) - 1]
+    logs = known_logs[np.searchsorted(known, g[new])][np.cumsum(new) - 1]
     return np.bincount((both[at] & U64(0xFFFF)).astype(np.int64), logs * times, minlength=len(codes))
 
 
@@ -367,7 +424,9 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"),
                       (crc_mod(id_col, HELD_OUT_MOD) == HELD_OUT).alias("held_out"))
     texts = stage(src.mapInArrow(_sliced, SLICES))
-    model = spark.sparkContext.broadcast([zstandard.compress(m.tobytes(), 1) for m in train(texts)])
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), texts.select("chunk").distinct().count())
+    replies = (train(texts, buckets).groupBy("bucket").cogroup(texts.mapInArrow(_asked(buckets), "bucket long, chunk long, grams binary").groupBy("bucket"))
+               .applyInArrow(_answer, REPLIES))
     by_word = Window.partitionBy("word")
     words = (texts.mapInArrow(_chunk_words, "chunk long, word long, n long")
              .select("chunk", "word", F.sum("n").over(by_word).alias("c"), F.count("*").over(by_word).alias("k"),
@@ -388,9 +447,13 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         u, n = _counts_of([h[~o] for (h, _), o in zip(found, outs)], [h[o] for (h, _), o in zip(found, outs)])
         order = np.argsort(u)
         u, n = u[order], n[order]
-        n[np.searchsorted(u, right.column("word").to_numpy().view(U64))] = right.column("c").to_numpy()
-        known = model.value
-        slots = [np.frombuffer(zstandard.decompress(m, 4 * k), np.uint32) for m, k in zip(known, SLOTS)] if slices else []
+        blobs = [(a, b) for a, b in zip(right.column("c").to_pylist(), right.column("blob").to_pylist()) if b is not None]
+        shared = right.filter(right.column("blob").is_null())
+        n[np.searchsorted(u, shared.column("word").to_numpy().view(U64))] = shared.column("c").to_numpy()
+        known = np.concatenate([np.empty(0, U64), *(_unpack_grams(b[:a]) for a, b in blobs)])
+        logs_of = np.concatenate([np.empty(0), *(_unpack(b[a:], np.float32) for a, b in blobs)])
+        order = np.argsort(known)
+        known, logs_of = known[order], logs_of[order]
         tables = []
         for s, (h, at) in zip(slices, found):
             times = n[np.searchsorted(u, h)] if len(h) else np.empty(0, np.int64)
@@ -399,12 +462,13 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             raw = s.texts()
             k = len(raw)
             cols = [s.ids, s.held, np.diff(at) + 1, seen[at[1:]] - seen[at[:-1]] + (ends > 0), np.full(k, n_train),
-                    logs[at[1:]] - logs[at[:-1]] + math.log10(ends + 1) - low, text_scores(raw, slots), [len(coded(t)) for t in raw]]
+                    logs[at[1:]] - logs[at[:-1]] + math.log10(ends + 1) - low, text_scores(raw, known, logs_of), [len(coded(t)) for t in raw]]
             tables.append(pa.table([pa.array(c, t) for c, t in zip(cols, types)], names=names))
         return pa.concat_tables(tables) if tables else pa.table([pa.array([], t) for t in types], names=names)
 
     names = [x.split()[0] for x in schema.split(", ")]
-    out = texts.groupBy("chunk").cogroup(counted.where("chunk >= 0").groupBy("chunk")).applyInArrow(score, schema)
+    told = counted.where("chunk >= 0").withColumn("blob", F.lit(None).cast("binary")).unionByName(replies)
+    out = texts.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(score, schema)
     return out.withColumn("bits_per_byte", -F.col("score") / math.log10(2) / F.col("n_bytes"))
 
 

@@ -224,6 +224,53 @@ def test_context_tree_mixture_is_a_distribution_and_matches_the_recursion():
     assert math.isclose((10 ** lm_score.gram_logs(np.arange(256, dtype=np.uint64), empty)).sum(), 1, abs_tol=1e-6)
 
 
+def test_scores_read_every_node(spark):
+    # all byte pairs and rare contexts: a table of fixed size would lose nodes of every depth
+    rng = np.random.default_rng(5)
+    rows = [(k, "".join(chr(c) for c in rng.integers(33, 0x250, 220))) for k in range(40)] + [(40, "abc abd " * 9), (41, ""), (42, None), (43, "abc abd " * 9)]
+    held = lambda i: zlib.crc32(str(i).encode()) % 7 == 2
+    depth = lm_score.DEPTH
+
+    def steps(t):
+        a = b"\n" * depth + lm_score.coded((t or "").encode())
+        for i in range(depth, len(a)):
+            bits = ""
+            for bit in f"{a[i]:08b}":
+                yield [(d, a[i - d : i], bits) for d in range(depth + 1)], int(bit)
+                bits += bit
+
+    seen, above = {}, {}
+    for i, t in rows:
+        if not held(i):
+            for path, bit in steps(t):
+                for x, up in zip(path, [None, *path]):
+                    seen.setdefault(x, [0, 0])[bit] += 1
+                    above[x] = up
+    kids, log, own = Counter(), {}, {}
+    for x in sorted(seen, key=lambda x: -x[0]):
+        a, b = seen[x]
+        kt = math.lgamma(a + 0.5) + math.lgamma(b + 0.5) - math.lgamma(a + b + 1) - math.log(math.pi)
+        log[x], own[x] = (kt, 1.0) if x[0] == depth else (float(np.logaddexp(kt, kids[x])) - math.log(2), 1 / (1 + math.exp(min(kids[x] - kt, 700))))
+        kids[above[x]] += log[x]
+    want = {}
+    for i, t in rows:
+        total = 0.0
+        for path, bit in steps(t):
+            s, a, p = 0.0, 1.0, 0.5
+            for x in path:
+                if x not in seen:
+                    break
+                one = (seen[x][1] + 0.5) / (sum(seen[x]) + 1)
+                p = s + a * one
+                s, a = s + a * own[x] * one, a * (1 - own[x])
+            p = min(max(p, 1e-7), 1 - 1e-7)
+            total += math.log10(p if bit else 1 - p)
+        want[i] = total
+    got = {r.doc_id: r.score for r in lm_score.score_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert any(held(i) for i, _ in rows[:40]) and len(got) == len(rows)
+    assert np.allclose([got[i] for i in want], list(want.values()), rtol=1e-6)
+
+
 def test_language_held_out_accuracy(spark, docs):
     all_docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     import tempfile
