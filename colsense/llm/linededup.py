@@ -8,10 +8,10 @@ tokens with <*> for the rest.  A template with at least FIXED_SHARE of its
 tokens fixed that stands in at least MIN_DOCS documents is a recurring one, and
 its lines are dropped.
 
-A document of which more than COPY_SHARE of the words stand on recurring lines
-is a copy rather than a carrier of boilerplate; its lines stay, and telling
-copies apart is left to near-duplicate removal.  Otherwise the copies of one
-document would erase each other, the one to be kept included.
+Recurring lines go from every document, however little it has besides.  Copies
+must not erase each other: documents with the same set of lines count as one,
+and of the documents of which more than COPY_SHARE of the words stand on
+recurring lines, one (the smallest hash of its set) keeps a template's lines.
 
 Lines are counted as small hash rows; the texts are read twice for them (leaves,
 then the tokens of lines in leaves that recur, found by a filter of fixed size)
@@ -20,9 +20,8 @@ a map-side combined sum or a count of distinct (key, document) pairs, so a line
 that a third of all documents share never comes together in one task.
 
 Cases: a null text stays null, an empty one empty; blank lines and lines below
-MIN_TOKENS tokens stay and never count; rows equal in id and text count as one
-document and share its fate; rows of one id with other texts and null ids are
-documents of their own; an empty table gives no rows; other columns pass
+MIN_TOKENS tokens stay and never count; rows with equal texts count as one
+document and share its fate, whatever their ids, null ids too; an empty table gives no rows; other columns pass
 through (names beginning with _ld_ are reserved).
 """
 
@@ -70,17 +69,27 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.withColumn("_ld_row", F.xxhash64(F.col(id_col).cast("string"), text))
 
 
+def body_of(text: bytes) -> int:
+    """Hash of the set of a text's lines, blanks around them and blank lines aside."""
+    return _i64(xxhash.xxh3_64_intdigest(b"\n".join(sorted({b" ".join(x.split()) for x in text.split(b"\n")} - {b""}))))
+
+
 def _line_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        row, no, leaf, line, words = [], [], [], [], []
+        row, body, total, no, leaf, line, words = [], [], [], [], [], [], []
         for r, t in zip(b.column(0).to_pylist(), texts_of(b, 1)):
-            for n, tokens in line_tokens(t):
-                row.append(r)
+            lines = list(line_tokens(t))
+            if lines:
+                row += [r] * len(lines)
+                body += [body_of(t)] * len(lines)
+                total += [sum(len(tokens) for _, tokens in lines)] * len(lines)
+            for n, tokens in lines:
                 no.append(n)
                 leaf.append(leaf_of(tokens))
                 line.append(_i64(xxhash.xxh3_64_intdigest(b" ".join(tokens))))
                 words.append(len(tokens))
-        yield pa.RecordBatch.from_pydict({"row": pa.array(row, pa.int64()), "no": pa.array(no, pa.int32()), "leaf": pa.array(leaf, pa.int64()),
+        yield pa.RecordBatch.from_pydict({"row": pa.array(row, pa.int64()), "body": pa.array(body, pa.int64()), "total": pa.array(total, pa.int64()),
+                                          "no": pa.array(no, pa.int32()), "leaf": pa.array(leaf, pa.int64()),
                                           "line": pa.array(line, pa.int64()), "words": pa.array(words, pa.int32())})
 
 
@@ -111,8 +120,8 @@ def recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     loses any; row is the xxhash64 of id and text."""
     spark = docs.sparkSession
     src = _keyed(docs, id_col, text_col).select("_ld_row", F.col(text_col).cast("string").alias("text"))
-    lines = stage(src.mapInArrow(_line_rows, "row long, no int, leaf long, line long, words int"))
-    leaves = stage(lines.select("leaf", "row").distinct().groupBy("leaf").agg(F.count("*").alias("docs")).where(F.col("docs") >= min_docs).select("leaf"))
+    lines = stage(src.mapInArrow(_line_rows, "row long, body long, total long, no int, leaf long, line long, words int"))
+    leaves = stage(lines.select("leaf", "body").distinct().groupBy("leaf").agg(F.count("*").alias("docs")).where(F.col("docs") >= min_docs).select("leaf"))
     known = spark.sparkContext.broadcast(key_filter(leaves, "leaf"))
     kinds = (src.select("text").mapInArrow(_token_rows(known), "leaf long, line long, n long, tokens array<long>")
              .groupBy("leaf", "line").agg(F.sum("n").alias("n"), F.first("tokens").alias("tokens"))
@@ -124,14 +133,16 @@ def recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                  .groupBy("leaf", "line").agg(F.count("fixed").alias("fixed"), F.count("*").alias("all"),
                                               F.expr("bit_xor(case when fixed = 1 then xxhash64(pos, token) else 0 end)").alias("template"))
                  .where(F.col("fixed") >= FIXED_SHARE * F.col("all")).select("leaf", "line", "template"))
-    placed = stage(lines.join(templates, ["leaf", "line"]).select("row", "no", "words", "leaf", "template"))
-    recurring = (placed.select("leaf", "template", "row").distinct().groupBy("leaf", "template").agg(F.count("*").alias("docs"))
-                 .where(F.col("docs") >= min_docs))
-    hits = (placed.join(recurring, ["leaf", "template"], "left_semi").groupBy("row", "no").agg(F.first("words").alias("words"))
-            .groupBy("row").agg(F.sort_array(F.collect_list("no")).alias("dropped"), F.sum("words").alias("hit_words")))
-    sizes = lines.groupBy("row", "no").agg(F.first("words").alias("words")).groupBy("row").agg(F.sum("words").alias("n_words"))
-    return (hits.join(sizes, "row").where(F.col("hit_words") <= COPY_SHARE * F.col("n_words"))
-            .select("row", "dropped"))
+    placed = stage(lines.join(templates, ["leaf", "line"]).select("row", "body", "total", "no", "words", "leaf", "template"))
+    recurring = (placed.select("leaf", "template", "body").distinct().groupBy("leaf", "template").agg(F.count("*").alias("docs"))
+                 .where(F.col("docs") >= min_docs).select("leaf", "template"))
+    # rows of equal texts repeat (row, no)
+    hits = stage(placed.join(recurring, ["leaf", "template"], "left_semi").distinct())
+    heavy = (hits.groupBy("row").agg(F.sum("words").alias("hit_words"), F.first("total").alias("total"))
+             .where(F.col("hit_words") > COPY_SHARE * F.col("total")).select("row"))
+    kept_by = hits.join(heavy, "row", "left_semi").groupBy("leaf", "template").agg(F.min("body").alias("keeper"))
+    return (hits.join(kept_by, ["leaf", "template"], "left").where("keeper is null or keeper <> body")
+            .groupBy("row").agg(F.sort_array(F.collect_list("no")).alias("dropped")))
 
 
 def drop_recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = MIN_DOCS) -> DataFrame:

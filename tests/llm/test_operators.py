@@ -180,6 +180,22 @@ def test_line_dedup_drops_templates_and_keeps_copies(spark):
     assert linededup.drop_recurring_lines(df.limit(0)).count() == 0
 
 
+def test_line_dedup_drops_lines_that_are_most_of_a_document(spark):
+    word = lambda *k: "".join(chr(97 + int(c)) for x in k for c in str(x)) + "q"
+    own = lambda k, n=40: " ".join(word(k, 7, j) for j in range(n))
+    passage = " ".join(word(j, 3) for j in range(60))
+    carriers = [(k, f"{own(k)}\n{passage}") for k in range(30)] + [(29, f"{own(29)}\n{passage}"), (300, f"{own(29)}\n{passage}")]
+    shared = [own(j, 9) for j in range(500, 508)]
+    near = [(100 + k, "\n".join([*shared, own(600 + k, 5)])) for k in range(5)]
+    got = linededup.drop_recurring_lines(spark.createDataFrame(carriers + near, "doc_id long, text string")).collect()
+    with_passage = {r.text for r in got if r.doc_id <= 300 and passage in r.text}
+    assert len(with_passage) == 1  # one text keeps it
+    assert all(r._ld_dropped == (passage not in r.text) and r.text.startswith(own(min(r.doc_id, 29))) for r in got if r.doc_id < 100 or r.doc_id == 300)
+    kept = [r for r in got if 100 <= r.doc_id < 105]
+    assert sorted(r._ld_dropped for r in kept) == [0, 8, 8, 8, 8]  # near copies do not erase each other
+    assert all(own(500 + r.doc_id, 5) in r.text for r in kept)
+
+
 def test_scores_against_counting(docs):
     rows = docs.select("doc_id", "text").collect()
     words = lambda t: re.findall(r"[^\x20\x09-\x0D]+", _fold(t))
