@@ -2,11 +2,13 @@
 
 Each line goes down a tree of fixed depth: its number of tokens, then its first
 LEADING tokens, tokens with a digit standing as <*>.  In a leaf that MIN_DOCS
-documents reach, a token is *fixed* at its position if it stands there in at
-least MIN_DOCS lines, variable otherwise; the line's template is its fixed
-tokens with <*> for the rest.  A template with at least FIXED_SHARE of its
-tokens fixed that stands in at least MIN_DOCS documents is a recurring one, and
-its lines are dropped.
+documents reach, the lines with a token at its position are counted.  Of a
+line's tokens after the leading ones, the most frequent FIXED_SHARE, ties
+included, are *fixed*, the others variable; its template is the leaf and its
+fixed tokens with <*> for the rest.  As frequencies are only compared within a
+line, a variable field stays one however many lines there are and however often
+its values repeat.  Templates that stand in at least MIN_DOCS documents are
+recurring ones, and their lines are dropped; equal lines have equal templates.
 
 Recurring lines go from every document, however little it has besides.  Copies
 must not erase each other: documents with the same set of lines count as one,
@@ -127,12 +129,15 @@ def recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
              .groupBy("leaf", "line").agg(F.sum("n").alias("n"), F.first("tokens").alias("tokens"))
              .join(leaves, "leaf", "left_semi"))
     kinds = stage(kinds)
-    at = kinds.select("leaf", "line", "n", F.posexplode("tokens").alias("pos", "token"))
-    fixed = at.groupBy("leaf", "pos", "token").agg(F.sum("n").alias("n")).where(F.col("n") >= min_docs).select("leaf", "pos", "token", F.lit(1).alias("fixed"))
-    templates = (at.join(fixed, ["leaf", "pos", "token"], "left")
-                 .groupBy("leaf", "line").agg(F.count("fixed").alias("fixed"), F.count("*").alias("all"),
-                                              F.expr("bit_xor(case when fixed = 1 then xxhash64(pos, token) else 0 end)").alias("template"))
-                 .where(F.col("fixed") >= FIXED_SHARE * F.col("all")).select("leaf", "line", "template"))
+    at = kinds.select("leaf", "line", "n", F.posexplode("tokens").alias("pos", "token")).where(F.col("pos") >= LEADING)
+    # a token of fewer than min_docs lines fixes no recurring template
+    often = at.groupBy("leaf", "pos", "token").agg(F.sum("n").alias("often")).where(F.col("often") >= min_docs)
+    fixed = F.expr("element_at(sort_array(transform(tokens, x -> x.often), false), greatest(least_fixed, 1))")
+    counted = (at.join(often, ["leaf", "pos", "token"]).groupBy("leaf", "line").agg(F.collect_list(F.struct("often", "pos", "token")).alias("tokens")))
+    templates = (kinds.select("leaf", "line", F.expr(f"cast(ceil({FIXED_SHARE} * (size(tokens) - {LEADING})) as int)").alias("least_fixed"))
+                 .join(counted, ["leaf", "line"], "left").where("least_fixed <= 0 or size(tokens) >= least_fixed")
+                 .withColumn("fixed", F.when(F.col("least_fixed") > 0, fixed))
+                 .select("leaf", "line", F.expr("coalesce(aggregate(filter(tokens, x -> x.often >= fixed), 0L, (s, x) -> s ^ xxhash64(x.pos, x.token)), 0L)").alias("template")))
     placed = stage(lines.join(templates, ["leaf", "line"]).select("row", "body", "total", "no", "words", "leaf", "template"))
     recurring = (placed.select("leaf", "template", "body").distinct().groupBy("leaf", "template").agg(F.count("*").alias("docs"))
                  .where(F.col("docs") >= min_docs).select("leaf", "template"))

@@ -196,6 +196,21 @@ def test_line_dedup_drops_lines_that_are_most_of_a_document(spark):
     assert all(own(500 + r.doc_id, 5) in r.text for r in kept)
 
 
+@pytest.mark.parametrize("many", [24, 900])
+def test_line_dedup_templates_do_not_depend_on_size(spark, many):
+    rng = np.random.default_rng(many)
+    word = lambda *k: "".join(chr(97 + int(c)) for x in k for c in str(x)) + "q"
+    values = 40  # at 900 lines each value stands about 22 times, a pair of values about once in two lines
+    names, cities = rng.integers(0, values, many), rng.integers(0, values, many)
+    own = lambda k, n=30: " ".join(word(k, 7, j) for j in range(n))
+    rows = [(k, f"{own(k)}\nThis article was written by {word(a, 1)} for the {word(b, 2)} office\n{own(k + 5_000)}") for k, (a, b) in enumerate(zip(names, cities))]
+    # lines that share no more than their leading tokens
+    rows += [(10_000 + k, f"{own(k + 20_000)}\nthere are many {word(k, 4)}\n{own(k + 30_000)}") for k in range(10)]
+    got = {r.doc_id: (r.text, r._ld_dropped) for r in linededup.drop_recurring_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = {i: ("\n".join(x for x in t.split("\n") if not x.startswith("This article")), int(i < 10_000)) for i, t in rows}
+    assert got == want
+
+
 def test_scores_against_counting(docs):
     rows = docs.select("doc_id", "text").collect()
     words = lambda t: re.findall(r"[^\x20\x09-\x0D]+", _fold(t))
