@@ -377,3 +377,20 @@ def test_embeddings_against_all_pairs(spark):
     assert np.mean([got[r[0]].component_id == c for r, c in zip(rows, comps)]) > 0.999
     assert all(r.kept == (r.vec_id == r.component_id) for r in got.values())
     assert embed_dedup.near_duplicates(df.limit(0)).count() == 0
+
+
+def test_embeddings_at_the_threshold(spark):
+    rng = np.random.default_rng(11)
+    a, w = rng.standard_normal((2, 4000, 64))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    w -= (w * a).sum(axis=1, keepdims=True) * a
+    w /= np.linalg.norm(w, axis=1, keepdims=True)
+    c = 0.98002
+    b = c * a + math.sqrt(1 - c * c) * w
+    rows = [(2 * i + j, v[i].tolist(), 1) for i in range(4000) for j, v in enumerate((a, b))]
+    got = embed_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"))
+    assert got.where("n_links = 1 and component_id = vec_id - vec_id % 2").count() >= 2 * 3997
+    lead = math.erf(embed_dedup.LEAD_WIDTH / math.sqrt(2)) ** embed_dedup.LEAD
+    p, k = math.erf(embed_dedup.WIDTH / math.sqrt(2)), embed_dedup.required_collisions()
+    tail = sum(math.comb(embed_dedup.LINES, j) * p**j * (1 - p) ** (embed_dedup.LINES - j) for j in range(k, embed_dedup.LINES + 1))
+    assert lead + tail - 1 >= 0.9999
