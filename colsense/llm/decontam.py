@@ -30,6 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .common import ALNUM, U64, column_words, shingles, table, text_hashes
 
@@ -109,7 +110,7 @@ def _prefixes(windows: dict, counts: dict[int, dict[int, int]], shingle: int) ->
     return out
 
 
-def _matcher(prefixes):
+def _matcher(prefixes, kept: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         probes = {k: _Probe(np.fromiter(p, U64, len(p))) for k, p in prefixes.value.items()}
         for b in batches:
@@ -138,29 +139,33 @@ def _matcher(prefixes):
                 spans.append(old_spans)
                 items.append(sorted(found))
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), pa.array(n_words, pa.int64()), pa.array(spans, _SPANS), pa.array(items, pa.list_(pa.string()))],
-                names=["doc_id", "text", "n_words", "spans", "items"])
+                [b.column(0), b.column(1), pa.array(n_words, pa.int64()), pa.array(spans, _SPANS), pa.array(items, pa.list_(pa.string())),
+                 *b.columns[5:]], names=["doc_id", "text", "n_words", "spans", "items", *kept])
     return run
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingle: int = SHINGLE,
-                  id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per document (doc_id, text, n_words, spans of hit words, items found)."""
+                  id_col: str = "doc_id", text_col: str = "text", keep: dict[str, str] | None = None) -> DataFrame:
+    """Per document (doc_id, text, n_words, spans of hit words, items found), and
+    under other names the columns to keep ({name: column})."""
     spark = docs.sparkSession
-    src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"),
+                      *[F.col(c).alias(name) for name, c in (keep or {}).items()])
+    names = list(keep or {})
     bench = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text"))
     size = bench.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, math.ceil(size / BLOCK_BYTES))
-    out = src.select("*", F.lit(0).cast("long").alias("n_words"),
+    out = src.select("doc_id", "text", F.lit(0).cast("long").alias("n_words"),
                      F.array().cast("array<struct<start:int,end:int>>").alias("spans"),
-                     F.array().cast("array<string>").alias("items"))
+                     F.array().cast("array<string>").alias("items"), *names)
+    schema = StructType(StructType.fromDDL(_OUT).fields + [f for f in out.schema if f.name in names])
     for i in range(blocks):
         rows = bench.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == i).collect()
         windows = _windows(rows, window)
         keys = {k: np.concatenate([shingles(words_hash(w), k) for w in windows if min(shingle, len(w)) == k])
                 for k in {min(shingle, len(w)) for w in windows}}
-        prefixes = _prefixes(windows, _shingle_counts(src, keys), shingle) if keys else {}
-        out = out.mapInArrow(_matcher(spark.sparkContext.broadcast(prefixes)), _OUT)
+        prefixes = _prefixes(windows, _shingle_counts(src.select("doc_id", "text"), keys), shingle) if keys else {}
+        out = out.mapInArrow(_matcher(spark.sparkContext.broadcast(prefixes), names), schema)
     return out
 
 

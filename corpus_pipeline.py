@@ -30,18 +30,21 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the one that names it; of rows
-    that repeat it word by word, one."""
-    key = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias("_key")
-    keep = jaccard_components(docs).where("doc_id <=> component_id").select(key("doc_id")).distinct()
-    return (docs.select("*", key("doc_id"), F.xxhash64("text").alias("_text")).join(keep, "_key", "left_semi")
-            .dropDuplicates(["_key", "_text"]).select(*docs.columns))
+    """One row of each group of near copies: the one with the smallest id (null
+    ids last, equal ones by hash of the text); of rows equal in both, one."""
+    rows = docs.select("*", F.xxhash64("doc_id", "text").alias("_row"))
+    groups = jaccard_components(rows, "_row").select(F.col("doc_id").alias("_row"), F.col("component_id").alias("_group")).distinct()
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row"))["_row"]
+    keep = rows.select("_row", "doc_id").distinct().join(groups, "_row").groupBy("_group").agg(first.alias("_row")).select("_row")
+    return rows.join(keep, "_row", "left_semi").dropDuplicates(["_row"]).select(*docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that aren't contaminated by the benchmark."""
-    bad = judged(contamination(docs, table(spark, sf_dir, "benchmark"))).where("contaminated").select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_bad")), "left_anti")
+    """Rows that aren't contaminated by the benchmark."""
+    keep = {f"_keep_{i}": c for i, c in enumerate(docs.columns) if c != "text"}
+    names = {c: name for name, c in keep.items()}
+    found = judged(contamination(docs, table(spark, sf_dir, "benchmark"), keep=keep))
+    return found.where("not contaminated").select(*[F.col(names.get(c, c)).alias(c) for c in docs.columns])
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -45,3 +45,24 @@ def test_empty_documents(spark):
     for _, f in corpus_pipeline.STAGES:
         docs = stage(f(spark, docs, SF))
     assert docs.count() == 0
+
+
+def test_rows_with_null_and_repeated_ids_are_judged_each_for_itself(spark):
+    item = table(spark, SF, "benchmark").where("length(text) > 120").first().text
+    docs = table(spark, SF, "documents").where("doc_id is not null").limit(1)
+    cols = docs.columns
+    clean = [" ".join(f"{a}{k}x{i}" for i in range(60)) for k, a in enumerate("abcdefgh")]
+    near = clean[6] + " end"
+
+    def with_texts(rows):
+        made = spark.createDataFrame(rows, "doc_id long, text string")
+        return made.crossJoin(docs.drop("doc_id", "text")).select(*cols)
+    rows = [(None, item), (None, clean[0]), (None, clean[1]), (7, item), (7, clean[2]), (7, clean[2]), (8, clean[3])]
+    left = corpus_pipeline.decontaminate(spark, with_texts(rows), SF)
+    assert left.columns == cols
+    assert sorted(r.text for r in left.collect()) == sorted(t for _, t in rows if t != item)
+    rows = [(None, clean[0]), (None, clean[0] + " end"), (None, clean[1]), (None, clean[6]), (5, near), (9, clean[2]), (9, clean[2]), (9, clean[3]), (4, clean[3] + " end"), (None, None)]
+    got = [(r.doc_id, r.text) for r in corpus_pipeline.ngram_jaccard(spark, with_texts(rows), SF).collect()]
+    assert len([g for g in got if g in rows[:2]]) == 1  # a group of null ids only
+    key = lambda g: (g[0] or 0, g[1] or "")
+    assert sorted((g for g in got if g not in rows[:2]), key=key) == sorted([(None, clean[1]), (5, near), (9, clean[2]), (4, clean[3] + " end"), (None, None)], key=key)
