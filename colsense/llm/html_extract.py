@@ -17,7 +17,10 @@ scan over whole pages without a shuffle; pages of similar length are run togethe
 
 Cases: a null, empty or textless page gives the empty text; unclosed, stray and
 upper-case tags, comments without end, bare text and markup-free pages are read
-as a browser would, bare text being a block; very long pages go through whole;
+as a browser would, bare text being a block; a head without end tag ends at the
+first element or text that cannot stand in it, an unclosed svg, object, select,
+video or the like at an enclosing end tag or the next block, and only script,
+style and textarea go on to the end of the page; very long pages go through whole;
 repeated and tied rows are labelled each for itself; null ids and urls pass;
 other columns are not read; an empty table gives no rows (training then uses
 neutral filler texts).
@@ -44,11 +47,14 @@ HIDDEN = 20
 PATH_DIM, WORD_DIM, RATIOS = 96, 24, 8
 INPUT = PATH_DIM + WORD_DIM + RATIOS
 
-#: Elements whose content is no text of the page.
-RAW = "script|style|noscript|template|svg|math|iframe|object|head|textarea|select|canvas|audio|video"
+#: Elements whose content is no text of the page: read up to their end tag or the end of the page, and the others.
+RAW = "script|style|textarea"
+SKIP = frozenset("noscript template svg math iframe object head select canvas audio video".split())
+IN_HEAD = frozenset("title meta link base basefont bgsound noscript template".split())
 _TOKEN = re.compile(
     rf"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<({RAW})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)"
     r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|[^<]+|<", re.S | re.I)
+_SKIP_END = re.compile(rf"</({'|'.join(sorted(SKIP))})\s*>", re.I)
 _ATTR = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span "
@@ -60,7 +66,9 @@ CLOSES = {"p": {"p"}, "li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "
 for _t in ("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol pre section table ul figure "
            "details").split():
     CLOSES[_t] = {"p"}
-_BARRIER = frozenset("article aside blockquote body div dl fieldset figure footer form header html main nav ol section table tbody td th ul".split())
+_BARRIER = frozenset("article aside blockquote body div dl fieldset figure footer form header html main nav ol section table tbody td th ul".split()) | SKIP
+#: Skipped elements that don't end a block, as they stand in the middle of a line.
+_IN_LINE = frozenset("svg math canvas noscript".split())
 
 
 def _hash(word: str, dim: int) -> int:
@@ -90,50 +98,85 @@ def leaf_blocks(page: str | None) -> list[Block]:
     stack: list[tuple[str, tuple[str, ...]]] = []
     parts: list[str] = []
     linked = 0
+    skip: int | None = None  # place in the stack of the outermost skipped element
+    ends: dict[str, int] | None = None  # last end tag of each of SKIP
 
     def flush() -> None:
         nonlocal linked
         if parts:
             text = " ".join(entities.unescape("".join(parts)).split())
             if text:
-                block_tag = next((t for t, _ in reversed(stack) if t not in INLINE), "")
-                blocks.append(Block(text, tuple(n for t, names in stack if t not in INLINE for n in names), min(1.0, linked / len(text)), block_tag))
+                shown = stack[:skip]
+                block_tag = next((t for t, _ in reversed(shown) if t not in INLINE), "")
+                blocks.append(Block(text, tuple(n for t, names in shown if t not in INLINE for n in names), min(1.0, linked / len(text)), block_tag))
             parts.clear()
         linked = 0
 
+    def cut(at: int) -> None:
+        nonlocal skip
+        del stack[at:]
+        if skip is not None and skip >= at:
+            skip = None
+
+    def ended(tag: str, at: int) -> bool:
+        """Whether an end tag of a skipped element follows."""
+        nonlocal ends
+        if ends is None:
+            ends = {m[1].lower(): m.start() for m in _SKIP_END.finditer(page)}
+        return ends.get(tag, -1) >= at
+
     for m in _TOKEN.finditer(page or ""):
         tag = m[3]
         if tag is None:
             if m[1] is not None:
-                if m[1].lower() not in ("svg", "math", "canvas", "noscript"):
+                if skip is None:
                     flush()
             elif m[0][0] != "<" or m[0] == "<":
-                parts.append(m[0])
-                if any(t == "a" for t, _ in stack):
-                    linked += len(m[0])
+                # bare text ends a head without end tag
+                if skip is not None and stack[-1][0] == "head" and m[0].strip() and not ended("head", m.start()):
+                    cut(len(stack) - 1)
+                if skip is None:
+                    parts.append(m[0])
+                    if any(t == "a" for t, _ in stack):
+                        linked += len(m[0])
             continue
         tag = tag.lower()
-        if tag == "br":
-            parts.append(" ")
-            continue
-        block = tag not in INLINE
-        if block:
-            flush()
         if m[2]:
             at = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
+            if (skip is None or at is not None and at <= skip) and tag not in INLINE and tag not in _IN_LINE:
+                flush()
             if at is not None:
-                del stack[at:]
+                cut(at)
             continue
+        if skip is not None:
+            inner = next(i for i in range(len(stack) - 1, -1, -1) if stack[i][0] in SKIP)
+            if stack[skip][0] == "head" and (tag == "body" or stack[-1][0] == "head" and tag not in IN_HEAD
+                                             or "p" in CLOSES.get(tag, ()) and inner == skip):
+                flush()
+                cut(skip)
+            # a block ends a skipped element whose end tag is missing
+            while skip is not None and "p" in CLOSES.get(tag, ()) and not ended(stack[inner][0], m.start()):
+                flush()
+                cut(inner)
+                inner = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] in SKIP), 0)
+        if skip is None:
+            if tag == "br":
+                parts.append(" ")
+                continue
+            if tag not in INLINE and tag not in _IN_LINE:
+                flush()
         closes = CLOSES.get(tag)
         if closes:
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] in closes:
-                    del stack[i:]
+                    cut(i)
                     break
                 if stack[i][0] in _BARRIER:
                     break
         if tag not in VOID and not m[4].rstrip().endswith("/"):
             stack.append((tag, _names(tag, m[4])))
+            if skip is None and tag in SKIP:
+                skip = len(stack) - 1
     flush()
     return blocks
 

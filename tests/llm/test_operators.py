@@ -331,6 +331,24 @@ def _page(*body):
     return "<html><head><title>t</title><script>var a='<p>no</p>';</script></head><body>" + "".join(body) + "</body></html>"
 
 
+@pytest.mark.parametrize("page, want", [
+    ("<html><head><title>t</title><meta charset=x><body><p>one<p>two", ["one", "two"]),
+    ("<head><title>t</title><link rel=x><p>one</p><p>two</p>", ["one", "two"]),
+    ("<head><script>x</script>one<p>two", ["one", "two"]),
+    ("<head><title>t</title><noscript><img src=x></noscript></head><body>one", ["one"]),
+    ("<p>a <svg width=1 /> b</p><p>c</p><svg><title>no</title></svg>", ["a b", "c"]),
+    ("<p>a <math/> b <svg><g><text>no</text></g></svg> c</p>", ["a b c"]),
+    ("<div>a<select><option>no<option>no</div><p>b</p>", ["a", "b"]),
+    ("<p>a<object data=x><p>b</p><p>c</p>", ["a", "b", "c"]),
+    ("<div><video src=x>no</div><div>b</div>", ["b"]),
+    ("<p>a</p><noscript><p>no</p></noscript><p>b</p><iframe src=x></iframe><p>c", ["a", "b", "c"]),
+    ("<p>a</p><template><div>no</div></template><audio><p>no</p></audio>b", ["a", "b"]),
+    ("<p>a</p><script>no <p>no", ["a"]), ("<p>a</p><textarea>no <p>no", ["a"]),
+])
+def test_unclosed_and_self_closed_elements_hide_no_more_than_themselves(page, want):
+    assert [b.text for b in html_extract.leaf_blocks(page)] == want
+
+
 def test_extraction(spark):
     real = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
     net = html_extract.train(real)
