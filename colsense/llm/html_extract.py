@@ -187,9 +187,8 @@ def vectors(blocks: list[Block]) -> np.ndarray:
     for i, b in enumerate(blocks):
         for name in b.path:
             x[i, _hash(name, PATH_DIM)] = 1
-        words = b.text.split(" ", 64)
-        for w in words[:64]:
-            x[i, PATH_DIM + _hash(w.lower(), WORD_DIM)] += 1 / len(words)
+        words = b.text.lower().split(" ")
+        x[i, PATH_DIM : PATH_DIM + WORD_DIM] = np.bincount([_hash(w, WORD_DIM) for w in words], minlength=WORD_DIM) / len(words)
         letters = len(b.text)
         x[i, PATH_DIM + WORD_DIM :] = (b.link, min(2.0, np.log1p(letters) / 4), b.text[-1] in ".!?:…\"", i / n,
                                        b.text.count(",") / (1 + letters) * 20, b.tag == "p", b.tag in ("h1", "h2", "h3"), b.tag == "li")

@@ -349,6 +349,13 @@ def test_unclosed_and_self_closed_elements_hide_no_more_than_themselves(page, wa
     assert [b.text for b in html_extract.leaf_blocks(page)] == want
 
 
+def test_words_after_the_first_64_count():
+    words = [f"w{i}" for i in range(300)]
+    got = html_extract.vectors([html_extract.Block(" ".join(words), ("<p>",), 0.0, "p")])[0, html_extract.PATH_DIM : html_extract.PATH_DIM + html_extract.WORD_DIM]
+    want = Counter(zlib.crc32(w.encode()) % html_extract.WORD_DIM for w in words)
+    assert np.allclose(got, [want[i] / 300 for i in range(html_extract.WORD_DIM)], atol=1e-6)
+
+
 def test_extraction(spark):
     real = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
     net = html_extract.train(real)
