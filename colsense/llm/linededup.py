@@ -45,7 +45,7 @@ FIXED_SHARE = 0.7
 COPY_SHARE = 0.5
 MIN_TOKENS = 3
 VARIABLE = b"<*>"
-_digits = re.compile(rb"[^\s]*[0-9][^\s]*")
+_digits = re.compile(rb"(?<!\S)[^\s0-9]*[0-9]\S*")
 
 
 def _i64(h: int) -> int:
@@ -73,7 +73,7 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def body_of(text: bytes) -> int:
     """Hash of the set of a text's lines, blanks around them and blank lines aside."""
-    return _i64(xxhash.xxh3_64_intdigest(b"\n".join(sorted({b" ".join(x.split()) for x in text.split(b"\n")} - {b""}))))
+    return _i64(xxhash.xxh3_64_intdigest(b"\n".join(sorted(set(map(bytes.strip, text.split(b"\n"))) - {b""}))))
 
 
 def _line_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
