@@ -12,12 +12,13 @@ from .ngram_join import op2_ngram_jaccard_join
 from .packing import op4_best_fit_packing
 from .quality import op9_quality_classifier
 from .sharding import OP5_SQL, op5_extendible_sharding
+from .spelling import OP11_SQL, op11_spelling_variants
 from .token_align import op12_token_alignment
 from .url_filter import OP13_SQL, op13_url_filter
 
 QUERIES = {f.__name__: f for f in (
     op1_html_extraction, op2_ngram_jaccard_join, op3_benchmark_decontamination, op4_best_fit_packing, op5_extendible_sharding,
     op6_line_dedup, op7_ctw_scoring, op8_language_id, op9_quality_classifier, op10_embedding_near_dedup,
-    op12_token_alignment, op13_url_filter)}
+    op11_spelling_variants, op12_token_alignment, op13_url_filter)}
 
-SQL = {"op5_extendible_sharding": OP5_SQL, "op13_url_filter": OP13_SQL}
+SQL = {"op5_extendible_sharding": OP5_SQL, "op11_spelling_variants": OP11_SQL, "op13_url_filter": OP13_SQL}
