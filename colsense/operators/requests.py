@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from colsense.constants import API_SHARE, CACHE_SIZE, TOKENS_PER_MESSAGE, WAIT_WINDOW_SECONDS
 from colsense.functions.text import json_string, token_count
-from colsense.operators.sample import dense_index, running_sum
+from colsense.operators.sample import dense_index, prefix_sums
 
 
 def estimate_tokens(messages: Column) -> Column:
@@ -128,8 +128,7 @@ def request_usage_totals(pending: DataFrame, executed: DataFrame, n_cached: Colu
 
 def largest_requests_first(r: DataFrame) -> DataFrame:
     """Execution order: descending estimated maximum usage (ties by id)."""
-    return dense_index(r, [-F.col("max_total_usage"), F.col("request_id")], out="exec_order",
-                       split_ties=True)
+    return dense_index(r, [-F.col("max_total_usage"), F.col("request_id")], out="exec_order")
 
 
 def cache_retention(cache: DataFrame, keep: int = CACHE_SIZE) -> DataFrame:
@@ -146,22 +145,19 @@ def rolling_request_budget(log: DataFrame, models: DataFrame, window_s: float =
     against the model's per-minute limits.
 
     Counting intervals ``[start_q, finish_q + window]`` that contain a start
-    time is a global running sum of +1 (start) and -1 (window end) events; a
-    request that never finished has no -1 event.
+    time is a global running sum of +1 (start) and -1 (window end) events, and
+    of their tokens in the same pass; a request that never finished has no -1
+    event.
     """
-    ev = log.select(
-        "request_id", "model", "started_at", "tokens",
-        F.lit(1).alias("kind"), F.col("started_at").alias("t"), F.lit(1).alias("dn"), F.col("tokens").alias("dt"))
-    ends = log.where(F.col("finished_at").isNotNull()).select(
-        "request_id", F.lit(None).cast("string").alias("model"), F.lit(None).cast("timestamp").alias("started_at"),
-        F.lit(None).cast("bigint").alias("tokens"), F.lit(2).alias("kind"),
-        F.timestamp_add("MICROSECOND", F.lit(int(window_s * 1_000_000)), F.col("finished_at")).alias("t"),
-        F.lit(-1).alias("dn"), (-F.col("tokens")).alias("dt"))
-    allev = ev.unionByName(ends)
-    order = [F.unix_micros(F.col("t").cast("timestamp")), F.col("kind"), F.col("request_id")]
-    counted = running_sum(allev, order, F.col("dn").cast("bigint"), "n_relevant")
-    counted = running_sum(counted, order, F.col("dt").cast("bigint"), "tokens_relevant")
-    starts = counted.where(F.col("kind") == 1)
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    start = F.struct(micros("started_at").alias("t"), F.lit(1).alias("kind"))
+    end = F.struct((micros("finished_at") + int(window_s * 1_000_000)).alias("t"), F.lit(2).alias("kind"))
+    events = F.filter(F.array(start, end), lambda e: e["t"].isNotNull() | (e["kind"] == 1))
+    marks = log.select("request_id", "model", "started_at", "tokens", F.explode(events).alias("e"))
+    sign = F.when(F.col("e.kind") == 1, 1).otherwise(-1).cast("bigint")
+    counted = prefix_sums(marks, [F.col("e.t"), F.col("e.kind"), F.col("request_id")],
+                          {"n_relevant": sign, "tokens_relevant": sign * F.col("tokens")})
+    starts = counted.where(F.col("e.kind") == 1)
     j = starts.join(F.broadcast(models.select("model", "max_rpm", "max_tpm")), "model", "left")
     return j.select("request_id", "model", "started_at", "n_relevant", "tokens_relevant",
                     (F.col("n_relevant") > F.col("max_rpm") * share).alias("over_rpm"),

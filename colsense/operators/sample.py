@@ -3,13 +3,12 @@
 Random orders are ``md5(seed || key)`` orders, reproducible in any engine.
 Nothing ranks a whole corpus in one task:
 
-* ``dense_index`` gives a contiguous 0..n-1 index in a global order by
-  numbering inside deterministic range buckets (quantile boundaries of the
-  leading key) and adding the bucket offsets (one row per bucket);
+* ``prefix_sums`` (``dense_index``, ``running_sum``) stages the rows in ranges
+  of the whole order, sums inside each range and adds what the ranges before
+  hold (one row per range);
 * ``top_k_per_group`` first keeps the top k of salted sub-groups, then of
   the (at most k x salts) survivors per group, so a hot group never sorts in
-  one task;
-* ``running_sum`` is the same offset trick for a global prefix sum.
+  one task.
 """
 
 from __future__ import annotations
@@ -17,9 +16,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from colsense.session import staged
+
 _SALTS = 16
-#: Range buckets of a global order; more only make buckets smaller.
-BUCKETS = 256
 
 
 def hash_key(seed: int | str, *parts: Column | str) -> Column:
@@ -30,62 +29,46 @@ def hash_key(seed: int | str, *parts: Column | str) -> Column:
     return F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint")
 
 
-def _bucketed(df: DataFrame, order: list[Column], buckets: int, split_ties: bool) -> DataFrame:
-    """Adds __b, a deterministic range bucket, monotone in the order.
+def ranged(df: DataFrame, order: list[Column], ranges: int | None = None, **values: Column) -> DataFrame:
+    """Staged rows cut into ranges of the whole order: adds ``__p``, the range's
+    number, ``__o0``, ``__o1``.. (the keys) and the given values.
 
-    Boundaries are approximate quantiles of the numeric leading key, computed as
-    a scalar subquery (nothing runs when the query is defined) and compared as
-    one array, so plans don't grow with the number of buckets.  A value that is
-    a boundary more than once is a heavy one: it gets a bucket of its own, and
-    with ``split_ties`` that is cut by quantiles of the (numeric) second key.
+    Ranges are cut on all keys, so rows with equal leading keys part as well,
+    and are written once; everything that follows reads the same cut.
     """
-    def bounds(x: Column) -> Column:
-        probs = [i / buckets for i in range(1, buckets)]
-        found = df.select(F.percentile_approx(x, probs, max(10_000, 2 * buckets))).scalar()
-        return F.coalesce(found, F.array().cast("array<double>"))
-
-    x, y = order[0].cast("double"), (order[1].cast("double") if split_ties else F.lit(0.0))
-    df = df.withColumn("__x", x).withColumn("__y", y).withColumn("__cuts", bounds(x))
-    df = df.withColumn("__sub", bounds(y) if split_ties else F.array().cast("array<double>"))
-    below = F.size(F.filter("__cuts", lambda b: b < F.col("__x")))
-    equal = F.size(F.filter("__cuts", lambda b: b == F.col("__x")))
-    sub = F.when(equal >= 2, F.size(F.filter("__sub", lambda b: b < F.col("__y")))).otherwise(0)
-    # a null leading key sorts first
-    lead = F.when(F.col("__x").isNull(), -1).otherwise(2 * below + F.when(equal >= 1, 1).otherwise(0))
-    return (df.withColumn("__b", lead.cast("bigint") * (buckets + 1) + F.coalesce(sub, F.lit(0)))
-              .drop("__x", "__y", "__cuts", "__sub"))
-
-
-def _offsets(sizes: DataFrame) -> DataFrame:
-    # one row per bucket (a bounded, proven-small table); a global window over it is cheap
-    return sizes.withColumn(
-        "__off", F.coalesce(F.sum("__c").over(Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)),
-                            F.lit(0))).select("__b", "__off")
-
-
-def dense_index(df: DataFrame, order: list[Column], out: str = "ix", buckets: int = BUCKETS,
-                split_ties: bool = False) -> DataFrame:
-    """Add ``out`` = 0-based position of each row in ``order`` (a total order
-    whose first key is numeric): rank inside range buckets plus bucket offsets."""
-    keyed = _bucketed(df.withColumn("__k", F.struct(*order)), order, buckets, split_ties)
-    local = keyed.withColumn("__r", F.row_number().over(Window.partitionBy("__b").orderBy("__k")) - 1)
-    sizes = keyed.groupBy("__b").agg(F.count(F.lit(1)).alias("__c"))
-    return (local.join(F.broadcast(_offsets(sizes)), "__b")
-                 .withColumn(out, (F.col("__off") + F.col("__r")).cast("bigint"))
-                 .drop("__k", "__b", "__r", "__off"))
-
-
-def running_sum(df: DataFrame, order: list[Column], value: Column, out: str,
-                inclusive: bool = False, buckets: int = BUCKETS, split_ties: bool = False) -> DataFrame:
+    spark = df.sparkSession
+    keyed = df.select("*", *[c.alias(f"__o{i}") for i, c in enumerate(order)], *[c.alias(n) for n, c in values.items()])
+    n = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = keyed.repartitionByRange(n, *[f"__o{i}" for i in range(len(order))])
+    return staged(dealt.withColumn("__p", F.spark_partition_id()), "ranged")
+
+
+def prefix_sums(df: DataFrame, order: list[Column], sums: dict[str, Column], inclusive: bool = False,
+                ranges: int | None = None) -> DataFrame:
+    """Add for each name the sum of its column over all rows before (or up to)
+    each row in ``order``, several in one pass: a sum inside the row's range
+    plus what the ranges before hold (a table of one row for each range)."""
+    rows = ranged(df, order, ranges, **{f"__v{i}": c for i, c in enumerate(sums.values())})
+    names = [f"__v{i}" for i in range(len(sums))]
+    totals = rows.groupBy("__p").agg(*[F.coalesce(F.sum(v), F.lit(0)).alias(v) for v in names])
+    earlier = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
+    before = totals.select("__p", *[F.coalesce(F.sum(v).over(earlier), F.lit(0)).alias(f"{v}b") for v in names])
+    frame = (Window.partitionBy("__p").orderBy(*[f"__o{i}" for i in range(len(order))])
+             .rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1))
+    inside = rows.select("*", *[F.coalesce(F.sum(v).over(frame), F.lit(0)).alias(f"{v}i") for v in names])
+    return (inside.join(F.broadcast(before), "__p")
+                  .select(*df.columns, *[(F.col(f"{v}b") + F.col(f"{v}i")).alias(n) for v, n in zip(names, sums)]))
+
+
+def dense_index(df: DataFrame, order: list[Column], out: str = "ix", ranges: int | None = None) -> DataFrame:
+    """Add ``out`` = 0-based position of each row in ``order`` (a total order)."""
+    return prefix_sums(df, order, {out: F.lit(1).cast("bigint")}, ranges=ranges)
+
+
+def running_sum(df: DataFrame, order: list[Column], value: Column, out: str, inclusive: bool = False,
+                ranges: int | None = None) -> DataFrame:
     """Add ``out`` = sum of ``value`` over all rows before (or up to) each row in ``order``."""
-    keyed = _bucketed(df.withColumn("__k", F.struct(*order)).withColumn("__v", value), order, buckets, split_ties)
-    frame = Window.partitionBy("__b").orderBy("__k").rowsBetween(
-        Window.unboundedPreceding, 0 if inclusive else -1)
-    local = keyed.withColumn("__r", F.coalesce(F.sum("__v").over(frame), F.lit(0)))
-    sizes = keyed.groupBy("__b").agg(F.sum("__v").alias("__c"))
-    return (local.join(F.broadcast(_offsets(sizes)), "__b")
-                 .withColumn(out, F.col("__off") + F.col("__r"))
-                 .drop("__k", "__v", "__b", "__r", "__off"))
+    return prefix_sums(df, order, {out: value}, inclusive, ranges)
 
 
 def top_k_per_group(df: DataFrame, group: list[str], order: list[Column], k: int,

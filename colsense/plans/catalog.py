@@ -498,18 +498,19 @@ def _usage(spark, sf):
 
 @query("largest_requests_first")
 def q_largest_requests_first(spark, sf):
-    return rq.largest_requests_first(_usage(spark, sf)).select("request_id", "max_total_usage", "exec_order")
+    usage = _usage(spark, sf).select("request_id", "max_total_usage")
+    return rq.largest_requests_first(usage)
 
 
 @query("cache_retention")
 def q_cache_retention(spark, sf):
     cache = fx.cache_entries(requests_with_doc(spark, sf))
-    return rq.cache_retention(cache).select("entry_id", "age_rank", "evict")
+    return rq.cache_retention(cache.select("entry_id", "cached_at", "request_hash")).select("entry_id", "age_rank", "evict")
 
 
 @query("rolling_request_budget")
 def q_rolling_request_budget(spark, sf):
-    return rq.rolling_request_budget(fx.request_log_models(spark, sf), fx.models(spark)).drop("started_at", "model")
+    return rq.rolling_request_budget(fx.request_log(spark, sf), fx.models(spark)).drop("started_at", "model")
 
 
 @query("f1_ranking")

@@ -187,31 +187,17 @@ def models(spark: SparkSession) -> DataFrame:
 
 
 def request_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``(request_id, model, started_at, finished_at, tokens)`` from ``events``."""
-    ev = read(spark, sf_dir, "events")
+    """``(request_id, model, started_at, finished_at, tokens)`` from ``events``;
+    the model goes by user, so that its limits apply."""
     e = F.col("event_id")
-    return ev.select(
-        e.alias("request_id"), F.col("event_type").alias("model"),
+    return read(spark, sf_dir, "events").select(
+        e.alias("request_id"),
+        F.when(F.col("user_id") % 2 == 0, F.lit(MODELS[0][0])).otherwise(F.lit(MODELS[1][0])).alias("model"),
         F.col("ts").alias("started_at"),
-        F.when(e % 50 == 0, F.lit(None))
-         .otherwise(F.timestamp_add("SECOND", e % 40, F.col("ts"))).alias("finished_at"),
+        F.when(e % 50 == 0, F.lit(None)).otherwise(F.timestamp_add("SECOND", e % 40, F.col("ts"))).alias("finished_at"),
         (e % 500).alias("tokens"))
 
 
-def request_log_models(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The log with real model names (by user) so per-model limits apply."""
-    ev = read(spark, sf_dir, "events")
-    return request_log(spark, sf_dir).join(
-        ev.select(F.col("event_id").alias("request_id"),
-                  F.when(F.col("user_id") % 2 == 0, F.lit(MODELS[0][0])).otherwise(F.lit(MODELS[1][0]))
-                   .alias("m")), "request_id").drop("model").withColumnRenamed("m", "model")
-
-
-def files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``(file_name)`` per page url."""
-    return read(spark, sf_dir, "pages").select(F.col("url").alias("file_name"))
-
-
 def file_keys(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(k,) for k in FILE_KEYS], "file_key string")
 

@@ -13,20 +13,20 @@ def _check_index(df, order, key, **kw):
 
 def test_dense_index_with_many_buckets(spark):
     df = spark.range(3000).withColumn("h", sample.hash_key("own-seed", "id"))
-    _check_index(df, [F.col("h"), F.col("id")], "id", buckets=10_000)
+    _check_index(df, [F.col("h"), F.col("id")], "id", ranges=300)
 
 
 def test_dense_index_with_equal_leading_keys(spark):
     df = spark.range(2000).withColumn("h", F.lit(7))
-    _check_index(df, [F.col("h"), F.col("id")], "id", buckets=64, split_ties=True)
-    sizes = sample._bucketed(df, [F.col("h"), F.col("id")], 64, True).groupBy("__b").count().collect()
+    _check_index(df, [F.col("h"), F.col("id")], "id", ranges=64)
+    sizes = sample.ranged(df, [F.col("h"), F.col("id")], 64).groupBy("__p").count().collect()
     assert len(sizes) > 30 and max(r["count"] for r in sizes) < 200
 
 
 def test_running_sum_with_heavy_and_null_keys(spark):
     df = spark.range(900).select("id", F.when(F.col("id") % 3 == 0, 5).when(F.col("id") % 50 == 1, None).otherwise(F.col("id")).alias("h"))
     order = [F.col("h"), F.col("id")]
-    got = sample.running_sum(df, order, F.col("id"), "s", inclusive=True, buckets=32, split_ties=True).orderBy("s", "id").collect()
+    got = sample.running_sum(df, order, F.col("id"), "s", inclusive=True, ranges=32).orderBy("s", "id").collect()
     total, want = 0, {}
     for r in df.orderBy(*order).collect():
         total += r["id"]
