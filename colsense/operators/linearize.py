@@ -24,50 +24,56 @@ def csv_line(cells: Column, sep: str = ",") -> Column:
     return F.array_join(F.transform(cells, lambda x: csv_field(x, sep)), sep)
 
 
-def _ordered_lines(sampled: DataFrame, line: Column, key: str = "table_id", rank: str = "sample_rank") -> DataFrame:
-    return (sampled.select(key, F.struct(F.col(rank).alias("r"), line.alias("line")).alias("l"))
-                   .groupBy(key).agg(F.transform(F.array_sort(F.collect_list("l")), lambda e: e["line"])
-                                     .alias("lines")))
+def with_table_text(df: DataFrame, mode: str, headers: str, rows: str, out: str) -> DataFrame:
+    """Adds the text of a table from its header list (null: no header line) and
+    its list of rows; modes ``csv``, ``key_value`` and ``markdown``."""
+    if mode == "csv":
+        head = F.when(F.col(headers).isNotNull(), F.array(csv_line(F.col(headers)))).otherwise(F.array().cast("array<string>"))
+        return df.withColumn(out, F.concat(F.array_join(F.concat(head, F.transform(rows, lambda r: csv_line(r))), "\n"), F.lit("\n")))
+    if mode == "key_value":
+        pair = lambda h, v: F.concat(h, F.lit(": "), F.coalesce(v, F.lit(NAN_TEXT)))
+        return df.withColumn(out, F.array_join(F.transform(rows, lambda r: F.array_join(F.zip_with(headers, r, pair), ", ")), "\n"))
+    if mode != "markdown":
+        raise ValueError(f"unknown table mode {mode!r}")
+    shown = F.transform(rows, lambda r: replace_na(r, NAN_TEXT))
+    widths = F.transform(headers, lambda h, i: F.greatest(
+        F.length(h), F.coalesce(F.array_max(F.transform("__rows", lambda r: F.length(F.get(r, i)))), F.lit(0))))
+
+    def render(cells: Column) -> Column:
+        return F.concat(F.lit("| "), F.array_join(F.zip_with(cells, "__w", lambda c, w: F.rpad(c, w, " ")), " | "),
+                        F.lit(" |"))
+
+    sep = F.concat(F.lit("|"), F.array_join(F.transform("__w", lambda w: F.concat(
+        F.lit(":"), F.repeat(F.lit("-"), w + 1))), "|"), F.lit("|"))
+    lines = F.concat(F.array(render(F.col(headers)), sep), F.transform("__rows", render))
+    return (df.withColumn("__rows", shown).withColumn("__w", widths)
+              .withColumn(out, F.array_join(lines, "\n")).drop("__rows", "__w"))
+
+
+def _linearize(sampled: DataFrame, headers: DataFrame | None, mode: str, key: str) -> DataFrame:
+    rows = sampled.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("sample_rank", "cells"))),
+                                                lambda r: r["cells"]).alias("rows"))
+    if headers is None:
+        tables = rows.withColumn("headers", F.lit(None).cast("array<string>"))
+    else:
+        tables = rows.join(headers.select(key, "headers"), key, "left" if mode == "csv" else "inner")
+    return with_table_text(tables, mode, "headers", "rows", "table_text").select(key, "table_text")
 
 
 def linearize_csv(sampled: DataFrame, headers: DataFrame | None, key: str = "table_id") -> DataFrame:
     """``(table_id, table_text)``: optional header line, one line per sampled
     row, every line ending in a newline."""
-    body = _ordered_lines(sampled, csv_line(F.col("cells")), key)
-    if headers is not None:
-        body = body.join(headers.select(key, csv_line(F.col("headers")).alias("__h")), key, "left") \
-                   .withColumn("lines", F.concat(F.array("__h"), F.col("lines")))
-    return body.select(key, F.concat(F.array_join("lines", "\n"), F.lit("\n")).alias("table_text"))
+    return _linearize(sampled, headers, "csv", key)
 
 
 def linearize_key_value(sampled: DataFrame, headers: DataFrame, key: str = "table_id") -> DataFrame:
     """``k: v, k: v`` per row, rows separated by newlines; missing cells read ``nan``."""
-    j = sampled.join(headers.select(key, "headers"), key)
-    line = F.array_join(F.zip_with("headers", "cells", lambda h, v: F.concat(h, F.lit(": "),
-                                                                              F.coalesce(v, F.lit(NAN_TEXT)))), ", ")
-    body = _ordered_lines(j, line, key)
-    return body.select(key, F.array_join("lines", "\n").alias("table_text"))
+    return _linearize(sampled, headers, "key_value", key)
 
 
 def linearize_markdown(sampled: DataFrame, headers: DataFrame, key: str = "table_id") -> DataFrame:
     """Pipe table, every column left aligned and padded to its widest cell."""
-    j = sampled.join(headers.select(key, "headers"), key)
-    rows = (j.select(key, "headers", F.struct(F.col("sample_rank").alias("r"),
-                                              replace_na(F.col("cells"), NAN_TEXT).alias("c")).alias("x"))
-              .groupBy(key).agg(F.first("headers").alias("headers"),
-                                F.transform(F.array_sort(F.collect_list("x")), lambda e: e["c"]).alias("rows")))
-    widths = F.transform("headers", lambda h, i: F.greatest(
-        F.length(h), F.coalesce(F.array_max(F.transform("rows", lambda r: F.length(F.get(r, i)))), F.lit(0))))
-    staged = rows.withColumn("w", widths)
-
-    def render(cells: Column) -> Column:
-        return F.concat(F.lit("| "), F.array_join(F.zip_with(cells, "w", lambda c, w: F.rpad(c, w, " ")), " | "),
-                        F.lit(" |"))
-
-    sep = F.concat(F.lit("|"), F.array_join(F.transform("w", lambda w: F.concat(
-        F.lit(":"), F.repeat(F.lit("-"), w + 1))), "|"), F.lit("|"))
-    lines = F.concat(F.array(render(F.col("headers")), sep), F.transform("rows", render))
-    return staged.select(key, F.array_join(lines, "\n").alias("table_text"))
+    return _linearize(sampled, headers, "markdown", key)
 
 
 def fill_table_template(template: str, table_name: Column, table_text: Column) -> Column:

@@ -131,12 +131,16 @@ def sample_rows_aligned(sampled_ids: DataFrame, *tables: DataFrame, keys: tuple[
 def sample_examples(indexed: DataFrame, k: int, seed: int, key: str = "table_id") -> DataFrame:
     """For each instance ``k`` distinct other instances: partner index
     ``(ix + 1 + (h + j) mod (n - 1)) mod n`` for ``j < k`` never equals ``ix``;
-    an equi join on the index replaces a cross join."""
+    an equi join on the index replaces a cross join.  Fewer than ``k`` other
+    instances are an error when the plan runs."""
+    if k < 1:
+        return indexed.select(F.col(key), F.lit(0).alias("j"), F.col(key).alias("example_id")).where(F.lit(False))
     n = indexed.select(F.count(F.lit(1))).scalar()
-    h = hash_key(seed, key)
-    src = indexed.select(F.col(key), "ix", h.alias("h")) \
-                 .select(F.col(key), "ix", "h", F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("j"))
-    src = src.withColumn("partner_ix", F.pmod(F.col("ix") + 1 + F.pmod(F.col("h") + F.col("j"), n - 1), n))
+    src = indexed.select(F.col(key), "ix", hash_key(seed, key).alias("h"), n.alias("n")) \
+                 .select("*", F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("j"))
+    few = F.raise_error(F.concat(F.lit(f"{k} examples wanted, other instances: "), F.col("n") - 1)).cast("bigint")
+    partner = F.when(F.col("n") > k, F.pmod(F.col("ix") + 1 + F.pmod(F.col("h") + F.col("j"), F.col("n") - 1), F.col("n")))
+    src = src.withColumn("partner_ix", partner.otherwise(few))
     partners = indexed.select(F.col("ix").alias("partner_ix"), F.col(key).alias("example_id"))
     return src.join(partners, "partner_ix").select(key, "j", "example_id")
 
@@ -159,17 +163,27 @@ def sample_columns(instances: DataFrame, k: int | None, seed: int, key: str = "t
     return out
 
 
+# the primes that follow 2^31: above any array's length, so none shares a factor with it
+STEPS = [2147483659, 2147483693, 2147483713, 2147483743, 2147483777, 2147483783, 2147483813, 2147483857]
+
+
 def candidate_vocabulary(inst_labels: DataFrame, vocab_array: Column, size: int, seed: int,
                          key: str = "table_id", labels: str = "labels") -> DataFrame:
-    """Per instance: its labels plus random vocabulary entries up to ``size``; sorted."""
-    inst_labels = inst_labels.withColumn("__vocab", vocab_array)
+    """Per instance: its labels plus random vocabulary entries up to ``size``; sorted.
+
+    The vocabulary (distinct labels) isn't ranked: a row walks the positions
+    ``(start + i * step) mod n``, a permutation as the step is a prime above n,
+    and takes the first entries that aren't its own, after at most as many
+    probes as it wants entries and has own ones."""
     own = F.array_distinct(F.filter(F.col(labels), lambda x: x.isNotNull()))
-    rest = F.array_except(F.col("__vocab"), own)
-    need = F.greatest(F.lit(size) - F.size(own), F.lit(0))
-    drawn = F.transform(
-        F.slice(F.array_sort(F.transform(rest, lambda x: F.struct(
-            F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(key).cast("string"), x)), 1, 8),
-                   16, 10).cast("bigint").alias("h"), x.alias("x")))), 1, need),
-        lambda e: e["x"])
-    return inst_labels.withColumn("candidates", F.array_sort(F.array_union(own, F.coalesce(drawn, F.array())))) \
-                      .drop("__vocab")
+    t = inst_labels.withColumn("__vocab", vocab_array).withColumn("__own", own)
+    n = F.size("__vocab")
+    t = (t.withColumn("__need", F.greatest(F.lit(size) - F.size("__own"), F.lit(0)))
+          .withColumn("__start", hash_key(seed, F.lit("start"), key))
+          .withColumn("__step", F.element_at(F.array(*[F.lit(x) for x in STEPS]), (hash_key(seed, F.lit("step"), key) % len(STEPS) + 1).cast("int"))))
+    probes = F.least(F.size("__own") + F.col("__need"), n)
+    walk = F.when((probes > 0) & (F.col("__need") > 0), F.sequence(F.lit(0), probes - 1)).otherwise(F.array().cast("array<int>"))
+    seen = F.transform(walk, lambda i: F.get(F.col("__vocab"), F.pmod(F.col("__start") + i * F.col("__step"), n).cast("int")))
+    drawn = F.slice(F.filter(seen, lambda x: ~F.array_contains("__own", x)), F.lit(1), F.col("__need"))
+    return (t.withColumn("candidates", F.array_sort(F.array_union("__own", drawn)))
+             .drop("__vocab", "__own", "__need", "__start", "__step"))

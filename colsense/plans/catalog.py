@@ -237,7 +237,7 @@ def q_accuracy_counter(spark, sf):
 # schema shaping, joins, vocabularies, sets
 # =====================================================================================
 
-from colsense.operators import annotate, gather, linearize, requests as rq, sample  # noqa: E402
+from colsense.operators import annotate, gather, linearize, prompts, requests as rq, sample  # noqa: E402
 from colsense.functions.text import json_list  # noqa: E402
 
 SEED = 20260311
@@ -576,71 +576,39 @@ def q_delinearize_list_csv(spark, sf):
     return lists.select("table_id", _joined(items).alias("items"), F.size(items).alias("n_items"))
 
 
-def prompts(spark, sf) -> DataFrame:
-    """Per table: linearized table, example messages, vocabulary list -> chat request."""
-    names = fx.table_names(spark, sf)
-    rows = fx.table_rows(spark, sf)
-    inst = fx.instances(spark, sf).where(F.exists("true_types", lambda x: x.isNotNull()))
-    table_text = linearize.linearize_csv(sample.sample_rows(rows, 3, SEED), names).join(
-        names.select("table_id", "table_name"), "table_id").select(
-        "table_id", linearize.fill_table_template(linearize.DEFAULT_TABLE_TEMPLATE, F.col("table_name"),
-                                                  F.col("table_text")).alias("table_text"))
-    # examples: labelled columns only, then the same sampling and linearization
-    ex_rows = annotate.drop_unspecified_columns(rows, inst)
-    ex_heads = (names.join(inst.select("table_id", "true_types"), "table_id")
-                     .select("table_id", "table_name",
-                             F.filter("headers", lambda h, i: F.get(F.col("true_types"), i).isNotNull())
-                              .alias("headers"),
-                             F.filter("true_types", lambda x: x.isNotNull()).alias("labels")))
-    ex_text = linearize.linearize_csv(sample.sample_rows(ex_rows, 3, SEED), ex_heads).join(
-        ex_heads, "table_id").select(
-        F.col("table_id").alias("example_id"),
-        linearize.fill_table_template(linearize.DEFAULT_TABLE_TEMPLATE, F.col("table_name"),
-                                      F.col("table_text")).alias("ex_table"),
-        json_list(F.col("labels")).alias("ex_types"))
-    pairs = sample.sample_examples(_indexed(spark, sf), 1, 20260313).join(ex_text, "example_id")
-    examples = pairs.groupBy("table_id").agg(F.flatten(F.transform(
-        F.array_sort(F.collect_list(F.struct("j", "ex_table", "ex_types"))),
-        lambda e: linearize.example_messages(e["ex_table"], e["ex_types"]))).alias("examples"))
-    vocab = json_list(F.col("__vocab"))
-    truth = json_list(annotate.stringify_unspecified(F.col("true_types")))
-    j = (table_text.join(inst.select("table_id", "true_types"), "table_id")
-                   .join(examples, "table_id", "left")
-                   .withColumn("__vocab", annotate.vocabulary_array(fx.vocabulary(spark))))
-    return j.select(
-        F.col("table_id").alias("request_id"),
-        F.lit("gpt-3.5-turbo-1106").alias("model"),
-        (rq.token_count_of(truth) + 100).alias("max_tokens"),
-        F.lit(0.0).alias("temperature"),
-        F.lit(None).cast("bigint").alias("seed"), F.lit(None).cast("bigint").alias("n"),
-        F.lit(None).cast("bigint").alias("best_of"),
-        linearize.prompt_messages(vocab, F.coalesce("examples", F.array().cast(
-            "array<struct<role:string,content:string>>")), F.col("table_text")).alias("messages"))
+def _requests(spark, sf, settings, **kw) -> DataFrame:
+    tables = fx.table_names(spark, sf).join(fx.instances(spark, sf).select("table_id", "true_types"), "table_id")
+    parts = prompts.prompt_parts(fx.table_rows(spark, sf), tables, settings)
+    return prompts.chat_requests(parts, annotate.vocabulary_array(fx.vocabulary(spark)), settings, **kw)
 
 
 @query("fill_chat_template")
 def q_fill_chat_template(spark, sf):
-    p = prompts(spark, sf)
+    p = _requests(spark, sf, prompts.PromptSettings())
     return p.select("request_id", F.posexplode("messages").alias("pos", "m")).select(
         "request_id", "pos", "m.role", "m.content")
 
 
 @query("unfilled_variables")
 def q_unfilled_variables(spark, sf):
-    p = prompts(spark, sf)
+    """With two examples; tables without a name leave its variable open."""
+    p = _requests(spark, sf, prompts.PromptSettings(examples=2), open_only=True)
     return p.select("request_id", F.array_join(linearize.unfilled_variables(F.col("messages")), ",")
                     .alias("unfilled")).where(F.col("unfilled") != "")
 
 
 @query("assemble_requests")
 def q_assemble_requests(spark, sf):
-    p = prompts(spark, sf)
+    """With few example columns and a vocabulary drawn for each instance."""
+    p = _requests(spark, sf, prompts.PromptSettings(example_columns=4, instance_vocabulary=11))
     return p.select("request_id", rq.request_json(p).alias("request_json"))
 
 
 @query("max_tokens_for_truth")
 def q_max_tokens_for_truth(spark, sf):
-    return prompts(spark, sf).select("request_id", "max_tokens")
+    inst = fx.instances(spark, sf).where(F.exists("true_types", lambda x: x.isNotNull()))
+    return inst.select(F.col("table_id").alias("request_id"),
+                       prompts.max_tokens_for_truth(F.col("true_types"), 100).alias("max_tokens"))
 
 
 @query("estimate_tokens")

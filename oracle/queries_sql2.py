@@ -365,17 +365,25 @@ FROM (SELECT table_id, true_types,
                   ELSE range(len(true_types)) END AS kept
       FROM fx_instances)""", "fx_instances")
 
-SQL["candidate_vocabulary"] = W(f"""
-SELECT table_id, {joined('list_sort(list_distinct(list_concat(own, drawn)))')} AS candidates
-FROM (
-  SELECT table_id, own,
-         list_transform(list_sort(list_transform(list_filter(list_sort({VOCAB}), lambda v: NOT list_contains(own, v)),
-                                                 lambda x: {{'hh': {h(SEED_PREP, 'table_id', 'x')}, 'x': x}}))
-                        [1:greatest(10 - len(own), 0)], lambda e: e.x) AS drawn
-  FROM (SELECT i.table_id, list_distinct(list_filter(list_concat(i.true_types, coalesce(x.true_types, [])),
-                                                     lambda v: v IS NOT NULL)) AS own
+STEPS = "[2147483659, 2147483693, 2147483713, 2147483743, 2147483777, 2147483783, 2147483813, 2147483857]"
+
+
+def candidates_sql(own_sql: str, size: int) -> str:
+    """(table_id, candidates) from (table_id, own): entries in the order of the walk that aren't own ones."""
+    return f"""
+  SELECT table_id, list_sort(list_concat(own, list_filter(walk, lambda v: NOT list_contains(own, v))[1:greatest({size} - len(own), 0)])) AS candidates
+  FROM (SELECT table_id, own, list_transform(range(len(vocab)), lambda i:
+               vocab[CAST((start + i * step) % len(vocab) AS INTEGER) + 1]) AS walk
+        FROM (SELECT *, list_sort({VOCAB}) AS vocab, {h(SEED_PREP, "'start'", 'table_id')} AS start,
+                     {STEPS}[{h(SEED_PREP, "'step'", 'table_id')} % 8 + 1] AS step FROM ({own_sql})))"""
+
+
+_OWN = """SELECT i.table_id, list_distinct(list_filter(list_concat(i.true_types, coalesce(x.true_types, [])),
+                                             lambda v: v IS NOT NULL)) AS own
         FROM fx_instances i LEFT JOIN fx_examples1 e USING (table_id)
-        LEFT JOIN fx_instances x ON x.table_id = e.example_id))""", "fx_instances", "fx_examples1")
+        LEFT JOIN fx_instances x ON x.table_id = e.example_id"""
+SQL["candidate_vocabulary"] = W(f"SELECT table_id, {joined('candidates')} AS candidates FROM ({candidates_sql(_OWN, 10)})",
+                                "fx_instances", "fx_examples1")
 
 SQL["largest_requests_first"] = W("""
 SELECT request_id, max_total_usage,
@@ -550,3 +558,62 @@ cte("dn_grid", ("dn_cells",), """
 SQL["densify_sparse_cells"] = W("""
 SELECT g.table_id, g.col_idx, g.row_idx, c.text FROM dn_grid g LEFT JOIN dn_cells c USING (table_id, col_idx, row_idx)""",
                                 "dn_grid", "dn_cells")
+
+
+# --- chat requests --------------------------------------------------------------------------
+
+_TEMPLATE = ("replace(CASE WHEN length(coalesce(table_name, '')) > 0 THEN replace('{{table_name}}' || chr(10) || '{{table}}', "
+             "'{{table_name}}', table_name) ELSE '{{table_name}}' || chr(10) || '{{table}}' END, '{{table}}', %s)")
+
+
+def chat_sql(body: str, examples: int, limit: int, vocabulary: str) -> str:
+    """body reads req(table_id, messages, max_tokens): the vocabulary's message, two for each example, the table's."""
+    line = f"array_to_string(list_transform(kept, lambda i: {csvf('cells[i]')}), ',')"
+    return W(f"""
+, pr_kept AS (
+  SELECT table_id, true_types, CASE WHEN len(known) > {limit}
+         THEN list_sort(list_transform(list_sort(list_transform(range(len(known)), lambda p: {{'hh': {h(SEED_PREP, 'table_id', 'p')}, 'p': p}}))[1:{limit}],
+                                       lambda e: known[e.p + 1])) ELSE known END AS kept
+  FROM (SELECT table_id, true_types, list_filter(range(1, len(true_types) + 1), lambda i: true_types[i] IS NOT NULL) AS known FROM fx_instances)
+  WHERE len(known) > 0),
+pr_examples AS (
+  SELECT s.table_id, array_to_string(list_concat([array_to_string(list_transform(any_value(k.kept), lambda i: any_value(n.headers)[i]), ',')],
+                                                 list(s.line ORDER BY s.sample_rank)), chr(10)) || chr(10) AS text
+  FROM (SELECT table_id, sample_rank, {line} AS line FROM fx_sampled JOIN pr_kept USING (table_id)) s
+  JOIN pr_kept k USING (table_id) JOIN fx_names n USING (table_id) GROUP BY s.table_id),
+pr_parts AS (
+  SELECT k.table_id, k.true_types, {_TEMPLATE % 'l.table_text'} AS table_text, {_TEMPLATE % 'x.text'} AS ex_text,
+         '[' || array_to_string(list_transform(k.kept, lambda i: '"' || k.true_types[i] || '"'), ', ') || ']' AS ex_types
+  FROM pr_kept k JOIN fx_names USING (table_id) JOIN fx_lin_csv l USING (table_id) JOIN pr_examples x USING (table_id)),
+pr_pairs AS ({examples_sql(examples)}),
+pr_own AS (
+  SELECT p.table_id, list_distinct(list_filter(list_concat(any_value(p.true_types), flatten(list(x.true_types))), lambda v: v IS NOT NULL)) AS own
+  FROM pr_parts p JOIN pr_pairs e USING (table_id) JOIN pr_parts x ON x.table_id = e.example_id GROUP BY p.table_id),
+pr_vocabulary AS ({vocabulary}),
+pr_shown AS (
+  SELECT e.table_id, flatten(list([{{'role': 'user', 'content': x.ex_text}}, {{'role': 'assistant', 'content': x.ex_types}}] ORDER BY e.j)) AS m
+  FROM pr_pairs e JOIN pr_parts x ON x.table_id = e.example_id GROUP BY e.table_id),
+req AS (
+  SELECT p.table_id, {tokens("'[' || array_to_string(list_transform(p.true_types, lambda x: '\"' || coalesce(x, 'unspecified') || '\"'), ', ') || ']'")} + 100 AS max_tokens,
+         list_concat([{{'role': 'user', 'content': 'Predict the column types of the following tables. Provide just the column types as a JSON list without any '
+                        || 'introduction or explanation.' || chr(10) || 'Column types are: [' || array_to_string(list_transform(v.candidates, lambda x: '"' || x || '"'), ', ') || ']'}}],
+                     s.m, [{{'role': 'user', 'content': p.table_text}}]) AS messages
+  FROM pr_parts p JOIN pr_shown s USING (table_id) JOIN pr_vocabulary v USING (table_id))
+{body}""", "fx_instances", "fx_sampled", "fx_names", "fx_lin_csv", "fx_indexed").replace(")\n\n, pr_kept", "),\npr_kept")
+
+
+_WHOLE = f"SELECT table_id, list_sort({VOCAB}) AS candidates FROM pr_own"
+
+SQL["fill_chat_template"] = chat_sql("""
+SELECT table_id AS request_id, CAST(pos AS INTEGER) AS pos, messages[pos + 1].role AS role, messages[pos + 1].content AS content
+FROM (SELECT table_id, messages, unnest(range(len(messages))) AS pos FROM req)""", 1, 20, _WHOLE)
+
+SQL["unfilled_variables"] = chat_sql(r"""
+SELECT table_id AS request_id, unfilled FROM (
+  SELECT table_id, array_to_string(flatten(list_transform(messages, lambda m: regexp_extract_all(m.content, '\{\{(.*)\}\}', 1))), ',') AS unfilled FROM req)
+WHERE unfilled <> ''""", 2, 20, _WHOLE)
+
+SQL["assemble_requests"] = chat_sql(f"""
+SELECT table_id AS request_id, '{{"model": "gpt-3.5-turbo-1106", "max_tokens": ' || CAST(max_tokens AS VARCHAR) || ', "temperature": 0, "messages": ['
+       || array_to_string(list_transform(messages, lambda m: '{{"role": "' || m.role || '", "content": ' || {jstr('m.content')} || '}}'), ', ') || ']}}' AS request_json
+FROM req""", 1, 4, candidates_sql("SELECT * FROM pr_own", 11))
