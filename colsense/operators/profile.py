@@ -3,7 +3,8 @@
 Input is the row-array corpus ``table_rows(table_id, row_idx, cells)``.  Per
 table statistics are one aggregation on ``table_id``; per corpus statistics
 one more on ``dataset``.  Order statistics never sort a whole corpus in one
-task: values are counted first, then ranked inside fixed-width value buckets.
+task: values are counted first, and one row per fixed-width value bucket gives
+any number of ranks in one pass.
 """
 
 from __future__ import annotations
@@ -78,60 +79,77 @@ def annotated_per_table(columns: DataFrame) -> DataFrame:
         F.count("column_type").alias("n_annotated"), F.count(F.lit(1)).alias("n_columns"))
 
 
-def order_statistics(df: DataFrame, group_cols: list[str], value: str,
-                     ranks: dict[str, Column]) -> DataFrame:
-    """Exact order statistics ``x_r`` (1-based rank ``r``) of an integral column per group.
+def annotated_total(columns: DataFrame) -> DataFrame:
+    """``(n_tables, n_annotated_tables, n_annotated, n_columns)`` of the corpus."""
+    return annotated_per_table(columns).agg(
+        F.count(F.lit(1)).alias("n_tables"), F.count_if(F.col("n_annotated") > 0).alias("n_annotated_tables"),
+        F.sum("n_annotated").alias("n_annotated"), F.sum("n_columns").alias("n_columns"))
+
+
+def _histogram(long: DataFrame, g: list[str]) -> DataFrame:
+    """One row per group and value bucket: ``vs`` (its values in order, each with
+    its count), ``bc`` and ``bt`` (rows and sum of ``x``), ``before`` (rows in
+    lower buckets) and ``n`` (rows of the group).
+
+    ``long`` has the group columns, an integral ``v`` (null where it isn't ranked)
+    and ``x``.  Values are counted first (map-side combined), so a bucket holds at
+    most its width of them however many rows there are.
+    """
+    counts = (long.groupBy(*g, "v").agg(F.count("x").alias("c"), F.sum("x").alias("t"))
+                  .withColumn("b", F.floor(F.col("v") / _BUCKET_WIDTH)))
+    buckets = counts.groupBy(*g, "b").agg(F.array_sort(F.collect_list(F.struct("v", "c"))).alias("vs"),
+                                          F.sum("c").alias("bc"), F.sum("t").alias("bt"))
+    w = Window.partitionBy(*g) if g else Window.partitionBy(F.lit(0))
+    return (buckets.withColumn("before", F.coalesce(
+                        F.sum("bc").over(w.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+                   .withColumn("n", F.sum("bc").over(w)))
+
+
+def _at_rank(r: Column) -> Column:
+    """The value of 1-based rank ``r`` where a histogram's bucket holds it, else null."""
+    def step(acc, e):
+        return F.struct((acc["left"] - e["c"]).alias("left"),
+                        F.when((acc["left"] > 0) & (acc["left"] <= e["c"]), e["v"]).otherwise(acc["v"]).alias("v"))
+    start = F.struct((r - F.col("before")).cast("bigint").alias("left"), F.lit(None).cast("bigint").alias("v"))
+    inside = (F.col("before") < r) & (r <= F.col("before") + F.col("bc"))
+    return F.when(inside, F.aggregate("vs", start, step)["v"])
+
+
+def order_statistics(df: DataFrame, group_cols: list[str], value: str, ranks: dict[str, Column]) -> DataFrame:
+    """``n`` and exact order statistics ``x_r`` (1-based rank ``r``) of an integral
+    column per group, all ranks in one pass.
 
     ``ranks`` maps an output name to an expression over ``n`` (the group size).
-    Work per task is bounded by the bucket width and the number of buckets,
-    never by the number of rows: values are counted (map-side combined), then
-    bucket totals give each bucket's starting rank, and only the buckets that
-    hold a requested rank are ranked value by value.
     """
-    g = list(group_cols)
-    counts = (df.where(F.col(value).isNotNull())
-                .groupBy(*g, F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("c"))
-                .withColumn("b", F.floor(F.col("v") / _BUCKET_WIDTH)))
-    wb = Window.partitionBy(*g) if g else Window.partitionBy(F.lit(0))
-    buckets = (counts.groupBy(*g, "b").agg(F.sum("c").alias("bc"))
-                     .withColumn("before", F.coalesce(
-                         F.sum("bc").over(wb.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)),
-                         F.lit(0)))
-                     .withColumn("n", F.sum("bc").over(wb)))
-    for name, r in ranks.items():
-        buckets = buckets.withColumn("r_" + name, r)
-    hit = F.lit(False)
-    for name in ranks:
-        rr = F.col("r_" + name)
-        hit = hit | ((F.col("before") < rr) & (rr <= F.col("before") + F.col("bc")))
-    wanted = buckets.where(hit)
-    wv = Window.partitionBy(*g, "b").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = (counts.join(wanted, on=g + ["b"], how="inner")
-                    .withColumn("cum", F.col("before") + F.sum("c").over(wv)))
-    aggs = [F.min(F.when(F.col("cum") >= F.col("r_" + name), F.col("v"))).alias(name) for name in ranks]
-    return ranked.groupBy(*g).agg(*aggs)
+    v = F.col(value).cast("bigint")
+    long = df.where(F.col(value).isNotNull()).select(*group_cols, v.alias("v"), v.alias("x"))
+    h = _histogram(long, list(group_cols))
+    return h.groupBy(*group_cols).agg(F.max("n").alias("n"), *[F.max(_at_rank(r)).alias(name) for name, r in ranks.items()])
 
 
 def exclusive_quantile_ranks(k: int = 19, q: int = 20) -> dict[str, Column]:
     """Ranks used by the exclusive (R6) ``k``-th of ``q`` quantiles."""
     n = F.col("n")
-    m = n + 1
-    j = F.least(F.greatest(F.floor(F.lit(k) * m / q), F.lit(1)), n - 1)
+    j = F.least(F.greatest(F.floor(F.lit(k) * (n + 1) / q), F.lit(1)), n - 1)
     return {"x_lo": j, "x_hi": j + 1}
 
 
-def exclusive_quantile(df: DataFrame, group_cols: list[str], value: str,
-                       k: int = 19, q: int = 20, alias: str = "p95") -> DataFrame:
-    """``statistics.quantiles(x, n=q)[k-1]`` (exclusive method) per group; null when n < 2."""
-    g = list(group_cols)
-    n_df = df.where(F.col(value).isNotNull()).groupBy(*g).agg(F.count(F.lit(1)).alias("n"))
-    stats = order_statistics(df, g, value, exclusive_quantile_ranks(k, q))
-    joined = n_df.join(stats, on=g, how="left") if g else n_df.crossJoin(stats)
-    n = F.col("n")
+def _between(n: Column, lo: Column, hi: Column, k: int = 19, q: int = 20) -> Column:
+    """The exclusive quantile from the values of its two ranks; null when n < 2."""
     j = F.least(F.greatest(F.floor(F.lit(k) * (n + 1) / q), F.lit(1)), n - 1)
     delta = F.lit(k) * (n + 1) - F.lit(q) * j
-    val = (F.col("x_lo") * (F.lit(q) - delta) + F.col("x_hi") * delta) / F.lit(float(q))
-    return joined.select(*g, F.when(n >= 2, val).alias(alias))
+    return F.when(n >= 2, (lo * (F.lit(q) - delta) + hi * delta) / F.lit(float(q)))
+
+
+def exclusive_quantile(df: DataFrame, group_cols: list[str], values: dict[str, str], k: int = 19, q: int = 20) -> DataFrame:
+    """``statistics.quantiles(x, n=q)[k-1]`` (exclusive method) per group of each
+    column (result name -> column), in one pass; null when n < 2."""
+    g = list(group_cols)
+    long = df.select(*g, F.explode(F.array(*[F.struct(F.lit(a).alias("metric"), F.col(c).cast("bigint").alias("value"))
+                                             for a, c in values.items()])).alias("m")).select(*g, "m.metric", "m.value")
+    stats = order_statistics(long, [*g, "metric"], "value", exclusive_quantile_ranks(k, q))
+    at = _between(F.col("n"), F.col("x_lo"), F.col("x_hi"), k, q)
+    return stats.groupBy(*g).agg(*[F.max(F.when(F.col("metric") == a, at)).alias(a) for a in values])
 
 
 def median_ranks() -> dict[str, Column]:
@@ -139,69 +157,74 @@ def median_ranks() -> dict[str, Column]:
     return {"m_lo": F.floor((n + 1) / 2), "m_hi": F.ceil((n + 1) / 2)}
 
 
+def _characteristics(long: DataFrame, d: str) -> DataFrame:
+    """One row per dataset from a long table ``(dataset, metric, v, x)``: ranked
+    metrics ``cols`` and ``rows``, sums ``sparsity``, ``numerical`` and
+    ``non_numerical`` (columns), and ``listed`` (one row per table, read or not;
+    without it all are read).  Everything comes from one histogram."""
+    h = _histogram(long, [d, "metric"])
+    ranks = {**exclusive_quantile_ranks(), **median_ranks()}
+    of = lambda m, c: F.when(F.col("metric") == m, c)
+    ranked = [F.max(of(m, _at_rank(r))).alias(f"{m}_{name}") for m in ("cols", "rows") for name, r in ranks.items()]
+    sums = [F.sum(of(m, F.col(c))).alias(f"{m}_{c}") for m in ("cols", "rows", "sparsity", "numerical", "non_numerical", "listed") for c in ("bc", "bt")]
+    s = h.groupBy(d).agg(*ranked, *sums)
+    typed = F.col("numerical_bt") + F.col("non_numerical_bt")
+    mean = lambda m: F.try_divide(F.col(f"{m}_bt"), F.col(f"{m}_bc"))
+
+    def shape(m: str) -> list[Column]:
+        return [mean(m).alias(f"mean_{m}"), ((F.col(f"{m}_m_lo") + F.col(f"{m}_m_hi")) / 2.0).alias(f"median_{m}"),
+                _between(F.col(f"{m}_bc"), F.col(f"{m}_x_lo"), F.col(f"{m}_x_hi")).alias(f"p95_{m}")]
+
+    n_tables = F.coalesce("listed_bc", "rows_bc")
+    return s.select(d, n_tables.alias("n_tables"), *shape("cols"), *shape("rows"), mean("sparsity").alias("mean_sparsity"),
+                    F.try_divide(F.col("non_numerical_bt"), typed).alias("non_numerical_share"),
+                    F.try_divide(F.col("numerical_bt"), typed).alias("numerical_share"),
+                    (n_tables - F.coalesce("rows_bc", F.lit(0))).alias("parsing_failed"))
+
+
+def _metric(name: str, x: Column, ranked: bool = False) -> Column:
+    return F.struct(F.lit(name).alias("metric"), (x if ranked else F.lit(None)).cast("bigint").alias("v"), x.cast("double").alias("x"))
+
+
 def corpus_characteristics(rows: DataFrame, tables: DataFrame | None = None,
                            dataset_col: str = "dataset") -> DataFrame:
     """One row per corpus: count, mean / median / exclusive 95th of columns and
     rows, mean sparsity, data-type shares and failed-parse count.
 
-    ``rows`` carries ``dataset``; ``tables`` (optional) lists every table with a
-    ``parse_error`` flag so failed files count as tables but not in means.
+    ``rows`` carries ``dataset``, and may hold tables without rows (null
+    ``cells``, width from ``headers``; their columns are non-numerical).
+    ``tables`` (optional) is the ledger of all tables; those without an entry in
+    ``rows`` couldn't be read: they count as tables but not in means.  Rows are
+    read once: one aggregation per column gives a table's shape, missing cells
+    and types.
     """
     d = dataset_col
-    per_table = rows.groupBy(d, "table_id").agg(
-        F.count(F.lit(1)).alias("n_rows"),
-        F.max(F.size("cells")).alias("n_cols"),
-        F.sum(_null_cells(F.col("cells"))).alias("n_null"))
-    per_table = per_table.withColumn(
-        "sparsity", F.when(F.col("n_rows") * F.col("n_cols") != 0,
-                           F.col("n_null") / (F.col("n_rows") * F.col("n_cols"))))
-    col_types = column_data_type(rows, [d, "table_id"])
-    shares = data_type_share(col_types, [d])
-    base = per_table.groupBy(d).agg(
-        F.count(F.lit(1)).alias("n_parsed"),
-        F.avg("n_cols").alias("mean_cols"),
-        F.avg("n_rows").alias("mean_rows"),
-        F.avg("sparsity").alias("mean_sparsity"))
-    q_cols = exclusive_quantile(per_table, [d], "n_cols", alias="p95_cols")
-    q_rows = exclusive_quantile(per_table, [d], "n_rows", alias="p95_rows")
-    med_c = order_statistics(per_table, [d], "n_cols", median_ranks()).select(
-        d, ((F.col("m_lo") + F.col("m_hi")) / 2.0).alias("median_cols"))
-    med_r = order_statistics(per_table, [d], "n_rows", median_ranks()).select(
-        d, ((F.col("m_lo") + F.col("m_hi")) / 2.0).alias("median_rows"))
-    out = (base.join(q_cols, d).join(q_rows, d).join(med_c, d).join(med_r, d)
-               .join(shares.select(d, "numerical_share", "non_numerical_share"), d, "left"))
+    width = F.size("headers") if "headers" in rows.columns else F.lit(None).cast("int")
+    cells = rows.select(d, "table_id", width.alias("width"), F.col("cells").isNotNull().alias("row"), F.posexplode_outer("cells").alias("col_idx", "value"))
+    na, value = is_na_token(F.col("value")), F.col("value")
+    per_column = cells.groupBy(d, "table_id", "col_idx").agg(
+        F.max("width").alias("width"), F.count_if("row").alias("n"), F.count_if(na).alias("n_null"),
+        F.bool_and(na | is_numeric_token(value)).alias("numeric"))
+    known = F.col("col_idx").isNotNull()
+    per_table = per_column.groupBy(d, "table_id").agg(
+        F.max("n").alias("n_rows"), F.coalesce(F.max(F.col("col_idx") + 1), F.max("width"), F.lit(0)).alias("n_cols"),
+        F.sum(F.when(known, F.col("n_null"))).alias("n_null"), F.count_if(known & F.col("numeric")).alias("numerical"))
+    metrics = [_metric("cols", F.col("n_cols"), True), _metric("rows", F.col("n_rows"), True),
+               _metric("sparsity", F.try_divide(F.col("n_null").cast("double"), F.col("n_rows") * F.col("n_cols"))),
+               _metric("numerical", F.col("numerical")), _metric("non_numerical", F.col("n_cols") - F.col("numerical"))]
+    long = per_table.select(d, F.explode(F.array(*metrics)).alias("m")).select(d, "m.*")
     if tables is not None:
-        fails = tables.groupBy(d).agg(F.count(F.lit(1)).alias("n_tables"),
-                                      F.count_if(F.col("parse_error")).alias("parsing_failed"))
-        out = out.join(fails, d, "left")
-    else:
-        out = out.withColumn("n_tables", F.col("n_parsed")).withColumn("parsing_failed", F.lit(0).cast("bigint"))
-    return out.select(d, "n_tables", "mean_cols", "median_cols", "p95_cols", "mean_rows",
-                      "median_rows", "p95_rows", "mean_sparsity", "non_numerical_share",
-                      "numerical_share", "parsing_failed")
+        long = long.unionByName(tables.select(d, _metric("listed", F.lit(1)).alias("m")).select(d, "m.*"))
+    return _characteristics(long, d)
 
 
-def precomputed_stats_profile(stats: DataFrame) -> DataFrame:
-    """Characteristics from a statistics document.
-
-    ``stats(dataset, table_id, num_cols, num_rows_json, sparsity, num_numerical_cols,
+def precomputed_stats_profile(stats: DataFrame, dataset_col: str = "dataset") -> DataFrame:
+    """Characteristics from statistics documents, as ``corpus.scan_stats_documents``
+    reads them: ``(dataset, num_cols, num_rows_json, sparsity, num_numerical_cols,
     num_non_numerical_cols)`` where ``num_rows_json`` is ``{"COUNT(*)":{"0":n}}``.
     """
-    t = stats.withColumn("n_rows", F.get_json_object("num_rows_json", "$['COUNT(*)']['0']").cast("bigint")) \
-             .withColumn("n_cols", F.col("num_cols").cast("bigint"))
-    d = "dataset"
-    base = t.groupBy(d).agg(
-        F.count(F.lit(1)).alias("n_tables"),
-        F.avg("n_cols").alias("mean_cols"), F.avg("n_rows").alias("mean_rows"),
-        F.avg("sparsity").alias("mean_sparsity"),
-        (F.sum("num_numerical_cols") / (F.sum("num_numerical_cols") + F.sum("num_non_numerical_cols")))
-        .alias("numerical_share"))
-    q_cols = exclusive_quantile(t, [d], "n_cols", alias="p95_cols")
-    q_rows = exclusive_quantile(t, [d], "n_rows", alias="p95_rows")
-    med_c = order_statistics(t, [d], "n_cols", median_ranks()).select(
-        d, ((F.col("m_lo") + F.col("m_hi")) / 2.0).alias("median_cols"))
-    med_r = order_statistics(t, [d], "n_rows", median_ranks()).select(
-        d, ((F.col("m_lo") + F.col("m_hi")) / 2.0).alias("median_rows"))
-    return (base.join(q_cols, d).join(q_rows, d).join(med_c, d).join(med_r, d)
-                .select(d, "n_tables", "mean_cols", "median_cols", "p95_cols", "mean_rows",
-                        "median_rows", "p95_rows", "mean_sparsity", "numerical_share"))
+    d = dataset_col
+    n_rows = F.get_json_object("num_rows_json", "$['COUNT(*)']['0']").cast("bigint")
+    metrics = [_metric("cols", F.col("num_cols"), True), _metric("rows", n_rows, True), _metric("sparsity", F.col("sparsity")),
+               _metric("numerical", F.col("num_numerical_cols")), _metric("non_numerical", F.col("num_non_numerical_cols"))]
+    return _characteristics(stats.select(d, F.explode(F.array(*metrics)).alias("m")).select(d, "m.*"), d).drop("parsing_failed")

@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from colsense.operators import parse, profile, report
 from colsense.plans import evaluation as ev
-from colsense.sources import fixtures as fx
+from colsense.session import staged
+from colsense.sources import corpus as src, fixtures as fx, sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -65,33 +66,38 @@ def q_annotated_column_counts(spark, sf):
     return profile.annotated_column_counts(fx.columns(spark, sf))
 
 
+@query("annotated_columns_per_table")
+def q_annotated_columns_per_table(spark, sf):
+    return profile.annotated_per_table(fx.columns(spark, sf))
+
+
+@query("annotated_columns_total")
+def q_annotated_columns_total(spark, sf):
+    return profile.annotated_total(fx.columns(spark, sf))
+
+
+def _rounded(df: DataFrame) -> DataFrame:
+    return df.select(*[F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+
+
 @query("exclusive_quantile")
 def q_exclusive_quantile(spark, sf):
     shape = _with_dataset(profile.table_shape(fx.table_rows(spark, sf)))
-    rows_q = profile.exclusive_quantile(shape, ["dataset"], "n_rows", alias="p95_rows")
-    cols_q = profile.exclusive_quantile(shape, ["dataset"], "n_cols", alias="p95_cols")
-    return rows_q.join(cols_q, "dataset").select(
-        "dataset", F.round("p95_rows", 6).alias("p95_rows"), F.round("p95_cols", 6).alias("p95_cols"))
+    return _rounded(profile.exclusive_quantile(shape, ["dataset"], {"p95_rows": "n_rows", "p95_cols": "n_cols"}))
 
 
 @query("corpus_characteristics")
 def q_corpus_characteristics(spark, sf):
-    out = profile.corpus_characteristics(_with_dataset(fx.table_rows(spark, sf)))
-    return out.select(*[F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in out.dtypes])
+    """All orders are listed as tables; those without lineitems count as failed."""
+    return _rounded(profile.corpus_characteristics(_with_dataset(fx.table_rows(spark, sf)), _with_dataset(fx.ledger(spark, sf))))
 
 
 @query("precomputed_stats_profile")
 def q_precomputed_stats_profile(spark, sf):
-    rows = _with_dataset(fx.table_rows(spark, sf))
-    stats = (rows.groupBy("dataset", "table_id").agg(
-                 F.count(F.lit(1)).alias("n"), F.max(F.size("cells")).alias("num_cols"),
-                 F.sum(F.size(F.filter("cells", lambda x: x.isNull()))).alias("n_null"))
-             .withColumn("num_rows_json", F.format_string('{"COUNT(*)":{"0":%d}}', F.col("n")))
-             .withColumn("sparsity", F.col("n_null") / (F.col("n") * F.col("num_cols")))
-             .withColumn("num_non_numerical_cols", F.lit(0))
-             .withColumn("num_numerical_cols", F.col("num_cols")))
-    out = profile.precomputed_stats_profile(stats)
-    return out.select(*[F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in out.dtypes])
+    """Statistics documents are written as JSON lines and scanned."""
+    path = sinks.scratch_path(spark, "stats")
+    fx.stats_documents(_with_dataset(fx.table_rows(spark, sf))).write.text(path)
+    return _rounded(profile.precomputed_stats_profile(src.scan_stats_documents(spark, path)))
 
 
 # --- 2.7 parsing ----------------------------------------------------------------------
@@ -695,9 +701,6 @@ def q_f1_by_sparsity(spark, sf):
 # shared checkpoint folder and read back through the scanners
 # =====================================================================================
 
-from colsense.sources import corpus as src, sinks  # noqa: E402
-
-
 def _monthly_lineitem(spark, sf):
     li = fx.read(spark, sf, "lineitem")
     return li.select(F.date_format("l_shipdate", "yyyy-MM").alias("month"),
@@ -706,17 +709,33 @@ def _monthly_lineitem(spark, sf):
                      F.date_format("l_shipdate", "yyyy-MM-dd").alias("shipdate"))
 
 
+def _csv_corpus(spark, sf) -> DataFrame:
+    """CSV files of three header sets, and odd ones, written and scanned; ``file`` is folder/partition."""
+    path = sinks.scratch_path(spark, "csv-corpus")
+    for folder, rows in fx.csv_months(spark, sf):
+        rows.repartition("month").write.partitionBy("month").option("header", True).option("escape", '"').csv(f"{path}/{folder}")
+    for folder, texts in fx.csv_odd_files(spark, sf):
+        texts.repartition(1).write.partitionBy("year").text(f"{path}/{folder}")
+    rows = src.scan_csv_corpus(spark, path, "part-*")
+    return rows.withColumn("file", F.regexp_extract("path", "([^/]+/[^/]+)/[^/]+$", 1))
+
+
 @query("scan_csv_corpus")
 def q_scan_csv_corpus(spark, sf):
-    """One CSV table per ship month; per-file shape and sparsity from the scan."""
-    path = sinks.scratch_path(spark, "csv-corpus")
-    (_monthly_lineitem(spark, sf).repartition("month").write.mode("overwrite")
-        .partitionBy("month").option("header", True).csv(path))
-    rows = src.scan_csv_corpus(spark, path, "*.csv")
-    return rows.groupBy("path").agg(
+    """Shape, missing cells and text length of each file of the scanned corpus."""
+    return _csv_corpus(spark, sf).groupBy("file").agg(
         F.count_if(F.col("row_idx") >= 0).alias("n_rows"), F.max(F.size("headers")).alias("n_cols"),
-        F.bool_or("parse_error").alias("parse_error"),
-        F.sum(F.size(F.filter("cells", lambda x: x.isNull()))).alias("n_null"))
+        F.max(F.array_join("headers", "|")).alias("headers"), F.bool_or("parse_error").alias("parse_error"),
+        F.sum(F.size(F.filter("cells", lambda x: x.isNull()))).alias("n_null"),
+        F.sum(F.length(F.array_join("cells", ""))).cast("bigint").alias("n_chars"))
+
+
+@query("scan_to_profile")
+def q_scan_to_profile(spark, sf):
+    """Characteristics of the scanned files by folder; unreadable files count as failed."""
+    rows = _csv_corpus(spark, sf).withColumn("dataset", F.split_part("file", F.lit("/"), F.lit(1))).withColumnRenamed("path", "table_id")
+    rows = staged(rows, "scanned")
+    return _rounded(profile.corpus_characteristics(rows.where("NOT parse_error"), rows.select("dataset", "table_id").distinct()))
 
 
 @query("scan_jsonl_gz_corpus")

@@ -1,51 +1,87 @@
 """Corpus sources: many small tables in many files, nested metadata, sparse cells.
 
 A corpus is read into the row-array form ``(table_id, row_idx, cells)`` in one
-DataFrame, never one DataFrame per file.  Small-table CSV corpora are read as
-binary files and parsed per file in a pandas batch (a file is one table, so
-the unit of work is a file); a single large CSV table should instead be read
-with ``spark.read.csv`` (:func:`scan_large_csv_table`).
+DataFrame, never one DataFrame per file.  CSV corpora of differing headers go
+through Spark's CSV reader with positional columns: a file is one stream in one
+task, and no file is held whole.
 """
 
 from __future__ import annotations
 
-import io
-
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_ROW_SCHEMA = "path string, row_idx int, headers array<string>, cells array<string>, parse_error boolean"
-
-
-def _parse_csv_files(batches):
-    for pdf in batches:
-        out = []
-        for path, content in zip(pdf["path"], pdf["content"]):
-            try:
-                t = pd.read_csv(io.BytesIO(content), dtype=str, keep_default_na=True)
-                heads = [str(h) for h in t.columns]
-                vals = t.astype(object).where(t.notna(), None).values.tolist()
-                if not vals:
-                    out.append((path, -1, heads, None, False))
-                for i, row in enumerate(vals):
-                    out.append((path, i, heads, row, False))
-            except Exception:  # noqa: BLE001 - an unreadable file is counted, not fatal
-                out.append((path, -1, None, None, True))
-        yield pd.DataFrame(out, columns=["path", "row_idx", "headers", "cells", "parse_error"])
-
-
-def scan_csv_corpus(spark: SparkSession, root: str, pattern: str = "*.csv") -> DataFrame:
-    """``(path, row_idx, headers, cells, parse_error)``; a header-only table yields
-    one row with ``row_idx = -1``, an unreadable file one row with ``parse_error``."""
-    files = (spark.read.format("binaryFile").option("pathGlobFilter", pattern)
-             .option("recursiveFileLookup", "true").load(root).select("path", "content"))
-    return files.mapInPandas(_parse_csv_files, _ROW_SCHEMA)
-
-
-def scan_large_csv_table(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
-    reader = spark.read.option("header", True)
-    return reader.schema(schema).csv(path) if schema else reader.csv(path)
+from colsense.functions.numeric import is_na_token
+from colsense.session import staged
+
+
+def _reader(spark: SparkSession, pattern: str):
+    return spark.read.option("pathGlobFilter", pattern).option("recursiveFileLookup", "true")
+
+
+def _fields(record: Column, sep: str) -> Column:
+    """The fields of one CSV record: quoted ones without their quotes, others as they stand."""
+    out = "\\" + sep
+    found = F.regexp_extract_all(F.concat(F.lit(sep), record), F.lit(rf'{out}(?:(?:"[^"]*+")++[^{out}]*+|[^{out}]*+)'), 0)
+    inner = lambda x: F.replace(F.regexp_extract(x, '^"((?:[^"]++|"")*+)"', 1), F.lit('""'), F.lit('"'))
+    plain = lambda f: F.substring(f, F.lit(2), F.length(f))
+    return F.transform(found, lambda f: F.when(plain(f).startswith('"'), inner(plain(f))).otherwise(plain(f)))
+
+
+def scan_csv_corpus(spark: SparkSession, root: str, pattern: str = "*.csv", sep: str = ",") -> DataFrame:
+    """``(path, row_idx, headers, cells, parse_error)`` of all rows of all files;
+    missing-value words are null, short rows end in nulls.
+
+    A header-only table yields one row with ``row_idx = -1`` and null cells; a
+    file that can't be read as a table one with ``parse_error``: no record at
+    all, a row with more fields than the header, a quote that is never closed,
+    or text that isn't UTF-8.  Header names stay as written.
+
+    Spark's CSV reader cuts the records (line breaks may stand in quotes) into
+    its corrupt-record column, because no table has the schema asked for; so
+    files of any headers and widths go through one scan, each a stream in one
+    task.  Records are staged; a file's first one is its header.
+    """
+    # the driver lists the files for any read; scans alone would leave out empty ones
+    listed = _reader(spark, pattern).format("binaryFile").load(root).inputFiles()
+    files = spark.createDataFrame([(x.replace(":///", ":/", 1),) for x in listed], "path string")
+    path = F.regexp_replace("_metadata.file_path", "^([^/:]+):///", "$1:/").alias("path")
+    never = (_reader(spark, pattern).schema("c0 date, record string")
+             .options(header=False, multiLine=True, sep=sep, quote='"', escape='"', mode="PERMISSIVE", columnNameOfCorruptRecord="record",
+                      dateFormat="'no date'", enableDateTimeParsingFallback=False, maxColumns=1 << 20).csv(root))
+    records = staged(never.select(path, F.monotonically_increasing_id().alias("id"),
+                                  F.coalesce("record", F.col("c0").cast("string")).alias("record")), "csv-records")
+    fields = _fields(F.col("record"), sep)
+    quotes = F.length("record") - F.length(F.replace("record", F.lit('"'), F.lit("")))
+    per_file = records.groupBy("path").agg(
+        F.min("id").alias("first"), F.min_by("record", "id").alias("head"), F.max(F.size(fields)).alias("widest"), F.count(F.lit(1)).alias("n"),
+        F.bool_or((quotes % 2 == 1) | F.col("record").contains("\ufffd")).alias("broken"))
+    tables = (files.join(per_file, "path", "left").withColumn("headers", _fields(F.col("head"), sep))
+              .select("path", "first", "headers", (F.col("n") == 1).alias("bare"),
+                      F.coalesce((F.col("widest") > F.size("headers")) | F.col("broken"), F.lit(True)).alias("parse_error")))
+    rows = (records.join(tables.where("NOT parse_error"), "path").where(F.col("id") > F.col("first"))
+            .select("path", (F.col("id") - F.col("first") - 1).cast("int").alias("row_idx"), "headers", fields.alias("fields"), "parse_error"))
+    values = F.transform("headers", lambda _, i: F.when(~is_na_token(F.get(F.col("fields"), i)), F.get(F.col("fields"), i)))
+    rows = rows.select("path", "row_idx", "headers", values.alias("cells"), "parse_error")
+    others = tables.where("parse_error OR bare").select(
+        "path", F.lit(-1).alias("row_idx"), F.when(~F.col("parse_error"), F.col("headers")).alias("headers"),
+        F.lit(None).cast("array<string>").alias("cells"), "parse_error")
+    return rows.unionByName(others)
+
+
+def scan_stats_documents(spark: SparkSession, root: str) -> DataFrame:
+    """Statistics documents, one JSON object a line: parallel lists ``num_cols``,
+    ``num_rows`` (JSON text) and ``sparsity`` with an item for each table, and the
+    totals ``num_numerical_cols`` and ``num_non_numerical_cols``, which stand in
+    the row of a document's first table."""
+    schema = ("dataset string, num_cols array<bigint>, num_rows array<string>, sparsity array<double>, "
+              "num_numerical_cols bigint, num_non_numerical_cols bigint")
+    docs = spark.read.schema(schema).json(root)
+    first = lambda c: F.when(F.col("pos") == 0, F.col(c)).otherwise(F.lit(0)).alias(c)
+    return (docs.select("dataset", "num_numerical_cols", "num_non_numerical_cols",
+                        F.posexplode(F.arrays_zip("num_cols", "num_rows", "sparsity")).alias("pos", "t"))
+                .select("dataset", "t.num_cols", F.col("t.num_rows").alias("num_rows_json"), "t.sparsity",
+                        first("num_numerical_cols"), first("num_non_numerical_cols")))
 
 
 def scan_jsonl_gz_corpus(spark: SparkSession, root: str, schema: str) -> DataFrame:

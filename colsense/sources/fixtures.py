@@ -198,6 +198,49 @@ def request_log(spark: SparkSession, sf_dir: str) -> DataFrame:
         (e % 500).alias("tokens"))
 
 
+def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(table_id)`` of every table of the corpus: all orders; those without a
+    lineitem are the tables that couldn't be read."""
+    return read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("table_id"))
+
+
+def csv_months(spark: SparkSession, sf_dir: str) -> list[tuple[str, DataFrame]]:
+    """(folder, rows with ``month``): a CSV table per ship month, of three header
+    sets by month; notes with quotes and line breaks, some missing flags."""
+    li = read(spark, sf_dir, "lineitem").withColumn("m", F.month("l_shipdate") % 3)
+    month = F.date_format("l_shipdate", "yyyy-MM").alias("month")
+    note = F.when(F.col("l_orderkey") % 3 == 0, F.concat(F.lit('say "x",\nthen '), "l_linenumber")).otherwise(F.lit("plain"))
+    flag = F.when(F.col("l_orderkey") % 5 != 0, F.col("l_returnflag"))
+    columns = [[F.col("l_orderkey").alias("order key"), F.col("l_partkey").alias("part"), note.alias("note")],
+               [flag.alias("flag"), F.date_format("l_shipdate", "yyyy-MM-dd").alias("shipped"), note.alias("a, \"note\""), F.col("l_suppkey").alias("supplier")],
+               [note.alias("two\nlines"), flag.alias("flag")]]
+    return [(f"set{k}", li.where(F.col("m") == k).select(month, *columns[k])) for k in range(3)]
+
+
+def csv_odd_files(spark: SparkSession, sf_dir: str) -> list[tuple[str, DataFrame]]:
+    """(folder, ``value`` with ``year``): for each ship year a file with a header
+    only, one without any text, one with a row too long and one with an open quote."""
+    years = read(spark, sf_dir, "lineitem").select(F.year("l_shipdate").alias("year")).distinct()
+    texts = {"bare": "x,y,z", "blank": "", "long": "a,b\n1,2\n1,2,3", "open": 'a,b\n1,"2\n3,4'}
+    return [(folder, years.select("year", F.lit(text).alias("value"))) for folder, text in texts.items()]
+
+
+def stats_documents(rows: DataFrame) -> DataFrame:
+    """``(value)``: statistics documents of tables with a ``dataset``, 512 to a
+    dataset; a column is numerical by its position."""
+    numerical = F.size(F.filter(F.sequence(F.lit(0), F.col("n_cols") - 1), lambda k: ~k.isin(NON_NUMERICAL_POSITIONS)))
+    t = (rows.groupBy("dataset", "table_id").agg(F.count(F.lit(1)).alias("n"), F.max(F.size("cells")).alias("n_cols"),
+                                                 F.sum(F.size(F.filter("cells", lambda x: x.isNull()))).alias("n_null"))
+             .withColumn("numerical", numerical))
+    entry = F.struct("table_id", F.col("n_cols").alias("num_cols"), F.format_string('{"COUNT(*)":{"0":%d}}', F.col("n")).alias("num_rows"),
+                     (F.col("n_null") / (F.col("n") * F.col("n_cols"))).alias("sparsity"))
+    docs = t.groupBy("dataset", F.pmod(F.xxhash64("table_id"), F.lit(512)).alias("part")).agg(
+        F.array_sort(F.collect_list(entry)).alias("t"), F.sum("numerical").alias("num_numerical_cols"),
+        F.sum(F.col("n_cols") - F.col("numerical")).alias("num_non_numerical_cols"))
+    return docs.select(F.to_json(F.struct("dataset", F.col("t.num_cols").alias("num_cols"), F.col("t.num_rows").alias("num_rows"),
+                                          F.col("t.sparsity").alias("sparsity"), "num_numerical_cols", "num_non_numerical_cols")).alias("value"))
+
+
 def file_keys(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(k,) for k in FILE_KEYS], "file_key string")
 

@@ -68,39 +68,63 @@ SELECT r.dataset, round(r.p95_rows, 6) AS p95_rows, round(c.p95_cols, 6) AS p95_
 FROM ({excl_q(_SHAPE, 'n_rows', 'p95_rows')}) r JOIN ({excl_q(_SHAPE, 'n_cols', 'p95_cols')}) c USING (dataset)""",
                               "fx_rows")
 
-SQL["corpus_characteristics"] = W(f"""
-SELECT b.dataset, b.n_tables, round(b.mean_cols, 6) AS mean_cols, round(b.median_cols, 6) AS median_cols,
-       round(qc.p95_cols, 6) AS p95_cols, round(b.mean_rows, 6) AS mean_rows,
-       round(b.median_rows, 6) AS median_rows, round(qr.p95_rows, 6) AS p95_rows,
-       round(b.mean_sparsity, 6) AS mean_sparsity, round(s.non_numerical_share, 6) AS non_numerical_share,
-       round(s.numerical_share, 6) AS numerical_share, CAST(0 AS BIGINT) AS parsing_failed
-FROM (SELECT dataset, count(*) AS n_tables, avg(n_cols) AS mean_cols, quantile_cont(n_cols, 0.5) AS median_cols,
-             avg(n_rows) AS mean_rows, quantile_cont(n_rows, 0.5) AS median_rows,
-             avg(CASE WHEN n_rows * n_cols <> 0 THEN n_null / (n_rows * n_cols) END) AS mean_sparsity
-      FROM ({_SHAPE}) GROUP BY dataset) b
-JOIN ({excl_q(_SHAPE, 'n_cols', 'p95_cols')}) qc USING (dataset)
-JOIN ({excl_q(_SHAPE, 'n_rows', 'p95_rows')}) qr USING (dataset)
-LEFT JOIN (SELECT {DATASET} AS dataset,
-                  avg(CASE WHEN data_type = 'numerical' THEN 1.0 ELSE 0.0 END) AS numerical_share,
-                  avg(CASE WHEN data_type <> 'numerical' THEN 1.0 ELSE 0.0 END) AS non_numerical_share
-           FROM ({_COL_TYPES}) GROUP BY 1) s USING (dataset)""", "fx_rows")
-
-_STATS = f"""SELECT {DATASET} AS dataset, table_id, count(*) AS n_rows, max(len(cells)) AS n_cols,
-                    sum(len(list_filter(cells, lambda x: x IS NULL))) / (count(*) * max(len(cells))) AS sparsity,
-                    max(len(cells)) AS num_numerical_cols, 0 AS num_non_numerical_cols
-             FROM fx_rows GROUP BY table_id"""
-
-SQL["precomputed_stats_profile"] = W(f"""
-SELECT b.dataset, b.n_tables, round(b.mean_cols, 6) AS mean_cols, round(b.median_cols, 6) AS median_cols,
-       round(qc.p95_cols, 6) AS p95_cols, round(b.mean_rows, 6) AS mean_rows,
-       round(b.median_rows, 6) AS median_rows, round(qr.p95_rows, 6) AS p95_rows,
-       round(b.mean_sparsity, 6) AS mean_sparsity, round(b.numerical_share, 6) AS numerical_share
-FROM (SELECT dataset, count(*) AS n_tables, avg(n_cols) AS mean_cols, quantile_cont(n_cols, 0.5) AS median_cols,
-             avg(n_rows) AS mean_rows, quantile_cont(n_rows, 0.5) AS median_rows, avg(sparsity) AS mean_sparsity,
-             sum(num_numerical_cols) / (sum(num_numerical_cols) + sum(num_non_numerical_cols)) AS numerical_share
-      FROM ({_STATS}) GROUP BY dataset) b
-JOIN ({excl_q(_STATS, 'n_cols', 'p95_cols')}) qc USING (dataset)
-JOIN ({excl_q(_STATS, 'n_rows', 'p95_rows')}) qr USING (dataset)""", "fx_rows")
+SQL["annotated_columns_per_table"] = W("""
+SELECT table_id, count(column_type) AS n_annotated, count(*) AS n_columns FROM fx_columns GROUP BY table_id""", "fx_columns")
+
+SQL["annotated_columns_total"] = W("""
+SELECT count(*) AS n_tables, count(*) FILTER (WHERE a > 0) AS n_annotated_tables, CAST(sum(a) AS BIGINT) AS n_annotated, CAST(sum(n) AS BIGINT) AS n_columns
+FROM (SELECT table_id, count(column_type) AS a, count(*) AS n FROM fx_columns GROUP BY table_id)""", "fx_columns")
+
+
+def characteristics_sql(shapes: str, listed: str) -> str:
+    """From shapes (dataset, n_rows, n_cols, n_null, n_numerical; one row per readable table) and listed (dataset; one per table)."""
+    return f"""
+SELECT l.dataset, l.n_tables, round(b.mean_cols, 6) AS mean_cols, round(b.median_cols, 6) AS median_cols, round(qc.p95, 6) AS p95_cols,
+       round(b.mean_rows, 6) AS mean_rows, round(b.median_rows, 6) AS median_rows, round(qr.p95, 6) AS p95_rows,
+       round(b.mean_sparsity, 6) AS mean_sparsity, round(1 - b.numerical_share, 6) AS non_numerical_share,
+       round(b.numerical_share, 6) AS numerical_share, l.n_tables - coalesce(b.n, 0) AS parsing_failed
+FROM (SELECT dataset, count(*) AS n_tables FROM ({listed}) GROUP BY dataset) l
+LEFT JOIN (SELECT dataset, count(*) AS n, avg(n_cols) AS mean_cols, quantile_cont(n_cols, 0.5) AS median_cols,
+                  avg(n_rows) AS mean_rows, quantile_cont(n_rows, 0.5) AS median_rows,
+                  avg(CASE WHEN n_rows * n_cols <> 0 THEN n_null / (n_rows * n_cols) END) AS mean_sparsity,
+                  sum(n_numerical) / sum(n_cols) AS numerical_share
+           FROM ({shapes}) GROUP BY dataset) b USING (dataset)
+LEFT JOIN ({excl_q(shapes, 'n_cols', 'p95')}) qc USING (dataset)
+LEFT JOIN ({excl_q(shapes, 'n_rows', 'p95')}) qr USING (dataset)"""
+
+
+SQL["corpus_characteristics"] = W(characteristics_sql(f"""
+  SELECT s.*, t.n_numerical FROM ({_SHAPE}) s
+  JOIN (SELECT table_id, count(*) FILTER (WHERE data_type = 'numerical') AS n_numerical FROM ({_COL_TYPES}) GROUP BY table_id) t USING (table_id)""",
+    "SELECT 'corpus_' || CAST(o_orderkey % 3 AS VARCHAR) AS dataset FROM orders"), "fx_rows")
+
+SQL["precomputed_stats_profile"] = "SELECT * EXCLUDE (parsing_failed) FROM (" + W(characteristics_sql(f"""
+  SELECT {DATASET} AS dataset, table_id, count(*) AS n_rows, max(n_cols) AS n_cols, sum(len(list_filter(cells, lambda x: x IS NULL))) AS n_null,
+         max(len(list_filter(range(n_cols), lambda k: k NOT IN (1, 3, 5, 8)))) AS n_numerical
+  FROM fx_rows GROUP BY table_id""", f"SELECT {DATASET} AS dataset FROM fx_tables"), "fx_rows", "fx_tables") + ")"
+
+_NOTE = "CASE WHEN l_orderkey % 3 = 0 THEN 'say \"x\",' || chr(10) || 'then ' || l_linenumber ELSE 'plain' END"
+_FLAG = "CASE WHEN l_orderkey % 5 <> 0 THEN l_returnflag END"
+_CSV_TABLES = f"""
+  SELECT 'set' || k || '/month=' || month AS file, 'set' || k AS dataset, count(*) AS n_rows, any_value(heads) AS heads,
+         CAST(sum(len(list_filter(cells, lambda x: x IS NULL))) AS BIGINT) AS n_null, CAST(sum(length(array_to_string(cells, ''))) AS BIGINT) AS n_chars
+  FROM (SELECT k, month, CASE k WHEN 0 THEN ['order key', 'part', 'note'] WHEN 1 THEN ['flag', 'shipped', 'a, "note"', 'supplier']
+                                ELSE ['two' || chr(10) || 'lines', 'flag'] END AS heads,
+               CASE k WHEN 0 THEN [CAST(l_orderkey AS VARCHAR), CAST(l_partkey AS VARCHAR), note]
+                      WHEN 1 THEN [flag, strftime(l_shipdate, '%Y-%m-%d'), note, CAST(l_suppkey AS VARCHAR)] ELSE [note, flag] END AS cells
+        FROM (SELECT *, month(l_shipdate) % 3 AS k, strftime(l_shipdate, '%Y-%m') AS month, {_NOTE} AS note, {_FLAG} AS flag FROM lineitem))
+  GROUP BY k, month"""
+_ODD = "(SELECT DISTINCT year(l_shipdate) AS y FROM lineitem), (SELECT unnest(['bare', 'blank', 'long', 'open']) AS folder)"
+
+SQL["scan_csv_corpus"] = f"""
+SELECT file, n_rows, CAST(len(heads) AS INTEGER) AS n_cols, array_to_string(heads, '|') AS headers, false AS parse_error, n_null, n_chars FROM ({_CSV_TABLES})
+UNION ALL
+SELECT folder || '/year=' || y, 0, CASE folder WHEN 'bare' THEN 3 END, CASE folder WHEN 'bare' THEN 'x|y|z' END, folder <> 'bare', NULL, NULL FROM {_ODD}"""
+
+SQL["scan_to_profile"] = characteristics_sql(f"""
+  SELECT dataset, n_rows, len(heads) AS n_cols, n_null, CASE dataset WHEN 'set0' THEN 2 WHEN 'set1' THEN 1 ELSE 0 END AS n_numerical FROM ({_CSV_TABLES})
+  UNION ALL SELECT folder, 0, 3, 0, 0 FROM {_ODD} WHERE folder = 'bare'""",
+    f"SELECT dataset FROM ({_CSV_TABLES}) UNION ALL SELECT folder FROM {_ODD}")
 
 # --- parsing --------------------------------------------------------------------------
 

@@ -71,7 +71,7 @@ def test_exclusive_quantile(spark):
     data = [("a", v) for v in [1, 2, 3]] + [("b", v) for v in range(1, 101)] + \
            [("c", v) for v in [5, 5, 5, 9]] + [("d", v) for v in [3, 8]]
     df = spark.createDataFrame(data, "g string, v long")
-    got = {r["g"]: r["p95"] for r in profile.exclusive_quantile(df, ["g"], "v").collect()}
+    got = {r["g"]: r["p95"] for r in profile.exclusive_quantile(df, ["g"], {"p95": "v"}).collect()}
     assert got == {"a": 3.8, "b": 95.95, "c": 12.0, "d": 12.25}
 
 
