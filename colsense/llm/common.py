@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -181,6 +182,35 @@ def texts_of(batch: pa.RecordBatch, i: int) -> list[bytes | None]:
     return batch.column(i).cast(pa.binary()).to_pylist()
 
 
+def small_batches(batches: Iterator[pa.RecordBatch], i: int, size: int) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at most `size` bytes of column i, or one longer row."""
+    for b in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(b.column(i)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < b.num_rows:
+            end = max(at + 1, int(np.searchsorted(ends, size + (ends[at - 1] if at else 0), side="right")))
+            yield b.slice(at, end - at)
+            at = end
+
+
+def lean(run: Callable) -> Callable:
+    """A function for mapInArrow that gives back memory when its task ends:
+    Python workers serve one task after another and would keep it."""
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            import ctypes
+            import gc
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except AttributeError:  # not glibc
+                pass
+    return task
+
+
 def map_groups(df: DataFrame, keys: list[str], fn: Callable, schema: str, parts: int | None = None,
                together: bool = False) -> DataFrame:
     """Rows dealt by keys and sorted; fn gets the columns of one group after
@@ -239,7 +269,7 @@ def map_groups(df: DataFrame, keys: list[str], fn: Callable, schema: str, parts:
             t = pa.concat_tables(held)
             yield from emit(o for g in groups(t, True) for o in fn(g))
 
-    return dealt.mapInArrow(run, schema)
+    return dealt.mapInArrow(lean(run), schema)
 
 
 def connected_components(edges: DataFrame) -> DataFrame:

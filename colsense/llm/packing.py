@@ -19,23 +19,29 @@ carried through; other columns of the input are not read.
 
 from __future__ import annotations
 
+import struct
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stage, table
+from .common import lean, small_batches, stage, table
 
 CAPACITY = 2048
 END_ID = 0
 TOKENIZER = "word_bpe_49k.json"
 #: Groups in which the pieces of one length are numbered, so that no length is numbered in one task.
 RANK_GROUPS = 1024
-CHUNKS_KEPT = 400_000
-PIECES_KEPT = 400_000
+#: Text that is tokenised at once (or one longer document), and bytes of a worker's remembered chunks.
+SLICE_BYTES, KEPT_BYTES = 8 << 20, 64 << 20
+_ENTRY = 200  # of a dict's entry with its two objects
+
+_BLANKS = np.arange(256, dtype=np.uint8)
+_BLANKS[[9, 10, 13]] = 32
 
 
 class ChunkIds(dict):
@@ -44,7 +50,8 @@ class ChunkIds(dict):
     The tokenizer's normaliser and pre-tokenizer never join text across blanks,
     so a text's ids are those of its chunks in a row.  A chunk of ASCII letters
     and marks is cut into the pre-tokenizer's pieces first, because words recur
-    more often than words with their punctuation."""
+    more often than words with their punctuation.  What is remembered is bounded
+    in bytes and then forgotten at once."""
 
     def __init__(self, path: str):
         import os
@@ -54,6 +61,7 @@ class ChunkIds(dict):
         self.tok = Tokenizer.from_file(path)
         self.model = self.tok.model
         self.pieces: dict[str, bytes] = {}
+        self.held = 0
         shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
         self.byte_chars = {b: 0x100 + i for i, b in enumerate(x for x in range(256) if x not in shown)}
         self.cut = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+").findall
@@ -63,28 +71,74 @@ class ChunkIds(dict):
     def encode(self, s: str) -> bytes:
         return np.asarray(self.tok.encode(s, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def __missing__(self, s: str) -> bytes:
-        if len(self) >= CHUNKS_KEPT:
+    def _hold(self, s: str, ids: bytes) -> None:
+        self.held += _ENTRY + len(s) + len(ids)
+        if self.held > KEPT_BYTES:
+            self.clear()
+            self.pieces.clear()
+            self.held = 0
+
+    def _hold(self, s: str, ids: bytes) -> None:
+        self.held += _ENTRY + len(s) + len(ids)
+        if self.held > KEPT_BYTES:
             self.clear()
+            self.pieces.clear()
+            self.held = 0
+
+    def chunk(self, s: str) -> bytes:
+        if s.isascii() and s.isalpha():
+            return self.piece(s.lower())
         if not s:
-            ids = b""
-        elif self.plain(s) and "<|" not in s:
-            ids = b"".join(map(self.piece, self.cut(s.lower())))
-        else:
-            ids = self.encode(s)
-        self[s] = ids
-        return ids
+            return b""
+        if self.plain(s) and "<|" not in s:
+            return b"".join(map(self.piece, self.cut(s.lower())))
+        return self.encode(s)
 
     def piece(self, p: str) -> bytes:
         ids = self.pieces.get(p)
         if ids is None:
-            if len(self.pieces) >= PIECES_KEPT:
-                self.pieces.clear()
             # what the byte-level pre-tokenizer hands to the model: one character per byte
             seen = p if p.isascii() else p.encode().decode("latin-1").translate(self.byte_chars)
-            ids = self.pieces[p] = np.array([t.id for t in self.model.tokenize(seen)], "<u4").tobytes()
+            found = [t.id for t in self.model.tokenize(seen)]
+            ids = struct.pack(f"<{len(found)}I", *found)
+            self._hold(p, ids)
+            self.pieces[p] = ids
         return ids
 
+    def look_up(self, chunks: list[str], counts: np.ndarray) -> list[bytes]:
+        """The ids of distinct chunks; those that recur are remembered."""
+        out = list(map(self.get, chunks))
+        for i, (ids, n) in enumerate(zip(out, counts.tolist())):
+            if ids is None:
+                s = chunks[i]
+                ids = out[i] = self.chunk(s)
+                if n > 1 and not (s.isascii() and s.isalpha()):  # else a piece, remembered as such
+                    self._hold(s, ids)
+                    self[s] = ids
+        return out
+
+    def encode_all(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in a row, END_ID after each, and where each text's
+        begin.  Only distinct chunks are looked up; their ids are gathered by offset."""
+        texts = pa.concat_arrays([texts.cast(pa.large_string())]).fill_null("")
+        _, offsets, data = texts.buffers()
+        data = _BLANKS[np.frombuffer(data or b"", np.uint8)]
+        chunks = pc.split_pattern(pa.LargeStringArray.from_buffers(len(texts), offsets, pa.py_buffer(data)), " ")
+        coded = chunks.flatten().dictionary_encode()
+        at = np.asarray(coded.indices)
+        known = self.look_up(coded.dictionary.to_pylist(), np.bincount(at, minlength=len(coded.dictionary)))
+        ids = np.frombuffer(b"".join(known), "<u4")
+        length = np.fromiter(map(len, known), np.int64, len(known)) // 4
+        begin = np.cumsum(length) - length
+        n = length[at]
+        ends = np.concatenate([[0], np.cumsum(n)])
+        per_text = ends[np.asarray(chunks.offsets)]  # ids before each text
+        source = np.repeat(begin[at] - ends[:-1], n) + np.arange(ends[-1])
+        starts = per_text + np.arange(len(per_text))  # an end id after each text before
+        out = np.full(starts[-1], END_ID, "<u4")
+        out[np.arange(ends[-1]) + np.repeat(np.arange(len(texts)), np.diff(per_text))] = ids[source]
+        return out, starts
+
 
 _encoders: dict[str, ChunkIds] = {}
 
@@ -98,34 +152,23 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, id_c
                  text_col: str = "text") -> DataFrame:
     """(doc_id, piece, start, length, ids, ids_crc32); ids are little-endian
     unsigned 32-bit token ids."""
-    end = END_ID.to_bytes(4, "little")
-    step = 4 * capacity
+    step = capacity
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if tokenizer not in _encoders:
             _encoders[tokenizer] = ChunkIds(tokenizer)
         enc = _encoders[tokenizer]
-        get = enc.__getitem__
-        for b in batches:
-            out: list[tuple] = []
-            held = 0
-            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1)):
-                t = text.as_py() or ""
-                if "\r" in t or "\t" in t:
-                    t = t.replace("\r", " ").replace("\t", " ")
-                ids = b"".join([x for line in t.split("\n") for x in map(get, line.split(" "))]) + end
-                for i, at in enumerate(range(0, len(ids), step)):
-                    part = ids[at : at + step]
-                    out.append((doc_id, i, at // 4, len(part) // 4, part, zlib.crc32(part)))
-                held += len(ids)
-                if held >= 16 << 20:
-                    yield _pieces_batch(out)
-                    out, held = [], 0
-            if out:
-                yield _pieces_batch(out)
+        for b in small_batches(batches, 1, SLICE_BYTES):
+            ids, starts = enc.encode_all(b.column(1))
+            out = []
+            for doc_id, x, y in zip(b.column(0).to_pylist(), starts[:-1], starts[1:]):
+                for i, at in enumerate(range(x, y, step)):
+                    part = ids[at : min(at + step, y)].tobytes()
+                    out.append((doc_id, i, at - x, len(part) // 4, part, zlib.crc32(part)))
+            yield _pieces_batch(out)
 
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return src.mapInArrow(run, "doc_id long, piece int, start long, length long, ids binary, ids_crc32 long")
+    return src.mapInArrow(lean(run), "doc_id long, piece int, start long, length long, ids binary, ids_crc32 long")
 
 
 def _pieces_batch(rows: list[tuple]) -> pa.RecordBatch:

@@ -419,3 +419,29 @@ def test_embeddings_at_the_threshold(spark):
     p, k = math.erf(embed_dedup.WIDTH / math.sqrt(2)), embed_dedup.required_collisions()
     tail = sum(math.comb(embed_dedup.LINES, j) * p**j * (1 - p) ** (embed_dedup.LINES - j) for j in range(k, embed_dedup.LINES + 1))
     assert lead + tail - 1 >= 0.9999
+
+
+def test_packing_ids_of_odd_text(monkeypatch):
+    """Chunks looked up one by one and remembered give the whole tokenizer's ids."""
+    import random
+
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    from colsense.llm.common import small_batches
+    enc, whole = packing.ChunkIds(packing.tokenizer_path()), Tokenizer.from_file(packing.tokenizer_path())
+    rng = random.Random(4)
+    parts = [" ", "  ", "\n", "\t", "\r\n", "a", "B", "é", "ß", "İ", "中", "🙂", "\xa0", " ", "\x0b", "\x0c", "\x1f", "\x85", "́", "1", "23", "'s", "'LL", "-", "...",
+             "<|endoftext|>", "<|", "word", "The", "É", "ǅ", "ﬁ", "\x00", "ſ", "K", "Å", "﻿", "‍"]
+    texts = ["".join(rng.choices(parts, k=rng.randint(0, 12))) for _ in range(8000)] + [None, "", "long " * 5000]
+    monkeypatch.setattr(packing, "KEPT_BYTES", 20_000)  # forgets often
+    batch = pa.record_batch({"id": list(range(len(texts))), "text": pa.array(texts, pa.string())})
+    seen = 0
+    for b in small_batches([batch.slice(3), batch.slice(0, 3)], 1, 3000):
+        assert b.num_rows == 1 or sum(len((t or "").encode()) for t in b.column(1).to_pylist()) <= 3000
+        ids, starts = enc.encode_all(b.column(1))
+        for i, x, y in zip(b.column(0).to_pylist(), starts[:-1], starts[1:]):
+            assert list(ids[x:y]) == whole.encode(texts[i] or "", add_special_tokens=False).ids + [0]
+            seen += 1
+    assert seen == len(texts) and enc.held <= 20_000 + 400
+    assert [len(x) for x in enc.encode_all(pa.array([], pa.string()))] == [0, 1]
