@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from colsense.constants import UNSPECIFIED, WITH_HEADERS, WITHOUT_HEADERS
+from colsense.functions.numeric import is_na_token, is_numeric_token
+from colsense.session import staged
 
 
 # --- schema shaping -------------------------------------------------------------------
@@ -155,36 +157,89 @@ def pair_request_response(requests: DataFrame, responses: DataFrame, key: str =
                             .otherwise(F.lit("no request")).alias("status")))
 
 
-def table_fingerprints(rows: DataFrame, col_types: DataFrame) -> DataFrame:
-    """``(table_id, n_rows, n_cols, fp)``: a content hash that ignores names.
+def canonical_rows(rows: DataFrame, key: str = "table_id") -> DataFrame:
+    """``(key, row_idx, cells)`` with cells as typed values: missing-value words
+    null, whole numbers without signs and zeros that don't count, other numbers
+    as doubles, text as it stands.  A column is whole-numbered if all its cells
+    are, numeric if all present ones are numbers, else text; each row's first
+    item is the list of its table's column types, so that tables of different
+    types differ."""
+    value = F.col("value")
+    whole = is_numeric_token(value) & value.rlike(r"^\s*[+-]?\d+\s*$") & ~is_na_token(value)
+    kinds = (rows.select(key, F.posexplode("cells").alias("col_idx", "value")).groupBy(key, "col_idx")
+             .agg(F.bool_and(whole).alias("whole"), F.bool_and(is_na_token(value) | is_numeric_token(value)).alias("number"))
+             .groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("col_idx", F.when(F.col("whole"), "i")
+                               .when(F.col("number"), "f").otherwise("t").alias("kind")))), lambda k: k["kind"]).alias("kinds")))
+
+    def typed(x: Column, i: Column) -> Column:
+        t = F.trim(x)
+        body = F.regexp_replace(t, "^[+-]?0*", "")
+        number = F.when(body == "", "0").otherwise(F.concat(F.when(t.startswith("-"), "-").otherwise(""), body))
+        kind = F.get(F.col("kinds"), i)
+        # 0.0 is added so that -0.0 becomes 0.0
+        return (F.when(is_na_token(x), F.lit(None)).when(kind == "i", number)
+                 .when(kind == "f", (t.try_cast("double") + F.lit(0.0)).cast("string")).otherwise(x))
+
+    j = rows.join(kinds, key, "left")
+    head = F.array(F.array_join(F.coalesce("kinds", F.array().cast("array<string>")), ""))
+    return j.select(key, "row_idx", F.concat(head, F.transform("cells", typed)).alias("cells"))
+
+
+def table_fingerprints(rows: DataFrame, key: str = "table_id") -> DataFrame:
+    """``(key, n_rows, n_cols, fp)``: a content hash of canonical rows.
 
     Each row hashes its index and length-prefixed cells (null as a sentinel);
     rows combine with order-free sums over the four 60-bit parts of the hash, so
-    large tables never gather in one task and 240 bits tell tables apart; the
-    column data types join the hash (tables of different dtypes are different).
+    large tables never gather in one task.
     """
     def cell(x):
         return F.when(x.isNull(), F.lit("∅")).otherwise(F.concat(F.length(x).cast("string"), F.lit(":"), x))
     row_h = F.sha2(F.concat_ws("|", F.col("row_idx").cast("string"),
                                F.array_join(F.transform("cells", cell), ";")), 256)
     parts = [F.conv(F.substring(F.col("__r"), i, 15), 16, 10).cast("decimal(20,0)") for i in (1, 16, 31, 46)]
-    per_table = rows.withColumn("__r", row_h).groupBy("table_id").agg(
-        F.count(F.lit(1)).alias("n_rows"), F.max(F.size("cells")).alias("n_cols"),
+    per_table = rows.withColumn("__r", row_h).groupBy(key).agg(
+        F.count(F.lit(1)).alias("n_rows"), (F.max(F.size("cells")) - 1).alias("n_cols"),
         *[F.sum(p).alias(f"__h{i}") for i, p in enumerate(parts)])
-    types = col_types.groupBy("table_id").agg(
-        F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("col_idx", "data_type"))),
-                                        lambda s: s["data_type"]), ","), 256).alias("__t"))
-    return per_table.join(types, "table_id").select(
-        "table_id", "n_rows", "n_cols", F.sha2(F.concat_ws("|", *[F.col(f"__h{i}").cast("string") for i in range(4)], "__t"), 256).alias("fp"))
-
-
-def match_tables_by_content(targets: DataFrame, sources: DataFrame) -> DataFrame:
-    """Each target table gets the first source (by path) with the same shape and
-    content fingerprint: equi join on ``(n_rows, n_cols, fp)``, then the minimum
-    path per target (an aggregation, not a window over a hot key)."""
-    j = targets.join(sources, ["n_rows", "n_cols", "fp"])
-    return j.groupBy("target_id").agg(F.min_by("source_id", "source_path").alias("source_id"),
-                                      F.min("source_path").alias("source_path"))
+    return per_table.select(key, "n_rows", "n_cols", F.sha2(F.concat_ws("|", *[F.col(f"__h{i}").cast("string") for i in range(4)]), 256).alias("fp"))
+
+
+def match_tables_by_content(targets: DataFrame, sources: DataFrame, fp_digits: int = 64) -> DataFrame:
+    """``(target_id, source_id, source_path)``: each target table gets the first
+    source (by path) with equal cells, names ignored; targets without one are left out.
+
+    targets and sources are row arrays with ``copy_id``, sources with ``path``.
+    Tables of one shape and fingerprint are compared with the first source among
+    them, row by row, and equal ones settled; what differs (a collision, or
+    targets of several kinds) goes on to the next round with the sources left, so
+    the answer doesn't rest on the hash (``fp_digits`` of it, for tests) and no
+    two copies of a popular table are paired with each other.
+    """
+    key = F.struct("copy_id", F.coalesce("path", F.lit("")).alias("path")).alias("table_id")
+    both = targets.withColumn("path", F.lit(None).cast("string")).select(key, "row_idx", "cells").unionByName(sources.select(key, "row_idx", "cells"))
+    rows = staged(canonical_rows(both), "canonical")
+    open_ = staged(table_fingerprints(rows).withColumn("fp", F.substring("fp", 1, fp_digits)), "fingerprints")
+    shape = ["n_rows", "n_cols", "fp"]
+    is_source = F.col("table_id.path") != ""
+    settled = None
+    while True:
+        # groups that still have a source and a target, with the first source
+        heads = open_.groupBy(*shape).agg(
+            F.min_by("table_id", F.when(is_source, F.struct("table_id.path", "table_id.copy_id"))).alias("head"),
+            F.count_if(~is_source).alias("n")).where(F.col("head").isNotNull() & (F.col("n") > 0)).select(*shape, "head")
+        members = staged(open_.join(heads, shape), "members")
+        if members.isEmpty():
+            break
+        theirs = rows.select(F.col("table_id").alias("head"), "row_idx", F.col("cells").alias("theirs"))
+        equal = (members.select("table_id", "head", "n_rows").join(rows, "table_id").join(theirs, ["head", "row_idx"])
+                 .where(F.col("cells").eqNullSafe(F.col("theirs"))).groupBy("table_id").agg(F.count(F.lit(1)).alias("same")))
+        judged = staged(members.join(equal, "table_id", "left").withColumn("equal", F.coalesce(F.col("same") == F.col("n_rows"), F.lit(False))), "judged")
+        found = judged.where(F.col("equal") & ~is_source).select(
+            F.col("table_id.copy_id").alias("target_id"), F.col("head.copy_id").alias("source_id"), F.col("head.path").alias("source_path"))
+        settled = found if settled is None else settled.unionByName(found)
+        open_ = judged.where("NOT equal").select("table_id", *shape)
+    if settled is None:
+        return targets.select(F.col("copy_id").alias("target_id"), F.col("copy_id").alias("source_id"), F.lit("").alias("source_path")).where(F.lit(False))
+    return settled
 
 
 # --- vocabularies and sets ------------------------------------------------------------

@@ -379,16 +379,7 @@ def q_pair_request_response(spark, sf):
 
 @query("match_tables_by_content")
 def q_match_tables_by_content(spark, sf):
-    """One fingerprint pass over targets and sources; every copy has its own data types."""
-    targets, sources = fx.table_copies(fx.table_rows(spark, sf))
-    copies = targets.unionByName(sources).select(
-        F.struct("copy_id", F.coalesce("path", F.lit("")).alias("path")).alias("table_id"), "row_idx", "cells")
-    fp = annotate.table_fingerprints(copies, profile.column_data_type(copies))
-    shape = ("n_rows", "n_cols", "fp")
-    t = fp.where("table_id.path = ''").select(F.col("table_id.copy_id").alias("target_id"), *shape)
-    srcs = fp.where("table_id.path <> ''").select(F.col("table_id.copy_id").alias("source_id"),
-                                                  F.col("table_id.path").alias("source_path"), *shape)
-    return annotate.match_tables_by_content(t, srcs)
+    return annotate.match_tables_by_content(*fx.table_copies(fx.table_rows(spark, sf)))
 
 
 def _indexed(spark, sf):

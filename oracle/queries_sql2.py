@@ -279,8 +279,8 @@ FULL OUTER JOIN (SELECT request_id AS id FROM fx_responses WHERE json_extract(bo
   ON q.id = s.id""", "fx_tables", "fx_responses")
 
 cte("mt_copies", ("fx_rows",), """
-  SELECT 't' AS side, table_id, row_idx, CASE WHEN table_id % 14 = 0 AND row_idx = 0
-                                             THEN list_concat(['changed'], cells[2:]) ELSE cells END AS cells,
+  SELECT 't' AS side, table_id, row_idx, CASE WHEN table_id % 14 = 0 AND row_idx = 0 THEN list_concat(['changed'], cells[2:])
+                                             WHEN table_id % 22 = 0 THEN list_concat(['+00' || cells[1]], cells[2:]) ELSE cells END AS cells,
          NULL AS path
   FROM fx_rows WHERE table_id % 2 = 0
   UNION ALL SELECT 's', table_id, row_idx, cells, 'a/' || CAST(table_id AS VARCHAR) || '.csv' FROM fx_rows
@@ -296,7 +296,8 @@ cte("mt_ct", ("mt_copies",), f"""
   GROUP BY side, table_id, path""")
 cte("mt_fp", ("mt_copies",), """
   SELECT side, table_id, path, count(*) AS n_rows, max(len(cells)) AS n_cols,
-         list(cells ORDER BY row_idx) AS content
+         list(list_transform(cells, lambda x: CASE WHEN regexp_matches(x, '^[+-]?[0-9]+$') THEN CAST(CAST(x AS BIGINT) AS VARCHAR) ELSE x END)
+              ORDER BY row_idx) AS content
   FROM mt_copies GROUP BY side, table_id, path""")
 cte("mt_fp2", ("mt_fp", "mt_ct"), """
   SELECT f.side, f.table_id, f.path, f.n_rows, f.n_cols, sha256(CAST(f.content AS VARCHAR) || '|' || c.t) AS fp
