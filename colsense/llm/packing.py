@@ -37,7 +37,7 @@ TOKENIZER = "word_bpe_49k.json"
 #: Groups in which the pieces of one length are numbered, so that no length is numbered in one task.
 RANK_GROUPS = 1024
 #: Text that is tokenised at once (or one longer document), and bytes of a worker's remembered chunks.
-SLICE_BYTES, KEPT_BYTES = 8 << 20, 64 << 20
+SLICE_BYTES, KEPT_BYTES = 16 << 20, 96 << 20
 _ENTRY = 200  # of a dict's entry with its two objects
 
 _BLANKS = np.arange(256, dtype=np.uint8)
@@ -86,8 +86,11 @@ class ChunkIds(dict):
             self.held = 0
 
     def chunk(self, s: str) -> bytes:
-        if s.isascii() and s.isalpha():
-            return self.piece(s.lower())
+        if s.isascii():
+            if s.isalpha():
+                return self.piece(s.lower())
+            if s[:-1].isalpha() and s[-1] in ".,:;?!":
+                return self.piece(s[:-1].lower()) + self.piece(s[-1])
         if not s:
             return b""
         if self.plain(s) and "<|" not in s:
