@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from colsense.constants import UNSPECIFIED, WITH_HEADERS, WITHOUT_HEADERS
 from colsense.functions.numeric import is_na_token, is_numeric_token
+from colsense.operators.contracts import ensure
 from colsense.session import staged
 
 
@@ -64,20 +65,24 @@ def annotation_conflicts(gt: DataFrame) -> DataFrame:
               .where(F.col("n_labels") > 1))
 
 
-def annotate_columns(columns: DataFrame, gt: DataFrame, table_name: Column) -> DataFrame:
+def annotate_columns(columns: DataFrame, gt: DataFrame, table_name: Column, strict: bool = False) -> DataFrame:
     """Left equi join of the ground truth to every column; no match -> null.
 
     The truth is aggregated per column first, so a conflicting column still
-    yields one row (with ``n_labels`` > 1 for the audit).
+    yields one row (with ``n_labels`` > 1 for the audit); ``strict`` makes it an
+    error.
     """
     per_col = gt.groupBy("table_id", "target_column").agg(
         F.min("annotation_label").alias("label"), F.count(F.lit(1)).alias("n_labels"))
     keyed = columns.withColumn("__name", table_name)
-    return (keyed.join(per_col, (keyed["__name"] == per_col["table_id"])
-                       & (keyed["col_idx"] == per_col["target_column"]), "left")
-                 .select(keyed["table_id"], keyed["col_idx"], keyed["header"],
-                         F.col("label").alias("column_type"),
-                         F.coalesce(F.col("n_labels"), F.lit(0)).alias("n_labels")))
+    out = (keyed.join(per_col, (keyed["__name"] == per_col["table_id"])
+                      & (keyed["col_idx"] == per_col["target_column"]), "left")
+                .select(keyed["table_id"], keyed["col_idx"], keyed["header"],
+                        F.col("label").alias("column_type"),
+                        F.coalesce(F.col("n_labels"), F.lit(0)).alias("n_labels")))
+    if not strict:
+        return out
+    return ensure(out, F.col("n_labels") <= 1, F.concat_ws(" ", F.lit("several annotations of column"), "col_idx", F.lit("of table"), "table_id"))
 
 
 def metadata_substring_match(files: DataFrame, keys: DataFrame, file_col: str = "file_name",
@@ -96,14 +101,16 @@ def metadata_substring_match(files: DataFrame, keys: DataFrame, file_col: str =
     return subs.join(keys, key_col).select(*files.columns, key_col)
 
 
-def match_audit(files: DataFrame, matches: DataFrame, file_col: str = "file_name") -> DataFrame:
-    """``(file_name, n_matches, status)``: exactly one match is required."""
-    counts = matches.groupBy(file_col).agg(F.count(F.lit(1)).alias("n_matches"))
-    return (files.select(file_col).join(counts, file_col, "left")
-                 .select(file_col, F.coalesce("n_matches", F.lit(0)).alias("n_matches"))
-                 .withColumn("status", F.when(F.col("n_matches") == 1, F.lit("ok"))
-                                        .when(F.col("n_matches") == 0, F.lit("no match"))
-                                        .otherwise(F.lit("ambiguous"))))
+def match_audit(files: DataFrame, matches: DataFrame, file_col: str = "file_name", key_col: str = "file_key",
+                strict: bool = False) -> DataFrame:
+    """Every file with ``n_matches``, its key if there is exactly one, and a
+    ``status``; ``strict``: a file with none or several is an error."""
+    counts = matches.groupBy(*files.columns).agg(F.count(F.lit(1)).alias("n_matches"), F.min(key_col).alias(key_col))
+    n = F.coalesce("n_matches", F.lit(0))
+    out = files.join(counts, files.columns, "left").select(
+        *files.columns, n.alias("n_matches"), F.when(n == 1, F.col(key_col)).alias(key_col),
+        F.when(n == 1, "ok").when(n == 0, "no match").otherwise("ambiguous").alias("status"))
+    return ensure(out, F.col("status") == "ok", F.concat_ws(": ", "status", file_col)) if strict else out
 
 
 def header_type_lookup(metadata: DataFrame, columns: DataFrame) -> DataFrame:
@@ -147,14 +154,16 @@ def pending_requests(requests: DataFrame, cache: DataFrame) -> DataFrame:
     return requests.join(hits, "request_id", "left_anti")
 
 
-def pair_request_response(requests: DataFrame, responses: DataFrame, key: str = "request_id") -> DataFrame:
-    """Full outer completeness audit: ``status`` in (paired, no response, no request)."""
+def pair_request_response(requests: DataFrame, responses: DataFrame, key: str = "request_id", strict: bool = False) -> DataFrame:
+    """Full outer completeness audit: ``status`` in (paired, no response, no
+    request); ``strict``: anything but a pair is an error."""
     r = requests.select(key, F.lit(True).alias("__q"))
     s = responses.select(key, F.lit(True).alias("__s"))
-    return (r.join(s, key, "full_outer")
-             .select(key, F.when(F.col("__q") & F.col("__s"), F.lit("paired"))
-                            .when(F.col("__q"), F.lit("no response"))
-                            .otherwise(F.lit("no request")).alias("status")))
+    out = (r.join(s, key, "full_outer")
+            .select(key, F.when(F.col("__q") & F.col("__s"), F.lit("paired"))
+                           .when(F.col("__q"), F.lit("no response"))
+                           .otherwise(F.lit("no request")).alias("status")))
+    return ensure(out, F.col("status") == "paired", F.concat_ws(": ", "status", F.col(key).cast("string"))) if strict else out
 
 
 def canonical_rows(rows: DataFrame, key: str = "table_id") -> DataFrame:

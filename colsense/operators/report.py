@@ -178,11 +178,23 @@ def deviation_histogram(deviations: DataFrame) -> DataFrame:
     return bins.join(counts, "deviation", "left").select("deviation", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-def accuracy_counter(evaluated: DataFrame, mode: str = "adjusted", cap: int = ADJUST_UP_TO) -> DataFrame:
-    """``(mode, correct, incorrect, total, accuracy)`` over every aligned position;
-    a null truth counts as correct (the rule used to choose alignments)."""
+def accuracy_state(evaluated: DataFrame, mode: str = "adjusted", cap: int = ADJUST_UP_TO) -> DataFrame:
+    """``(mode, correct, incorrect)`` over every aligned position, a counter that
+    can be stored and merged; a null truth counts as correct (the rule used to
+    choose alignments)."""
     flat = align(evaluated, mode, cap).select(F.explode("pairs").alias("x"))
     ok = F.col("x.true_type").isNull() | (F.col("x.true_type") == F.col("x.pred_type"))
-    return flat.agg(F.count_if(ok).alias("correct"), F.count_if(~ok).alias("incorrect")).select(
-        F.lit(mode).alias("mode"), "correct", "incorrect", (F.col("correct") + F.col("incorrect")).alias("total"),
-        F.round(F.col("correct") / (F.col("correct") + F.col("incorrect")), 6).alias("accuracy"))
+    return flat.agg(F.count_if(ok).alias("correct"), F.count_if(~ok).alias("incorrect")).select(F.lit(mode).alias("mode"), "correct", "incorrect")
+
+
+def accuracy_report(states: DataFrame) -> DataFrame:
+    """``(mode, correct, incorrect, total, accuracy)`` of merged counters; the
+    accuracy of an empty counter is null."""
+    merged = states.groupBy("mode").agg(F.sum("correct").alias("correct"), F.sum("incorrect").alias("incorrect"))
+    total = F.col("correct") + F.col("incorrect")
+    return merged.select("mode", "correct", "incorrect", total.alias("total"), F.round(F.try_divide(F.col("correct"), total), 6).alias("accuracy"))
+
+
+def accuracy_counter(evaluated: DataFrame, mode: str = "adjusted", cap: int = ADJUST_UP_TO) -> DataFrame:
+    """The report of one counter over all evaluated tables."""
+    return accuracy_report(accuracy_state(evaluated, mode, cap))

@@ -16,6 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from colsense.operators.contracts import ensure
 from colsense.session import staged
 
 _SALTS = 16
@@ -96,7 +97,13 @@ def shuffle_limit_reindex(tables: DataFrame, seed: int, limit: int | None, key:
 
 
 def aligned_shuffle(df: DataFrame, seed: int, key: str, lists: list[str]) -> DataFrame:
-    """Shuffle several equal-length lists of each row by one seeded permutation."""
+    """Shuffle several lists of each row by one seeded permutation; lists of
+    different lengths are an error."""
+    sizes = [F.coalesce(F.array_size(c), F.lit(-1)) for c in lists]
+    same = F.lit(True)
+    for n in sizes[1:]:
+        same = same & (n == sizes[0])
+    df = ensure(df, same, F.concat(F.lit(f"{', '.join(lists)} must have the same length in row "), F.col(key).cast("string")))
     zipped = F.arrays_zip(*[F.col(c) for c in lists])
     keyed = F.transform(zipped, lambda z, i: F.struct(
         F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(key).cast("string"), i.cast("string"))),

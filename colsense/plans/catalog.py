@@ -239,6 +239,17 @@ def q_accuracy_counter(spark, sf):
     return report.accuracy_counter(e, "padded").unionByName(report.accuracy_counter(e, "adjusted"))
 
 
+@query("accuracy_counter_merge")
+def q_accuracy_counter_merge(spark, sf):
+    """Counters are pushed for each dataset, one of them twice, and merged."""
+    e = ev.fixture_evaluated(spark, sf)
+    path = sinks.scratch_path(spark, "accuracy")
+    for dataset in (*fx.DATASETS, fx.DATASETS[0]):
+        part = e.where(F.col("dataset") == dataset)
+        sinks.push_state(report.accuracy_state(part, "padded").unionByName(report.accuracy_state(part, "adjusted")), path, dataset)
+    return report.accuracy_report(sinks.stored_states(spark, path))
+
+
 # =====================================================================================
 # schema shaping, joins, vocabularies, sets
 # =====================================================================================
@@ -304,14 +315,8 @@ def _files(spark, sf):
 @query("metadata_substring_match")
 def q_metadata_substring_match(spark, sf):
     files = _files(spark, sf)
-    matches = annotate.metadata_substring_match(files.select("page_id", "file_name"), fx.file_keys(spark))
-    counts = matches.groupBy("page_id").agg(F.count(F.lit(1)).alias("n_matches"),
-                                            F.min("file_key").alias("file_key"))
-    return (files.join(counts, "page_id", "left")
-                 .select("page_id", F.coalesce("n_matches", F.lit(0)).alias("n_matches"),
-                         F.when(F.col("n_matches") == 1, F.col("file_key")).alias("file_key"),
-                         F.when(F.col("n_matches") == 1, F.lit("ok")).when(F.col("n_matches").isNull(), F.lit("no match"))
-                          .otherwise(F.lit("ambiguous")).alias("status")))
+    matches = annotate.metadata_substring_match(files, fx.file_keys(spark))
+    return annotate.match_audit(files, matches).drop("file_name")
 
 
 def metadata_entries(spark, sf) -> DataFrame:
@@ -688,8 +693,8 @@ def q_f1_by_sparsity(spark, sf):
 
 
 # =====================================================================================
-# file sources and sinks (rows-only checks): a derived corpus is written to the
-# shared checkpoint folder and read back through the scanners
+# file sources and sinks: a derived corpus is written to the shared checkpoint
+# folder and read back through the scanners
 # =====================================================================================
 
 def _monthly_lineitem(spark, sf):
@@ -736,8 +741,9 @@ def q_scan_jsonl_gz_corpus(spark, sf):
         .option("compression", "gzip").json(path))
     rows = src.scan_jsonl_gz_corpus(spark, path, "orderkey bigint, partkey bigint, quantity double, "
                                                  "returnflag string, shipdate string, missing string")
-    return rows.groupBy("path").agg(F.count(F.lit(1)).alias("n_rows"),
-                                    F.count("missing").alias("n_missing_key"))
+    month = F.regexp_extract("path", "month=([0-9-]+)/", 1).alias("month")
+    return rows.groupBy(month).agg(F.count(F.lit(1)).alias("n_rows"), F.sum("quantity").alias("quantity"),
+                                   F.count("returnflag").alias("n_flags"), F.count("missing").alias("n_missing_key"))
 
 
 @query("scan_sparse_cell_json")
@@ -774,15 +780,15 @@ def q_scan_label_tables(spark, sf):
 
 @query("scan_json_text")
 def q_scan_json_text(spark, sf):
-    """Per-table label documents, one small JSON file per corpus partition."""
-    inst = fx.instances(spark, sf).select(
-        F.concat(F.lit('{"table_id": '), F.col("table_id").cast("string"), F.lit(', "column_types": '),
-                 json_list(annotate.stringify_unspecified(F.col("true_types"))), F.lit("}")).alias("value"))
+    """Label documents of 64 groups of tables, one JSON file each, over several lines."""
+    table = F.concat(F.lit('{"table_id": '), F.col("table_id").cast("string"), F.lit(',\n "column_types": '),
+                     json_list(annotate.stringify_unspecified(F.col("true_types"))), F.lit("}"))
+    docs = (fx.instances(spark, sf).groupBy((F.col("table_id") % 64).alias("part"))
+            .agg(F.concat(F.lit('{"tables": ['), F.array_join(F.collect_list(table), ",\n"), F.lit("]}")).alias("value")))
     path = sinks.scratch_path(spark, "json-docs")
-    inst.write.mode("overwrite").text(path)
-    docs = spark.read.text(path).select(F.from_json("value", "table_id bigint, column_types array<string>")
-                                        .alias("doc"))
-    return docs.select("doc.table_id", F.size("doc.column_types").alias("n_types"))
+    docs.repartition("part").write.partitionBy("part").text(path)
+    found = src.scan_json_text(spark, path, "tables array<struct<table_id: bigint, column_types: array<string>>>")
+    return found.select(F.explode("doc.tables").alias("t")).select("t.table_id", F.size("t.column_types").alias("n_types"))
 
 
 @query("sink_results")

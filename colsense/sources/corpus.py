@@ -110,16 +110,19 @@ def scan_sparse_cell_json(spark: SparkSession, root: str) -> DataFrame:
     return cells
 
 
-def densify_sparse_cells(cells: DataFrame) -> DataFrame:
-    """Coordinate cells to full columns up to the table's largest row index;
-    gaps are null.  The grid is generated per column and joined back, so no
-    column is gathered into one array."""
-    n = cells.groupBy("table_id").agg((F.max("row_idx") + 1).alias("n_rows"))
-    cols = cells.select("table_id", "col_idx").distinct()
-    grid = cols.join(n, "table_id").select("table_id", "col_idx",
-                                           F.explode(F.sequence(F.lit(0), F.col("n_rows") - 1)).alias("row_idx"))
-    return grid.join(cells, ["table_id", "col_idx", "row_idx"], "left") \
-               .select("table_id", "col_idx", F.col("row_idx").cast("int"), "text")
+def densify_sparse_cells(cells: DataFrame, block: int = 1 << 16) -> DataFrame:
+    """Coordinate cells to full columns up to the table's largest row index; gaps
+    are null.  The grid has two levels, blocks of rows and rows of a block: blocks
+    are dealt to tasks before they are filled, so neither an array nor a task
+    grows with a table."""
+    n = cells.groupBy("table_id").agg((F.max("row_idx") + 1).cast("bigint").alias("n_rows"))
+    cols = cells.select("table_id", "col_idx").distinct().join(n, "table_id")
+    last = F.floor((F.col("n_rows") - 1) / block)
+    blocks = cols.select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), last)).alias("block")).repartition("table_id", "col_idx", "block")
+    start = F.col("block") * block
+    rows = F.sequence(start, F.least(start + block, F.col("n_rows")) - 1)
+    grid = blocks.select("table_id", "col_idx", F.explode(rows.cast("array<int>")).alias("row_idx"))
+    return grid.join(cells, ["table_id", "col_idx", "row_idx"], "left").select("table_id", "col_idx", "row_idx", "text")
 
 
 def scan_nested_metadata(doc: DataFrame, col: str = "document") -> DataFrame:

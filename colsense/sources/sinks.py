@@ -10,6 +10,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from colsense.session import checkpoint_dir
 
@@ -27,3 +28,14 @@ def overwrite_stage_output(df: DataFrame, path: str, partition_cols: list[str],
     """Replace only the partitions present in ``df`` (others are kept)."""
     (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
        .partitionBy(*partition_cols).format(fmt).save(path))
+
+
+def push_state(state: DataFrame, path: str, batch: str) -> None:
+    """Store a mergeable state (counts) of one batch; pushing a batch again
+    replaces it, so a retried batch counts once."""
+    overwrite_stage_output(state.withColumn("batch", F.lit(batch)), path, ["batch"])
+
+
+def stored_states(spark: SparkSession, path: str) -> DataFrame:
+    """The states of all batches pushed so far; earlier input isn't read again."""
+    return spark.read.parquet(path).drop("batch")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from oracle.fixtures_sql import NA_TOKENS, NUMERIC_RE, with_fixtures as W
+from oracle.fixtures_sql import _ALIGNED as ALIGNED, NA_TOKENS, NUMERIC_RE, with_fixtures as W
 
 SQL: dict[str, str] = {}
 
@@ -162,14 +162,14 @@ SELECT table_id, {joined(_PADDED.format(f='true_type'))} AS padded_true,
        {joined(_PADDED.format(f='data_type'))} AS padded_data_types
 FROM fx_candidates_padded""", "fx_candidates_padded")
 
+# best gaps of the tables whose lengths differ only (others have none), aligned once
 SQL["align_with_insertions"] = W(f"""
-SELECT c.table_id, array_to_string(c.gaps, ',') AS gaps,
-       CAST(len(list_filter(c.aligned, lambda x: x.true_type IS NULL OR x.true_type = x.pred_type)) AS INTEGER)
-         AS matches,
-       {joined(_PADDED.format(f='true_type').replace('aligned', 'c.aligned'))} AS adjusted_true,
-       {joined(_PADDED.format(f='pred_type').replace('aligned', 'c.aligned'))} AS adjusted_pred
-FROM fx_candidates c JOIN fx_best_gaps b ON b.table_id = c.table_id AND b.gaps = c.gaps""",
-                                 "fx_candidates", "fx_best_gaps")
+SELECT table_id, array_to_string(gaps, ',') AS gaps,
+       CAST(len(list_filter(aligned, lambda x: x.true_type IS NULL OR x.true_type = x.pred_type)) AS INTEGER) AS matches,
+       {joined(_PADDED.format(f='true_type'))} AS adjusted_true, {joined(_PADDED.format(f='pred_type'))} AS adjusted_pred
+FROM (SELECT table_id, gaps, {ALIGNED} AS aligned
+      FROM (SELECT * FROM fx_dims JOIN fx_best_gaps USING (table_id) WHERE k > 0
+            UNION ALL SELECT *, CAST([] AS BIGINT[]) AS gaps FROM fx_dims WHERE k = 0))""", "fx_dims", "fx_best_gaps")
 
 SQL["scored_pairs"] = W("SELECT * FROM fx_pairs", "fx_pairs")
 
@@ -229,3 +229,5 @@ FROM (SELECT mode,
             SELECT 'adjusted', unnest(c.aligned) FROM fx_candidates c
             JOIN fx_best_gaps b ON b.table_id = c.table_id AND b.gaps = c.gaps)
       GROUP BY mode)""", "fx_candidates_padded", "fx_candidates", "fx_best_gaps")
+
+SQL["accuracy_counter_merge"] = SQL["accuracy_counter"]

@@ -618,3 +618,21 @@ SQL["assemble_requests"] = chat_sql(f"""
 SELECT table_id AS request_id, '{{"model": "gpt-3.5-turbo-1106", "max_tokens": ' || CAST(max_tokens AS VARCHAR) || ', "temperature": 0, "messages": ['
        || array_to_string(list_transform(messages, lambda m: '{{"role": "' || m.role || '", "content": ' || {jstr('m.content')} || '}}'), ', ') || ']}}' AS request_json
 FROM req""", 1, 4, candidates_sql("SELECT * FROM pr_own", 11))
+
+
+# --- file sources and sinks: what was written comes back ---------------------------------------
+
+SQL["scan_jsonl_gz_corpus"] = """
+SELECT strftime(l_shipdate, '%Y-%m') AS month, count(*) AS n_rows, CAST(sum(l_quantity) AS DOUBLE) AS quantity, count(l_returnflag) AS n_flags,
+       CAST(0 AS BIGINT) AS n_missing_key
+FROM lineitem GROUP BY 1"""
+
+SQL["scan_label_tables"] = W("SELECT table_id, target_column, annotation_label FROM fx_gt", "fx_gt")
+
+SQL["scan_json_text"] = W("SELECT table_id, CAST(len(true_types) AS INTEGER) AS n_types FROM fx_instances", "fx_instances")
+
+SQL["sink_results"] = W("SELECT dataset, exp_name, count(*) AS n_rows FROM fx_report_g GROUP BY dataset, exp_name", "fx_report_g")
+
+SQL["overwrite_stage_output"] = W("""
+SELECT dataset, mode, count(*) AS n_rows FROM fx_report_g
+WHERE slice = 'all' AND (dataset <> 'corpus_0' OR mode = 'adjusted') GROUP BY dataset, mode""", "fx_report_g")
