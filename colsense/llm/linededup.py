@@ -10,8 +10,17 @@ line, a variable field stays one however many lines there are and however often
 its values repeat.  Templates that stand in at least MIN_DOCS documents are
 recurring ones, and their lines are dropped; equal lines have equal templates.
 
+A template speaks for lines that differ only if at least two of its tokens, and
+LITERAL_SHARE of the line's, are words that stand (not <*>): rows of numbers,
+dates or prices are not copies of each other.  Other lines count as they stand,
+digits included.  The leading tokens are the tree's path, so a field among them
+that varies by words is never generalised: "by <name> for the city desk" recurs
+once for each name that recurs (of 30 such lines with 30 names none goes, with
+the same field behind the third token all do).
+
 Recurring lines go from every document, however little it has besides.  Copies
-must not erase each other: documents with the same set of lines count as one,
+must not erase each other: documents with the same set of lines (white space
+around and within lines evened out) count as one,
 and of the documents of which more than COPY_SHARE of the words stand on
 recurring lines, one (the smallest hash of its set) keeps a template's lines.
 
@@ -37,11 +46,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_filter, key_filter, stage, table, texts_of
+from .common import in_filter, key_filter, lean, small_batches, stage, table, texts_of
 
 LEADING = 3
 MIN_DOCS = 3
 FIXED_SHARE = 0.7
+LITERAL_SHARE = 0.5
 COPY_SHARE = 0.5
 MIN_TOKENS = 3
 VARIABLE = b"<*>"
@@ -52,14 +62,14 @@ def _i64(h: int) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
-def line_tokens(text: bytes | None) -> Iterator[tuple[int, list[bytes]]]:
-    """(line number, masked tokens) of the lines that can be templates."""
+def line_tokens(text: bytes | None) -> Iterator[tuple[int, list[bytes], list[bytes]]]:
+    """(line number, masked tokens, tokens as they stand) of the lines that can be templates."""
     if not text:
         return
-    for no, line in enumerate(_digits.sub(VARIABLE, text).split(b"\n")):
+    for no, (masked, line) in enumerate(zip(_digits.sub(VARIABLE, text).split(b"\n"), text.split(b"\n"))):
         tokens = line.split()
         if len(tokens) >= MIN_TOKENS:
-            yield no, tokens
+            yield no, tokens if masked == line else masked.split(), tokens
 
 
 def leaf_of(tokens: list[bytes]) -> int:
@@ -68,44 +78,50 @@ def leaf_of(tokens: list[bytes]) -> int:
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     text = F.col(text_col).cast("string")
-    return docs.withColumn("_ld_row", F.xxhash64(F.col(id_col).cast("string"), text))
+    # 128 bits: rows that fall together would lose each other's lines
+    return docs.withColumn("_ld_row", F.unhex(F.md5(F.to_json(F.struct(F.col(id_col).cast("string").alias("i"), text.alias("t"))).cast("binary"))))
 
 
 def body_of(text: bytes) -> int:
-    """Hash of the set of a text's lines, blanks around them and blank lines aside."""
-    return _i64(xxhash.xxh3_64_intdigest(b"\n".join(sorted(set(map(bytes.strip, text.split(b"\n"))) - {b""}))))
+    """Hash of the set of a text's lines, white space evened out and blank lines aside."""
+    return _i64(xxhash.xxh3_64_intdigest(b"\n".join(sorted({b" ".join(x.split()) for x in text.split(b"\n")} - {b""}))))
+
+
+def _hash(tokens: list[bytes]) -> int:
+    return _i64(xxhash.xxh3_64_intdigest(b" ".join(tokens)))
 
 
 def _line_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        row, body, total, no, leaf, line, words = [], [], [], [], [], [], []
+    for b in small_batches(batches, 1, 8 << 20):
+        row, body, total, no, leaf, line, raw, words = [], [], [], [], [], [], [], []
         for r, t in zip(b.column(0).to_pylist(), texts_of(b, 1)):
             lines = list(line_tokens(t))
             if lines:
                 row += [r] * len(lines)
                 body += [body_of(t)] * len(lines)
-                total += [sum(len(tokens) for _, tokens in lines)] * len(lines)
-            for n, tokens in lines:
+                total += [sum(len(tokens) for _, tokens, _ in lines)] * len(lines)
+            for n, tokens, standing in lines:
                 no.append(n)
                 leaf.append(leaf_of(tokens))
-                line.append(_i64(xxhash.xxh3_64_intdigest(b" ".join(tokens))))
+                line.append(_hash(tokens))
+                raw.append(line[-1] if tokens is standing else _hash(standing))
                 words.append(len(tokens))
-        yield pa.RecordBatch.from_pydict({"row": pa.array(row, pa.int64()), "body": pa.array(body, pa.int64()), "total": pa.array(total, pa.int64()),
-                                          "no": pa.array(no, pa.int32()), "leaf": pa.array(leaf, pa.int64()),
-                                          "line": pa.array(line, pa.int64()), "words": pa.array(words, pa.int32())})
+        yield pa.RecordBatch.from_pydict({"row": pa.array(row, pa.binary()), "body": pa.array(body, pa.int64()), "total": pa.array(total, pa.int64()),
+                                          "no": pa.array(no, pa.int32()), "leaf": pa.array(leaf, pa.int64()), "line": pa.array(line, pa.int64()),
+                                          "raw": pa.array(raw, pa.int64()), "words": pa.array(words, pa.int32())})
 
 
 def _token_rows(known):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = known.value
-        for b in batches:
+        for b in small_batches(batches, 0, 8 << 20):
             found: dict[tuple[int, int], list] = {}
             for t in texts_of(b, 0):
                 seen = set()
-                for _, tokens in line_tokens(t):
+                for _, tokens, _ in line_tokens(t):
                     leaf = leaf_of(tokens)
                     if in_filter(bits, leaf):
-                        key = leaf, _i64(xxhash.xxh3_64_intdigest(b" ".join(tokens)))
+                        key = leaf, _hash(tokens)
                         if key not in seen:
                             seen.add(key)
                             found.setdefault(key, [0, tokens])[0] += 1
@@ -113,19 +129,19 @@ def _token_rows(known):
             yield pa.RecordBatch.from_pydict({
                 "leaf": pa.array([k[0] for k in keys], pa.int64()), "line": pa.array([k[1] for k in keys], pa.int64()),
                 "n": pa.array([found[k][0] for k in keys], pa.int64()),
-                "tokens": pa.array([[_i64(xxhash.xxh3_64_intdigest(w)) for w in found[k][1]] for k in keys], pa.list_(pa.int64()))})
+                "tokens": pa.array([[_hash([w]) for w in found[k][1]] for k in keys], pa.list_(pa.int64()))})
     return run
 
 
 def recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = MIN_DOCS) -> DataFrame:
-    """(row, dropped, n_lines, n_words): line numbers to drop from each row that
-    loses any; row is the xxhash64 of id and text."""
+    """(row, nos): line numbers to drop from each row that loses any; row is the
+    md5 of id and text."""
     spark = docs.sparkSession
     src = _keyed(docs, id_col, text_col).select("_ld_row", F.col(text_col).cast("string").alias("text"))
-    lines = stage(src.mapInArrow(_line_rows, "row long, body long, total long, no int, leaf long, line long, words int"))
+    lines = stage(src.mapInArrow(lean(_line_rows), "row binary, body long, total long, no int, leaf long, line long, raw long, words int"))
     leaves = stage(lines.select("leaf", "body").distinct().groupBy("leaf").agg(F.count("*").alias("docs")).where(F.col("docs") >= min_docs).select("leaf"))
     known = spark.sparkContext.broadcast(key_filter(leaves, "leaf"))
-    kinds = (src.select("text").mapInArrow(_token_rows(known), "leaf long, line long, n long, tokens array<long>")
+    kinds = (src.select("text").mapInArrow(lean(_token_rows(known)), "leaf long, line long, n long, tokens array<long>")
              .groupBy("leaf", "line").agg(F.sum("n").alias("n"), F.first("tokens").alias("tokens"))
              .join(leaves, "leaf", "left_semi"))
     kinds = stage(kinds)
@@ -134,11 +150,17 @@ def recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     often = at.groupBy("leaf", "pos", "token").agg(F.sum("n").alias("often")).where(F.col("often") >= min_docs)
     fixed = F.expr("element_at(sort_array(transform(tokens, x -> x.often), false), greatest(least_fixed, 1))")
     counted = (at.join(often, ["leaf", "pos", "token"]).groupBy("leaf", "line").agg(F.collect_list(F.struct("often", "pos", "token")).alias("tokens")))
-    templates = (kinds.select("leaf", "line", F.expr(f"cast(ceil({FIXED_SHARE} * (size(tokens) - {LEADING})) as int)").alias("least_fixed"))
+    variable = _hash([VARIABLE])
+    template = "coalesce(aggregate(filter(tokens, x -> x.often >= fixed), 0L, (s, x) -> s ^ xxhash64(x.pos, x.token)), 0L)"
+    literal = f"literal + coalesce(size(filter(tokens, x -> x.often >= fixed AND x.token <> {variable}L)), 0)"
+    templates = (kinds.select("leaf", "line", F.expr("size(tokens)").alias("length"),
+                              F.expr(f"cast(ceil({FIXED_SHARE} * (size(tokens) - {LEADING})) as int)").alias("least_fixed"),
+                              F.expr(f"size(filter(slice(tokens, 1, {LEADING}), x -> x <> {variable}L))").alias("literal"))
                  .join(counted, ["leaf", "line"], "left").where("least_fixed <= 0 or size(tokens) >= least_fixed")
                  .withColumn("fixed", F.when(F.col("least_fixed") > 0, fixed))
-                 .select("leaf", "line", F.expr("coalesce(aggregate(filter(tokens, x -> x.often >= fixed), 0L, (s, x) -> s ^ xxhash64(x.pos, x.token)), 0L)").alias("template")))
-    placed = stage(lines.join(templates, ["leaf", "line"]).select("row", "body", "total", "no", "words", "leaf", "template"))
+                 .select("leaf", "line", F.expr(template).alias("template"), F.expr(f"{literal} >= greatest(2, {LITERAL_SHARE} * length)").alias("speaks")))
+    own = F.when(F.col("speaks"), F.col("template")).otherwise(F.col("raw")).alias("template")
+    placed = stage(lines.join(templates, ["leaf", "line"]).select("row", "body", "total", "no", "words", "leaf", own))
     recurring = (placed.select("leaf", "template", "body").distinct().groupBy("leaf", "template").agg(F.count("*").alias("docs"))
                  .where(F.col("docs") >= min_docs).select("leaf", "template"))
     # rows of equal texts repeat (row, no)
@@ -147,20 +169,20 @@ def recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
              .where(F.col("hit_words") > COPY_SHARE * F.col("total")).select("row"))
     kept_by = hits.join(heavy, "row", "left_semi").groupBy("leaf", "template").agg(F.min("body").alias("keeper"))
     return (hits.join(kept_by, ["leaf", "template"], "left").where("keeper is null or keeper <> body")
-            .groupBy("row").agg(F.sort_array(F.collect_list("no")).alias("dropped")))
+            .groupBy("row").agg(F.sort_array(F.collect_list("no")).alias("nos")))
 
 
 def drop_recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = MIN_DOCS) -> DataFrame:
     """The documents with their remaining lines as text, and _ld_dropped, the
     number of lines dropped."""
-    lost = recurring_lines(docs, id_col, text_col, min_docs).withColumnRenamed("row", "_ld_row")
+    lost = recurring_lines(docs, id_col, text_col, min_docs).toDF("_ld_row", "_ld_nos")
     kept = F.expr("array_join(transform(filter(transform(_ld_lines, (x, i) -> struct(x as x, i as i)), "
-                  "s -> not array_contains(dropped, s.i)), s -> s.x), '\\n')")
+                  "s -> not array_contains(_ld_nos, s.i)), s -> s.x), '\n')")
     return (_keyed(docs, id_col, text_col).join(lost, "_ld_row", "left")
-            .withColumn("_ld_lines", F.when(F.col("dropped").isNotNull(), F.split(F.col(text_col).cast("string"), "\n", -1)))
-            .withColumn(text_col, F.when(F.col("dropped").isNull(), F.col(text_col)).otherwise(kept))
-            .withColumn("_ld_dropped", F.coalesce(F.size("dropped"), F.lit(0)))
-            .drop("_ld_row", "_ld_lines", "dropped"))
+            .withColumn("_ld_lines", F.when(F.col("_ld_nos").isNotNull(), F.split(F.col(text_col).cast("string"), "\n", -1)))
+            .withColumn(text_col, F.when(F.col("_ld_nos").isNull(), F.col(text_col)).otherwise(kept))
+            .withColumn("_ld_dropped", F.coalesce(F.size("_ld_nos"), F.lit(0)))
+            .drop("_ld_row", "_ld_lines", "_ld_nos"))
 
 
 def op6_line_dedup(spark, sf_dir: str) -> DataFrame:
