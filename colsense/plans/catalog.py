@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from colsense.operators import parse, profile, report
@@ -255,7 +255,7 @@ def q_accuracy_counter_merge(spark, sf):
 # =====================================================================================
 
 from colsense.operators import annotate, gather, linearize, prompts, requests as rq, sample  # noqa: E402
-from colsense.functions.text import json_list  # noqa: E402
+from colsense.functions.text import json_list, json_string  # noqa: E402
 
 SEED = 20260311
 
@@ -746,29 +746,50 @@ def q_scan_jsonl_gz_corpus(spark, sf):
                                    F.count("returnflag").alias("n_flags"), F.count("missing").alias("n_missing_key"))
 
 
+def _sparse_records(spark, sf) -> DataFrame:
+    """``(table_id, record)``: positional records with headers at 5, cells per column at 6 and types at 7."""
+    cells = fx.sparse_cells(fx.table_rows(spark, sf))
+    text = F.concat(F.lit("[["), F.col("row_idx").cast("string"), F.lit(", "), F.col("col_idx").cast("string"), F.lit('], [0, '),
+                    json_string(F.col("text")), F.lit("]]"))
+    per_col = cells.groupBy("table_id", "col_idx").agg(F.array_sort(F.collect_list(F.struct("row_idx", text.alias("j"))))["j"].alias("j"))
+    wide = F.map_from_entries(F.collect_list(F.struct("col_idx", F.concat(F.lit("["), F.array_join("j", ", "), F.lit("]")))))
+    tables = fx.table_names(spark, sf).join(fx.instances(spark, sf), "table_id").join(per_col.groupBy("table_id").agg(wide.alias("m")), "table_id", "left")
+    columns = F.transform("headers", lambda _, i: F.coalesce(F.try_element_at("m", i), F.lit("[]")))
+    types = F.transform("true_types", lambda t: F.when(t.isNull(), "[]").otherwise(json_list(F.array(t))))
+    listed = lambda c: F.concat(F.lit("["), F.array_join(c, ", "), F.lit("]"))
+    return tables.select("table_id", F.concat(
+        F.lit('["'), F.col("table_id").cast("string"), F.lit('", "", "[a]], [\\"b", "", "", '), json_list(F.col("headers")), F.lit(", "),
+        listed(columns), F.lit(", "), listed(types), F.lit("]")).alias("record"))
+
+
+def _sparse_arrays(spark, sf):
+    """Eight files of one JSON array each, a line break after every record, scanned."""
+    records = _sparse_records(spark, sf).withColumn("part", F.pmod(F.xxhash64("table_id"), F.lit(8)))
+    w = Window.partitionBy("part").orderBy("table_id")
+    last = F.lead("table_id").over(w).isNull()
+    lines = records.select("part", "table_id", F.concat(F.when(F.row_number().over(w) == 1, "[").otherwise(""), F.col("record"),
+                                                        F.when(last, "]").otherwise(",")).alias("value"))
+    path = sinks.scratch_path(spark, "sparse-arrays")
+    lines.repartition(8, "part").sortWithinPartitions("part", "table_id").select("part", "value").write.partitionBy("part").text(path)
+    return src.scan_sparse_cell_json(spark, path, ']],\n["')
+
+
 @query("scan_sparse_cell_json")
 def q_scan_sparse_cell_json(spark, sf):
-    """Positional records per table (headers at 5, cells per column at 6,
-    annotations at 7), written as JSON lines and read back to long cells."""
-    rows = fx.table_rows(spark, sf)
-    cells = fx.sparse_cells(rows)
-    per_col = (cells.groupBy("table_id", "col_idx").agg(F.array_join(F.sort_array(F.collect_list(F.struct(
-        "row_idx", F.concat(F.lit("[["), F.col("row_idx").cast("string"), F.lit(", "),
-                            F.col("col_idx").cast("string"), F.lit("], [\"\", "), json_list(F.array("text")).substr(
-                                F.lit(2), F.length(json_list(F.array("text"))) - 2), F.lit("]]")).alias("j")))
-    ).getField("j"), ", ").alias("cj")))
-    names = fx.table_names(spark, sf)
-    inst = fx.instances(spark, sf)
-    recs = (per_col.groupBy("table_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(
-                "col_idx", "cj"))), lambda e: F.concat(F.lit("["), e["cj"], F.lit("]"))), ", ").alias("cells"))
-            .join(names, "table_id").join(inst, "table_id")
-            .select(F.concat(F.lit('["'), F.col("table_id").cast("string"), F.lit('", "", "", "", "", '),
-                             json_list(F.col("headers")), F.lit(", ["), F.col("cells"), F.lit("], ["),
-                             F.array_join(F.transform("true_types", lambda t: json_list(F.array(
-                                 F.coalesce(t, F.lit("unspecified"))))), ", "), F.lit("]]")).alias("value")))
-    path = sinks.scratch_path(spark, "sparse-cells")
-    recs.write.mode("overwrite").text(path)
-    return src.scan_sparse_cell_json(spark, path)
+    """The cells of records in JSON lines."""
+    path = sinks.scratch_path(spark, "sparse-lines")
+    _sparse_records(spark, sf).select(F.col("record").alias("value")).write.text(path)
+    return src.scan_sparse_cell_json(spark, path).cells
+
+
+@query("scan_sparse_cell_arrays")
+def q_scan_sparse_cell_arrays(spark, sf):
+    """Cells, headers and types of each table, of records in large JSON arrays."""
+    found = _sparse_arrays(spark, sf)
+    parts = [found.cells.select("table_id", F.lit("cell").alias("kind"), "col_idx", F.concat_ws(":", F.col("row_idx").cast("string"), "text").alias("value")),
+             found.headers.select("table_id", F.lit("header").alias("kind"), "col_idx", F.col("header").alias("value")),
+             found.annotations.select("table_id", F.lit("type").alias("kind"), "col_idx", F.col("column_type").alias("value"))]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 @query("scan_label_tables")

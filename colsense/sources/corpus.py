@@ -8,10 +8,14 @@ task, and no file is held whole.
 
 from __future__ import annotations
 
+import re
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from colsense.functions.numeric import is_na_token
+from colsense.operators import sample
 from colsense.session import staged
 
 
@@ -92,22 +96,88 @@ def scan_jsonl_gz_corpus(spark: SparkSession, root: str, schema: str) -> DataFra
     return lines.select("path", F.from_json("value", schema).alias("r")).select("path", "r.*")
 
 
-def scan_sparse_cell_json(spark: SparkSession, root: str) -> DataFrame:
-    """Positional table records (``[5]`` headers, ``[6]`` cells per column as
-    ``[[row, col], [entity, text]]``, ``[7]`` annotations) to long cells
-    ``(table_id, col_idx, row_idx, text)`` plus headers and annotations."""
-    recs = spark.read.text(root, recursiveFileLookup=True).select(F.parse_json("value").alias("v"))
-    cols = recs.select(
-        F.variant_get("v", "$[0]", "string").alias("table_id"),
-        F.variant_get("v", "$[5]", "array<string>").alias("headers"),
-        F.variant_get("v", "$[6]", "array<array<variant>>").alias("cells"),
-        F.variant_get("v", "$[7]", "array<array<string>>").alias("annotations"))
-    per_col = cols.select("table_id", "headers", "annotations", F.posexplode("cells").alias("col_idx", "cs"))
-    cells = per_col.select("table_id", "col_idx", F.explode("cs").alias("c")).select(
-        "table_id", F.col("col_idx").cast("int"),
-        F.variant_get("c", "$[0][0]", "int").alias("row_idx"),
-        F.variant_get("c", "$[1][1]", "string").alias("text"))
-    return cells
+def _array_records(spark: SparkSession, root: str, cut: str) -> DataFrame:
+    """``(value)``: texts of one or more items each of the JSON arrays that the
+    files hold, one array a file, split without parsing a file as a whole.
+
+    Files are read in pieces that end at ``cut`` (close + blank or comma + open).
+    Prefix sums over all pieces tell whether a piece starts inside a string (odd
+    number of quotes before) and how deep its end lies; where a cut lies between
+    two items, one text ends.  Only the light columns are ordered, and what
+    isn't cut stays together, so a cut that never fits costs memory, not results.
+    """
+    m = re.fullmatch(r"([\]}]+)([\s,]+)([\[{]\"?)", cut)
+    if not m:
+        raise ValueError("cut must be closing brackets, a comma and an opening bracket")
+    close, between, opening = m.groups()
+    path = F.col("_metadata.file_path").alias("path")
+    pieces = staged(spark.read.option("recursiveFileLookup", "true").option("lineSep", cut).text(root).select(
+        path, F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("id"), "value"), "pieces")
+    key = ["path", "start", "id"]
+    ends = pieces.groupBy("path").agg(F.min(F.struct("start", "id")).alias("head"), F.max(F.struct("start", "id")).alias("tail"))
+    ends = ends.select(F.col("path").alias("file"), "head", "tail")
+    here = F.struct("start", "id")
+    t = pieces.join(ends, pieces["path"] == ends["file"]).select(*key, "value", (here == F.col("head")).alias("first"), (here == F.col("tail")).alias("last"))
+    bare = F.regexp_replace(F.concat("value", F.when(F.col("last"), "").otherwise(cut)), r"\\.", "")  # without escaped characters
+    count = lambda c, x: F.length(c) - F.length(F.replace(c, F.lit(x), F.lit("")))
+
+    def depth(text: Column) -> Column:
+        brackets = F.regexp_replace(F.regexp_replace(text, '"[^"]*+"', ""), '"[^"]*+$', "")
+        return F.length(F.regexp_replace(brackets, r"[^\[{]", "")) - F.length(F.regexp_replace(brackets, r"[^\]}]", ""))
+
+    light = t.select(*key, "last", count(bare, '"').alias("quotes"), depth(bare).alias("outside"), depth(F.concat(F.lit('"'), bare)).alias("inside"))
+    order = [F.col(c) for c in key]
+    light = sample.prefix_sums(light, order, {"before": F.col("quotes")})
+    within = F.col("before") % 2 == 1
+    light = light.select(*key, "last", F.when(within, F.col("inside")).otherwise(F.col("outside")).alias("step"),
+                         ((F.col("before") + F.col("quotes") - opening.count('"')) % 2 == 1).alias("in_string"))
+    light = sample.prefix_sums(light, order, {"depth": F.col("step")}, inclusive=True)
+    item = (~F.col("last") & ~F.col("in_string") & (F.col("depth") == 2)).alias("item")  # the array's bracket and the next item's
+    light = sample.prefix_sums(light.select(*key, item), order, {"text": F.col("item").cast("int")})
+    # a piece after an item's end begins with the opening bracket of the cut
+    ended = light.select(*key, "item", "text")
+    joined = t.join(ended, key)
+    end = F.when(F.col("last"), "").when(F.col("item"), close).otherwise(cut)
+    texts = joined.groupBy("path", "text").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start", "id", F.concat("value", end).alias("x")))), lambda p: p["x"]), "").alias("x"),
+        F.bool_or("first").alias("first"), F.bool_or("last").alias("last"))
+    x = F.when(F.col("first"), F.regexp_replace("x", r"^\s*\[", "")).otherwise(F.concat(F.lit(opening), F.col("x")))
+    return texts.select(F.when(F.col("last"), F.regexp_replace(x, r"\]\s*$", "")).otherwise(x).alias("value"))
+
+
+@dataclass(frozen=True)
+class SparseTables:
+    """``headers(table_id, col_idx, header)``, ``cells(table_id, col_idx, row_idx,
+    text)`` and ``annotations(table_id, col_idx, column_type)``, a row for each
+    type of a column."""
+
+    headers: DataFrame
+    cells: DataFrame
+    annotations: DataFrame
+
+
+def scan_sparse_cell_json(spark: SparkSession, root: str, cut: str | None = None) -> SparseTables:
+    """Positional table records (``[0]`` id, ``[5]`` headers, ``[6]`` cells per
+    column as ``[[row, col], [entity, text]]``, ``[7]`` types per column): one
+    record a line, or with ``cut`` (the text between two records, like
+    ``']], ["'``) one array of records a file.  Records are staged; the three
+    tables read them."""
+    if cut is None:
+        records = spark.read.option("recursiveFileLookup", "true").text(root).where(F.length(F.trim("value")) > 0).select(F.parse_json("value").alias("v"))
+    else:
+        texts = _array_records(spark, root, cut).where(F.length(F.trim("value")) > 0)
+        records = texts.select(F.explode(F.variant_get(F.parse_json(F.concat(F.lit("["), F.col("value"), F.lit("]"))), "$", "array<variant>")).alias("v"))
+    of = lambda at, kind: F.variant_get("v", at, kind)
+    tables = staged(records.select(of("$[0]", "string").alias("table_id"), of("$[5]", "array<string>").alias("headers"),
+                                   of("$[6]", "array<array<variant>>").alias("cells"), of("$[7]", "array<array<string>>").alias("types")), "tables")
+    column = F.col("col_idx").cast("int")
+    cell = lambda at, kind: F.variant_get("c", at, kind)
+    cells = (tables.select("table_id", F.posexplode("cells").alias("col_idx", "cs")).select("table_id", "col_idx", F.explode("cs").alias("c"))
+             .select("table_id", column, cell("$[0][0]", "int").alias("row_idx"), cell("$[1][1]", "string").alias("text")))
+    headers = tables.select("table_id", F.posexplode("headers").alias("col_idx", "header")).select("table_id", column, "header")
+    types = (tables.select("table_id", F.posexplode("types").alias("col_idx", "ts"))
+             .select("table_id", column, F.explode("ts").alias("column_type")))
+    return SparseTables(headers, cells, types)
 
 
 def densify_sparse_cells(cells: DataFrame, block: int = 1 << 16) -> DataFrame:

@@ -636,3 +636,10 @@ SQL["sink_results"] = W("SELECT dataset, exp_name, count(*) AS n_rows FROM fx_re
 SQL["overwrite_stage_output"] = W("""
 SELECT dataset, mode, count(*) AS n_rows FROM fx_report_g
 WHERE slice = 'all' AND (dataset <> 'corpus_0' OR mode = 'adjusted') GROUP BY dataset, mode""", "fx_report_g")
+
+_SPARSE_CELLS = "SELECT CAST(table_id AS VARCHAR) AS table_id, col_idx, row_idx, text FROM dn_cells"
+SQL["scan_sparse_cell_json"] = W(_SPARSE_CELLS, "dn_cells")
+SQL["scan_sparse_cell_arrays"] = W(f"""
+SELECT table_id, 'cell' AS kind, col_idx, row_idx || ':' || text AS value FROM ({_SPARSE_CELLS})
+UNION ALL SELECT CAST(table_id AS VARCHAR), 'header', col_idx, header FROM fx_columns
+UNION ALL SELECT CAST(table_id AS VARCHAR), 'type', col_idx, column_type FROM fx_columns WHERE column_type IS NOT NULL""", "dn_cells", "fx_columns")

@@ -9,30 +9,22 @@ MISSING = "MISSING"
 
 
 def brute(truth, pred, cap):
-    """Exhaustive reference: insert gaps at every index combination, keep the
-    first combination with the most matches (null truth always matches)."""
-    k = min(abs(len(truth) - len(pred)), cap)
-    short_is_truth = len(truth) < len(pred)
-    n = max(len(truth), len(pred))
-
-    def build(idx):
-        s = list(truth if short_is_truth else pred)
-        for i in idx:
-            s.insert(i, MISSING)
-        s += [MISSING] * (n - len(s))
-        t = s if short_is_truth else list(truth) + [MISSING] * (n - len(truth))
-        p = list(pred) + [MISSING] * (n - len(pred)) if short_is_truth else s
-        return t, p
-
-    if k == 0:
-        return build(())
-    best, best_pair = None, None
-    for idx in itertools.combinations(range(n), k):
-        t, p = build(idx)
-        score = sum(1 for a, b in zip(t, p) if a is None or a == b)
-        if best is None or score > best:
-            best, best_pair = score, (t, p)
-    return best_pair
+    """By the definition: of all sets of gap positions, the one with the most
+    matches (a null truth always matches), of equal ones the smallest tuple.
+    Position j of the list with gaps is MISSING on a gap, else the item that as
+    many places before it as there are gaps before j; past its end MISSING."""
+    n, k = max(len(truth), len(pred)), min(abs(len(truth) - len(pred)), cap)
+
+    def item(items, gaps, j):
+        at = j - sum(g < j for g in gaps)
+        return MISSING if j in gaps or at >= len(items) else items[at]
+
+    def pairs(gaps):
+        on_truth, on_pred = (gaps, ()) if len(truth) < len(pred) else ((), gaps)
+        return [(item(truth, on_truth, j), item(pred, on_pred, j)) for j in range(n)]
+
+    best = min((-sum(t is None or t == p for t, p in pairs(gaps)), gaps) for gaps in itertools.combinations(range(n), k))[1]
+    return tuple(map(list, zip(*pairs(best)))) if n else ([], [])
 
 
 def test_random_alignments_match_bruteforce(spark):
