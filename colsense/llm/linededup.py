@@ -41,12 +41,13 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_filter, key_filter, lean, small_batches, stage, table, texts_of
+from .common import FILTER_BITS, key_filter, lean, small_batches, stage, table, texts_of
 
 LEADING = 3
 MIN_DOCS = 3
@@ -55,25 +56,22 @@ LITERAL_SHARE = 0.5
 COPY_SHARE = 0.5
 MIN_TOKENS = 3
 VARIABLE = b"<*>"
-_digits = re.compile(rb"(?<!\S)[^\s0-9]*[0-9]\S*")
+_has_digit = re.compile(rb"[0-9]").search
+_hash = xxhash.xxh3_64_intdigest
+#: Distinct lines whose tokens a task holds at once.
+HELD_LINES = 50_000
 
 
-def _i64(h: int) -> int:
-    return h - (1 << 64) if h >> 63 else h
+def _longs(hashes: list[int]) -> pa.Array:
+    return pa.array(np.array(hashes, np.uint64).view(np.int64))
 
 
-def line_tokens(text: bytes | None) -> Iterator[tuple[int, list[bytes], list[bytes]]]:
-    """(line number, masked tokens, tokens as they stand) of the lines that can be templates."""
-    if not text:
-        return
-    for no, (masked, line) in enumerate(zip(_digits.sub(VARIABLE, text).split(b"\n"), text.split(b"\n"))):
-        tokens = line.split()
-        if len(tokens) >= MIN_TOKENS:
-            yield no, tokens if masked == line else masked.split(), tokens
+def _masked(tokens: list[bytes]) -> list[bytes]:
+    return [VARIABLE if _has_digit(w) else w for w in tokens]
 
 
-def leaf_of(tokens: list[bytes]) -> int:
-    return _i64(xxhash.xxh3_64_intdigest(b"%d " % len(tokens) + b" ".join(tokens[:LEADING])))
+def _leaf(tokens: list[bytes]) -> int:
+    return _hash(b"%d " % len(tokens) + b" ".join(tokens[:LEADING]))
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -82,54 +80,66 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.withColumn("_ld_row", F.unhex(F.md5(F.to_json(F.struct(F.col(id_col).cast("string").alias("i"), text.alias("t"))).cast("binary"))))
 
 
-def body_of(text: bytes) -> int:
-    """Hash of the set of a text's lines, white space evened out and blank lines aside."""
-    return _i64(xxhash.xxh3_64_intdigest(b"\n".join(sorted({b" ".join(x.split()) for x in text.split(b"\n")} - {b""}))))
-
-
-def _hash(tokens: list[bytes]) -> int:
-    return _i64(xxhash.xxh3_64_intdigest(b" ".join(tokens)))
-
-
 def _line_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in small_batches(batches, 1, 8 << 20):
         row, body, total, no, leaf, line, raw, words = [], [], [], [], [], [], [], []
         for r, t in zip(b.column(0).to_pylist(), texts_of(b, 1)):
-            lines = list(line_tokens(t))
-            if lines:
-                row += [r] * len(lines)
-                body += [body_of(t)] * len(lines)
-                total += [sum(len(tokens) for _, tokens, _ in lines)] * len(lines)
-            for n, tokens, standing in lines:
+            standing = set()  # of the text's lines, white space evened out
+            before = len(no)
+            for n, x in enumerate(t.split(b"\n") if t else ()):
+                tokens = x.split()
+                if not tokens:
+                    continue
+                h = _hash(b" ".join(tokens))
+                standing.add(h)
+                if len(tokens) < MIN_TOKENS:
+                    continue
+                raw.append(h)
+                if _has_digit(x):
+                    tokens = _masked(tokens)
+                    h = _hash(b" ".join(tokens))
                 no.append(n)
-                leaf.append(leaf_of(tokens))
-                line.append(_hash(tokens))
-                raw.append(line[-1] if tokens is standing else _hash(standing))
+                leaf.append(_leaf(tokens))
+                line.append(h)
                 words.append(len(tokens))
-        yield pa.RecordBatch.from_pydict({"row": pa.array(row, pa.binary()), "body": pa.array(body, pa.int64()), "total": pa.array(total, pa.int64()),
-                                          "no": pa.array(no, pa.int32()), "leaf": pa.array(leaf, pa.int64()), "line": pa.array(line, pa.int64()),
-                                          "raw": pa.array(raw, pa.int64()), "words": pa.array(words, pa.int32())})
+            if k := len(no) - before:
+                row += [r] * k
+                body += [_hash(sum(standing).to_bytes(16, "little"))] * k
+                total += [sum(words[before:])] * k
+        yield pa.RecordBatch.from_pydict({"row": pa.array(row, pa.binary()), "body": _longs(body), "total": pa.array(total, pa.int64()),
+                                          "no": pa.array(no, pa.int32()), "leaf": _longs(leaf), "line": _longs(line),
+                                          "raw": _longs(raw), "words": pa.array(words, pa.int32())})
 
 
 def _token_rows(known):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = known.value
+        found: dict[tuple[int, int], list] = {}
+
+        def out() -> pa.RecordBatch:
+            lists = [tokens for _, tokens in found.values()]
+            ends = np.cumsum([0, *map(len, lists)])
+            return pa.RecordBatch.from_pydict({
+                "leaf": _longs([k[0] for k in found]), "line": _longs([k[1] for k in found]), "n": pa.array([n for n, _ in found.values()], pa.int64()),
+                "tokens": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), _longs([_hash(w) for tokens in lists for w in tokens]))})
+
         for b in small_batches(batches, 0, 8 << 20):
-            found: dict[tuple[int, int], list] = {}
             for t in texts_of(b, 0):
+                lines = [(x, w) for x in (t.split(b"\n") if t else ()) if len(w := x.split()) >= MIN_TOKENS]
+                masked = [_masked(w) if _has_digit(x) else w for x, w in lines]
+                leaves = list(map(_leaf, masked))
+                at = np.array(leaves, np.uint64) & np.uint64((1 << FILTER_BITS) - 1)
+                passes = (bits.view(np.uint64)[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1)
                 seen = set()
-                for _, tokens, _ in line_tokens(t):
-                    leaf = leaf_of(tokens)
-                    if in_filter(bits, leaf):
-                        key = leaf, _hash(tokens)
-                        if key not in seen:
-                            seen.add(key)
-                            found.setdefault(key, [0, tokens])[0] += 1
-            keys = list(found)
-            yield pa.RecordBatch.from_pydict({
-                "leaf": pa.array([k[0] for k in keys], pa.int64()), "line": pa.array([k[1] for k in keys], pa.int64()),
-                "n": pa.array([found[k][0] for k in keys], pa.int64()),
-                "tokens": pa.array([[_hash([w]) for w in found[k][1]] for k in keys], pa.list_(pa.int64()))})
+                for i in np.flatnonzero(passes).tolist():
+                    key = leaves[i], _hash(b" ".join(masked[i]))
+                    if key not in seen:
+                        seen.add(key)
+                        found.setdefault(key, [0, masked[i]])[0] += 1
+            if len(found) > HELD_LINES:
+                yield out()
+                found = {}
+        yield out()
     return run
 
 
@@ -150,7 +160,7 @@ def recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     often = at.groupBy("leaf", "pos", "token").agg(F.sum("n").alias("often")).where(F.col("often") >= min_docs)
     fixed = F.expr("element_at(sort_array(transform(tokens, x -> x.often), false), greatest(least_fixed, 1))")
     counted = (at.join(often, ["leaf", "pos", "token"]).groupBy("leaf", "line").agg(F.collect_list(F.struct("often", "pos", "token")).alias("tokens")))
-    variable = _hash([VARIABLE])
+    variable = _longs([_hash(VARIABLE)])[0].as_py()
     template = "coalesce(aggregate(filter(tokens, x -> x.often >= fixed), 0L, (s, x) -> s ^ xxhash64(x.pos, x.token)), 0L)"
     literal = f"literal + coalesce(size(filter(tokens, x -> x.often >= fixed AND x.token <> {variable}L)), 0)"
     templates = (kinds.select("leaf", "line", F.expr("size(tokens)").alias("length"),
