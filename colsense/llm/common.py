@@ -10,7 +10,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from colsense.session import checkpoint_dir
@@ -59,6 +59,23 @@ def crc_mod(id_col: str, m: int):
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % m
 
 
+def drawn_contents(rows: DataFrame, key: list[str], n: int, seed: int, by: str | None = None) -> DataFrame:
+    """At most n rows (of each value of `by`): of the distinct contents of the
+    key columns those of smallest hash, one row for each, with its number of rows
+    as _weight.  However many rows share a content, it is drawn once; counts are
+    taken over 16 bytes a row, and only drawn contents meet the rows again."""
+    u = F.pmod(F.xxhash64(*key, F.lit(seed)), F.lit(1 << 40)).alias("_u")
+    keyed = rows.withColumn("_by", F.col(by) if by else F.lit("")).withColumn("_u", u)
+    counts = stage(keyed.groupBy("_by", "_u").agg(F.count("*").alias("_weight")))
+    # about 2n + 64 of the smallest, so that at least n are there to be cut exactly
+    bound = counts.groupBy("_by").agg((F.lit(float(1 << 40)) * (2 * n + 64) / F.count("*")).alias("_bound"))
+    near = counts.join(F.broadcast(bound), "_by").where(F.col("_u") < F.col("_bound"))
+    first = F.row_number().over(Window.partitionBy("_by").orderBy("_u")) <= n
+    chosen = near.withColumn("_first", first).where("_first").select("_by", "_u", "_weight")
+    one = [F.first(c).alias(c) for c in rows.columns]
+    return keyed.join(F.broadcast(chosen), ["_by", "_u"]).groupBy("_by", "_u", "_weight").agg(*one).select(*rows.columns, "_weight")
+
+
 class Fold:
     """What makes a word: a random number for each byte (A-Z as a-z), 0 for the
     bytes that separate words."""

@@ -7,8 +7,9 @@ elements), its hashed words, and a few ratios (link share, length, position).  A
 bidirectional LSTM in numpy reads the whole sequence of a page, so that a block
 is judged in the context of the document, and labels each block article or not.
 
-Training needs labelled pages, and the table has none.  Blocks of a bounded
-sample of pages (SAMPLE, by hash) that stand under unmistakable mark-up (article,
+Training needs labelled pages, and the table has none.  Of a bounded sample of
+distinct pages (SAMPLE, those of smallest hash) the first BLOCKS blocks of either
+kind, GOOD_CHARS and BAD_CHARS characters of each, that stand under unmistakable mark-up (article,
 main, nav, footer, ...) are taken as texts of known kind and dealt into random
 page layouts: other wrappers, class names, side bars, notices, adverts, forms,
 reader comments, unclosed paragraphs.  The network learns from those layouts with
@@ -38,9 +39,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import drawn_contents, table
 
 SAMPLE = 300
+BLOCKS, GOOD_CHARS, BAD_CHARS = 40, 600, 300
 LAYOUTS = 900
 STEPS, RATE, BATCH = 220, 0.01, 24
 HIDDEN = 20
@@ -371,21 +373,24 @@ def _layout(rng, good: list[list[str]], bad: list[str]) -> tuple[np.ndarray, np.
 _SURE_GOOD, _SURE_BAD = {"<article>", "<main>"}, {"<nav>", "<footer>", "<aside>", "<form>"}
 
 
+def _known_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts of a page's blocks that its mark-up names article or not."""
+    for b in batches:
+        good, bad = [], []
+        for page in b.column(0):
+            blocks = [(set(x.path), x.text) for x in leaf_blocks(page.as_py())]
+            bad.append([t[:BAD_CHARS] for names, t in blocks if names & _SURE_BAD][:BLOCKS])
+            good.append([t[:GOOD_CHARS] for names, t in blocks if names & _SURE_GOOD and not names & _SURE_BAD][:BLOCKS])
+        kind = pa.list_(pa.string())
+        yield pa.RecordBatch.from_arrays([pa.array(good, kind), pa.array(bad, kind)], names=["good", "bad"])
+
+
 def train(pages: DataFrame, sample: int = SAMPLE) -> BiLstm:
-    """The network, fitted on layouts of texts from about `sample` pages."""
-    total = pages.count()
-    drawn = pages.where("html is not null").where(F.pmod(F.xxhash64("html"), F.lit(1_000_000)) / 1_000_000 < sample / max(total, 1)).select("html")
-    good, bad = [], []
-    for page in sorted(r.html for r in drawn.collect()):
-        here = []
-        for b in leaf_blocks(page):
-            names = set(b.path)
-            if names & _SURE_BAD:
-                bad.append(b.text[:300])
-            elif names & _SURE_GOOD:
-                here.append(b.text[:600])
-        if here:
-            good.append(here[:40])
+    """The network, fitted on layouts of texts from at most `sample` pages."""
+    drawn = drawn_contents(pages.where("html is not null").select(F.col("html").cast("string").alias("html")), ["html"], sample, 3).select("html")
+    found = sorted((r.good, r.bad) for r in drawn.mapInArrow(_known_blocks, "good array<string>, bad array<string>").collect())
+    good = [g for g, _ in found if g]
+    bad = [x for _, b in found for x in b]
     filler = ["A short line", "Plain words in a row, and a few more of them, end here."]
     good, bad = good or [filler], bad or filler
     rng = np.random.default_rng(1)

@@ -4,9 +4,10 @@ elastic-net penalties, then calibrated with one temperature.
 
 Document frequencies are counted over all training documents (hashed n-grams,
 BUCKETS of them).  The regression is fitted on a bounded sample of labelled
-training rows, about SAMPLE in all, the same number of each language, taken by
-hash; their hashed counts, not their texts, go to the driver.  Every fifth
-sampled row sets the temperature instead of the weights.  Prediction is one scan
+training rows: of each language the same number of distinct texts of smallest
+hash, SAMPLE in all at most, copies once; their hashed counts, not their texts,
+go to the driver.  Every fifth sampled row sets the temperature instead of the
+weights.  Prediction is one scan
 over whole texts, without a shuffle.
 
 Cases: a null text or one without a letter is `und` with score 0; with no
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, crc_mod, table
+from .common import U64, crc_mod, drawn_contents, table
 
 BUCKETS = 1 << 14
 MAX_N = 3
@@ -133,9 +134,7 @@ def fit(rows: DataFrame, sample: int = SAMPLE) -> dict:
     for r in rows.select("text").mapInArrow(_frequencies, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect():
         idf[r.bucket] = r.n
     idf = np.log((1 + sum(per.values())) / (1 + idf)) + 1
-    share = F.create_map(*[x for lang, n in per.items() for x in (F.lit(lang), F.lit(sample / len(langs) / n))])
-    u = F.pmod(F.xxhash64("text", "lang"), F.lit(1_000_000)) / 1_000_000
-    drawn = rows.where(u < share[F.col("lang")]).select("lang", "text").mapInArrow(_counted, "lang string, at array<long>, counts array<long>")
+    drawn = drawn_contents(rows.select("lang", "text"), ["text"], max(1, sample // len(langs)), 7, by="lang").select("lang", "text").mapInArrow(_counted, "lang string, at array<long>, counts array<long>")
     data = sorted(((r.lang, np.array(r["at"], np.int64), np.array(r["counts"], np.int64)) for r in drawn.collect()),
                   key=lambda r: (len(r[1]), r[0], r[2].tobytes()[:64]))
     rng = np.random.default_rng(5)

@@ -7,11 +7,11 @@ class prior pi estimated as the share of 1 among the training labels.  Where the
 bracket falls below zero its gradient is turned round, as the non-negative
 estimator prescribes.
 
-Both samples are bounded (about POSITIVES and UNLABELLED rows, taken by hash over
-the whole training part) and their features, FEATURES numbers a text, are all
-that reaches the driver.  Only the sampled label rows meet the documents, by a
-broadcast whose size the sample bounds.  Scoring is one scan over whole texts
-without a shuffle.
+Both samples are bounded: at most POSITIVES labelled ids, and of their rows and
+of all training rows at most POSITIVES and UNLABELLED distinct (id, text) pairs of
+smallest hash, each weighted by its number of rows.  Their features, FEATURES
+numbers a text, are all that reaches the driver.  Scoring is one scan over whole
+texts without a shuffle.
 
 Cases: null, empty and blank texts are scored like any other, from features that
 are all zero; without positives every score is 0.5; null ids hash as the empty
@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANKS, column_bytes, crc_mod, hash_words, table
+from .common import BLANKS, column_bytes, crc_mod, drawn_contents, hash_words, table
 
 POSITIVES, UNLABELLED = 3000, 6000
 HELD_OUT_MOD, HELD_OUT = 3, 1
@@ -75,26 +75,32 @@ def _features_of(batch: pa.RecordBatch, i: int, step: int = 256) -> Iterator[np.
 
 def _feature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        yield pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in _features_of(b, 0)], pa.binary())], names=["x"])
+        yield pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in _features_of(b, 0)], pa.binary()), b.column(1)], names=["x", "weight"])
 
 
-def _matrix(rows: DataFrame) -> np.ndarray:
-    found = sorted(r.x for r in rows.select("text").mapInArrow(_feature_rows, "x binary").collect())
-    return np.frombuffer(b"".join(found), np.float32).reshape(-1, FEATURES).astype(np.float64)
+def _matrix(rows: DataFrame, n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Features and weights (of sum 1) of at most n rows."""
+    drawn = drawn_contents(rows.select("doc_id", "text"), ["doc_id", "text"], n, seed).select("text", "_weight")
+    found = sorted((r.x, r.weight) for r in drawn.mapInArrow(_feature_rows, "x binary, weight long").collect())
+    weight = np.array([w for _, w in found], np.float64)
+    return np.frombuffer(b"".join(x for x, _ in found), np.float32).reshape(-1, FEATURES).astype(np.float64), weight / max(weight.sum(), 1)
 
 
 def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def minimise_nn_risk(pos: np.ndarray, unl: np.ndarray, prior: float) -> np.ndarray:
-    """Weights of the scorer, by Adam on the non-negative risk with logistic loss."""
+def minimise_nn_risk(pos: np.ndarray, unl: np.ndarray, prior: float, wp: np.ndarray | None = None, wu: np.ndarray | None = None) -> np.ndarray:
+    """Weights of the scorer, by Adam on the non-negative risk with logistic loss;
+    wp and wu weigh the rows (of sum 1; equal ones without)."""
+    wp = np.full(len(pos), 1 / len(pos)) if wp is None else wp
+    wu = np.full(len(unl), 1 / len(unl)) if wu is None else wu
     w, m, v = np.zeros(pos.shape[1]), 0.0, 0.0
     for step in range(1, STEPS + 1):
         zp, zu = pos @ w, unl @ w
-        grad_pos = -prior * (_sigmoid(-zp) @ pos) / len(pos)
-        negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
-        grad_neg = (_sigmoid(zu) @ unl) / len(unl) - prior * (_sigmoid(zp) @ pos) / len(pos)
+        grad_pos = -prior * ((_sigmoid(-zp) * wp) @ pos)
+        negative = np.logaddexp(0, zu) @ wu - prior * (np.logaddexp(0, zp) @ wp)
+        grad_neg = (_sigmoid(zu) * wu) @ unl - prior * ((_sigmoid(zp) * wp) @ pos)
         g = (grad_pos + grad_neg if negative >= 0 else -grad_neg) + DECAY * w
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w -= RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
@@ -106,19 +112,18 @@ def fit(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabell
     sure = (labels.where("quality is not null and doc_id is not null").groupBy("doc_id")
             .agg(F.min("quality").alias("quality"), F.max("quality").alias("q")).where("quality = q").select("doc_id", "quality"))
     n = {r.quality: r.n for r in sure.groupBy("quality").agg(F.count("*").alias("n")).collect()}
-    total = docs.count()
-    if not n.get(1) or not total:
+    if not n.get(1):
         return {}
-    u = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1_000_000)) / 1_000_000
-    drawn = sure.where((F.col("quality") == 1) & (u < positives / n[1])).select("doc_id")
-    pos = _matrix(docs.join(F.broadcast(drawn), "doc_id"))
-    unl = _matrix(docs.where(F.pmod(F.xxhash64("doc_id", "text", F.lit(12)), F.lit(1_000_000)) / 1_000_000 < unlabelled / total))
+    drawn = sure.where("quality = 1").orderBy(F.xxhash64("doc_id", F.lit(11)), "doc_id").limit(positives).select("doc_id")
+    pos, wp = _matrix(docs.join(F.broadcast(drawn), "doc_id"), positives, 13)
+    unl, wu = _matrix(docs, unlabelled, 12)
     if not len(pos) or not len(unl):
         return {}
-    mean, dev = unl.mean(axis=0), unl.std(axis=0) + 1e-3
+    mean = wu @ unl
+    dev = np.sqrt(np.maximum(wu @ (unl - mean) ** 2, 0)) + 1e-3
     mean[0], dev[0] = 0, 1
     prior = n[1] / sum(n.values())
-    w = minimise_nn_risk((pos - mean) / dev, (unl - mean) / dev, prior)
+    w = minimise_nn_risk((pos - mean) / dev, (unl - mean) / dev, prior, wp, wu)
     return {"mean": mean, "dev": dev, "w": w, "prior": prior}
 
 

@@ -544,3 +544,28 @@ def test_packing_ids_of_odd_text(monkeypatch):
             seen += 1
     assert seen == len(texts) and enc.held <= 20_000 + 400
     assert [len(x) for x in enc.encode_all(pa.array([], pa.string()))] == [0, 1]
+
+
+def test_drawn_contents_are_bounded(spark):
+    """A text, an id and a page that fill a third of the rows are drawn once."""
+    from colsense.llm.common import drawn_contents
+    rows = spark.range(9000).select(F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise(F.concat(F.lit("t"), "id")).alias("text"),
+                                    F.when(F.col("id") % 2 == 0, F.lit("a")).otherwise(F.concat(F.lit("b"), F.col("id") % 2)).alias("lang"))
+    got = drawn_contents(rows, ["text"], 500, 1).collect()
+    assert len(got) == 500 == len({r.text for r in got}) and all(r["_weight"] == (3000 if r.text == "hot" else 1) for r in got)
+    by = Counter(r.lang for r in drawn_contents(rows, ["text"], 70, 1, by="lang").collect())
+    assert by == {"a": 70, "b1": 70}
+    assert sorted(r.text for r in drawn_contents(rows.where("text = 'hot' or text < 't2'"), ["text"], 5000, 2).collect()) == sorted(
+        {r.text for r in rows.where("text = 'hot' or text < 't2'").collect()})
+    assert drawn_contents(rows.limit(0), ["text"], 5, 1).count() == 0
+    hot = spark.range(4000).select(F.lit(5).alias("doc_id"), F.lit("One text for all of them").alias("text"))
+    x, weight = quality._matrix(hot.unionByName(spark.createDataFrame([(6, None), (7, "other")], "doc_id int, text string")), 1200, 1)
+    assert x.shape[0] == 3 and abs(weight.sum() - 1) < 1e-12 and weight.max() == 4000 / 4002
+
+
+def test_weighted_risk_equals_repeated_rows():
+    rng = np.random.default_rng(2)
+    pos, unl = rng.normal(1, 1, (6, 3)), rng.normal(0, 1, (9, 3))
+    times_p, times_u = rng.integers(1, 5, 6), rng.integers(1, 5, 9)
+    repeated = quality.minimise_nn_risk(np.repeat(pos, times_p, 0), np.repeat(unl, times_u, 0), 0.4)
+    assert np.allclose(quality.minimise_nn_risk(pos, unl, 0.4, times_p / times_p.sum(), times_u / times_u.sum()), repeated)
