@@ -19,8 +19,10 @@ def is_failed(body: Column) -> Column:
 
 
 def extract_response_text(body: Column) -> Column:
-    """``choices[0].message.content`` or null for a failed request."""
-    return F.when(~is_failed(body), F.get_json_object(body, "$.choices[0].message.content"))
+    """``choices[0].message.content`` (``choices[0].text`` of a completion) or
+    null for a failed request."""
+    return F.when(~is_failed(body), F.coalesce(F.get_json_object(body, "$.choices[0].message.content"),
+                                               F.get_json_object(body, "$.choices[0].text")))
 
 
 def finish_reason(body: Column) -> Column:

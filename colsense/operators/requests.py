@@ -38,9 +38,23 @@ def estimate_max_output(max_tokens: Column, input_tokens: Column) -> Column:
     return F.coalesce(max_tokens, capped)
 
 
+def input_tokens(has_prompt: bool) -> Column:
+    """Tokens of a request's messages, or of its prompt where the model (its
+    ``chat_or_completion``) completes text; a request without the field that its
+    model needs is an error when the plan runs."""
+    def needed(field: str, tokens: Column) -> Column:
+        missing = F.raise_error(F.concat(F.lit(f"the request is missing the field {field}: "), F.col("request_id").cast("string")))
+        return F.when(F.col(field).isNotNull(), tokens).otherwise(missing.cast("bigint"))
+    chat = needed("messages", estimate_tokens(F.col("messages")))
+    if not has_prompt:
+        return chat
+    return F.when(F.col("chat_or_completion") == "completion", needed("prompt", token_count(F.col("prompt")).cast("bigint"))).otherwise(chat)
+
+
 def usage_and_cost(requests: DataFrame, models: DataFrame) -> DataFrame:
-    """Input tokens, max output, usage multiplied by ``best_of``/``n`` and the maximum cost."""
-    r = with_models(requests, models).withColumn("input_tokens", estimate_tokens(F.col("messages")))
+    """Input tokens, max output, usage multiplied by ``best_of``/``n`` and the
+    maximum cost; requests may have a ``prompt`` for completion models."""
+    r = with_models(requests, models).withColumn("input_tokens", input_tokens("prompt" in requests.columns))
     mult = F.coalesce(F.col("best_of"), F.col("n"), F.lit(1))
     r = r.withColumn("max_output", estimate_max_output(F.col("max_tokens"), F.col("input_tokens")))
     r = r.withColumn("input_usage", mult * F.col("input_tokens")) \
@@ -73,7 +87,7 @@ def _num(c: Column) -> Column:
 def request_json(r: DataFrame) -> Column:
     """The request document in the published key order and layout (``", "`` and
     ``": "`` separators, ASCII escapes); ``seed``, ``n`` and ``best_of`` only
-    when present."""
+    when present, ``prompt`` in place of absent messages."""
     msgs = F.concat(F.lit("["), F.array_join(F.transform("messages", lambda m: F.concat(
         F.lit('{"role": '), json_string(m["role"]), F.lit(', "content": '), json_string(m["content"]),
         F.lit("}"))), ", "), F.lit("]"))
@@ -81,6 +95,9 @@ def request_json(r: DataFrame) -> Column:
              F.concat(F.lit(', "max_tokens": '), _num(F.col("max_tokens"))),
              F.concat(F.lit(', "temperature": '), _num(F.col("temperature"))),
              F.concat(F.lit(', "messages": '), msgs)]
+    if "prompt" in r.columns:
+        prompt = F.concat(F.lit(', "prompt": '), json_string(F.col("prompt")))
+        parts[-1] = F.when(F.col("messages").isNull(), prompt).otherwise(parts[-1])
     for opt in ("seed", "n", "best_of"):
         parts.append(F.when(F.col(opt).isNotNull(), F.concat(F.lit(f', "{opt}": '), _num(F.col(opt))))
                       .otherwise(F.lit("")))

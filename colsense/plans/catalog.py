@@ -630,6 +630,15 @@ def q_estimate_usage_cost(spark, sf):
                                     F.round("max_cost", 6).alias("max_cost"))
 
 
+@query("completion_requests")
+def q_completion_requests(spark, sf):
+    """Usage, cost and document hash of chat and completion requests together."""
+    models = fx.models(spark).unionByName(spark.createDataFrame([fx.COMPLETION_MODEL], fx.models(spark).schema))
+    r = rq.usage_and_cost(fx.mixed_requests(spark, sf), models)
+    return r.select("request_id", "model", "input_tokens", "max_output", "max_total_usage", F.round("max_cost", 6).alias("max_cost"),
+                    rq.request_hash(rq.request_json(r)).alias("request_hash"))
+
+
 @query("request_checks")
 def q_request_checks(spark, sf):
     return rq.request_checks(_usage(spark, sf)).select(

@@ -182,6 +182,19 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
          .alias("messages"))
 
 
+COMPLETION_MODEL = ("completion-model", "completion", 3_000, 250_000, 0.0015, 0.002, 4_096, None)
+
+
+def mixed_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chat requests, every third one a completion request instead: its
+    messages in a row are the prompt."""
+    c = F.col("request_id") % 3 == 0
+    prompt = F.array_join(F.transform("messages", lambda m: m["content"]), "\n")
+    return requests(spark, sf_dir).withColumns({
+        "model": F.when(c, F.lit(COMPLETION_MODEL[0])).otherwise(F.col("model")), "prompt": F.when(c, prompt),
+        "messages": F.when(~c, F.col("messages"))})
+
+
 def models(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(MODELS, MODEL_SCHEMA)
 

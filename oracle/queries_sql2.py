@@ -643,3 +643,20 @@ SQL["scan_sparse_cell_arrays"] = W(f"""
 SELECT table_id, 'cell' AS kind, col_idx, row_idx || ':' || text AS value FROM ({_SPARSE_CELLS})
 UNION ALL SELECT CAST(table_id AS VARCHAR), 'header', col_idx, header FROM fx_columns
 UNION ALL SELECT CAST(table_id AS VARCHAR), 'type', col_idx, column_type FROM fx_columns WHERE column_type IS NOT NULL""", "dn_cells", "fx_columns")
+
+_MIXED = f"""
+  SELECT request_id, CASE WHEN c THEN 'completion-model' ELSE model END AS model, max_tokens, temperature, seed, n, best_of, c, body,
+         CASE WHEN c THEN {tokens('prompt')} ELSE CAST(list_sum(list_transform(messages, lambda x: {tokens('x.content')} + 10)) AS BIGINT) END AS input_tokens
+  FROM (SELECT *, CASE WHEN c THEN '"prompt": ' || {jstr('prompt')}
+                       ELSE '"messages": [' || array_to_string(list_transform(messages, lambda m: '{{"role": ' || {jstr('m.role')} || ', "content": '
+                                                               || {jstr('m.content')} || '}}'), ', ') || ']' END AS body
+        FROM (SELECT *, request_id % 3 = 0 AS c, array_to_string(list_transform(messages, lambda m: m.content), chr(10)) AS prompt FROM fx_requests))"""
+SQL["completion_requests"] = W(f"""
+SELECT request_id, model, input_tokens, max_output, coalesce(best_of, n, 1) * (input_tokens + max_output) AS max_total_usage,
+       round((coalesce(best_of, n, 1) * input_tokens) * (cost_per_1k_input / 1000) + (coalesce(best_of, n, 1) * max_output) * (cost_per_1k_output / 1000), 6) AS max_cost,
+       sha256('{{"model": "' || model || '", "max_tokens": ' || {num('max_tokens')} || ', "temperature": ' || {num('temperature')} || ', ' || body
+              || CASE WHEN seed IS NOT NULL THEN ', "seed": ' || {num('seed')} ELSE '' END || CASE WHEN n IS NOT NULL THEN ', "n": ' || {num('n')} ELSE '' END
+              || CASE WHEN best_of IS NOT NULL THEN ', "best_of": ' || {num('best_of')} ELSE '' END || '}}') AS request_hash
+FROM (SELECT *, coalesce(max_tokens, least(coalesce(max_output_tokens, 1000000000), greatest(0, max_context - input_tokens))) AS max_output
+      FROM ({_MIXED}) JOIN (SELECT * FROM fx_models
+                            UNION ALL SELECT 'completion-model', 3000, 250000, 0.0015, 0.002, 4096, NULL) m USING (model))""", "fx_requests", "fx_models")

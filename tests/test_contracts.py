@@ -74,3 +74,17 @@ def test_tall_sparse_table(spark):
     assert {tuple(r) for r in out.where("text is not null").collect()} == {tuple(r) for r in cells.collect()}
     small = corpus.densify_sparse_cells(cells.where("table_id = 2 or row_idx < 100"), block=1).collect()
     assert {tuple(r) for r in small} == {(1, 0, 0, "a"), (2, 3, 0, None), (2, 3, 1, "d")}
+
+
+def test_requests_without_the_field_their_model_needs(spark):
+    from colsense.operators import requests as rq
+    models = spark.createDataFrame([("talk", "chat", 100, None), ("write", "completion", 50, 20)],
+                                   "model string, chat_or_completion string, max_context bigint, max_output_tokens bigint").withColumns(
+        {"cost_per_1k_input": F.lit(1.0), "cost_per_1k_output": F.lit(2.0)})
+    schema = "request_id long, model string, prompt string, messages array<struct<role: string, content: string>>, max_tokens bigint, n bigint, best_of bigint"
+    rows = [(1, "talk", None, [("user", "one two")], None, None, None), (2, "write", "one two, three", None, None, 2, None)]
+    got = {r.request_id: (r.input_tokens, r.max_output, r.max_total_usage, r.max_cost) for r in rq.usage_and_cost(spark.createDataFrame(rows, schema), models).collect()}
+    assert got == {1: (12, 88, 100, pytest.approx(0.188)), 2: (4, 20, 48, pytest.approx(0.088))}
+    for bad, field in (((3, "talk", "text", None, None, None, None), "messages"), ((3, "write", None, [("user", "x")], None, None, None), "prompt")):
+        with pytest.raises(Exception, match=f"missing the field {field}: 3"):
+            rq.usage_and_cost(spark.createDataFrame([*rows, bad], schema), models).collect()
