@@ -182,7 +182,7 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
          .alias("messages"))
 
 
-COMPLETION_MODEL = ("completion-model", "completion", 3_000, 250_000, 0.0015, 0.002, 4_096, None)
+COMPLETION_MODEL = ("completion-model", "completion", 3_000, 250_000, 0.002, 0.004, 4_096, None)
 
 
 def mixed_requests(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -659,4 +659,4 @@ SELECT request_id, model, input_tokens, max_output, coalesce(best_of, n, 1) * (i
               || CASE WHEN best_of IS NOT NULL THEN ', "best_of": ' || {num('best_of')} ELSE '' END || '}}') AS request_hash
 FROM (SELECT *, coalesce(max_tokens, least(coalesce(max_output_tokens, 1000000000), greatest(0, max_context - input_tokens))) AS max_output
       FROM ({_MIXED}) JOIN (SELECT * FROM fx_models
-                            UNION ALL SELECT 'completion-model', 3000, 250000, 0.0015, 0.002, 4096, NULL) m USING (model))""", "fx_requests", "fx_models")
+                            UNION ALL SELECT 'completion-model', 3000, 250000, 0.002, 0.004, 4096, NULL) m USING (model))""", "fx_requests", "fx_models")
