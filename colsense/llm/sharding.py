@@ -10,8 +10,7 @@ buckets that are still too large go to the next round, so all rounds together
 read little more than the rows once.
 
 Cases: a null text has 0 bytes; a null id hashes as the empty text; an empty
-table gives no rows; other columns pass through untouched unless named like the
-result's; a single row above the limit ends alone in a shard, marked
+table gives no rows; other columns are not read; a single row above the limit ends alone in a shard, marked
 `oversize` (it can't be split without cutting a text).
 """
 
