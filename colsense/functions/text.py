@@ -83,35 +83,15 @@ def _valid_strict(s: Column) -> Column:
                       F.lit(False))
 
 
-def strict_json_array(s: Column, strip: bool = True) -> Column:
-    """Parse a predicted label list with the published repair rules.
+def with_strict_json_array(df: DataFrame, src: str, out: str, strip: bool = True) -> DataFrame:
+    """Adds a predicted label list parsed with the published repair rules.
 
     Candidates ``s``, ``s + '"]'``, ``s + ']'``, ``s + '""]'``; the first valid
-    JSON document wins; when it is not an array the result is null.  Items are
-    rendered like ``str()``: booleans ``True``/``False``, null ``None``, others
-    as their JSON text; then optionally stripped.
+    JSON document wins (materialised once, then parsed once); when it is not an
+    array the result is null.  Items are rendered like ``str()``: booleans
+    ``True``/``False``, null ``None``, others as their JSON text; then optionally
+    stripped.
     """
-    cands = [s, F.concat(s, F.lit('"]')), F.concat(s, F.lit("]")), F.concat(s, F.lit('""]'))]
-    chosen = F.lit(None).cast("string")
-    for cand in reversed(cands):
-        chosen = F.when(_valid_strict(cand), cand).otherwise(chosen)
-    doc = F.try_parse_json(chosen)
-    items = F.try_variant_get(doc, "$", "array<variant>")
-    texts = F.from_json(chosen, "array<string>")
-    kinds = F.transform(items, lambda x: F.schema_of_variant(x))
-    rendered = F.transform(
-        F.arrays_zip(texts.alias("t"), kinds.alias("k")),
-        lambda z: (F.when(z["k"] == "BOOLEAN", F.when(z["t"] == "true", F.lit("True")).otherwise(F.lit("False")))
-                    .when(z["k"] == "VOID", F.lit("None"))
-                    .otherwise(z["t"])))
-    if strip:
-        rendered = F.transform(rendered, strip_ws)
-    return F.when(items.isNotNull(), rendered)
-
-
-def with_strict_json_array(df: DataFrame, src: str, out: str, strip: bool = True) -> DataFrame:
-    """Staged form of :func:`strict_json_array`: the chosen candidate is
-    materialised once, then parsed once."""
     s = F.col(src)
     cands = [s, F.concat(s, F.lit('"]')), F.concat(s, F.lit("]")), F.concat(s, F.lit('""]'))]
     chosen = F.lit(None).cast("string")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from colsense.constants import DELINEARIZATION_FAILED, FAILED_API_REQUEST
-from colsense.functions.text import strict_json_array, strip_ws, with_strict_json_array
+from colsense.functions.text import strip_ws, with_strict_json_array
 
 
 # only the fields evaluation reads; one parse of the body instead of one per path
@@ -38,8 +38,9 @@ def _quote_regex(sep: str) -> str:
     return "".join("\\" + ch if not ch.isalnum() else ch for ch in sep)
 
 
-def delinearize_list_json(s: Column, strip: bool = True) -> Column:
-    return strict_json_array(s, strip)
+def delinearize_list_json(df: DataFrame, src: str, out: str, strip: bool = True) -> DataFrame:
+    """Adds the label list that a JSON text holds, after the published repairs."""
+    return with_strict_json_array(df, src, out, strip)
 
 
 def parse_predictions(responses: DataFrame, key: str = "request_id", body: str = "body",
@@ -55,7 +56,7 @@ def parse_predictions(responses: DataFrame, key: str = "request_id", body: str =
         F.col(key), doc["choices"].isNull().alias("failed"), first["finish_reason"].alias("finish_reason"),
         first["message"]["content"].alias("text"))
     if mode == "json_list":
-        staged = with_strict_json_array(staged, "text", "parsed", strip)
+        staged = delinearize_list_json(staged, "text", "parsed", strip)
     else:
         staged = staged.withColumn("parsed", delinearize_list_csv(F.col("text"), sep, strip))
     return (staged.drop("text")

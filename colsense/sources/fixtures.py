@@ -61,13 +61,6 @@ def table_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
                       cells.alias("cells")))
 
 
-def table_cells(rows: DataFrame) -> DataFrame:
-    """Long form ``(table_id, row_idx, col_idx, value)`` of ``table_rows``."""
-    return rows.select("table_id", "row_idx",
-                       F.posexplode("cells").alias("col_idx", "value")) \
-               .withColumn("col_idx", F.col("col_idx").cast("int"))
-
-
 def tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(table_id, n_cols)``: one row per table (every order with lineitems)."""
     li = read(spark, sf_dir, "lineitem")
