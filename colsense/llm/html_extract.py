@@ -11,8 +11,11 @@ Training needs labelled pages, and the table has none.  Of a bounded sample of
 distinct pages (SAMPLE, those of smallest hash) the first BLOCKS blocks of either
 kind, GOOD_CHARS and BAD_CHARS characters of each, that stand under unmistakable mark-up (article,
 main, nav, footer, ...) are taken as texts of known kind and dealt into random
-page layouts: other wrappers, class names, side bars, notices, adverts, forms,
-reader comments, unclosed paragraphs.  The network learns from those layouts with
+page layouts: other wrappers, class names and names that say nothing, lists,
+tables, code and captions of few words anywhere in the article and at its end,
+side bars, notices, adverts, forms, reader comments, unclosed paragraphs.  (Where
+no name says anything, a last short paragraph beside a block of links may still
+go with the links.)  The network learns from those layouts with
 their known labels, on the driver, in a fixed number of steps.  Labelling is one
 scan over whole pages without a shuffle; pages of similar length are run together.
 
@@ -43,8 +46,8 @@ from .common import drawn_contents, table
 
 SAMPLE = 300
 BLOCKS, GOOD_CHARS, BAD_CHARS = 40, 600, 300
-LAYOUTS = 900
-STEPS, RATE, BATCH = 220, 0.01, 24
+LAYOUTS = 1400
+STEPS, RATE, BATCH = 320, 0.01, 24
 HIDDEN = 20
 PATH_DIM, WORD_DIM, RATIOS = 96, 24, 8
 INPUT = PATH_DIM + WORD_DIM + RATIOS
@@ -316,8 +319,21 @@ def _layout(rng, good: list[list[str]], bad: list[str]) -> tuple[np.ndarray, np.
         words = pick(bad).split()
         return " ".join(words[: int(rng.integers(1, 9))]) or "x"
 
+    def few() -> str:
+        words = pick(pick(good)).split()
+        at = int(rng.integers(len(words))) if words else 0
+        return " ".join(words[at : at + int(rng.integers(1, 9))]) or "x"
+
+    def opaque(tag: str = "div") -> str:
+        name = lambda: f"{chr(97 + int(rng.integers(26)))}{int(rng.integers(100))}"
+        return f"{tag} id={name()}" if rng.random() < 0.4 else f'{tag} class="{name()} {name()}"' if rng.random() < 0.6 else tag
+
+    bare = rng.random() < 0.15  # a page whose names say nothing
+
     def wrapped(kind: str) -> str:
         opening = pick(OTHER_WRAPS[kind])
+        if bare and kind in ("menu", "share", "header", "footer"):
+            opening = opaque()
         tag = opening.split()[0]
         n = int(rng.integers(1, 5))
         if kind in ("menu", "share") or kind in ("side", "footer") and rng.random() < 0.5:
@@ -337,6 +353,20 @@ def _layout(rng, good: list[list[str]], bad: list[str]) -> tuple[np.ndarray, np.
                 body = f"<h3>{mark(text(0), 0)}</h3>" + body
         return f"<{opening}>{body}</{tag}>"
 
+    def short() -> str:
+        """Lists, tables, code, captions and headings of few words each."""
+        part = lambda tag, n: "".join(f"<{tag}>{mark(few(), 1)}</{tag}>" for _ in range(n))
+        n, r = int(rng.integers(1, 7)), rng.random()
+        if r < 0.35:
+            tag = pick(["ul", "ul", "ol"])
+            return f"<{tag}>{part('li', n)}</{tag}>"
+        if r < 0.55:
+            width = int(rng.integers(1, 5))
+            return "<table>" + "".join(f"<tr>{part('th' if i == 0 and width > 1 else 'td', width)}</tr>" for i in range(n)) + "</table>"
+        if r < 0.7:
+            return f"<pre><code>{mark(few(), 1)}</code></pre>" if rng.random() < 0.6 else f"<pre>{mark(few(), 1)}</pre>"
+        return f"<figure><img>{part('figcaption', 1)}</figure>" if r < 0.85 else part("h3", 1)
+
     def article() -> str:
         out = []
         texts = [t for _ in range(int(rng.integers(1, 3))) for t in pick(good)][: int(rng.integers(1, 14))]
@@ -349,11 +379,15 @@ def _layout(rng, good: list[list[str]], bad: list[str]) -> tuple[np.ndarray, np.
             out.append(f"<p>{t}</p>" if r < 0.6 else f"<p>{t}" if r < 0.7 else f"<p><b>{t}<br>" if r < 0.75 else f"<h2>{t}</h2>" if r < 0.82
                        else f"<ul><li>{t}</li></ul>" if r < 0.88 else f"<blockquote><p>{t}</p></blockquote>" if r < 0.92 else f"<div>{t}</div>" if r < 0.96
                        else f"<table><tr><td>{t}</td></tr></table>")
+            if rng.random() < 0.2:
+                out.append(short())
             if rng.random() < 0.06:
                 out.append(wrapped(pick(["ad", "side", "notice", "share", "form", "comments"])))
+        while rng.random() < 0.25:
+            out.append(short())
         if rng.random() < 0.12:
             out.append(wrapped("comments"))
-        a, b = pick(ARTICLE_WRAPS)
+        a, b = (f"<{opaque()}>", "</div>") if bare else pick(ARTICLE_WRAPS)
         return a + "".join(out) + b
 
     kinds = list(OTHER_WRAPS)
