@@ -1,10 +1,10 @@
 """Scoring: scored pairs, label counts, classification reports and their slices.
 
-Per-label counts come from one exploded aggregation: every pair emits a
-truth-side row and a prediction-side row per slice it belongs to, and a single
-map-side-combined ``groupBy(mode, slice, slice_value, label)`` turns that into
-``(support, predicted, tp)``.  The key space is labels x slice values, so the
-shuffle after the partial aggregation is tiny whatever the corpus size.
+Per-label counts come from one pass over the pairs: equal (truth, prediction)
+pairs are counted for every slice value at once (grouping sets, combined on the
+map side), and each count emits its truth-side and its prediction-side row, which
+``groupBy(mode, slice, slice_value, label)`` turns into ``(support, predicted,
+tp)``.  The key space is pairs of labels x slice values, whatever the corpus size.
 """
 
 from __future__ import annotations
@@ -60,39 +60,44 @@ def both_modes(evaluated: DataFrame, cap: int = ADJUST_UP_TO, keep: list[str] |
                   .where(F.col("true_type").isNotNull()))
 
 
-def _slice_entries(slices: tuple[str, ...]) -> Column:
-    in_slices = F.col("true_type") != F.lit(MISSING)
-    values = {
-        "idx": F.col("idx").cast("string"),
-        "data_type": F.col("data_type"),
-        "sparsity": decimal_text(F.col("sparsity_tenths")),
-        "num_columns": F.col("num_columns").cast("string"),
-    }
-    entries = []
-    for name in slices:
-        if name == ALL:
-            entries.append(F.struct(F.lit(ALL).alias("slice"), F.lit("").alias("slice_value")))
-        else:
-            entries.append(F.when(in_slices, F.struct(F.lit(name).alias("slice"), values[name].alias("slice_value"))))
-    typed = [e.cast("struct<slice:string,slice_value:string>") for e in entries]
-    return F.filter(F.array(*typed), lambda e: e.isNotNull())
+_SLICE_COLUMN = {"idx": "idx", "data_type": "data_type", "sparsity": "sparsity_tenths", "num_columns": "num_columns"}
+
+
+def _slice_value(name: str) -> Column:
+    if name == ALL:
+        return F.lit("")
+    c = F.col(_SLICE_COLUMN[name])
+    return decimal_text(c) if name == "sparsity" else c.cast("string")
 
 
 def label_counts(pairs: DataFrame, slices: tuple[str, ...] = (ALL, *SLICES),
                  group_cols: list[str] | None = None) -> DataFrame:
-    """``(mode, *group_cols, slice, slice_value, label, support, predicted, tp)`` over every label seen."""
+    """``(mode, *group_cols, slice, slice_value, label, support, predicted, tp)`` over every label seen.
+
+    Equal (truth, prediction) pairs of a slice value are counted first, all
+    slices in one pass over the pairs as grouping sets; only these counts, not
+    the pairs, are split into their two labels.
+    """
     g = list(group_cols or [])
-    t, p = F.col("true_type"), F.col("pred_type")
-    hit = (t == p).cast("int")
+    base = ["mode", *g, "true_type", "pred_type"]
+    cols = [_SLICE_COLUMN[s] for s in slices if s != ALL]
+    sets = [base if s == ALL else [*base, _SLICE_COLUMN[s]] for s in slices]
+    flags = [F.grouping(c).alias(f"__{c}") for c in cols]
+    counts = pairs.groupingSets(sets, *base, *cols).agg(F.count(F.lit(1)).alias("w"), *flags)
+    name, value = F.lit(ALL), F.lit("")
+    for s in slices:
+        if s != ALL:
+            at = F.col(f"__{_SLICE_COLUMN[s]}") == 0
+            name, value = F.when(at, s).otherwise(name), F.when(at, _slice_value(s)).otherwise(value)
+    keyed = counts.select("mode", *g, name.alias("slice"), value.alias("slice_value"), "true_type", "pred_type", "w") \
+                  .where((F.col("slice") == ALL) | (F.col("true_type") != F.lit(MISSING)))
+    t, p, w, none = F.col("true_type"), F.col("pred_type"), F.col("w"), F.lit(0).cast("bigint")
     sides = F.array(
-        F.struct(t.alias("label"), F.lit(1).alias("s"), F.lit(0).alias("q"), hit.alias("tp")),
-        F.struct(p.alias("label"), F.lit(0).alias("s"), F.lit(1).alias("q"), F.lit(0).alias("tp")))
-    keyed = pairs.select("mode", *g, F.explode(_slice_entries(tuple(slices))).alias("k"), F.inline(sides))
-    return (keyed.groupBy("mode", *g, F.col("k.slice").alias("slice"), F.col("k.slice_value").alias("slice_value"),
-                          "label")
-                 .agg(F.sum("s").cast("bigint").alias("support"),
-                      F.sum("q").cast("bigint").alias("predicted"),
-                      F.sum("tp").cast("bigint").alias("tp")))
+        F.struct(t.alias("label"), w.alias("s"), none.alias("q"), F.when(t == p, w).otherwise(none).alias("tp")),
+        F.struct(p.alias("label"), none.alias("s"), w.alias("q"), none.alias("tp")))
+    return (keyed.select("mode", *g, "slice", "slice_value", F.inline(sides))
+                 .groupBy("mode", *g, "slice", "slice_value", "label")
+                 .agg(F.sum("s").alias("support"), F.sum("q").alias("predicted"), F.sum("tp").alias("tp")))
 
 
 def _metrics(tp: Column, pred: Column, sup: Column) -> list[Column]:
