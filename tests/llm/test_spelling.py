@@ -58,7 +58,7 @@ def words():
     """Words of a few letters, so that many are near each other, with chains of
     forms, ties, long words, repeated letters and letters beyond ASCII."""
     rng = random.Random(11)
-    out = {"".join(rng.choices("abé", k=rng.randint(6, 9))): rng.choice([5, 5, 30, 200, 1000]) for _ in range(900)}
+    out = {"".join(rng.choices("abé", k=rng.randint(6, 9))): rng.choice([5, 5, 30, 200, 1000]) for _ in range(500)}
     long = "ab" * 900
     out |= {long: 5, long[:1000] + "ÿ" + long[1000:]: 25, long[:-1]: 6, "x" + long: 7, "aaaaaa": 9, "aaaaaaa": 46, "aaaaaaaa": 300}
     out |= {w: 5 for w in ("colour", "color.", "çolour", "ccolour", "olourr")}
