@@ -32,7 +32,7 @@ def _want(records):
     return tuple(sorted(x, key=str) for x in (headers, cells, types))
 
 
-@pytest.mark.parametrize("cut", ['], ["', ']], ["', "never", ']],["', ']], ['])
+@pytest.mark.parametrize("cut", ['], ["', "never", ']],["', ']], ['])
 def test_forms(spark, tmp_path, cut):
     records = [_records(60, 1), _records(1, 2), [], _records(25, 3)]
     every = [r for rs in records for r in rs]
