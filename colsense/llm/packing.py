@@ -37,7 +37,7 @@ TOKENIZER = "word_bpe_49k.json"
 #: Groups in which the pieces of one length are numbered, so that no length is numbered in one task.
 RANK_GROUPS = 1024
 #: Text that is tokenised at once (or one longer document), and bytes of a worker's remembered chunks.
-SLICE_BYTES, KEPT_BYTES = 16 << 20, 96 << 20
+SLICE_BYTES, KEPT_BYTES = 12 << 20, 96 << 20
 _ENTRY = 200  # of a dict's entry with its two objects
 
 _BLANKS = np.arange(256, dtype=np.uint8)
@@ -126,7 +126,7 @@ class ChunkIds(dict):
         texts = pa.concat_arrays([texts.cast(pa.large_string())]).fill_null("")
         _, offsets, data = texts.buffers()
         data = _BLANKS[np.frombuffer(data or b"", np.uint8)]
-        chunks = pc.split_pattern(pa.LargeStringArray.from_buffers(len(texts), offsets, pa.py_buffer(data)), " ")
+        chunks = pc.split_pattern(pa.LargeStringArray.from_buffers(len(texts), offsets, pa.py_buffer(data), offset=texts.offset), " ")
         coded = chunks.flatten().dictionary_encode()
         at = np.asarray(coded.indices)
         known = self.look_up(coded.dictionary.to_pylist(), np.bincount(at, minlength=len(coded.dictionary)))
@@ -136,10 +136,16 @@ class ChunkIds(dict):
         n = length[at]
         ends = np.concatenate([[0], np.cumsum(n)])
         per_text = ends[np.asarray(chunks.offsets)]  # ids before each text
-        source = np.repeat(begin[at] - ends[:-1], n) + np.arange(ends[-1])
         starts = per_text + np.arange(len(per_text))  # an end id after each text before
         out = np.full(starts[-1], END_ID, "<u4")
-        out[np.arange(ends[-1]) + np.repeat(np.arange(len(texts)), np.diff(per_text))] = ids[source]
+        small = np.int32 if starts[-1] < 1 << 31 else np.int64
+        order = np.arange(ends[-1], dtype=small)
+        source = np.repeat((begin[at] - ends[:-1]).astype(small), n)
+        source += order
+        found = ids[source]
+        del source, at, n
+        order += np.repeat(np.arange(len(texts), dtype=small), np.diff(per_text))
+        out[order] = found
         return out, starts
 
 
