@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import ALNUM, U64, column_words, shingles, table, text_hashes
+from .common import ALNUM, U64, column_words, lean, shingles, table, text_hashes
 
 WINDOW = 13
 SHINGLE = 3
@@ -165,7 +165,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
         keys = {k: np.concatenate([shingles(words_hash(w), k) for w in windows if min(shingle, len(w)) == k])
                 for k in {min(shingle, len(w)) for w in windows}}
         prefixes = _prefixes(windows, _shingle_counts(src.select("doc_id", "text"), keys), shingle) if keys else {}
-        out = out.mapInArrow(_matcher(spark.sparkContext.broadcast(prefixes), names), schema)
+        out = out.mapInArrow(lean(_matcher(spark.sparkContext.broadcast(prefixes), names)), schema)
     return out
 
 

@@ -37,7 +37,7 @@ TOKENIZER = "word_bpe_49k.json"
 #: Groups in which the pieces of one length are numbered, so that no length is numbered in one task.
 RANK_GROUPS = 1024
 #: Text that is tokenised at once (or one longer document), and bytes of a worker's remembered chunks.
-SLICE_BYTES, KEPT_BYTES = 12 << 20, 96 << 20
+SLICE_BYTES, KEPT_BYTES = 8 << 20, 48 << 20
 _ENTRY = 200  # of a dict's entry with its two objects
 
 _BLANKS = np.arange(256, dtype=np.uint8)

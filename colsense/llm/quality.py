@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANKS, column_bytes, crc_mod, drawn_contents, hash_words, table
+from .common import BLANKS, column_bytes, crc_mod, drawn_contents, hash_words, lean, table
 
 POSITIVES, UNLABELLED = 3000, 6000
 HELD_OUT_MOD, HELD_OUT = 3, 1
@@ -144,7 +144,7 @@ def score(docs: DataFrame, model: dict, keep: list[str], names: tuple[str, str]
 
     src = docs.select(*keep, F.col("text").cast("string").alias("_q_text"))
     types = {f.name: f.dataType.simpleString() for f in src.schema}
-    return src.mapInArrow(run, ", ".join([*(f"`{k}` {types[k]}" for k in keep), f"`{names[0]}` double, `{names[1]}` int"]))
+    return src.mapInArrow(lean(run), ", ".join([*(f"`{k}` {types[k]}" for k in keep), f"`{names[0]}` double, `{names[1]}` int"]))
 
 
 def trained_on(docs: DataFrame, labels: DataFrame) -> dict:
