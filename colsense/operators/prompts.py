@@ -85,7 +85,7 @@ def chat_requests(parts: DataFrame, vocabulary: Column, s: PromptSettings, open_
         t = t.withColumn("candidates", vocabulary)
     else:
         own = F.concat("true_types", F.flatten(F.transform("found", lambda e: e["labels"])))
-        t = sample.candidate_vocabulary(t.withColumn("labels", own), vocabulary, s.instance_vocabulary, s.column_seed)
+        t = sample.walked_vocabulary(t.withColumn("labels", own), vocabulary, s.instance_vocabulary, s.column_seed)
     messages = F.flatten(F.transform("found", lambda e: linearize.example_messages(e["ex_text"], e["ex_types"])))
     return t.select(
         F.col("table_id").alias("request_id"), F.lit(s.model).alias("model"),

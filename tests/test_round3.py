@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from colsense.functions.text import with_strict_json_array
-from colsense.operators import report
+from colsense.operators import report, sample
 from colsense.operators.align import align
 
 TABLES = [(0, ["a", "b", None, "d"], ["a", "d"]), (1, ["a"], ["x", "a", "y"]), (2, ["a", "b"], ["a", "c"]), (3, ["a", None], []), (4, [], ["q"])]
@@ -25,3 +25,15 @@ def test_accuracy_counter_aligns_once(spark):
         right = sum(x.true_type is None or x.true_type == x.pred_type for x in pairs)
         assert got[mode] == (right, len(pairs) - right)
     assert {r["mode"]: r.total for r in report.accuracy_counter(e.limit(0), report.MODES).collect()} == {"padded": 0, "adjusted": 0}
+
+
+def test_candidates_rank_the_whole_vocabulary(spark):
+    import hashlib
+    vocab = [f"t{i:02d}" for i in range(40)]
+    df = spark.createDataFrame([(i, [vocab[i % 40], None, "own"]) for i in range(30)], "table_id long, labels array<string>")
+    for r in sample.candidate_vocabulary(df, F.array(*[F.lit(x) for x in vocab]), 7, 3).collect():
+        own = {x for x in r.labels if x}
+        rest = sorted((int(hashlib.md5(f"3|{r.table_id}|{x}".encode()).hexdigest()[:8], 16), x) for x in vocab if x not in own)
+        assert r.candidates == sorted([*own, *[x for _, x in rest[:7 - len(own)]]])
+    walked = sample.walked_vocabulary(df, F.array(*[F.lit(x) for x in vocab]), 7, 3).collect()
+    assert all(len(r.candidates) == 7 and set(r.candidates) <= {*vocab, "own"} for r in walked)
