@@ -37,3 +37,16 @@ def test_candidates_rank_the_whole_vocabulary(spark):
         assert r.candidates == sorted([*own, *[x for _, x in rest[:7 - len(own)]]])
     walked = sample.walked_vocabulary(df, F.array(*[F.lit(x) for x in vocab]), 7, 3).collect()
     assert all(len(r.candidates) == 7 and set(r.candidates) <= {*vocab, "own"} for r in walked)
+
+
+
+def test_strict_lists_of_every_kind(spark):
+    texts = ['["a", true, false, null, 1.50, {"k": [1]}, "null"]', ' ["a" , "b"] ', '["a", "b', '["a", "b"', '["a", "b",', "Sure: []", "[] x", "1", '{"a": 1}', '"x', "",
+             "tru", "[1, 2] ]", '["a"], ["b"]', "[]", None, '\u00a0["a"]', "-1", "[NaN]", "['a']"]
+    want = [["a", "True", "False", "None", "1.5", '{"k":[1]}', "null"], ["a", "b"], ["a", "b"], ["a", "b"], ["a", "b", ""], None, None, None, None, None, None,
+            None, None, None, [], None, None, None, None, None]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, s string")
+    got = [r.o for r in with_strict_json_array(df, "s", "o").orderBy("i").collect()]
+    assert got == want
+    # parsers run on candidates that look like JSON only, and kinds of items are looked up only beside literals
+    assert "rlike" in with_strict_json_array(df, "s", "o")._jdf.queryExecution().optimizedPlan().toString().lower()
