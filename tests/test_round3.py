@@ -39,6 +39,13 @@ def test_candidates_rank_the_whole_vocabulary(spark):
     assert all(len(r.candidates) == 7 and set(r.candidates) <= {*vocab, "own"} for r in walked)
 
 
+def test_histogram_evaluates_once(spark):
+    d = spark.createDataFrame([(x,) for x in (-3, 0, 0, 2, None)], "deviation int")
+    h = report.deviation_histogram(d)
+    assert sorted(map(tuple, h.collect())) == [(-3, 1), (-2, 0), (-1, 0), (0, 2), (1, 0), (2, 1)]
+    assert h._jdf.queryExecution().optimizedPlan().toString().count("Aggregate") == 1
+    assert report.deviation_histogram(d.limit(0)).collect() == []
+
 
 def test_strict_lists_of_every_kind(spark):
     texts = ['["a", true, false, null, 1.50, {"k": [1]}, "null"]', ' ["a" , "b"] ', '["a", "b', '["a", "b"', '["a", "b",', "Sure: []", "[] x", "1", '{"a": 1}', '"x', "",
