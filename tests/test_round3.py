@@ -57,3 +57,18 @@ def test_strict_lists_of_every_kind(spark):
     assert got == want
     # parsers run on candidates that look like JSON only, and kinds of items are looked up only beside literals
     assert "rlike" in with_strict_json_array(df, "s", "o")._jdf.queryExecution().optimizedPlan().toString().lower()
+
+
+def test_stage_report_is_made_once(spark, monkeypatch):
+    from colsense.plans import catalog
+    rows = [(f"corpus_{k % 2}", f"e{k}", m, float(k)) for k in range(4) for m in report.MODES]
+    made = spark.sparkContext.accumulator(0)
+
+    def counted(x):
+        made.add(1)
+        return x
+
+    rep = spark.createDataFrame(rows, "dataset string, exp_name string, mode string, f1 double").withColumn("f1", F.udf(counted, "double").asNondeterministic()("f1"))
+    monkeypatch.setattr(catalog.ev, "experiment_report", lambda *a, **k: rep)
+    got = sorted(map(tuple, catalog.q_overwrite_stage_output(spark, "").collect()))
+    assert got == [("corpus_0", "adjusted", 2), ("corpus_1", "adjusted", 2), ("corpus_1", "padded", 2)] and made.value == len(rows)
