@@ -11,7 +11,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from colsense.functions.numeric import is_na_token
@@ -100,49 +100,65 @@ def _array_records(spark: SparkSession, root: str, cut: str) -> DataFrame:
     """``(value)``: texts of one or more items each of the JSON arrays that the
     files hold, one array a file, split without parsing a file as a whole.
 
-    Files are read in pieces that end at ``cut`` (close + blank or comma + open).
-    Prefix sums over all pieces tell whether a piece starts inside a string (odd
-    number of quotes before) and how deep its end lies; where a cut lies between
-    two items, one text ends.  Only the light columns are ordered, and what
-    isn't cut stays together, so a cut that never fits costs memory, not results.
+    Files are read in pieces that end at ``cut`` (close + blank or comma + open),
+    and each block of a file (one split of the read) sums its pieces' quotes and
+    brackets once, for both cases: that it starts outside a string, or inside.
+    What the blocks before hold (one row a block) tells which case it is, thus
+    for every piece whether it starts behind an item and ends with one; most do
+    both and are texts as they stand.  Others are joined with their neighbours,
+    so a cut that never fits costs memory, not results.
     """
     m = re.fullmatch(r"([\]}]+)([\s,]+)([\[{]\"?)", cut)
     if not m:
         raise ValueError("cut must be closing brackets, a comma and an opening bracket")
     close, between, opening = m.groups()
-    path = F.col("_metadata.file_path").alias("path")
-    pieces = staged(spark.read.option("recursiveFileLookup", "true").option("lineSep", cut).text(root).select(
-        path, F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("id"), "value"), "pieces")
-    key = ["path", "start", "id"]
-    ends = pieces.groupBy("path").agg(F.min(F.struct("start", "id")).alias("head"), F.max(F.struct("start", "id")).alias("tail"))
-    ends = ends.select(F.col("path").alias("file"), "head", "tail")
-    here = F.struct("start", "id")
-    t = pieces.join(ends, pieces["path"] == ends["file"]).select(*key, "value", (here == F.col("head")).alias("first"), (here == F.col("tail")).alias("last"))
-    bare = F.regexp_replace(F.concat("value", F.when(F.col("last"), "").otherwise(cut)), r"\\.", "")  # without escaped characters
-    count = lambda c, x: F.length(c) - F.length(F.replace(c, F.lit(x), F.lit("")))
-
-    def depth(text: Column) -> Column:
-        brackets = F.regexp_replace(F.regexp_replace(text, '"[^"]*+"', ""), '"[^"]*+$', "")
-        return F.length(F.regexp_replace(brackets, r"[^\[{]", "")) - F.length(F.regexp_replace(brackets, r"[^\]}]", ""))
-
-    light = t.select(*key, "last", count(bare, '"').alias("quotes"), depth(bare).alias("outside"), depth(F.concat(F.lit('"'), bare)).alias("inside"))
-    order = [F.col(c) for c in key]
-    light = sample.prefix_sums(light, order, {"before": F.col("quotes")})
-    within = F.col("before") % 2 == 1
-    light = light.select(*key, "last", F.when(within, F.col("inside")).otherwise(F.col("outside")).alias("step"),
-                         ((F.col("before") + F.col("quotes") - opening.count('"')) % 2 == 1).alias("in_string"))
-    light = sample.prefix_sums(light, order, {"depth": F.col("step")}, inclusive=True)
-    item = (~F.col("last") & ~F.col("in_string") & (F.col("depth") == 2)).alias("item")  # the array's bracket and the next item's
-    light = sample.prefix_sums(light.select(*key, item), order, {"text": F.col("item").cast("int")})
-    # a piece after an item's end begins with the opening bracket of the cut
-    ended = light.select(*key, "item", "text")
-    joined = t.join(ended, key)
-    end = F.when(F.col("last"), "").when(F.col("item"), close).otherwise(cut)
-    texts = joined.groupBy("path", "text").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start", "id", F.concat("value", end).alias("x")))), lambda p: p["x"]), "").alias("x"),
+    block = ["path", "start"]
+    read = spark.read.option("recursiveFileLookup", "true").option("lineSep", cut).text(root).select(
+        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("id"), "value")
+    whole = F.concat("value", F.lit(cut))
+    pieces = read.withColumn("bare", F.when(whole.contains("\\"), F.regexp_replace(whole, r"\\.", "")).otherwise(whole))  # without escaped characters
+    count = lambda c, x: F.octet_length(c) - F.octet_length(F.replace(c, F.lit(x), F.lit("")))
+    depth = lambda c: count(c, "[") + count(c, "{") - count(c, "]") - count(c, "}")
+    pieces = pieces.withColumn("plain", F.regexp_replace("bare", '"[^"]*+(?:"|$)', ""))  # without strings, if it starts outside one
+    pieces = pieces.select(*block, "id", "value", count(F.col("bare"), '"').alias("quotes"), depth(F.col("plain")).alias("outside"), depth(F.col("bare")).alias("all"))
+    w = Window.partitionBy(*block).orderBy("id")
+    earlier, upto = w.rowsBetween(Window.unboundedPreceding, -1), w.rowsBetween(Window.unboundedPreceding, 0)
+    pieces = pieces.select("*", F.coalesce(F.sum("quotes").over(earlier), F.lit(0)).alias("before"),
+                           (F.row_number().over(w) == 1).alias("head"), F.lead("id").over(w).isNull().alias("tail"))
+    within, inside = F.col("before") % 2 == 1, F.col("all") - F.col("outside")
+    pieces = pieces.select(*block, "id", "value", "quotes", "before", "head", "tail", F.when(within, inside).otherwise(F.col("outside")).alias("step0"),
+                           F.when(within, F.col("outside")).otherwise(inside).alias("step1"))
+    pieces = staged(pieces.select("*", *[F.sum(f"step{k}").over(upto).alias(f"depth{k}") for k in (0, 1)]), "pieces")
+    wb = Window.partitionBy("path").orderBy("start")
+    before = wb.rowsBetween(Window.unboundedPreceding, -1)
+    blocks = pieces.groupBy(*block).agg(F.sum("quotes").alias("q"), F.sum("step0").alias("t0"), F.sum("step1").alias("t1"))
+    blocks = blocks.select(*block, (F.coalesce(F.sum("q").over(before), F.lit(0)) % 2).alias("odd"), "t0", "t1",
+                           (F.row_number().over(wb) == 1).alias("file_head"), F.lead("start").over(wb).isNull().alias("file_tail"))
+    case = lambda c: F.when(F.col("odd") == 1, F.col(f"{c}1")).otherwise(F.col(f"{c}0"))
+    blocks = blocks.select(*block, "odd", "file_head", "file_tail", F.coalesce(F.sum(case("t")).over(before), F.lit(0)).alias("above"))
+    t = pieces.join(F.broadcast(blocks), block)
+    # behind an item: outside strings, and only the array's bracket and the next item's are open
+    behind = lambda quotes, deep: ((F.col("odd") + quotes - opening.count('"')) % 2 == 0) & (F.col("above") + deep == 2)
+    first, last = F.col("head") & F.col("file_head"), F.col("tail") & F.col("file_tail")
+    t = t.select(*block, "id", "value", first.alias("first"), last.alias("last"), (first | behind(F.col("before"), case("depth") - case("step"))).alias("begins"),
+                 (~last & behind(F.col("before") + F.col("quotes"), case("depth"))).alias("item"))
+
+    def text(x: Column) -> Column:
+        # a piece after an item's end begins with the opening bracket of the cut
+        x = F.when(F.col("first"), F.regexp_replace(x, r"^\s*\[", "")).otherwise(F.concat(F.lit(opening), x))
+        return F.when(F.col("last"), F.regexp_replace(x, r"\]\s*$", "")).otherwise(x).alias("value")
+
+    x = F.concat("value", F.when(F.col("last"), "").when(F.col("item"), close).otherwise(cut))
+    alone = F.col("begins") & (F.col("item") | F.col("last"))
+    parts = t.where(~alone)
+    if parts.isEmpty():
+        return t.select(text(x))
+    parts = sample.prefix_sums(parts.select(*block, "id", x.alias("x"), "first", "last", F.col("begins").cast("int").alias("begins")),
+                               [F.col(c) for c in (*block, "id")], {"text": F.col("begins")}, inclusive=True)
+    joined = parts.groupBy("path", "text").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start", "id", "x"))), lambda p: p["x"]), "").alias("x"),
         F.bool_or("first").alias("first"), F.bool_or("last").alias("last"))
-    x = F.when(F.col("first"), F.regexp_replace("x", r"^\s*\[", "")).otherwise(F.concat(F.lit(opening), F.col("x")))
-    return texts.select(F.when(F.col("last"), F.regexp_replace(x, r"\]\s*$", "")).otherwise(x).alias("value"))
+    return t.where(alone).select(text(x)).unionByName(joined.select(text(F.col("x"))))
 
 
 @dataclass(frozen=True)

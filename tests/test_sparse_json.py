@@ -52,3 +52,29 @@ def test_forms(spark, tmp_path, cut):
 def test_arrays_are_split(spark, tmp_path):
     (tmp_path / "a.json").write_text(json.dumps(_records(200, 5)))
     assert corpus._array_records(spark, str(tmp_path), ']], ["').count() > 100
+
+
+@pytest.mark.parametrize("size", [150, 400])
+def test_arrays_of_many_blocks(spark, tmp_path, size):
+    """Blocks of a file that begin inside strings and items."""
+    every = [_records(60, 7), _records(40, 8)]
+    for i, rs in enumerate(every):
+        (tmp_path / f"{i}.json").write_text(json.dumps(rs))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    try:
+        for cut in (']], ["', '], ["', "], ["):
+            got = corpus._array_records(spark, str(tmp_path), cut)
+            spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+            records = [r for x in got.collect() for r in json.loads(f"[{x.value}]")]
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            assert sorted(records, key=str) == sorted(every[0] + every[1], key=str)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_items_that_stand_alone_are_not_ordered(spark, tmp_path, monkeypatch):
+    rows = [[f"id{i}", "", "", "", "", ["h"], [[[[0, 0], [1, "x"]]]], [["t"]]] for i in range(50)]
+    (tmp_path / "a.json").write_text(json.dumps(rows))
+    monkeypatch.setattr(corpus.sample, "prefix_sums", None)
+    assert _tables(corpus.scan_sparse_cell_json(spark, str(tmp_path), ']], ["')) == _want(rows)
