@@ -44,7 +44,7 @@ def scan_csv_corpus(spark: SparkSession, root: str, pattern: str = "*.csv", sep:
     Spark's CSV reader cuts the records (line breaks may stand in quotes) into
     its corrupt-record column, because no table has the schema asked for; so
     files of any headers and widths go through one scan, each a stream in one
-    task.  Records are staged; a file's first one is its header.
+    task.  Records are staged, cut into fields; a file's first one is its header.
     """
     # the driver lists the files for any read; scans alone would leave out empty ones
     listed = _reader(spark, pattern).format("binaryFile").load(root).inputFiles()
@@ -53,18 +53,20 @@ def scan_csv_corpus(spark: SparkSession, root: str, pattern: str = "*.csv", sep:
     never = (_reader(spark, pattern).schema("c0 date, record string")
              .options(header=False, multiLine=True, sep=sep, quote='"', escape='"', mode="PERMISSIVE", columnNameOfCorruptRecord="record",
                       dateFormat="'no date'", enableDateTimeParsingFallback=False, maxColumns=1 << 20).csv(root))
-    records = staged(never.select(path, F.monotonically_increasing_id().alias("id"),
-                                  F.coalesce("record", F.col("c0").cast("string")).alias("record")), "csv-records")
-    fields = _fields(F.col("record"), sep)
-    quotes = F.length("record") - F.length(F.replace("record", F.lit('"'), F.lit("")))
-    per_file = records.groupBy("path").agg(
-        F.min("id").alias("first"), F.min_by("record", "id").alias("head"), F.max(F.size(fields)).alias("widest"), F.count(F.lit(1)).alias("n"),
-        F.bool_or((quotes % 2 == 1) | F.col("record").contains("\ufffd")).alias("broken"))
-    tables = (files.join(per_file, "path", "left").withColumn("headers", _fields(F.col("head"), sep))
-              .select("path", "first", "headers", (F.col("n") == 1).alias("bare"),
-                      F.coalesce((F.col("widest") > F.size("headers")) | F.col("broken"), F.lit(True)).alias("parse_error")))
+    record = F.coalesce("record", F.col("c0").cast("string"))
+    quotes = F.length(record) - F.length(F.replace(record, F.lit('"'), F.lit("")))
+    records = staged(never.select(path, F.monotonically_increasing_id().alias("id"), _fields(record, sep).alias("fields"),
+                                  ((quotes % 2 == 1) | record.contains("\ufffd")).alias("broken")), "csv-records")
+    # only values of fixed width are aggregated (a text among them would take a sort of all
+    # records), and what is known of a file is staged, so that its size chooses the joins
+    per_file = staged(records.groupBy("path").agg(
+        F.min("id").alias("first"), F.max(F.size("fields")).alias("widest"), F.count(F.lit(1)).alias("n"), F.bool_or("broken").alias("broken")), "csv-files")
+    heads = records.join(per_file.select("path", F.col("first").alias("id")), ["path", "id"]).select("path", F.col("fields").alias("headers"))
+    tables = staged(files.join(per_file, "path", "left").join(heads, "path", "left")
+                    .select("path", "first", "headers", (F.col("n") == 1).alias("bare"),
+                            F.coalesce((F.col("widest") > F.size("headers")) | F.col("broken"), F.lit(True)).alias("parse_error")), "csv-tables")
     rows = (records.join(tables.where("NOT parse_error"), "path").where(F.col("id") > F.col("first"))
-            .select("path", (F.col("id") - F.col("first") - 1).cast("int").alias("row_idx"), "headers", fields.alias("fields"), "parse_error"))
+            .select("path", (F.col("id") - F.col("first") - 1).cast("int").alias("row_idx"), "headers", "fields", "parse_error"))
     values = F.transform("headers", lambda _, i: F.when(~is_na_token(F.get(F.col("fields"), i)), F.get(F.col("fields"), i)))
     rows = rows.select("path", "row_idx", "headers", values.alias("cells"), "parse_error")
     others = tables.where("parse_error OR bare").select(
