@@ -200,17 +200,30 @@ def scan_sparse_cell_json(spark: SparkSession, root: str, cut: str | None = None
 
 def densify_sparse_cells(cells: DataFrame, block: int = 1 << 16) -> DataFrame:
     """Coordinate cells to full columns up to the table's largest row index; gaps
-    are null.  The grid has two levels, blocks of rows and rows of a block: blocks
-    are dealt to tasks before they are filled, so neither an array nor a task
-    grows with a table."""
-    n = cells.groupBy("table_id").agg((F.max("row_idx") + 1).cast("bigint").alias("n_rows"))
-    cols = cells.select("table_id", "col_idx").distinct().join(n, "table_id")
-    last = F.floor((F.col("n_rows") - 1) / block)
-    blocks = cols.select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), last)).alias("block")).repartition("table_id", "col_idx", "block")
+    are null.  A column's cells meet in blocks of ``block`` rows, where the rows
+    without one are added, so no array grows with a table and the grid isn't
+    built beside the cells.  Blocks without any cell are looked for in tables of
+    several blocks only (their number of rows is staged)."""
+    n = staged(cells.where("table_id IS NOT NULL").groupBy("table_id").agg((F.max("row_idx") + 1).cast("bigint").alias("n_rows"))
+               .where("n_rows > 0"), "row-counts")
+    # a cell without a place still names its column
+    placed = F.col("col_idx").isNotNull() & (F.col("row_idx") >= 0)
+    at = F.when(placed, F.floor(F.col("row_idx") / block)).otherwise(F.lit(0)).cast("bigint")
+    blocks = (cells.where("table_id IS NOT NULL").groupBy("table_id", "col_idx", at.alias("block"))
+              .agg(F.collect_list(F.when(placed, F.struct("row_idx", "text"))).alias("present")).join(n, "table_id"))
+    many = n.where(F.col("n_rows") > block)
+    if not many.isEmpty():
+        found = cells.join(many.select("table_id"), "table_id", "left_semi").select("table_id", "col_idx", at.alias("block")).distinct()
+        grid = (found.select("table_id", "col_idx").distinct().join(many, "table_id")
+                .withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("n_rows") - 1) / block)))))
+        same = [F.col(f"g.{c}").eqNullSafe(F.col(f"f.{c}")) for c in ("table_id", "col_idx", "block")]
+        empty = grid.alias("g").join(found.alias("f"), same, "left_anti").repartition("table_id", "col_idx", "block")
+        blocks = blocks.unionByName(empty.withColumn("present", F.array().cast(blocks.schema["present"].dataType)))
     start = F.col("block") * block
-    rows = F.sequence(start, F.least(start + block, F.col("n_rows")) - 1)
-    grid = blocks.select("table_id", "col_idx", F.explode(rows.cast("array<int>")).alias("row_idx"))
-    return grid.join(cells, ["table_id", "col_idx", "row_idx"], "left").select("table_id", "col_idx", "row_idx", "text")
+    rows = F.sequence(start.cast("int"), (F.least(start + block, F.col("n_rows")) - 1).cast("int"))
+    missing = F.transform(F.array_except(rows, F.col("present.row_idx")), lambda r: F.struct(r.alias("row_idx"), F.lit(None).cast("string").alias("text")))
+    filled = blocks.select("table_id", "col_idx", F.explode_outer(F.concat("present", missing)).alias("c"))
+    return filled.where(F.col("c").isNotNull()).select("table_id", "col_idx", "c.row_idx", "c.text")
 
 
 def scan_nested_metadata(doc: DataFrame, col: str = "document") -> DataFrame:

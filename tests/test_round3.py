@@ -72,3 +72,63 @@ def test_stage_report_is_made_once(spark, monkeypatch):
     monkeypatch.setattr(catalog.ev, "experiment_report", lambda *a, **k: rep)
     got = sorted(map(tuple, catalog.q_overwrite_stage_output(spark, "").collect()))
     assert got == [("corpus_0", "adjusted", 2), ("corpus_1", "adjusted", 2), ("corpus_1", "padded", 2)] and made.value == len(rows)
+
+
+def test_dense_columns_without_a_grid(spark):
+    from colsense.sources import corpus
+    rows = [(1, 0, 0, "a"), (1, 0, 0, "b"), (1, 0, 5, None), (1, 1, 4, "c"), (1, None, 3, "x"), (1, 2, None, "y"), (1, 3, -2, "z"), (None, 0, 1, "q"), (2, 0, 1, "d"),
+            (3, 0, None, "n")]
+    cells = spark.createDataFrame(rows, "table_id long, col_idx int, row_idx int, text string")
+    want = {}
+    for t in {r[0] for r in rows} - {None}:
+        last = max((r[2] for r in rows if r[0] == t and r[2] is not None), default=-1)
+        for c in {r[1] for r in rows if r[0] == t}:
+            for i in range(last + 1):
+                here = [r[3] for r in rows if r[:3] == (t, c, i) and c is not None] or [None]
+                for x in here:
+                    want[t, c, i, x] = want.get((t, c, i, x), 0) + 1
+    for block in (1, 2, 4, 1 << 16):
+        out = corpus.densify_sparse_cells(cells, block)
+        got = {}
+        for r in out.collect():
+            got[tuple(r)] = got.get(tuple(r), 0) + 1
+        assert got == want, block
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 1 and "size(concat" not in plan  # only the row counts join; no array is made twice
+
+
+def test_cells_are_made_once(spark):
+    from colsense.sources import fixtures as fx
+    rows = spark.range(3).select(F.col("id").alias("table_id"), F.lit(0).alias("row_idx"),
+                                 F.when(F.col("id") < 2, F.array(F.upper(F.col("id").cast("string")), F.lit(None))).alias("cells"))
+    cells = fx.sparse_cells(rows)
+    assert sorted(map(tuple, cells.collect())) == [(0, 0, 0, "0"), (1, 0, 0, "1")]
+    assert cells._jdf.queryExecution().optimizedPlan().toString().count("upper(") == 1
+
+
+def test_json_of_line_breaks_is_not_cut_into_characters(spark):
+    import json
+    import re
+
+    from colsense.functions import text
+    texts = ["a,b\nc\td\r\n", 'say "x"\\n\n', "\\", "ünï\n語 \U0001f600", "\x00\b\f", "", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, s string")
+    assert [r[0] for r in df.orderBy("i").select(text.json_string(F.col("s"))).collect()] == [json.dumps(t) for t in texts]
+    assert not re.search(text._NOT_SIMPLE, texts[0] + texts[1])
+
+
+def test_csv_scan_sorts_no_records_to_aggregate(spark, tmp_path, monkeypatch):
+    from colsense.sources import corpus
+    for i in range(3):
+        (tmp_path / f"{i}.csv").write_text("a,b\n" + "1,x\n" * i)
+    plans = []
+
+    def recorded(df, name):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return real(df, name)
+
+    real = corpus.staged
+    monkeypatch.setattr(corpus, "staged", recorded)
+    rows = corpus.scan_csv_corpus(spark, str(tmp_path))
+    assert rows.count() == 4
+    assert not any("SortAggregate" in p for p in [*plans, rows._jdf.queryExecution().executedPlan().toString()])
