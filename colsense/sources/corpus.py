@@ -9,6 +9,7 @@ task, and no file is held whole.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -98,17 +99,98 @@ def scan_jsonl_gz_corpus(spark: SparkSession, root: str, schema: str) -> DataFra
     return lines.select("path", F.from_json("value", schema).alias("r")).select("path", "r.*")
 
 
-def _array_records(spark: SparkSession, root: str, cut: str) -> DataFrame:
+def _block_walk(cut: str, totals: bool):
+    """A function for mapInArrow that walks the pieces of each block (``path``,
+    ``start``) in the order read and counts quotes and the depth of brackets
+    outside strings; a piece counts with ``cut`` behind it, escaped characters
+    don't count.
+
+    ``totals``: a row a block with its number of pieces and quotes and the steps
+    of depth for both cases, that it starts outside a string or inside.  Else
+    each piece comes with its number ``id`` and whether outside strings, with
+    only the brackets of an array and an item open, it ``begins`` or ends
+    (``item``); the block's case (``odd``) and depth (``above``) are given.
+    """
+    opened = cut.count('"')
+
+    def walk(batches):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        depth_of = np.zeros(256, np.int8)
+        depth_of[[ord("["), ord("{")]], depth_of[[ord("]"), ord("}")]] = 1, -1
+
+        def counted(values):
+            """Of each piece: quotes, the parity of the quotes before it, its steps where that parity is even, and all."""
+            whole = pc.binary_join_element_wise(values.cast(pa.large_string()), pa.scalar(cut, pa.large_string()), pa.scalar("", pa.large_string()))
+            ends = np.frombuffer(whole.buffers()[1], np.int64)[whole.offset:whole.offset + len(whole) + 1]
+            data, at = np.frombuffer(whole.buffers()[2], np.uint8)[ends[0]:ends[-1]], ends - ends[0]
+            quote, step = (data == ord('"')).view(np.uint8), depth_of[data]
+            slashes = np.flatnonzero(data == ord("\\"))
+            if len(slashes):  # the character after an odd number of them is escaped
+                runs = np.flatnonzero(np.diff(slashes, prepend=-2) != 1)
+                length = np.diff(runs, append=len(slashes))
+                escaped = (slashes[runs] + length)[length % 2 == 1]
+                quote[escaped] = step[escaped] = 0
+            odd = np.cumsum(quote, dtype=np.uint8) & 1
+            each = lambda x: np.add.reduceat(x, at[:-1], dtype=np.int64)
+            return each(quote), np.append(np.zeros(1, np.uint8), odd[at[1:-1] - 1]), each(step * (1 - odd).view(np.int8)), each(step)
+
+        block, n, quotes, depth, other = None, 0, 0, 0, 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            path, start = batch.column("path"), batch.column("start").to_numpy()
+            code = path.dictionary_encode().indices.to_numpy()
+            runs = np.append(np.flatnonzero(np.append(True, (np.diff(start) != 0) | (np.diff(code) != 0))), len(start))
+            q, parity, even, every = counted(batch.column("value"))
+            done, flags = [], []
+            for a, b in zip(runs[:-1].tolist(), runs[1:].tolist()):
+                now = (path[a].as_py(), int(start[a]))
+                if now != block:
+                    if totals and block:
+                        done.append((*block, n, quotes, depth, other))
+                    block, n, quotes, depth, other = now, 0, 0, 0, 0
+                    if not totals:
+                        quotes, depth = batch.column("odd")[a].as_py(), batch.column("above")[a].as_py()
+                outside, inside = even[a:b], every[a:b] - even[a:b]
+                if (quotes + int(parity[a])) % 2:
+                    outside, inside = inside, outside
+                if totals:
+                    other += int(inside.sum())
+                else:
+                    odd, deep = quotes + np.cumsum(q[a:b]), depth + np.cumsum(outside)
+                    behind = lambda x, y: ((x - opened) % 2 == 0) & (y == 2)
+                    flags.append((n + np.arange(b - a), behind(odd - q[a:b], deep - outside), behind(odd, deep)))
+                n, quotes, depth = n + b - a, quotes + int(q[a:b].sum()), depth + int(outside.sum())
+            if totals:
+                if done:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*done), (pa.string(), *[pa.int64()] * 5))], ["path", "start", "n", "q", "t0", "t1"])
+            else:
+                added = [pa.array(np.concatenate(x)) for x in zip(*flags)]
+                yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("path", "start", "value", "n", "file_head", "file_tail")], *added],
+                                                 ["path", "start", "value", "n", "file_head", "file_tail", "id", "begins", "item"])
+        if totals and block:
+            yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((*block, n, quotes, depth, other), (pa.string(), *[pa.int64()] * 5))], ["path", "start", "n", "q", "t0", "t1"])
+
+    return walk
+
+
+def _array_records(spark: SparkSession, root: str, cut: str, parse: Callable[[DataFrame], DataFrame] = lambda texts: texts) -> DataFrame:
     """``(value)``: texts of one or more items each of the JSON arrays that the
-    files hold, one array a file, split without parsing a file as a whole.
-
-    Files are read in pieces that end at ``cut`` (close + blank or comma + open),
-    and each block of a file (one split of the read) sums its pieces' quotes and
-    brackets once, for both cases: that it starts outside a string, or inside.
-    What the blocks before hold (one row a block) tells which case it is, thus
-    for every piece whether it starts behind an item and ends with one; most do
-    both and are texts as they stand.  Others are joined with their neighbours,
-    so a cut that never fits costs memory, not results.
+    files hold, one array a file, split without parsing a file as a whole; with
+    ``parse``, what it makes of them, staged (``part`` must stay, null values too).
+
+    Files are read in pieces that end at ``cut`` (close + blank or comma + open).
+    Quotes and brackets are summed in the order read, by block of a file (one
+    split of the read), so no text is shuffled or sorted: a first read sums each
+    block for both cases, that it starts outside a string or inside; what the
+    blocks before hold (one row a block) tells which case it is, and a second
+    read tells of every piece whether it starts behind an item and ends with
+    one.  Most do both and are texts as they stand, so that only what they are
+    parsed to is staged.  Others are joined with their neighbours, so a cut that
+    never fits costs memory, not results.
     """
     m = re.fullmatch(r"([\]}]+)([\s,]+)([\[{]\"?)", cut)
     if not m:
@@ -116,34 +198,18 @@ def _array_records(spark: SparkSession, root: str, cut: str) -> DataFrame:
     close, between, opening = m.groups()
     block = ["path", "start"]
     read = spark.read.option("recursiveFileLookup", "true").option("lineSep", cut).text(root).select(
-        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("id"), "value")
-    whole = F.concat("value", F.lit(cut))
-    pieces = read.withColumn("bare", F.when(whole.contains("\\"), F.regexp_replace(whole, r"\\.", "")).otherwise(whole))  # without escaped characters
-    count = lambda c, x: F.octet_length(c) - F.octet_length(F.replace(c, F.lit(x), F.lit("")))
-    depth = lambda c: count(c, "[") + count(c, "{") - count(c, "]") - count(c, "}")
-    pieces = pieces.withColumn("plain", F.regexp_replace("bare", '"[^"]*+(?:"|$)', ""))  # without strings, if it starts outside one
-    pieces = pieces.select(*block, "id", "value", count(F.col("bare"), '"').alias("quotes"), depth(F.col("plain")).alias("outside"), depth(F.col("bare")).alias("all"))
-    w = Window.partitionBy(*block).orderBy("id")
-    earlier, upto = w.rowsBetween(Window.unboundedPreceding, -1), w.rowsBetween(Window.unboundedPreceding, 0)
-    pieces = pieces.select("*", F.coalesce(F.sum("quotes").over(earlier), F.lit(0)).alias("before"),
-                           (F.row_number().over(w) == 1).alias("head"), F.lead("id").over(w).isNull().alias("tail"))
-    within, inside = F.col("before") % 2 == 1, F.col("all") - F.col("outside")
-    pieces = pieces.select(*block, "id", "value", "quotes", "before", "head", "tail", F.when(within, inside).otherwise(F.col("outside")).alias("step0"),
-                           F.when(within, F.col("outside")).otherwise(inside).alias("step1"))
-    pieces = staged(pieces.select("*", *[F.sum(f"step{k}").over(upto).alias(f"depth{k}") for k in (0, 1)]), "pieces")
-    wb = Window.partitionBy("path").orderBy("start")
-    before = wb.rowsBetween(Window.unboundedPreceding, -1)
-    blocks = pieces.groupBy(*block).agg(F.sum("quotes").alias("q"), F.sum("step0").alias("t0"), F.sum("step1").alias("t1"))
-    blocks = blocks.select(*block, (F.coalesce(F.sum("q").over(before), F.lit(0)) % 2).alias("odd"), "t0", "t1",
-                           (F.row_number().over(wb) == 1).alias("file_head"), F.lead("start").over(wb).isNull().alias("file_tail"))
-    case = lambda c: F.when(F.col("odd") == 1, F.col(f"{c}1")).otherwise(F.col(f"{c}0"))
-    blocks = blocks.select(*block, "odd", "file_head", "file_tail", F.coalesce(F.sum(case("t")).over(before), F.lit(0)).alias("above"))
-    t = pieces.join(F.broadcast(blocks), block)
-    # behind an item: outside strings, and only the array's bracket and the next item's are open
-    behind = lambda quotes, deep: ((F.col("odd") + quotes - opening.count('"')) % 2 == 0) & (F.col("above") + deep == 2)
-    first, last = F.col("head") & F.col("file_head"), F.col("tail") & F.col("file_tail")
-    t = t.select(*block, "id", "value", first.alias("first"), last.alias("last"), (first | behind(F.col("before"), case("depth") - case("step"))).alias("begins"),
-                 (~last & behind(F.col("before") + F.col("quotes"), case("depth"))).alias("item"))
+        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"), "value")
+    w = Window.partitionBy("path").orderBy("start")
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    blocks = read.mapInArrow(_block_walk(cut, True), "path string, start bigint, n bigint, q bigint, t0 bigint, t1 bigint")
+    blocks = blocks.select(*block, "n", (F.coalesce(F.sum("q").over(before), F.lit(0)) % 2).alias("odd"), "t0", "t1",
+                           (F.row_number().over(w) == 1).alias("file_head"), F.lead("start").over(w).isNull().alias("file_tail"))
+    step = F.when(F.col("odd") == 1, F.col("t1")).otherwise(F.col("t0"))
+    blocks = blocks.select(*block, "n", "odd", "file_head", "file_tail", F.coalesce(F.sum(step).over(before), F.lit(0)).alias("above"))
+    walked = read.join(F.broadcast(blocks), block).mapInArrow(
+        _block_walk(cut, False), "path string, start bigint, value string, n bigint, file_head boolean, file_tail boolean, id bigint, begins boolean, item boolean")
+    first, last = F.col("file_head") & (F.col("id") == 0), F.col("file_tail") & (F.col("id") == F.col("n") - 1)
+    t = walked.select(*block, "id", "value", first.alias("first"), last.alias("last"), (first | F.col("begins")).alias("begins"), (~last & F.col("item")).alias("item"))
 
     def text(x: Column) -> Column:
         # a piece after an item's end begins with the opening bracket of the cut
@@ -152,15 +218,17 @@ def _array_records(spark: SparkSession, root: str, cut: str) -> DataFrame:
 
     x = F.concat("value", F.when(F.col("last"), "").when(F.col("item"), close).otherwise(cut))
     alone = F.col("begins") & (F.col("item") | F.col("last"))
-    parts = t.where(~alone)
+    part = F.struct(*block, "id", x.alias("x"), "first", "last", F.col("begins").cast("int").alias("begins"))
+    done = staged(parse(t.select(F.when(alone, text(x)).alias("value"), F.when(~alone, part).alias("part"))), "records", "zstd")
+    texts, parts = done.where("part IS NULL").drop("part"), done.where("part IS NOT NULL").select("part.*")
     if parts.isEmpty():
-        return t.select(text(x))
-    parts = sample.prefix_sums(parts.select(*block, "id", x.alias("x"), "first", "last", F.col("begins").cast("int").alias("begins")),
-                               [F.col(c) for c in (*block, "id")], {"text": F.col("begins")}, inclusive=True)
+        return texts
+    parts = sample.prefix_sums(parts, [F.col(c) for c in (*block, "id")], {"text": F.col("begins")}, inclusive=True)
     joined = parts.groupBy("path", "text").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start", "id", "x"))), lambda p: p["x"]), "").alias("x"),
         F.bool_or("first").alias("first"), F.bool_or("last").alias("last"))
-    return t.where(alone).select(text(x)).unionByName(joined.select(text(F.col("x"))))
+    joined = joined.select(text(F.col("x")), F.lit(None).cast(done.schema["part"].dataType).alias("part"))
+    return texts.unionByName(staged(parse(joined), "joined", "zstd").drop("part"))
 
 
 @dataclass(frozen=True)
@@ -180,18 +248,24 @@ def scan_sparse_cell_json(spark: SparkSession, root: str, cut: str | None = None
     record a line, or with ``cut`` (the text between two records, like
     ``']], ["'``) one array of records a file.  Records are staged; the three
     tables read them."""
+    of = lambda at, kind: F.variant_get("v", at, kind)
+    cell = lambda c: F.struct(F.variant_get(c, "$[0][0]", "int").alias("row_idx"), F.variant_get(c, "$[1][1]", "string").alias("text"))
+    fields = [of("$[0]", "string").alias("table_id"), of("$[5]", "array<string>").alias("headers"),
+              F.transform(of("$[6]", "array<array<variant>>"), lambda cs: F.transform(cs, cell)).alias("cells"), of("$[7]", "array<array<string>>").alias("types")]
+
+    def parse(texts: DataFrame) -> DataFrame:
+        # outer: no filter on the array's size, which would parse every text twice
+        items = F.variant_get(F.parse_json(F.concat(F.lit("["), F.col("value"), F.lit("]"))), "$", "array<variant>")
+        return texts.select("part", F.explode_outer(items).alias("v")).where("v IS NOT NULL OR part IS NOT NULL").select("part", *fields)
+
     if cut is None:
         records = spark.read.option("recursiveFileLookup", "true").text(root).where(F.length(F.trim("value")) > 0).select(F.parse_json("value").alias("v"))
+        tables = staged(records.select(*fields), "tables", "zstd")
     else:
-        texts = _array_records(spark, root, cut).where(F.length(F.trim("value")) > 0)
-        records = texts.select(F.explode(F.variant_get(F.parse_json(F.concat(F.lit("["), F.col("value"), F.lit("]"))), "$", "array<variant>")).alias("v"))
-    of = lambda at, kind: F.variant_get("v", at, kind)
-    tables = staged(records.select(of("$[0]", "string").alias("table_id"), of("$[5]", "array<string>").alias("headers"),
-                                   of("$[6]", "array<array<variant>>").alias("cells"), of("$[7]", "array<array<string>>").alias("types")), "tables")
+        tables = _array_records(spark, root, cut, parse)
     column = F.col("col_idx").cast("int")
-    cell = lambda at, kind: F.variant_get("c", at, kind)
     cells = (tables.select("table_id", F.posexplode("cells").alias("col_idx", "cs")).select("table_id", "col_idx", F.explode("cs").alias("c"))
-             .select("table_id", column, cell("$[0][0]", "int").alias("row_idx"), cell("$[1][1]", "string").alias("text")))
+             .select("table_id", column, "c.row_idx", "c.text"))
     headers = tables.select("table_id", F.posexplode("headers").alias("col_idx", "header")).select("table_id", column, "header")
     types = (tables.select("table_id", F.posexplode("types").alias("col_idx", "ts"))
              .select("table_id", column, F.explode("ts").alias("column_type")))

@@ -78,3 +78,48 @@ def test_items_that_stand_alone_are_not_ordered(spark, tmp_path, monkeypatch):
     (tmp_path / "a.json").write_text(json.dumps(rows))
     monkeypatch.setattr(corpus.sample, "prefix_sums", None)
     assert _tables(corpus.scan_sparse_cell_json(spark, str(tmp_path), ']], ["')) == _want(rows)
+
+
+def test_texts_are_not_shuffled(spark, tmp_path, monkeypatch):
+    """Pieces are summed where they are read, and only parsed records are staged."""
+    (tmp_path / "a.json").write_text(json.dumps([[f"id{i}", "", "", "", "", ["h"], [[[[0, 0], [1, "x"]]]], [["t"]]] for i in range(50)]))
+    seen, staged = [], corpus.staged
+
+    def watched(df, name, *codec):
+        seen.append((df.columns, df._jdf.queryExecution().executedPlan().toString()))
+        return staged(df, name, *codec)
+
+    monkeypatch.setattr(corpus, "staged", watched)
+    corpus.scan_sparse_cell_json(spark, str(tmp_path), ']], ["')
+    assert len(seen) == 1 and "value" not in seen[0][0]
+    assert not any("start#" in line.split("Exchange", 1)[1] or "value#" in line.split("Exchange", 1)[1] for line in seen[0][1].split("\n") if "Exchange hash" in line)
+
+
+def test_blocks_over_several_batches(spark, tmp_path):
+    """A block's sums go on from one Arrow batch to the next."""
+    every = _records(40, 11)
+    (tmp_path / "a.json").write_text(json.dumps(every))
+    names = {"spark.sql.files.maxPartitionBytes": 2000, "spark.sql.execution.arrow.maxRecordsPerBatch": 3}
+    old = {k: spark.conf.get(k) for k in names}
+    for k, v in names.items():
+        spark.conf.set(k, v)
+    try:
+        assert _tables(corpus.scan_sparse_cell_json(spark, str(tmp_path), "], [")) == _want(every)
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
+def test_records_of_a_file_lie_together(spark, tmp_path):
+    """Records dealt out by file are the same, made and ordered in one shuffle."""
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    from colsense.plans import catalog
+    spark.range(300).selectExpr("IF(id = 7, NULL, id DIV 3) AS l_orderkey", "id AS l_partkey", "id AS l_suppkey", "CAST(id % 3 AS INT) AS l_linenumber", "1.0D AS l_quantity", "2.0D AS l_extendedprice",
+                                "0.1D AS l_discount", "0.2D AS l_tax", "'A' AS l_returnflag", "'F' AS l_linestatus", "TIMESTAMP '1995-01-01 00:00:00' AS l_shipdate").write.parquet(str(tmp_path / "lineitem.parquet"))
+    dealt = catalog._sparse_records(spark, str(tmp_path), 5)
+    assert sorted(dealt.drop("part").collect()) == sorted(catalog._sparse_records(spark, str(tmp_path)).collect())
+    assert dealt.groupBy("table_id").agg(F.count_distinct("part").alias("n")).where("n > 1").isEmpty()
+    ordered = dealt.withColumn("next", F.lead("table_id").over(Window.partitionBy("part").orderBy("table_id")))
+    assert ordered._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
